@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, secrets
+from tidemark.llm import bpe, exact, html_text, neighbours, packing, quality, repeats, secrets, simhash, warc
 from tidemark.llm.util import table
 
 try:
@@ -17,17 +18,53 @@ except ImportError:  # the vocabulary is a parameter of the operator; only the q
     WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.classify(documents(spark, sf_dir))
+
+
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(documents(spark, sf_dir))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
+    return bpe.digest(documents(spark, sf_dir), WORD_BPE)
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return secrets.digest(documents(spark, sf_dir))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op9_secrets)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_repeats, op3_neighbours, op4_bpe, op5_html, op6_quality, op7_warc, op8_packing, op9_secrets, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": exact.oracle(), "op7_warc": warc.ORACLE}
