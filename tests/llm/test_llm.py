@@ -105,12 +105,12 @@ def test_repeats_in_segments(spark, monkeypatch):
     part = letter(1200)
     texts = [letter(700) + part + letter(10), part[100:900] + letter(1500), letter(450) + part[300:700]]
     every = collections.defaultdict(set)
-    for k, at, n, rank, _ in repeats.runs(texts):
+    for k, at, n, _, rank, _ in repeats.runs(texts):
         for i in range(at, at + n):
             every[k].add(i)
     assert all(every[k] == set(range(len(t) - 199)) for k, t in enumerate(texts))
     by = collections.defaultdict(set)
-    for k, at, n, rank, _ in repeats.runs(texts):
+    for k, at, n, _, rank, _ in repeats.runs(texts):
         for i in range(at, at + n):
             by[texts[k][i : i + 200]].add(rank)
     assert all(len(ranks) == 1 for ranks in by.values())

@@ -6,9 +6,12 @@ further on, up to the threshold. Between texts Spark reranks, and at each offset
 1. Each window of the threshold's length is ranked by the least name of its 64-byte substrings, so equal windows have
    equal ranks, and neighbouring windows that owe their rank to the same place are one run. Ranks that occur once leave.
 2. The runs left are reranked by their whole content. A run whose content occurs again is repeated window by window.
-3. Where one rank has runs of different content, single windows are reranked at the full threshold.
+3. Where one rank has runs of different content, a run is split by how far its windows begin before the ranking place,
+   and the parts are reranked by the 184 bytes that all of a part's windows share.
+4. The windows of the parts left are reranked at the full threshold.
 
-So a row stands for many places, about one for 70 bytes instead of one a byte. Ranks of the first step are 64-bit names,
+So a row stands for many places, about one for 65 bytes instead of one a byte. Runs of equal content in one slice of a batch are
+combined before the shuffle. Ranks of the first step are 64-bit names,
 which only filter; those that decide are 128-bit digests of the bytes themselves.
 
 Texts are stored once per distinct text, bucketed, so that later steps join to them without moving them again.
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.util import cut, fresh_path, shuffle_width
 
 LENGTH, GRAM = 200, 64
+#: Windows of a part of a run.
+PART = 17
 #: Bytes whose names a task computes at once; places within them fit in PLACE bits.
 SEGMENT, PLACE = 1 << 17, 18
+#: Bytes of text, and rows, that a task turns into rows at once.
+SLICE, ROWS = 1 << 22, 50_000
 
 
 def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -86,8 +93,8 @@ def segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, b
         yield group
 
 
-def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(text, first window, windows, rank, digest of the bytes that the windows cover)."""
+def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(text, first window, windows, ranking place, rank, digest of the bytes that the windows cover)."""
     for group in segments(texts, length):
         data = b"".join(part for _, _, part in group)
         names = gram_names(np.frombuffer(data, np.uint8))
@@ -98,8 +105,8 @@ def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, i
             firsts = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
             counts = np.diff(np.r_[firsts, len(own)])
             ranks = names[own[firsts]].view(np.int64)
-            for first, n, rank in zip(firsts.tolist(), counts.tolist(), ranks.tolist(), strict=True):
-                yield k, start + first, n, rank, hashlib.blake2b(part[first : first + n + length - 1], digest_size=16).digest()
+            for first, n, place, rank in zip(firsts.tolist(), counts.tolist(), (own[firsts] - base).tolist(), ranks.tolist(), strict=True):
+                yield k, start + first, n, start + place, rank, hashlib.blake2b(part[first : first + n + length - 1], digest_size=16).digest()
             base += len(part)
 
 
@@ -119,61 +126,113 @@ def key(text: Column) -> tuple[Column, Column]:
 
 
 def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """texts joined to the list of their places(k, c, at, n); only the places are shuffled."""
-    by = places.groupBy("k", "c").agg(F.collect_list(F.struct("at", "n")).alias("places"))
-    none = F.array().cast("array<struct<at:bigint,n:int>>")
+    """texts joined to the list of their places(k, c, ...); only the places are shuffled."""
+    by = places.groupBy("k", "c").agg(F.collect_list(F.struct(*places.columns[2:])).alias("places"))
+    none = F.array().cast(by.schema["places"].dataType)
     return texts.join(by, ["k", "c"], how).select("k", "c", F.col("text").cast("binary").alias("text"), "copies", F.coalesce("places", none).alias("places"))
 
 
-def spread(places) -> np.ndarray:
-    at, n = places.field("at").to_numpy(), places.field("n").to_numpy().astype(np.int64)
-    return np.unique(np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())) if len(at) else np.empty(0, np.int64)
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in parts of SLICE bytes of text or so."""
+    ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch["text"]])
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
-def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k, c, at, n: runs of repeated windows of the texts."""
+def per_text(texts: DataFrame, places: DataFrame, find: Callable[[bytes, list[dict]], Iterator[tuple]]) -> DataFrame:
+    """k, c, at, n, own, u1, u2: what find yields, as (at, n, own, digest), of each text and its places."""
+
+    def made(keys: list[tuple], got: list[tuple]) -> pa.RecordBatch:
+        (k, c), (at, n, own, digest) = zip(*keys, strict=True), zip(*got, strict=True)
+        u = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((k, c, at, n, own, u[:, 0].copy(), u[:, 1].copy()), TYPES, strict=True)], NAMES)
+
+    def run(batches):
+        keys: list[tuple] = []
+        got: list[tuple] = []
+        for batch in (part for whole in batches for part in slices(whole)):
+            for k, c, text, own in zip(*(batch[x].to_pylist() for x in ("k", "c", "text", "places")), strict=True):
+                for row in find(text, own):
+                    keys.append((k, c))
+                    got.append(row)
+                    if len(got) >= ROWS:
+                        yield made(keys, got)
+                        keys, got = [], []
+        if got:
+            yield made(keys, got)
+
+    return with_places(texts, places, "inner").mapInArrow(run, SCHEMA)
+
+
+SCHEMA = "k bigint, c int, at bigint, n int, own bigint, u1 bigint, u2 bigint"
+NAMES, TYPES = SCHEMA.replace(" bigint", "").replace(" int", "").split(", "), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def again(df: DataFrame) -> DataFrame:
+    """Rows whose content occurs more than once."""
+    return df.withColumn("same", F.count("*").over(Window.partitionBy("u1", "u2"))).where("same > 1").drop("same")
 
-    def ranked(batches):
-        for batch in batches:
-            keys, checks, data = batch["k"].to_numpy(), batch["c"].to_numpy(), batch["text"].to_pylist()
-            got = list(runs(data, length))
-            if got:
-                k, at, n, rank, digest = zip(*got, strict=True)
-                k = np.array(k)
-                u = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                cols = [pa.array(keys[k]), pa.array(checks[k]), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(rank, pa.int64()), pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "c", "at", "n", "h", "u1", "u2"])
+
+def ranked_runs(texts: DataFrame, length: int) -> DataFrame:
+    """The runs of all texts with rank h, times (how often this slice of a batch has the run) and lead: whether the row stands for it."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            keys, checks = batch["k"].to_numpy(), batch["c"].to_numpy()
+            got = list(runs(batch["text"].to_pylist(), length))
+            if not got:
+                continue
+            k, at, n, own, rank, digest = zip(*got, strict=True)
+            k = np.array(k)
+            u = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            order = np.lexsort((np.arange(len(u)), u[:, 1], u[:, 0]))
+            fresh = np.r_[True, (np.diff(u[order], axis=0) != 0).any(axis=1)]
+            lead, times = np.zeros(len(u), bool), np.zeros(len(u), np.int32)
+            lead[order] = fresh
+            times[order] = np.diff(np.r_[np.flatnonzero(fresh), len(u)])[np.cumsum(fresh) - 1]
+            cols = [pa.array(x, t) for x, t in zip((keys[k], checks[k], at, n, own, u[:, 0].copy(), u[:, 1].copy()), TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(rank, pa.int64()), pa.array(times), pa.array(lead)], [*NAMES, "h", "times", "lead"])
 
     binary = texts.select("k", "c", F.col("text").cast("binary").alias("text"))
-    every = binary.mapInArrow(ranked, "k bigint, c int, at bigint, n int, h bigint, u1 bigint, u2 bigint")
+    return binary.mapInArrow(run, f"{SCHEMA}, h bigint, times int, lead boolean")
+
+
+def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """k, c, at, n: runs of repeated windows of the texts."""
+    every = cut(ranked_runs(texts, length), "runs")
     rank, content = Window.partitionBy("h"), Window.partitionBy("h", "u1", "u2")
     left = cut(
-        every.withColumn("same_rank", F.count("*").over(rank))
+        every.where("lead")
+        .withColumn("same_rank", F.sum("times").over(rank))
         .where("same_rank > 1")
-        .withColumn("same", F.count("*").over(content))
+        .withColumn("same", F.sum("times").over(content))
         .withColumn("nth", F.row_number().over(content.orderBy("k", "at")))
         # Another content under the same rank: some run is not a copy of all the others.
-        .select("k", "c", "at", "n", (F.col("same") > 1).alias("whole"), ((F.col("same") < F.col("same_rank")) & (F.col("nth") == 1)).alias("open")),
-        "runs",
+        .select("k", "c", "at", "n", "own", (F.col("same") > 1).alias("whole"), ((F.col("same") < F.col("same_rank")) & (F.col("nth") == 1)).alias("open")),
+        "left",
     )
 
-    def windows(batches):
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            places = batch["places"]
-            for i, (k, c, text) in enumerate(zip(*(batch[x].to_pylist() for x in ("k", "c", "text")), strict=True)):
-                for at in spread(places[i].values).tolist():
-                    cols[0].append(k)
-                    cols[1].append(c)
-                    cols[2].append(at)
-                    cols[3].append(hashlib.blake2b(text[at : at + length], digest_size=16).digest())
-            u = np.frombuffer(b"".join(cols[3]), np.int64).reshape(-1, 2)
-            types = [pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, types)), pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], ["k", "c", "at", "u1", "u2"])  # noqa: B905
+    def parts(text: bytes, places: list[dict]) -> Iterator[tuple]:
+        for p in places:
+            for b in range((p["own"] - p["at"] - p["n"] + 1) // PART, (p["own"] - p["at"]) // PART + 1):
+                core = p["own"] - PART * b
+                first, last = max(p["at"], core - PART + 1), min(p["at"] + p["n"] - 1, core)
+                yield first, last - first + 1, p["own"], hashlib.blake2b(text[core : core + length - PART + 1], digest_size=16, salt=b.to_bytes(4, "little")).digest()
+
+    def windows(text: bytes, places: list[dict]) -> Iterator[tuple]:
+        for p in places:
+            for at in range(p["at"], p["at"] + p["n"]):
+                yield at, 1, p["own"], hashlib.blake2b(text[at : at + length], digest_size=16).digest()
 
-    single = with_places(texts, left.where("open"), "inner").mapInArrow(windows, "k bigint, c int, at bigint, u1 bigint, u2 bigint")
-    again = single.withColumn("same", F.count("*").over(Window.partitionBy("u1", "u2"))).where("same > 1")
-    return left.where("whole").select("k", "c", "at", "n").union(again.select("k", "c", "at", F.lit(1).alias("n")))
+    own, places = ["k", "c", "at", "n", "own"], ["k", "c", "at", "n"]
+    shared = again(per_text(texts, left.where("open").select(*own), parts))
+    single = again(per_text(texts, shared.select(*own), windows))
+    # Runs that stand for no other and of which their slice has several are repeated already.
+    return every.where("times > 1").select(*places).union(left.where("whole").select(*places)).union(single.select(*places))
 
 
 def prune(docs: DataFrame, length: int = LENGTH, content: bool = True) -> DataFrame:
@@ -183,7 +242,7 @@ def prune(docs: DataFrame, length: int = LENGTH, content: bool = True) -> DataFr
 
     def cover(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * content]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             places = batch["places"]
             for i, (text, copies) in enumerate(zip(batch["text"].to_pylist(), batch["copies"].to_pylist(), strict=True)):
