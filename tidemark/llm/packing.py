@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacities=CAPACITIES, o
     within = Window.partitionBy("n_tokens", "salt").orderBy("row", "piece")
     ranked = (
         pieces.withColumn("nth", F.row_number().over(within) - 1)
-        .join(offsets.select("n_tokens", "salt", "ahead"), ["n_tokens", "salt"])
+        .join(offsets.select("n_tokens", "salt", "ahead").hint("merge"), ["n_tokens", "salt"])  # partitioned as the window is
         .withColumn("rank", F.col("ahead") + F.col("nth"))
         .drop("nth", "ahead", "salt")
     )
