@@ -28,7 +28,7 @@ ARTICLE = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role that name boilerplate.
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|bottom-?bar|breadcrumbs?|byline-share|captcha|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|overlay|pager|pagination|popup|promo|promoted|promotion|recommended|related|reply|replies|respond|search|share|sharing|sidebar|signup|site-?header|page-?header|skip-?link|social|sponsor|sponsored|subscribe|taboola|teaser|toolbar|topbar|warning|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|alert|adverts?|advertisements?|adsense|banner|bottom-?bar|breadcrumbs?|byline-share|captcha|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|overlay|pager|pagination|popup|promo|promoted|promotion|recommended|related|reply|replies|respond|search|share|sharing|sidebar|signup|site-?header|page-?header|skip-?link|social|sponsor|sponsored|subscribe|taboola|teaser|toolbar|topbar|warning|widget)(?:$|[\s_-])",
     re.I,
 )
 # Frequent words of English, German, French and Spanish.
@@ -45,8 +45,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def marked(tag: str, attributes: str) -> bool:
-    """Whether a start tag names what it holds as no part of the main text."""
+def marked(tag: str, attributes: str, article: int) -> bool:
+    """Whether a start tag names what it holds as no part of the main text; outside an article a header is none either."""
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
@@ -55,6 +55,8 @@ def marked(tag: str, attributes: str) -> bool:
             return True
         if name in ("class", "id", "role", "aria-label") and BAD_NAME.search(value):
             return True
+        if name in ("class", "id") and not article and not {"header", "top"}.isdisjoint(value.lower().split()):
+            return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
@@ -100,7 +102,7 @@ class Blocks:
         if tag in ARTICLE and not bad and not article:
             self.articles += 1
             article = self.articles
-        flagged = tag in BAD and not (tag == "header" and article) or marked(tag, attributes)
+        flagged = tag in BAD and not (tag == "header" and article) or marked(tag, attributes, article)
         if tag == "a":
             self.links += 1
         if tag in BLOCK or flagged or tag == "a":
@@ -157,14 +159,17 @@ def first_pass(text: str, links: float, bad: bool, article: int) -> bool | None:
     return None if article or density >= STOP_LOW else False
 
 
-def second_pass(labels: list[bool | None], within: list[int]) -> list[bool]:
-    """Open blocks take their nearest decided neighbours' label, within the article if they are in one."""
+def second_pass(labels: list[bool | None], within: list[int], named: list[bool]) -> list[bool]:
+    """Open blocks take their nearest decided neighbours' label, within the article if they are in one.
+
+    Blocks that markup names as boilerplate are apart from the text around them and decide nothing for it.
+    """
     n = len(labels)
     near: list[list[tuple[int, bool] | None]] = [[None, None] for _ in range(n)]
     for side, order in ((0, range(n)), (1, range(n - 1, -1, -1))):
         last: dict[int, tuple[int, bool]] = {}
         for k in order:
-            if labels[k] is not None and (not within[k] or labels[k]):
+            if labels[k] is not None and not named[k] and (not within[k] or labels[k]):
                 last[within[k]] = (k, labels[k])
             near[k][side] = last.get(within[k])
     out = []
@@ -184,7 +189,7 @@ def second_pass(labels: list[bool | None], within: list[int]) -> list[bool]:
 
 def extract(page: str | None) -> str:
     found = blocks(page or "")
-    keep = second_pass([first_pass(*b[:4]) for b in found], [b[3] for b in found])
+    keep = second_pass([first_pass(*b[:4]) for b in found], [b[3] for b in found], [b[2] for b in found])
     if any(b[3] for b, k in zip(found, keep, strict=True) if k):  # a page with an article has its main text there
         keep = [k and bool(b[3]) for b, k in zip(found, keep, strict=True)]
     return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
