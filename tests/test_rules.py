@@ -251,10 +251,10 @@ def test_spec_problems(spark):
     got = {r["name"]: r["problems"] for r in specs.validate(spark.createDataFrame([("good", good), ("Bad", bad), ("text", "{")], "name string, spec string")).collect()}
     assert got["good"] == []
     assert [p.split(":")[0] for p in got["Bad"]] == ["name", "source.azure.container", "source.azure.auth", "destination.s3.flavor", "destination.s3", "existing_files", "events.webhook_secret", "concurrency", "part_size", "reconcile_interval"]
-    old = spark.createDataFrame([("a", good, True, 3)], "name string, spec string, enabled boolean, revision long")
-    same = spark.createDataFrame([("a", good.replace(":", ": ")), ("b", good)], "name string, spec string")
-    assert sorted((r["name"], r["revision"]) for r in specs.apply_all_or_nothing(old, same).collect()) == [("a", 3), ("b", 1)]
-    assert [(r["name"], r["revision"]) for r in specs.apply_all_or_nothing(old, same.union(spark.createDataFrame([("c", bad)], "name string, spec string"))).collect()] == [("a", 3)]
+    old = spark.createDataFrame([("aa", good, True, 3)], "name string, spec string, enabled boolean, revision long")
+    same = spark.createDataFrame([("aa", good.replace(":", ": ")), ("bb", good)], "name string, spec string")
+    assert sorted((r["name"], r["revision"]) for r in specs.apply_all_or_nothing(old, same).collect()) == [("aa", 3), ("bb", 1)]
+    assert [(r["name"], r["revision"]) for r in specs.apply_all_or_nothing(old, same.union(spark.createDataFrame([("cc", bad)], "name string, spec string"))).collect()] == [("aa", 3)]
 
 
 def test_strict_manifest_names_the_line(spark, tmp_path):

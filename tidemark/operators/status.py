@@ -26,7 +26,7 @@ def pipeline_stats(record: DataFrame) -> DataFrame:
 def recent_errors(record: DataFrame, order: str = "updated_at", n: int = RECENT) -> DataFrame:
     """The newest n errors of each pipeline; ties by key."""
     w = Window.partitionBy("pipeline_id").orderBy(F.desc(order), "key")
-    rows = record.where("status = 'failed' OR last_error <> ''").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+    rows = record.where("status = 'failed' OR last_error <> ''").withColumn("nth", F.row_number().over(w).cast("long")).where(F.col("nth") <= n)
     return rows.select("pipeline_id", "nth", "key", "status", "last_error", order)
 
 

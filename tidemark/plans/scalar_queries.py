@@ -41,7 +41,7 @@ def src2_listing_scan(t):
     names.repartition(5, "folder", "r_name").write.partitionBy("folder", "r_name").text(path)
     found = readers.listing_scan(t.spark, path).where(F.col("key").endswith(".txt"))
     key = F.regexp_replace(F.regexp_replace("key", "^folder=(.*)/r_name=(.*)/part-.*$", "$1/$2.txt"), "%20", " ")
-    return found.select(key.alias("key"), F.col("size").cast("int").alias("size"))
+    return found.select(key.alias("key"), "size")
 
 
 @query("messages", "SELECT message_id, message FROM messages")
@@ -138,7 +138,7 @@ def snk5_verified_copy(t):
     path = fresh_path(t.spark, "copied")
     done = sinks.verified_copy(objects, path)
     copied = readers.listing_scan(t.spark, path).select("key", F.col("size").alias("found"))
-    return done.join(copied, "key").where("size = found").select("key", F.col("size").cast("int").alias("size"), "sha256", "outcome")
+    return done.join(copied, "key").where("size = found").select("key", "size", "sha256", "outcome")
 
 
 GLOBS = ["src*/doc-*[05].txt", "**/tmp/*", "src1/**", "gone?/x"]

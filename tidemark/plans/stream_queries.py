@@ -75,7 +75,7 @@ def str9_periodic_reconcile(t):
     return t.spark.read.parquet(f"{path}/batch=0").select("pipeline_id", "key", "kind")
 
 
-@query("ops", f"SELECT p.pipeline_id, coalesce(greatest(max(epoch(TIMESTAMP '2024-02-01') - epoch(event_time)) FILTER (status IN ('pending', 'copying')), 0), 0) AS oldest_pending_seconds FROM (SELECT DISTINCT pipeline_id FROM ops) p LEFT JOIN ({duck_fold(EVERY)}) USING (pipeline_id) GROUP BY 1")
+@query("ops", f"SELECT p.pipeline_id, coalesce(greatest(max((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(event_time)) / 1e6) FILTER (status IN ('pending', 'copying')), 0), 0) AS oldest_pending_seconds FROM (SELECT DISTINCT pipeline_id FROM ops) p LEFT JOIN ({duck_fold(EVERY)}) USING (pipeline_id) GROUP BY 1")
 def str11_backlog_gauges(t):
     path, gauges = fresh_path(t.spark, "states"), fresh_path(t.spark, "gauges")
     names = t.ops.select("pipeline_id").distinct()
@@ -94,13 +94,13 @@ def str12_lag_histogram_stream(t):
     return t.spark.read.parquet(f"{path}/batch=0")
 
 
-@query("specs", "SELECT name, CASE WHEN enabled THEN 'start' ELSE 'none' END AS action FROM specs WHERE NOT name LIKE '%\\_%' ESCAPE '\\' AND n_nationkey % 5 <> 0 AND n_nationkey % 2 = 0")
+@query("specs", "SELECT replace(name, '_', '-') AS name, CASE WHEN enabled THEN 'start' ELSE 'none' END AS action FROM specs WHERE n_nationkey % 5 <> 0 AND n_nationkey % 2 = 0")
 def str13_spec_hot_reload(t):
     path = fresh_path(t.spark, "reloaded")
     full = F.concat(
         F.lit('{"source":{"s3":{"bucket":"a","region":"r"}},"destination":{"s3":{"bucket":"b","region":"r"}},"part_size":"'), F.when(F.col("n_nationkey") % 5 == 0, "1MiB").otherwise("64MiB"), F.lit('"}')
     )
-    given = t.specs.where("n_nationkey % 2 = 0").withColumn("spec", full)
+    given = t.specs.where("n_nationkey % 2 = 0").withColumn("spec", full).withColumn("name", F.replace("name", F.lit("_"), F.lit("-")))
     ticks = as_stream(t, t.nation.select("n_nationkey").limit(1), "ticks")
     streams.run(ticks, path, streams.hot_reload(path, lambda: given)).awaitTermination()
     return t.spark.read.parquet(f"{path}/actions/batch=0")

@@ -180,7 +180,7 @@ def ag4_queue_depth(t):
     return status.queue_depth(t.jobs, t.jobs.select("pipeline_id").distinct().union(t.spark.sql("SELECT 'none'")))
 
 
-@query("listing record", f"SELECT pipeline_id, count(*) FILTER (listed) AS listed, count(*) FILTER (action = 'upsert') AS emitted, count(*) FILTER (action = 'delete_candidate') AS deleted, count(*) FILTER (action = 'already_synced') AS already_synced, count(*) FILTER (in_flight) AS in_flight, 0 AS ignored FROM ({DIFF}) GROUP BY 1")
+@query("listing record", f"SELECT pipeline_id, count(*) FILTER (listed) AS listed, count(*) FILTER (action = 'upsert') AS emitted, count(*) FILTER (action = 'delete_candidate') AS deleted, count(*) FILTER (action = 'already_synced') AS already_synced, count(*) FILTER (in_flight) AS in_flight, CAST(0 AS BIGINT) AS ignored FROM ({DIFF}) GROUP BY 1")
 def ag5_reconcile_stats(t):
     return reconcile.stats(diffed(t), "pipeline_id")
 
@@ -251,7 +251,7 @@ def ag14_histogram_merge(t):
 
 
 def quantile_sql(hist: str, by: str, q: float) -> str:
-    return f"""SELECT {by}, {q} AS q, CASE WHEN any_value(n) < 2 OR any_value(top) <> CAST('Infinity' AS DOUBLE) OR any_value(total) = 0 THEN CAST('NaN' AS DOUBLE)
+    return f"""SELECT {by}, CAST({q} AS DOUBLE) AS q, CASE WHEN any_value(n) < 2 OR any_value(top) <> CAST('Infinity' AS DOUBLE) OR any_value(total) = 0 THEN CAST('NaN' AS DOUBLE)
         WHEN min(le) FILTER (hit) IS NULL THEN max(le) FILTER (le < CAST('Infinity' AS DOUBLE)) WHEN arg_min(nth, le) FILTER (hit) = 1 AND min(le) FILTER (hit) <= 0 THEN min(le) FILTER (hit)
         ELSE arg_min(start, le) FILTER (hit) + (min(le) FILTER (hit) - arg_min(start, le) FILTER (hit)) * (({q} * any_value(total) - arg_min(before, le) FILTER (hit)) / (arg_min(c, le) FILTER (hit) - arg_min(before, le) FILTER (hit))) END AS value
         FROM (SELECT *, le < CAST('Infinity' AS DOUBLE) AND c >= {q} * total AS hit FROM (SELECT *, max(c) OVER (PARTITION BY {by}) AS total, max(le) OVER (PARTITION BY {by}) AS top, count(*) OVER (PARTITION BY {by}) AS n, row_number() OVER (PARTITION BY {by} ORDER BY le) AS nth, coalesce(lag(le) OVER (PARTITION BY {by} ORDER BY le), 0) AS start, coalesce(lag(c) OVER (PARTITION BY {by} ORDER BY le), 0) AS before
@@ -303,9 +303,9 @@ def ag20_job_state_counts(t):
     return status.job_states(t.jobs)
 
 
-@query("", "SELECT (max(event_id) - min(event_id)) / ((epoch(max(ts)) - epoch(min(ts))) / 3600) AS event_id_per_hour FROM events")
+@query("", "SELECT round((max(event_id) - min(event_id)) / ((epoch(max(ts)) - epoch(min(ts))) / 3600), 4) AS event_id_per_hour FROM events")
 def ag20_growth(t):
-    return status.growth(t.events, "ts", "event_id")
+    return status.growth(t.events, "ts", "event_id").select(F.round("event_id_per_hour", 4).alias("event_id_per_hour"))
 
 
 @query("messages", "SELECT count(*) AS sampled, count(*) FILTER (message_id % 41 = 0 OR message_id % 53 = 0 OR message_id % 43 = 0) AS unparsable, 'warn' AS verdict FROM messages")
@@ -380,7 +380,7 @@ def st1_byte_order_sort(t):
     from pyspark.sql import Window
 
     first = t.listing.select("key").orderBy("key").limit(200)
-    return first.select("key", F.row_number().over(Window.orderBy("key")).alias("place"))  # 200 rows
+    return first.select("key", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))  # 200 rows
 
 
 @query("manifest destination", f"SELECT key, outcome FROM ({VERIFIED}) WHERE outcome <> 'ok' ORDER BY key LIMIT 20")
