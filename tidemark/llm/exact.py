@@ -51,9 +51,10 @@ def classify(docs: DataFrame) -> DataFrame:
         .select("id")
     )
     doubtful = (
-        recipes.select("recipe", F.explode("recipe").alias("id")).join(unverified, "id").select("recipe").distinct().withColumn("doubt", F.lit(True))
-    )
-    keyed = recipes.join(doubtful, "recipe", "left").withColumn("tag", F.when(F.col("doubt"), F.col("text_sha256")).otherwise("")).drop("doubt")
+        recipes.select("recipe", F.explode("recipe").alias("id")).join(unverified, "id").select("recipe").distinct()
+        .select("recipe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("doubt"))
+    )
+    keyed = recipes.join(doubtful, ["recipe", "salt"], "left").withColumn("tag", F.when(F.col("doubt"), F.col("text_sha256")).otherwise("")).drop("doubt")
     last = F.max(F.struct("doc_id", "row")).alias("last")
     groups = (
         keyed.groupBy("recipe", "tag", "salt")
