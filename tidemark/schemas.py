@@ -7,7 +7,7 @@ RECORD = (
     "synced_version string, synced_mtime timestamp_ntz, synced_sequencer string, sha256 string, dest_version string, status string, attempts int, "
     "last_error string, upload_id string, upload_version string, claimed_until timestamp_ntz, event_time timestamp_ntz, synced_at timestamp_ntz"
 )
-MANIFEST = "key string, size bigint, sha256 string, written_at timestamp_ntz"
+MANIFEST = "key string, size bigint, sha256 string, written_at string"
 EVENT = (
     "array<struct<id:string,subject:string,eventType:string,eventTime:string,specversion:string,type:string,time:string,"
     "data:struct<url:string,eTag:string,contentLength:bigint,sequencer:string,validationCode:string>>>"

@@ -24,16 +24,18 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def manifest_rows(text: DataFrame) -> DataFrame:
     """key, size, sha256, written_at, file_index, line_no, problem ('' if none) of JSON lines; blank lines are no rows."""
-    s = F.from_json("value", schemas.MANIFEST + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][X]"})
+    s = F.from_json("value", schemas.MANIFEST + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     m = F.col("m")
+    written = F.try_to_timestamp(m["written_at"]).cast("timestamp_ntz")  # with or without a zone, in UTC
     problem = (
         F.when(m["_bad"].isNotNull(), "not JSON")
         .when(F.coalesce(m["key"], F.lit("")) == "", "no key")
         .when(F.coalesce(m["size"], F.lit(-1)) < 0, "negative size")
         .when(F.coalesce(F.length(m["sha256"]), F.lit(0)) != 64, "sha256 not 64 characters")
+        .when(m["written_at"].isNotNull() & written.isNull(), "bad time")
         .otherwise("")
     )
-    return text.where(trimmed("value") != "").withColumn("m", s).select(m["key"].alias("key"), m["size"].alias("size"), m["sha256"].alias("sha256"), m["written_at"].alias("written_at"), "file_index", "line_no", problem.alias("problem"))
+    return text.where(trimmed("value") != "").withColumn("m", s).select(m["key"].alias("key"), m["size"].alias("size"), m["sha256"].alias("sha256"), written.alias("written_at"), "file_index", "line_no", problem.alias("problem"))
 
 
 def strict(rows: DataFrame) -> DataFrame:
