@@ -50,9 +50,8 @@ def manifest_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def listing_scan(spark: SparkSession, root: str) -> DataFrame:
     """key, size, mod_time of every object below root, over any file system that Spark reads; contents are not read."""
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.regexp_replace("path", "^file:/+", "file:///")
-    key = F.substr(path, F.length(F.regexp_replace(base, "^file:/+", "file:///")) + 1)
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")  # noqa: E731  without scheme and authority
+    key = F.substr(bare(F.col("path")), F.length(bare(F.lit(root.rstrip("/") + "/"))) + 1)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
     return found.where(~folder_marker("key"))
 
