@@ -1,4 +1,5 @@
-"""A corpus from raw documents: quality, exact and near copies, secrets, packing. Each stage is one operator's work.
+"""A corpus from raw documents: quality, exact and near copies, secrets, packing. Each stage is one operator's work; near copies are
+found by five-word shingles, as op10's digests of three words within three bits miss most of them.
 
 Every stage but the last returns the columns of the documents that it keeps; the last returns the packed pieces.
 """
@@ -7,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, packing, quality, secrets, simhash
+from tidemark.llm import exact, near, packing, quality, secrets
 from tidemark.llm.util import cut, table
 
 
@@ -22,8 +23,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies one stays."""
-    return simhash.dedup(docs)
+    """Of texts linked by a similarity of 0.8 or more of their five-word shingles one stays."""
+    return near.dedup(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
