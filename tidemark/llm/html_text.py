@@ -6,6 +6,9 @@ a short block stays open, and so does a longer one whose words decide nothing. T
 the label of its nearest decided neighbours: the same on both sides, the nearer one, and at a tie the good one. Inside
 an article neighbours count only within it, and an article without a decided block is good as a whole.
 
+A wrapper that only its name marks, or a form, is no boilerplate if it holds most of the page's text; articles in such
+wrappers count where no other does. Where no block is good by stop words of the known languages, long blocks are.
+
 Defined cases: null and empty html have empty text. Unclosed and misnested tags are read as browsers do in the simple
 cases: an end tag closes up to its start tag or is ignored. Blocks of white space only are no blocks. A page of any
 length is read whole. Null page_id and url and repeated rows are kept as they are.
@@ -31,6 +34,8 @@ BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|alert|adverts?|advertisements?|adsense|banner|bottom-?bar|breadcrumbs?|byline-share|captcha|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|overlay|pager|pagination|popup|promo|promoted|promotion|recommended|related|reply|replies|respond|search|share|sharing|sidebar|signup|site-?header|page-?header|skip-?link|social|sponsor|sponsored|subscribe|taboola|teaser|toolbar|topbar|warning|widget)(?:$|[\s_-])",
     re.I,
 )
+# Names that tell a wrapper's state or screen size, not what it holds.
+STATE = re.compile(r"(?:has|with|without|no|not|is|js|show|hide)[_-].*|.*[_-](?:open|opened|closed|active|enabled|disabled|visible|collapsed|xs|sm|md|lg|xl|print)", re.I)
 # Frequent words of English, German, French and Spanish.
 STOP = frozenset(
     "the of and to in a is that for it was on are as with his they at be this from i have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than been its who now my made over did down only way find use may these also "
@@ -39,47 +44,83 @@ STOP = frozenset(
     "el que y los del se las por con no para su al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque".split()
 )
 LENGTH_LOW, LENGTH_HIGH = 70, 200
+#: A wrapper that is boilerplate by name only, or a form, is none if it holds more than this share of the page's text.
+MOST = 0.7
 STOP_LOW, STOP_HIGH, LINKS_HIGH = 0.15, 0.25, 0.3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def marked(tag: str, attributes: str, article: int) -> bool:
-    """Whether a start tag names what it holds as no part of the main text; outside an article a header is none either."""
+SOFT, HARD = 1, 2
+
+
+def marked(tag: str, attributes: str, article: int) -> int:
+    """Whether a start tag names what it holds as no part of the main text, or hides it (HARD); outside an article a header is none either."""
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    by_name = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role", "aria-label") and BAD_NAME.search(value):
-            return True
+            return HARD
+        if name in ("class", "id", "role", "aria-label") and BAD_NAME.search(" ".join(w for w in value.split() if not STATE.fullmatch(w))):
+            by_name = SOFT
         if name in ("class", "id") and not article and not {"header", "top"}.isdisjoint(value.lower().split()):
-            return True
+            by_name = SOFT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return HARD
+    return by_name
 
 
 class Blocks:
     """A page's blocks, gathered tag by tag: (text, share of link text, in boilerplate, article number, is heading)."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[str, float, bool, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, boilerplate from here on, article
+        self.found: list[tuple[str, float, int, int, bool]] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, innermost flag, article
+        self.flags: list[tuple[int, int]] = [(0, 0)]  # the flag around it, kind: 0 for an article's start
         self.text: list[str] = []
         self.linked = self.links = self.articles = 0
         self.heading = False
 
-    def here(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def here(self) -> tuple[int, int]:
+        return self.stack[-1][1:] if self.stack else (0, 0)
+
+    def flag(self, around: int, kind: int) -> int:
+        self.flags.append((around, kind))
+        return len(self.flags) - 1
+
+    def decided(self) -> list[tuple[str, float, bool, int, bool]]:
+        """The blocks, once it is known what each flagged element holds.
+
+        What a wrapper's name says does not hold for most of a page's text, nor, where all of a page's articles stand in
+        such wrappers, for the articles.
+        """
+        held = [0] * len(self.flags)
+        for text, _, flag, _, _ in self.found:
+            held[flag] += len(text)
+        total = sum(held)
+        for k in range(len(held) - 1, 0, -1):
+            held[self.flags[k][0]] += held[k]
+        bad, hard = [False] * len(held), [False] * len(held)
+
+        def spread(reset: bool) -> None:
+            for k in range(1, len(held)):
+                around, kind = self.flags[k]
+                hard[k] = hard[around] or kind == HARD
+                bad[k] = hard[k] if kind == 0 and reset else bad[around] or kind == HARD or kind == SOFT and held[k] <= MOST * total
+
+        spread(False)
+        if not any(article and not bad[flag] for _, _, flag, article, _ in self.found):
+            spread(True)
+        return [(text, links, bad[flag], article, heading) for text, links, flag, article, heading in self.found]
 
     def close(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            bad, article = self.here()
-            self.found.append((text, self.linked / max(1, len(text)), bad, article, self.heading))
+            flag, article = self.here()
+            self.found.append((text, self.linked / max(1, len(text)), flag, article, self.heading))
         self.text, self.linked = [], 0
 
     def add(self, text: str) -> None:
@@ -98,15 +139,19 @@ class Blocks:
                 self.stack.pop()
         if tag in VOID:
             return
-        bad, article = self.here()
-        if tag in ARTICLE and not bad and not article:
+        flag, article = self.here()
+        if tag in ARTICLE and not article:
             self.articles += 1
             article = self.articles
-        flagged = tag in BAD and not (tag == "header" and article) or marked(tag, attributes, article)
+            flag = self.flag(flag, 0)
+        own = tag in BAD and not (tag == "header" and article)
+        flagged = HARD if own and tag != "form" else max(SOFT * own, marked(tag, attributes, article))
+        if flagged:
+            flag = self.flag(flag, flagged)
         if tag == "a":
             self.links += 1
         if tag in BLOCK or flagged or tag == "a":
-            self.stack.append((tag, bad or flagged, article))
+            self.stack.append((tag, flag, article))
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
@@ -143,20 +188,26 @@ def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
             out.start(tag, m[3])
     out.add(page[at:])
     out.close()
-    return out.found
+    return out.decided()
 
 
-def first_pass(text: str, links: float, bad: bool, article: int) -> bool | None:
-    """True good, False bad, None open."""
+def density(text: str) -> float:
+    words = [w.strip(".,;:!?\"'()[]{}*#$%&|<>«»„“”").lower() for w in text.split()]
+    return sum(w in STOP for w in words) / max(1, len(words))
+
+
+def first_pass(text: str, links: float, bad: bool, article: int, foreign: bool = False) -> bool | None:
+    """True good, False bad, None open. On a page in a language whose stop words are not known, length decides alone."""
     if bad or links > LINKS_HIGH and not (article and len(text) > LENGTH_HIGH and links < 0.6):
         return False
     if len(text) < LENGTH_LOW:
         return None
-    words = [w.strip(".,;:!?\"'()[]{}*#$%&|<>«»„“”").lower() for w in text.split()]
-    density = sum(w in STOP for w in words) / max(1, len(words))
-    if density >= STOP_HIGH or article and density >= STOP_LOW or len(text) > LENGTH_HIGH and density >= STOP_LOW:
+    share = density(text)
+    if share >= STOP_HIGH or article and share >= STOP_LOW or len(text) > LENGTH_HIGH and share >= STOP_LOW:
+        return True
+    if foreign and not article:
         return True
-    return None if article or density >= STOP_LOW else False
+    return None if article or share >= STOP_LOW else False
 
 
 def second_pass(labels: list[bool | None], within: list[int], named: list[bool]) -> list[bool]:
@@ -189,7 +240,10 @@ def second_pass(labels: list[bool | None], within: list[int], named: list[bool])
 
 def extract(page: str | None) -> str:
     found = blocks(page or "")
-    keep = second_pass([first_pass(*b[:4]) for b in found], [b[3] for b in found], [b[2] for b in found])
+    labels = [first_pass(*b[:4]) for b in found]
+    if True not in labels:  # the known stop words make no block good: they say nothing of this page
+        labels = [first_pass(*b[:4], True) for b in found]
+    keep = second_pass(labels, [b[3] for b in found], [b[2] for b in found])
     if any(b[3] for b, k in zip(found, keep, strict=True) if k):  # a page with an article has its main text there
         keep = [k and bool(b[3]) for b, k in zip(found, keep, strict=True)]
     return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
