@@ -12,6 +12,7 @@ a share of the shard; recall against brute force is measured in the tests.
 Defined cases: null or empty vectors, and those that hold null or non-finite components or are zero, take no part, as
 query or candidate; so do vectors whose dimension is not the most frequent one. With fewer candidates than k all are
 returned. Ties go to the smaller vec_id. Repeated vec_ids are candidates each for itself; a query's own vec_id is none.
+Every row that meets the condition is a query of its own: rows that share a vec_id have k neighbours and ranks each.
 """
 
 from __future__ import annotations
@@ -93,16 +94,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, share: float = SHAR
     d, n, q = sizes[0]
     good = good.where(F.size("embedding") == d)
     shards, blocks = -(-n // shard), max(1, -(-(q or 0) // block))
-    part = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    good = good.withColumn("row", F.monotonically_increasing_id())
+    part = lambda m: F.pmod(F.xxhash64("vec_id", "row"), F.lit(m)).cast("int")
     points = good.select("vec_id", "embedding", part(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = good.where(queries).select("vec_id", "embedding", part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = good.where(queries).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def answer(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(points) and len(asked):
             points = points.sort_values("vec_id", kind="stable")
             ids, x = points["vec_id"].to_numpy(), np.stack(points["embedding"]).astype(np.float64)
-            own, y = asked["vec_id"].to_numpy(), np.stack(asked["embedding"]).astype(np.float64)
+            rows, own, y = asked["query_row"].to_numpy(), asked["query_id"].to_numpy(), np.stack(asked["query"]).astype(np.float64)
             for at, found in Forest(x).candidates(y, max(k + 1, int(share * len(x)))):
                 found = found[ids[found] != own[at]]
                 score = x[found] @ y[at]
@@ -111,9 +113,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, share: float = SHAR
                     found = found[score >= least - 1e-9 * max(1.0, abs(least))]
                 score = (x[found] * y[at]).sum(axis=1)
                 best = np.lexsort((ids[found], -score))[:k]
-                out += zip(np.repeat(own[at], len(best)).tolist(), ids[found[best]].tolist(), score[best].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                out += zip(np.repeat(rows[at], len(best)).tolist(), np.repeat(own[at], len(best)).tolist(), ids[found[best]].tolist(), score[best].tolist(), strict=True)
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    answers = points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "query_id bigint, vec_id bigint, score double")
-    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    answers = points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "row bigint, query_id bigint, vec_id bigint, score double")
+    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
