@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import globs, text, versions
-from tidemark.operators import events, metrics, reconcile, record, specs, verify, work
+from tidemark.operators import events, metrics, ordering, reconcile, record, specs, verify, work
 from tidemark.sources import readers
 from tidemark.streaming import streams
 
@@ -23,50 +23,55 @@ def test_sequencers(spark):
     assert [g[0] for g in got] == [c[2] for c in cases]
 
 
-# status, synced (version, sequencer, minute), source (version, sequencer, minute), lease in seconds, candidate, decision
-S1 = ("v1", "", 0)
-DECISIONS = [
-    (None, None, None, None, ("v1", "", 0), "copy"),
-    ("pending", None, None, None, ("v1", "", 0), "copy"),
-    ("synced", ("v1", "01", 0), ("v1", "01", 0), None, ("v1", "01", 0), "already_synced"),
-    ("synced", S1, S1, None, S1, "already_synced"),
-    ("synced", ("v1", "0A", 1), ("v1", "0A", 1), None, ("v2", "0B", 0), "copy"),
-    ("synced", ("v1", "FF", 0), ("v1", "FF", 0), None, ("v2", "100", 0), "copy"),
-    ("synced", ("v2", "0B", 0), ("v2", "0B", 0), None, ("v1", "0A", 1), "stale"),
-    ("synced", ("v2", "100", 0), ("v2", "100", 0), None, ("v1", "FF", 1), "stale"),
-    ("synced", S1, S1, None, ("v2", "", 1), "copy"),
-    ("synced", ("v2", "", 1), ("v2", "", 1), None, ("v1", "", 0), "stale"),
-    ("synced", S1, S1, None, ("v2", "", 0), "copy"),
-    ("synced", ("v1", "", 1), ("v1", "", 1), None, ("v2", "99", 0), "stale"),
-    ("copying", S1, ("v3", "", 2), 60, ("v2", "", 2), "busy"),
-    ("copying", S1, ("v2", "", 1), 60, ("v3", "", 2), "busy"),
-    ("copying", S1, ("v3", "", 2), 60, ("v2", "", 1), "stale"),
-    ("copying", None, S1, 60, S1, "busy"),
-    ("copying", None, S1, -1, S1, "copy"),
-    ("copying", S1, ("v2", "", 1), -1, ("v3", "", 2), "copy"),
-    ("copying", None, S1, 0, S1, "copy"),
-    ("copying", ("v2", "", 1), ("v3", "", 2), -1, ("v1", "", 0), "stale"),
-    ("failed", None, S1, None, S1, "copy"),
-    ("failed", S1, S1, None, S1, "already_synced"),
-    ("deleted", S1, S1, None, ("v2", "", 1), "copy"),
-    ("deleted", S1, S1, None, S1, "copy"),
-    ("deleted", ("v2", "", 1), ("v2", "", 1), None, S1, "stale"),
-]
+STATES = [None, "pending", "copying", "copying", "copying", "synced", "failed", "deleted"]
+CLOCK = 1000
+
+
+def precedes(a, b):
+    """Whether version a = (name, sequencer, minute) is older than b: by the numbers that their sequencers write, if both have one."""
+    if a[1] and b[1]:
+        return int(a[1], 16) < int(b[1], 16)
+    return (-1 if a[2] is None else a[2]) < (-1 if b[2] is None else b[2])
+
+
+def expected_decision(state, synced, source, lease_end, candidate):
+    """The rule in words: what is synced is not copied again, unless deleted since; what is older than the synced or the
+    claimed version is stale; a running lease keeps others out; all else is copied."""
+    if state is None:
+        return "copy"
+    leased = state == "copying" and lease_end is not None and lease_end > CLOCK
+    if synced[0]:
+        if candidate[0] == synced[0]:
+            if state != "deleted":
+                return "already_synced"
+        elif precedes(candidate, synced):
+            return "stale"
+    if leased:
+        return "stale" if candidate[0] != source[0] and precedes(candidate, source) else "busy"
+    return "copy"
+
+
+def random_version(rng):
+    return (f"v{rng.randrange(3)}", rng.choice(["", "", "7", "0A", "a", "1f", "0000001F", "FFFFFFFFFFFFFFFFFFFF1"]), rng.randrange(4))
 
 
 def test_decide(spark):
-    at = lambda x: f"TIMESTAMP_NTZ '2026-10-05 11:00:00' + INTERVAL '{x}' MINUTE"
-    parts = []
-    for k, (state, synced, source, lease, c, want) in enumerate(DECISIONS):
-        y, s = synced or ("", "", None), source or ("", "", None)
-        time = lambda v: f"CAST(NULL AS {T})" if v[2] is None else at(v[2])
-        until = f"CAST(NULL AS {T})" if lease is None else f"TIMESTAMP_NTZ '2026-10-05 12:00:00' + INTERVAL '{lease}' SECOND"
-        parts.append(
-            f"SELECT {k} AS k, {state is not None} AS found, '{state or ''}' AS r_status, '{y[0]}' AS r_synced_version, '{y[1]}' AS r_synced_sequencer, {time(y)} AS r_synced_mtime, '{s[0]}' AS r_source_version, "
-            f"'{s[1]}' AS r_source_sequencer, {time(s)} AS r_source_mtime, {until} AS r_claimed_until, '{c[0]}' AS c_version, '{c[1]}' AS c_sequencer, {at(c[2])} AS c_mtime, '{want}' AS want"
-        )
-    got = spark.sql(" UNION ALL ".join(parts)).select("k", "want", versions.decide("found", "r_", "c_", F.expr("TIMESTAMP_NTZ '2026-10-05 12:00:00'")).alias("got")).collect()
-    assert [(r["k"], r["want"]) for r in got if r["want"] != r["got"]] == []
+    """Generated records and candidates against the rule written out in Python; every decision comes up often."""
+    rng = random.Random(12)
+    nothing, rows = ("", "", None), []
+    for k in range(3000):
+        state = rng.choice(STATES)
+        synced = random_version(rng) if state and rng.random() < 0.6 else nothing
+        source = random_version(rng) if state else nothing
+        lease = rng.choice([None, CLOCK - 1, CLOCK, CLOCK + 1]) if state else None
+        candidate = random_version(rng)
+        rows.append((k, state is not None, state or "", *synced, *source, lease, *candidate, expected_decision(state, synced, source, lease, candidate)))
+    schema = "k int, found boolean, r_status string, " + "".join(f"{p}_version string, {p}_sequencer string, {p}_minute int, " for p in ("r_synced", "r_source")) + "lease int, c_version string, c_sequencer string, c_minute int, want string"
+    at = lambda minute: F.expr(f"TIMESTAMP_NTZ '2020-01-01' + make_interval(0, 0, 0, 0, 0, {minute}, 0)")
+    df = spark.createDataFrame(rows, schema).withColumns({"r_synced_mtime": at("r_synced_minute"), "r_source_mtime": at("r_source_minute"), "c_mtime": at("c_minute"), "r_claimed_until": at("lease")})
+    got = df.select("k", "want", versions.decide("found", "r_", "c_", at(CLOCK)).alias("got")).collect()
+    assert [(rows[r["k"]], r["got"]) for r in got if r["want"] != r["got"]] == []
+    assert all(sum(r["got"] == d for r in got) > 100 for d in ("copy", "already_synced", "stale", "busy"))
 
 
 GLOBS = [
@@ -140,23 +145,46 @@ def test_messages(spark):
     assert str(got[0]["event_time"]) == "2025-12-31 23:00:00.500000"
 
 
-def test_quantile_golden(spark):
+def interpolated(rows, q):
+    """The quantile of cumulative (bound, count) rows by walking along them."""
+    rank, low, below = q * rows[-1][1], 0.0, 0.0
+    for bound, count in rows[:-1]:
+        if count >= rank:
+            return low + (bound - low) * (rank - below) / (count - below) if count > below else low
+        low, below = bound, count
+    return low
+
+
+def test_quantiles_of_generated_histograms(spark):
+    rng, inf = random.Random(7), float("inf")
+    rows = []
+    for g in range(12):
+        bounds, counts = sorted(rng.sample(range(1, 400), 5)), sorted(rng.sample(range(1, 900), 6))
+        rows += [(g, float(b), float(c)) for b, c in zip([*bounds, inf], counts, strict=True)]
+    h = spark.createDataFrame(rows, "g int, le double, count double")
+    qs = [0.0, 0.03, 0.25, 0.6, 0.77, 0.97, 1.0]
+    got = {(r["g"], r["q"]): r["value"] for r in metrics.quantiles(h, qs, "g").collect()}
+    assert len(got) == 12 * len(qs)
+    for (g, q), value in got.items():
+        assert value == pytest.approx(interpolated([(b, c) for i, b, c in rows if i == g], q))
+
+
+def test_quantile_edges(spark):
     inf = float("inf")
-    h = spark.createDataFrame([(1.0, 10.0), (2.0, 50.0), (5.0, 90.0), (10.0, 99.0), (inf, 100.0)], "le double, count double")
-    want = {0.05: 0.5, 0.1: 1.0, 0.5: 2.0, 0.9: 5.0, 0.95: 7.777777777777778, 0.995: 10.0, 1.0: 10.0, -0.1: -inf, 1.1: inf}
-    for q, v in want.items():
-        assert metrics.quantile(h, q).first()["value"] == pytest.approx(v)
-    nan = lambda df: df.first()["value"] != df.first()["value"]
-    assert nan(metrics.quantile(h.where("le < 11"), 0.5)) and nan(metrics.quantile(h.withColumn("count", F.lit(0.0)), 0.5)) and nan(metrics.quantile(h.where(F.col("le") == inf), 0.5))
-    dip = spark.createDataFrame([(-1.0, 10.0), (2.0, 5.0), (inf, 10.0)], "le double, count double")
-    assert metrics.quantile(dip, 0.5).first()["value"] == -1.0
+    one = lambda h, q: metrics.quantile(h, q).first()["value"]
+    h = spark.createDataFrame([(3.0, 4.0), (8.0, 4.0), (inf, 16.0)], "le double, count double")
+    assert one(h, -0.5) == -inf and one(h, 1.5) == inf and one(h, 0.25) == 3.0 and one(h, 0.9) == 8.0
+    nan = lambda v: v != v
+    assert nan(one(h.where("le < 9"), 0.5)) and nan(one(h.withColumn("count", F.lit(0.0)), 0.5)) and nan(one(h.where(F.col("le") == inf), 0.5))
+    falling = spark.createDataFrame([(-2.0, 6.0), (4.0, 1.0), (inf, 6.0)], "le double, count double")
+    assert one(falling, 0.3) == -2.0
 
 
 def test_metrics_text(spark):
-    lines = [("# HELP x", 0), ("", 1), ('a{p="x\\"y,z}",q="b\\\\n\\n"} +Inf 123', 2), ("b 1e3", 3), ("c{} NaN", 4)]
+    lines = [("# TYPE jobs counter", 0), ("   ", 1), ('jobs{who="say \\"hi\\", {you}",path="C:\\\\tmp\\nx"} -Inf 99', 2), ("load 25e-1", 3), ("idle{} NaN", 4)]
     got = {r["n"]: r for r in readers.metric_samples(spark.createDataFrame(lines, "line string, n int")).collect()}
     assert sorted(got) == [2, 3, 4]
-    assert got[2]["labels"] == {"p": 'x"y,z}', "q": "b\\n\n"} and got[2]["value"] == float("inf") and got[3]["value"] == 1000.0
+    assert got[2]["labels"] == {"who": 'say "hi", {you}', "path": "C:\\tmp\nx"} and got[2]["value"] == float("-inf") and got[3]["value"] == 2.5
 
 
 def test_manifest_last_write(spark):
@@ -210,8 +238,31 @@ def test_stream_equals_fold(spark, tmp_path):
         ops_frame(spark, rows[40 * k : 40 * k + 40]).coalesce(1).write.mode("append").parquet(str(folder / f"part={k}"))
     stream = spark.readStream.schema(ops_frame(spark, rows[:1]).schema).parquet(*[str(folder / "part=*")])
     out = str(tmp_path / "out")
-    streams.run(streams.stateful_record(stream), out).awaitTermination()
-    assert states(streams.latest(spark.read.parquet(out))) == states(record.fold(ops_frame(spark, rows)))
+    streams.run(stream, out, streams.record_sink(out)).awaitTermination()
+    assert states(streams.states(spark, out)) == states(record.fold(ops_frame(spark, rows)))
+
+
+def test_stream_of_many_batches(spark, tmp_path, monkeypatch):
+    """More batches than one snapshot spans, one of them run twice; hooks see every batch's rows."""
+    monkeypatch.setattr(streams, "COMPACT", 2)
+    rows, out, seen = random_ops(4), str(tmp_path / "out"), []
+    started = []
+    each = streams.with_hooks(streams.record_sink(out), started.append, lambda n, figures: seen.append((n, figures["rows"], figures["last"])), last=F.max("arrival"))
+    for k in range(6):
+        batch = ops_frame(spark, rows[20 * k : 20 * k + 20])
+        each(batch, k)
+        if k == 3:
+            each(batch, k)
+        assert states(streams.states(spark, out)) == states(record.fold(ops_frame(spark, rows[: 20 * k + 20])))
+    assert started == [0, 1, 2, 3, 3, 4, 5] and seen == [(k, 20, 20 * k + 19) for k in (0, 1, 2, 3, 3, 4, 5)]
+
+
+def test_fold_in_slices(spark):
+    """Histories longer than a slice, with and without a record to go on from."""
+    rows = random_ops(6, 200)
+    want = states(record.fold(ops_frame(spark, rows)))
+    assert states(record.fold(ops_frame(spark, rows), size=7)) == want
+    assert states(record.fold(ops_frame(spark, rows[90:]), record.fold(ops_frame(spark, rows[:90]), size=11), size=13)) == want
 
 
 def test_fold_resumes(spark):
@@ -220,18 +271,6 @@ def test_fold_resumes(spark):
     assert states(record.fold(ops_frame(spark, rows[70:]), first)) == states(record.fold(ops_frame(spark, rows)))
 
 
-def test_python_step_equals_fold(spark):
-    for seed in range(3):
-        rows = random_ops(seed + 20)
-        want = {(r["pipeline_id"], r["key"]): r for r in record.fold(ops_frame(spark, rows)).collect()}
-        frame = ops_frame(spark, rows).toPandas().sort_values("arrival")
-        for key, part in frame.groupby(["pipeline_id", "key"]):
-            r = dict(streams.BLANK)
-            for o in part.to_dict("records"):
-                r = streams.step(r, {k: streams.plain(v) for k, v in o.items()})
-            assert {k: str(v) for k, v in r.items()} == {k: str(want[key][k]) for k in r}
-
-
 def test_replay_changes_nothing(spark):
     """Delivering every observation twice in a row gives the same state."""
     rows = [r for r in random_ops(9) if r[3] == "observe"]
@@ -250,7 +289,7 @@ def test_spec_problems(spark):
     bad = '{"source":{"azure":{"container":"","auth":"x"},"s3":null},"destination":{"s3":{"bucket":"b","region":"r","flavor":"q","access_key_id":"k"}},"events":{"type":"webhook","webhook_secret":"short"},"part_size":"1MiB","existing_files":"no","concurrency":-1,"reconcile_seconds":5}'
     got = {r["name"]: r["problems"] for r in specs.validate(spark.createDataFrame([("good", good), ("Bad", bad), ("text", "{")], "name string, spec string")).collect()}
     assert got["good"] == []
-    assert [p.split(":")[0] for p in got["Bad"]] == ["name", "source.azure.container", "source.azure.auth", "destination.s3.flavor", "destination.s3", "existing_files", "events.webhook_secret", "concurrency", "part_size", "reconcile_interval"]
+    assert [p.split(":")[0] for p in got["Bad"]] == ["name", "source.azure.container", "source.azure.auth", "destination.s3.flavor", "destination.s3.access_key_id", "existing_files", "events.webhook_secret", "concurrency", "part_size", "reconcile_interval"]
     old = spark.createDataFrame([("aa", good, True, 3)], "name string, spec string, enabled boolean, revision long")
     same = spark.createDataFrame([("aa", good.replace(":", ": ")), ("bb", good)], "name string, spec string")
     assert sorted((r["name"], r["revision"]) for r in specs.apply_all_or_nothing(old, same).collect()) == [("aa", 3), ("bb", 1)]
@@ -264,3 +303,58 @@ def test_strict_manifest_names_the_line(spark, tmp_path):
         readers.manifest_scan(spark, [str(path)]).collect()
     path.write_text(path.read_text().split("\n")[0])
     assert [r["key"] for r in readers.manifest_scan(spark, [str(path)]).collect()] == ["a"]
+
+
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    """Line numbers do not depend on how files are split."""
+    rng = random.Random(3)
+    texts = [["x" * rng.randint(0, 90) for _ in range(n)] for n in (0, 1, 700, 1500)]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{line}\n" for line in text))
+    with_size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000b")
+    try:
+        got = readers.lines(spark, [str(tmp_path / f"{k}.txt") for k in range(4)])
+        assert got.rdd.getNumPartitions() >= 1
+        assert sorted((r["file_index"], r["line_no"], r["value"]) for r in got.collect()) == [(k, n, v) for k, text in enumerate(texts) for n, v in enumerate(text)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_size)
+
+
+def test_ranks_and_places(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(3), None if rng.random() < 0.1 else float(rng.randrange(40))) for _ in range(500)] + [(5, None), (6, 2.0)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    for by in ([], ["g"]):
+        got = {r["g"] if by else 0: (r["p50"], r["p99"], r["max"]) for r in ordering.nearest_ranks(df, "v", {"p50": 0.5, "p99": 0.99}, *by).collect()}
+        groups = {}
+        for g, v in rows:
+            if v is not None:
+                groups.setdefault(g if by else 0, []).append(v)
+        rank = lambda x, q: sorted(x)[max(0, -int(-len(x) * q // 1) - 1)]
+        assert got == {g: (rank(x, 0.5), rank(x, 0.99), max(x)) for g, x in groups.items()}
+    placed = ordering.places(df.where("v IS NOT NULL"), "v").orderBy("place").collect()
+    assert [r["place"] for r in placed] == list(range(1, len(placed) + 1)) and [r["v"] for r in placed] == sorted(r["v"] for r in placed)
+
+
+def test_route_by_globs(spark):
+    schema = "message_id int, malformed string, event_type string, url string"
+    got = spark.createDataFrame([(k, "", events.CREATED, f"https://a.b.c/box/{p}") for k, p in enumerate(["in/a.csv", "in/tmp/b.csv", "top.txt", "in/c.txt"])], schema)
+    targets = spark.createDataFrame([("all", "box", "", [], []), ("in", "box", "in/", ["**/*.csv"], ["tmp/**"]), ("partial", "box", "i", [], []), ("other", "bin", "", [], [])], "pipeline_id string, container string, prefix string, include array<string>, exclude array<string>")
+    found = sorted((r["pipeline_id"], r["key"]) for r in events.route(got, events.with_globs(targets)).collect())
+    assert found == [("all", "in/a.csv"), ("all", "in/c.txt"), ("all", "in/tmp/b.csv"), ("all", "top.txt"), ("in", "a.csv"), ("partial", "n/a.csv"), ("partial", "n/c.txt"), ("partial", "n/tmp/b.csv")]
+
+
+def test_formats_of_changes(spark):
+    raw = spark.createDataFrame([("p", "upsert", "k", 7)], "a string, b string, c string, d int")
+    row = readers.changes(raw, lambda r: r.select(F.col("a").alias("pipeline_id"), F.col("b").alias("kind"), F.col("c").alias("key"), F.col("d").alias("size"), "d")).first()
+    assert row.asDict() == {"pipeline_id": "p", "kind": "upsert", "key": "k", "version": "", "size": 7, "sequencer": "", "event_time": None, "detected_at": None, "origin": "event"}
+    with pytest.raises(ValueError, match="key"):
+        readers.changes(raw, lambda r: r.select(F.col("a").alias("pipeline_id"), F.col("b").alias("kind")))
+
+
+def test_verification_errors(spark):
+    manifest = spark.createDataFrame([("a", 5, "aa"), ("b", 5, "bb"), ("c", 5, "cc"), ("d", 5, "dd")], "key string, size long, sha256 string").withColumn("written_at", F.expr("TIMESTAMP_NTZ '2026-01-01'"))
+    dest = spark.createDataFrame([("a", 5, "AA", ""), ("b", 5, "xx", ""), ("c", 0, "", "timeout")], "key string, size long, sha256 string, error string").withColumn("mod_time", F.expr("TIMESTAMP_NTZ '2026-01-01'"))
+    row = verify.summary(verify.verify(manifest, dest)).first()
+    assert (row["ok"], row["missing"], row["sha256_mismatch"], row["errors"], row["bytes"], row["bytes_hashed"], row["passed"]) == (1, 1, 1, 1, 5, 10, False)

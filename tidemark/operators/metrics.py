@@ -63,49 +63,88 @@ def clamp(histogram: DataFrame, *by: str) -> DataFrame:
     return histogram.withColumn("count", F.max("count").over(w))
 
 
-def quantile(histogram: DataFrame, q: float, *by: str) -> DataFrame:
-    """by, q, value: linear interpolation within the bucket in which the rank falls. A group's buckets are few."""
-    w = Window.partitionBy(*by).orderBy("le")
-    rows = clamp(histogram, *by).withColumn("start", F.lag("le").over(w)).withColumn("before", F.coalesce(F.lag("count").over(w), F.lit(0.0)))
-    total = F.max("count").over(Window.partitionBy(*by))
-    rows = rows.withColumn("total", total).withColumn("hit", F.col("count") >= q * F.col("total"))
+def quantiles(histogram: DataFrame, qs, *by: str) -> DataFrame:
+    """by, q, value for each q: linear interpolation within the bucket in which the rank falls. The histogram is read once."""
+    w, group = Window.partitionBy(*by).orderBy("le"), Window.partitionBy(*by)
+    rows = clamp(histogram, *by).withColumns({"start": F.lag("le").over(w), "before": F.coalesce(F.lag("count").over(w), F.lit(0.0)), "total": F.max("count").over(group)})
+    rows = rows.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("hit", F.col("count") >= F.col("q") * F.col("total"))
     last_finite = F.max(F.when(F.col("le") < INF, F.col("le")))
     first = F.min_by(F.struct("le", "count", "start", "before"), F.when(F.col("hit") & (F.col("le") < INF), F.col("le")))
-    got = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("le").alias("top"), F.max("total").alias("total"), last_finite.alias("last"), first.alias("b"))
+    got = rows.groupBy(*by, "q").agg(F.count("*").alias("n"), F.max("le").alias("top"), F.max("total").alias("total"), last_finite.alias("last"), first.alias("b"))
     b = F.col("b")
-    rank = q * F.col("total") - b["before"]
+    rank = F.col("q") * F.col("total") - b["before"]
     inside = F.coalesce(b["start"], F.lit(0.0)) + (b["le"] - F.coalesce(b["start"], F.lit(0.0))) * F.try_divide(rank, b["count"] - b["before"])
     value = (
-        F.when(F.lit(q < 0), -INF)
-        .when(F.lit(q > 1), INF)
+        F.when(F.col("q") < 0, -INF)
+        .when(F.col("q") > 1, INF)
         .when((F.col("n") < 2) | (F.col("top") != INF) | (F.col("total") == 0), float("nan"))
         .when(b["le"].isNull(), F.col("last"))
         .when(b["start"].isNull() & (b["le"] <= 0), b["le"])
         .otherwise(F.coalesce(inside, F.lit(float("nan"))))
     )
-    return got.select(*by, F.lit(q).alias("q"), value.alias("value"))
+    return got.select(*by, "q", value.alias("value"))
+
+
+def quantile(histogram: DataFrame, q: float, *by: str) -> DataFrame:
+    return quantiles(histogram, [q], *by)
 
 
 def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < INF), c)
 
 
-def summary(samples: DataFrame, name: str, *by: str) -> DataFrame:
-    """by, count, mean, p50, p95, p99 of a histogram; what is not finite is null."""
-    both = samples.where(F.col("name").isin(f"{name}_count", f"{name}_sum"))
-    out = both.groupBy(*[label(b).alias(b) for b in by]).agg(F.coalesce(F.sum(F.when(F.col("name") == f"{name}_count", F.col("value"))), F.lit(0.0)).alias("count"), F.sum(F.when(F.col("name") == f"{name}_sum", F.col("value"))).alias("__s"))
-    out = out.withColumn("mean", F.when(F.col("count") > 0, F.col("__s") / F.col("count"))).drop("__s")
-    h = buckets(samples, name, *by)
-    for q in (0.5, 0.95, 0.99):
-        one = quantile(h, q, *by).select(*by, finite(F.col("value")).alias(f"p{round(q * 100)}"))
-        out = out.join(one, list(by), "left") if by else out.join(one, F.lit(True), "left")
-    return out
+SUMMARY = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
-def report(samples: DataFrame, names: dict[str, str], by: str = "pipeline") -> DataFrame:
-    """One row per pipeline of the sums of the named series, in one pass: names maps columns to series."""
-    total = lambda series: F.coalesce(F.sum(F.when(F.col("name") == series, F.col("value"))), F.lit(0.0))
-    return samples.where(F.col("name").isin(*names.values())).groupBy(label(by).alias(by)).agg(*[total(s).alias(c) for c, s in names.items()])
+def summary(samples: DataFrame, name: str, *by: str) -> DataFrame:
+    """by, count, mean, p50, p95, p99 of a histogram; what is not finite is null. Sums and quantiles meet in one aggregate."""
+    both = samples.where(F.col("name").isin(f"{name}_count", f"{name}_sum"))
+    of = lambda part: F.sum(F.when(F.col("name") == f"{name}_{part}", F.col("value")))
+    none = F.lit(None).cast("double")
+    totals = both.groupBy(*[label(b).alias(b) for b in by]).agg(F.coalesce(of("count"), F.lit(0.0)).alias("count"), of("sum").alias("sum"))
+    shares = quantiles(buckets(samples, name, *by), SUMMARY.values(), *by)
+    rows = totals.select(*by, "count", "sum", none.alias("q"), none.alias("value")).unionByName(shares.select(*by, none.alias("count"), none.alias("sum"), "q", "value"))
+    out = rows.groupBy(*by).agg(F.max("count").alias("count"), F.max("sum").alias("sum"), *[F.max(F.when(F.col("q") == q, finite(F.col("value")))).alias(p) for p, q in SUMMARY.items()])
+    mean = F.when(F.col("count") > 0, F.col("sum") / F.col("count"))
+    return out.where(F.col("count").isNotNull()).select(*by, "count", mean.alias("mean"), *SUMMARY)
+
+
+#: What a report calls each series, and the label that splits it.
+SUMS = {
+    "files": ("sync_files_total", "outcome"),
+    "events": ("sync_events_total", "source"),
+    "retries": ("sync_retries_total", "reason"),
+    "bytes_copied": ("sync_bytes_copied_total", None),
+    "bytes_uploaded": ("sync_bytes_uploaded_total", None),
+    "queue_depth": ("sync_queue_depth", None),
+    "oldest_pending_seconds": ("sync_oldest_pending_seconds", None),
+}
+HISTOGRAMS = {"lag_seconds": "sync_lag_seconds", "copy_seconds": "sync_copy_duration_seconds"}
+STARTED = "process_start_time_seconds"
+
+
+def report(samples: DataFrame, at: Column, sums=SUMS, histograms=HISTOGRAMS, started: str = STARTED) -> DataFrame:
+    """pipeline, figure, part, value: everything that a scrape says of each pipeline.
+
+    Sums by the label that splits them, one pass for all; count, mean and quantiles of the histograms; and from the
+    process's start the uptime at a time and the average of bytes copied per second, for every pipeline with bytes.
+    """
+    name, figure, part = F.col("name"), F.lit(None).cast("string"), F.lit("")
+    for said, (series_name, by) in sums.items():
+        figure = F.when(name == series_name, said).otherwise(figure)
+        part = F.when(name == series_name, label(by)).otherwise(part) if by else part
+    rows = samples.where(name.isin(*[s for s, _ in sums.values()])).groupBy(label("pipeline").alias("pipeline"), figure.alias("figure"), part.alias("part")).agg(F.sum("value").alias("value"))
+    for said, series_name in histograms.items():
+        got = summary(samples, series_name, "pipeline")
+        unpivoted = got.unpivot(["pipeline"], ["count", "mean", *SUMMARY], "part", "value").where("value IS NOT NULL")
+        rows = rows.unionByName(unpivoted.select("pipeline", F.lit(said).alias("figure"), "part", "value"))
+    uptime = F.unix_micros(at.cast("timestamp")) / 1e6 - F.col("start")
+    alive = samples.where(name == started).agg(F.sum("value").alias("start")).where("start > 0").select(uptime.alias("uptime"), F.lit(1).alias("one"))  # one row at most
+    copied = sums["bytes_copied"][0]
+    per_second = series(samples, copied).groupBy(label("pipeline").alias("pipeline")).agg(F.sum("value").alias("bytes"), F.lit(1).alias("one")).join(alive.where("uptime > 0"), "one")
+    return rows.unionByName(alive.select(F.lit("").alias("pipeline"), F.lit("uptime_seconds").alias("figure"), F.lit("").alias("part"), F.col("uptime").alias("value"))).unionByName(
+        per_second.select("pipeline", F.lit("bytes_per_second").alias("figure"), F.lit("").alias("part"), (F.col("bytes") / F.col("uptime")).alias("value"))
+    )
 
 
 def two_scrape_rate(samples: DataFrame, name: str, first, second) -> DataFrame:
@@ -133,6 +172,16 @@ def outcome_counters(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("pipeline_id", "outcome").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.when(F.col("outcome") == "synced", F.col("bytes"))), F.lit(0)).alias("bytes_copied"))
 
 
+def retry_counters(retries: DataFrame) -> DataFrame:
+    """retries(pipeline_id, op, reason): how often each operation was tried again, and why."""
+    return retries.groupBy("pipeline_id", "op", "reason").agg(F.count("*").alias("retries"))
+
+
+def event_counters(changes: DataFrame) -> DataFrame:
+    """changes(pipeline_id, origin, kind): events by where they come from and what they say."""
+    return changes.groupBy("pipeline_id", F.col("origin").alias("source"), "kind").agg(F.count("*").alias("events"))
+
+
 def reconcile_counters(runs: DataFrame) -> DataFrame:
     """runs(pipeline_id, result, listed, emitted, deletes, seconds) by result."""
     return runs.groupBy("pipeline_id", "result").agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in ("listed", "emitted", "deletes")], (F.sum("seconds") / F.count("*")).alias("avg_seconds"))
@@ -144,7 +193,13 @@ def rate_windows(attempts: DataFrame, seconds: int) -> DataFrame:
     return attempts.groupBy("pipeline_id", "outcome", w).agg((F.count("*") / seconds).alias("files_per_second"), (F.sum("bytes") / seconds).alias("bytes_per_second")).select("pipeline_id", "outcome", F.col("window.start").cast("timestamp_ntz").alias("start"), "files_per_second", "bytes_per_second")
 
 
-def phase_attribution(files: DataFrame, phases: DataFrame) -> DataFrame:
-    """files(.., synced_at) with the phase(name, start, stop) in which they were synced; phases are few."""
+def phase_attribution(files: DataFrame, phases: DataFrame, seconds: int = 3600) -> DataFrame:
+    """files(.., synced_at) with the phase(name, start, stop) in which they were synced.
+
+    Phases are cut at multiples of seconds, so that the join has a key and holds any number of phases; Spark broadcasts
+    them where they are small.
+    """
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / seconds)
+    cuts = phases.where("start < stop").select(F.col("name").alias("phase"), "start", "stop", F.explode(F.sequence(slot("start"), slot("stop"))).alias("__slot"))
     inside = (F.col("synced_at") >= F.col("start")) & (F.col("synced_at") < F.col("stop"))
-    return files.join(F.broadcast(phases.select(F.col("name").alias("phase"), "start", "stop").limit(1000)), inside).drop("start", "stop")
+    return files.withColumn("__slot", slot("synced_at")).join(cuts, "__slot").where(inside).drop("start", "stop", "__slot")

@@ -1,8 +1,7 @@
 """The file record: what each operation on a key makes of it, folded over operations in order of arrival.
 
 Version order is not transitive where only some versions carry a sequencer, so mixed histories need the ordered fold;
-keys whose versions all carry one, or none, need only the newest version. A key's operations are gathered into one
-list, so a key's history must fit in a task; split long histories by folding into the previous snapshot (resume).
+keys whose versions all carry one, or none, need only the newest version.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.versions import compare_versions, is_newer, lease_held, moment
+from tidemark.shared import cut
 
 LEASE = "INTERVAL '2' MINUTE"
 NONE = "CAST(NULL AS TIMESTAMP_NTZ)"
@@ -96,11 +96,14 @@ def step(r: Column, o: Column) -> Column:
     return F.struct(*[value(n).cast(t).alias(n) for n, (t, _) in FIELDS.items()])
 
 
-def fold(ops: DataFrame, resume: DataFrame | None = None) -> DataFrame:
-    """The record of each (pipeline_id, key) after all its ops in order of arrival, from the rows of resume if given."""
+#: Operations of a key that are folded at once.
+SLICE = 20_000
+
+
+def fold_lists(listed: DataFrame, resume: DataFrame | None, from_old: bool = False) -> DataFrame:
+    """listed(pipeline_id, key, ops) folded, from a new row, from resume, or from the column old."""
     keys = ["pipeline_id", "key"]
-    listed = ops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*OPS))).alias("ops"))
-    start = new_row()
+    start = F.col("old") if from_old else new_row()
     if resume is not None:
         listed = listed.join(resume.select(*keys, F.struct(*FIELDS).alias("old")), keys, "full_outer").withColumn("ops", F.coalesce("ops", F.array().cast(listed.schema["ops"].dataType)))
         start = F.coalesce("old", start)
@@ -108,6 +111,27 @@ def fold(ops: DataFrame, resume: DataFrame | None = None) -> DataFrame:
     return folded.select(*keys, *[F.col("r")[n].alias(n) for n in FIELDS])
 
 
+def fold(ops: DataFrame, resume: DataFrame | None = None, size: int = SLICE) -> DataFrame:
+    """The record of each (pipeline_id, key) after all its ops in order of arrival, from the rows of resume if given.
+
+    A key's operations are listed size at a time. Where a key has more, they are numbered in sorted order, and slice by
+    slice goes on from the record that the one before has left; only keys that have a slice take part in its round.
+    """
+    keys = ["pipeline_id", "key"]
+    gathered = F.array_sort(F.collect_list(F.struct(*OPS))).alias("ops")
+    longest = ops.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= size:
+        return fold_lists(ops.groupBy(*keys).agg(gathered), resume)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*OPS))
+    sliced = cut(ops.select(*keys, *OPS).withColumn("__slice", F.floor((nth - 1) / size)).groupBy(*keys, "__slice").agg(gathered), "slices")
+    part = lambda k: sliced.where(F.col("__slice") == k).drop("__slice")
+    state = cut(fold_lists(part(0), resume), "state")
+    for k in range(1, -(-longest // size)):
+        now = fold_lists(part(k).join(state.select(*keys, F.struct(*FIELDS).alias("old")), keys), None, from_old=True)
+        state = cut(state.join(now.select(*keys), keys, "left_anti").unionByName(now), "state")
+    return state
+
+
 def newest(changes: DataFrame) -> DataFrame:
     """The newest version of each key, where all of its versions carry a sequencer or none does; ties to the later arrival."""
     w = Window.partitionBy("pipeline_id", "key")
@@ -137,6 +161,12 @@ def claim(candidates: DataFrame, record: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def free_lapsed(records: DataFrame, now: Column) -> DataFrame:
+    """The rows of records whose lease has lapsed, pending again for another to claim."""
+    lapsed = (F.col("status") == "copying") & F.col("claimed_until").isNotNull() & (F.col("claimed_until") <= now)
+    return records.where(lapsed).withColumns({"status": F.lit("pending"), "claimed_until": F.expr(NONE)})
+
+
 def first_seen(starts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The first start of each pipeline; one that is known stays."""
     new = starts.groupBy("pipeline_id").agg(F.min("started_at").alias("first"))

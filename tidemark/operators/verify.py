@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import globs
 from tidemark.functions.text import col, in_prefix, pct, seconds_between, strip_prefix
+from tidemark.operators.ordering import nearest_ranks
 
 
 def last_writes(manifest: DataFrame, *order: str) -> DataFrame:
@@ -28,17 +29,36 @@ def destination_scope(manifest: DataFrame, prefix: str, include=(), exclude=())
     return manifest.withColumn("scope", scope).withColumn("dest_key", F.when(F.col("scope") == "target", own))
 
 
-def outcome(size_only: bool, found, size, dest_size, sha, dest_sha) -> Column:
+def outcome(size_only: bool, found, size, dest_size, sha, dest_sha, error=None) -> Column:
     hashed = F.coalesce(col(dest_sha) != "", F.lit(False)) if size_only else F.lit(True)
     differs = ~F.lower(F.coalesce(col(dest_sha), F.lit(""))).eqNullSafe(F.lower(col(sha)))
-    return F.when(~col(found), "missing").when(col(size) != col(dest_size), "size_mismatch").when(hashed & differs, "sha256_mismatch").otherwise("ok")
+    failed = F.lit(False) if error is None else F.coalesce(col(error) != "", F.lit(False))
+    return (
+        F.when(failed, "error")
+        .when(~col(found), "missing")
+        .when(col(size) != col(dest_size), "size_mismatch")
+        .when(hashed & differs, "sha256_mismatch")
+        .otherwise("ok")
+    )
 
 
 def verify(manifest: DataFrame, dest: DataFrame, size_only: bool = False) -> DataFrame:
-    """manifest(key, size, sha256, written_at) against dest(key, size, sha256, mod_time): outcome and lag_seconds of ok rows."""
-    d = dest.select("key", F.col("size").alias("d_size"), F.col("sha256").alias("d_sha"), "mod_time", F.lit(True).alias("d_found"))
-    out = manifest.join(d, "key", "left").withColumn("outcome", outcome(size_only, F.coalesce("d_found", F.lit(False)), "size", "d_size", "sha256", "d_sha"))
-    return out.select("key", "size", "sha256", "written_at", "outcome", F.when(F.col("outcome") == "ok", seconds_between("mod_time", "written_at")).alias("lag_seconds"))
+    """manifest(key, size, sha256, written_at) against dest(key, size, sha256, mod_time): outcome, the bytes that a hash vouches
+    for, and lag_seconds of ok rows. dest may have an error column: what went wrong when an object was looked at."""
+    error = F.col("error") if "error" in dest.columns else F.lit("")
+    d = dest.select("key", F.col("size").alias("d_size"), F.col("sha256").alias("d_sha"), "mod_time", error.alias("d_error"), F.lit(True).alias("d_found"))
+    said = outcome(size_only, F.coalesce("d_found", F.lit(False)), "size", "d_size", "sha256", "d_sha", "d_error")
+    out = manifest.join(d, "key", "left").withColumn("outcome", said)
+    hashed = F.col("outcome").isin("ok", "sha256_mismatch") & (F.coalesce("d_sha", F.lit("")) != "")
+    return out.select(
+        "key",
+        "size",
+        "sha256",
+        "written_at",
+        "outcome",
+        F.when(hashed, F.col("size")).otherwise(0).alias("bytes_hashed"),
+        F.when(F.col("outcome") == "ok", seconds_between("mod_time", "written_at")).alias("lag_seconds"),
+    )
 
 
 def load_summary(manifest: DataFrame) -> DataFrame:
@@ -47,16 +67,25 @@ def load_summary(manifest: DataFrame) -> DataFrame:
     return out.withColumn("bytes_per_second", F.when(span > 0, F.col("bytes") / span).otherwise(0.0))
 
 
+OUTCOMES = ("ok", "missing", "size_mismatch", "sha256_mismatch")
+
+
 def summary(verified: DataFrame) -> DataFrame:
-    is_ = lambda o: F.count_if(F.col("outcome") == o)
-    out = verified.agg(F.count("*").alias("files"), is_("ok").alias("ok"), is_("missing").alias("missing"), is_("size_mismatch").alias("size_mismatch"), is_("sha256_mismatch").alias("sha256_mismatch"), F.coalesce(F.sum(F.when(F.col("outcome") == "ok", F.col("size"))), F.lit(0)).alias("bytes"))
+    """One row: counts by outcome, errors for every other one, bytes of ok files, bytes hashed, and whether all is well."""
+    said = F.col("outcome")
+    out = verified.agg(
+        F.count("*").alias("files"),
+        *[F.count_if(said == o).alias(o) for o in OUTCOMES],
+        F.count_if(~said.isin(*OUTCOMES)).alias("errors"),
+        F.coalesce(F.sum(F.when(said == "ok", F.col("size"))), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("bytes_hashed"), F.lit(0)).alias("bytes_hashed"),
+    )
     return out.withColumn("passed", (F.col("ok") == F.col("files")) & (F.col("files") > 0)).withColumn("ok_pct", pct("ok", "files"))
 
 
 def quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Nearest-rank p50, p95, p99 and the maximum; null without values. Sorted aggregates by group, no collecting."""
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}")
-    return df.groupBy(*by).agg(q(0.5), q(0.95), q(0.99), F.max(value).alias("max"))
+    """Nearest-rank p50, p95, p99 and the maximum; null without values."""
+    return nearest_ranks(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *by)
 
 
 def top_failures(verified: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import col, is_copy_retryable, window_at
+from tidemark.operators import record
 
 WINDOW_SECONDS = 300
 OPEN_STATES = ("available", "pending", "running", "retryable", "scheduled")
@@ -58,9 +59,9 @@ def copy_outcome(failure) -> Column:
     return F.struct(outcome.alias("outcome"), step.alias("next_step"))
 
 
-def emit(changes: DataFrame, record: DataFrame) -> DataFrame:
+def emit(changes: DataFrame, known: DataFrame) -> DataFrame:
     """Jobs of changes: kind, generation (the record's attempts) and dedupe window; deletes have neither version nor these."""
-    r = record.select("pipeline_id", "key", "attempts")
+    r = known.select("pipeline_id", "key", "attempts")
     upsert = F.col("kind") == "upsert"
     jobs = changes.join(r, ["pipeline_id", "key"], "left").select(
         "pipeline_id", "key", F.when(upsert, "copy").otherwise("delete").alias("job"), F.when(upsert, F.col("version")).otherwise("").alias("version"), "event_time", "arrival",
@@ -70,6 +71,19 @@ def emit(changes: DataFrame, record: DataFrame) -> DataFrame:
     return jobs
 
 
+def observe_and_emit(changes: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The record after changes(.., version, size, mtime, sequencer, event_time, arrival) have been observed, and their jobs.
+
+    Upserts with a version are observed in order of arrival before their jobs are made, so that status and lag show them
+    at once; a job's generation is the attempts of the record as observed.
+    """
+    none = F.lit(None)
+    given = {"op": F.lit("observe"), "at": F.col("event_time"), "retryable": none.cast("boolean"), "detail": F.lit("")}
+    ops = changes.where("kind = 'upsert' AND version <> ''").withColumns(given)
+    observed = record.fold(ops.select("pipeline_id", "key", *record.OPS), known)
+    return observed, emit(changes, observed)
+
+
 def dedupe(jobs: DataFrame, open_jobs: DataFrame | None = None, unique=UNIQUE) -> DataFrame:
     """One job per unique key, the first by arrival, unless an open one holds the key."""
     first = jobs.groupBy(*unique).agg(F.min_by(F.struct(*[c for c in jobs.columns if c not in unique]), F.col("arrival")).alias("x")).select(*unique, "x.*")

@@ -95,15 +95,17 @@ SQL = {
                written_at + (l_orderkey % 90) * INTERVAL '1' SECOND AS mod_time
         FROM (SELECT m.*, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, ord DESC, sha256 DESC, size DESC) AS rn FROM manifest m) q
         WHERE rn = 1 AND l_orderkey % 20 <> 0""",
+    "accounts": """
+        SELECT c_custkey AS account, c_nationkey AS area, concat(CASE WHEN c_custkey % 4 = 0 THEN 'ACME ' ELSE 'ACME' END, c_custkey) AS title FROM customer""",
     "specs": """
-        SELECT replace(lower(n_name), ' ', '_') AS name, CAST(n_nationkey % 4 + 1 AS BIGINT) AS revision, n_nationkey % 6 <> 0 AS enabled,
-               concat('{"source":{"prefix":"', lower(n_name), '","azure":{"container":"c', n_regionkey, '"}},"part_size":"',
-                      CASE WHEN n_nationkey % 5 = 0 THEN '1MiB' ELSE '64MiB' END, '"}') AS spec, n_nationkey
-        FROM nation""",
+        SELECT replace(lower(title), ' ', '_') AS name, CAST(account % 4 + 1 AS BIGINT) AS revision, account % 6 <> 0 AS enabled,
+               concat('{"source":{"prefix":"', lower(title), '","azure":{"container":"c', area, '"}},"part_size":"',
+                      CASE WHEN account % 5 = 0 THEN '1MiB' ELSE '64MiB' END, '"}') AS spec, account
+        FROM accounts""",
     "targets": """
-        SELECT concat('p-', n_nationkey) AS pipeline_id, concat('c', n_nationkey % 3) AS container,
-               CASE WHEN n_nationkey % 2 = 0 THEN 'data/' ELSE concat('data/u', n_nationkey, '/') END AS prefix
-        FROM nation""",
+        SELECT concat('p-', account) AS pipeline_id, concat('c', account % 3) AS container,
+               CASE WHEN account = 3 THEN '' WHEN account < 6 THEN 'data/' ELSE concat('data/u', account, '/') END AS prefix, account
+        FROM accounts""",
     "metrics_text": """
         SELECT event_id AS line_no, ts AS scraped_at,
                CASE WHEN event_id % 50 = 0 THEN '# HELP sync_files_total files' WHEN event_id % 51 = 0 THEN ''
@@ -112,7 +114,11 @@ SQL = {
                     WHEN event_id % 7 = 1 THEN concat('sync_lag_seconds_sum{pipeline="p', user_id % 3, '"} ', event_id % 100, '.5 1700000000')
                     WHEN event_id % 7 = 2 THEN concat('sync_lag_seconds_count{pipeline="p', user_id % 3, '"} ', event_id % 100)
                     WHEN event_id % 7 = 3 THEN concat('up ', CASE event_id % 3 WHEN 0 THEN '+Inf' ELSE '1e3' END)
-                    ELSE concat('sync_files_total{outcome="', event_type, chr(92), 'n', chr(92), '"x",pipeline="p', user_id % 3, '"} ', event_id) END AS line
+                    WHEN event_id % 7 = 4 THEN concat('sync_files_total{outcome="', event_type, chr(92), 'n', chr(92), '"x",pipeline="p', user_id % 3, '"} ', event_id)
+                    WHEN event_id % 7 = 5 THEN concat(CASE user_id % 4 WHEN 0 THEN 'sync_events_total{source="' WHEN 1 THEN 'sync_events_total{kind="k",source="' ELSE 'sync_retries_total{reason="' END,
+                         event_type, '",pipeline="p', user_id % 3, '"} ', event_id % 50)
+                    ELSE concat(CASE user_id % 6 WHEN 0 THEN 'sync_bytes_copied_total' WHEN 1 THEN 'sync_bytes_uploaded_total' WHEN 2 THEN 'sync_queue_depth' WHEN 3 THEN 'sync_oldest_pending_seconds'
+                         WHEN 4 THEN 'sync_copy_duration_seconds_sum' ELSE 'sync_copy_duration_seconds_count' END, '{pipeline="p', user_id % 3, '"} ', event_id % 1000) END AS line
         FROM events""",
     "attempts": """
         SELECT event_id, concat('users-', user_id % 3) AS pipeline_id,
@@ -130,7 +136,7 @@ SQL = {
 }
 NEEDS = {
     "listing": ["documents"], "record": ["documents"], "full_record": ["record"], "candidates": ["listing"], "changes": ["events"], "ops": ["changes"], "messages": ["events"],
-    "manifest": ["lineitem"], "destination": ["manifest"], "specs": ["nation"], "targets": ["nation"], "metrics_text": ["events"], "attempts": ["events"], "jobs": ["events"],
+    "manifest": ["lineitem"], "destination": ["manifest"], "accounts": ["customer"], "specs": ["accounts"], "targets": ["accounts"], "metrics_text": ["events"], "attempts": ["events"], "jobs": ["events"],
 }
 
 

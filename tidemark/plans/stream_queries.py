@@ -11,36 +11,49 @@ from tidemark.shared import fresh_path
 from tidemark.streaming import streams
 
 
-def as_stream(t, df, what: str):
+PARTS = 3
+
+
+def as_stream(t, df, what: str, part: str = "0"):
+    """df as a stream of PARTS micro-batches: rows whose part (an SQL expression modulo PARTS) is k are batch k."""
     path = fresh_path(t.spark, what)
-    df.write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+    for k in range(PARTS):
+        df.where(F.expr(f"pmod({part}, {PARTS}) = {k}")).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+ROUTED = "event_id % 41 <> 0 AND event_id % 53 <> 0 AND event_type <> 'view' AND user_id % 3 = 1 AND event_id % 8 <= 5"
+
+
+@query("messages", f"SELECT event_id AS message_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS kind, concat('u', user_id, '/a b+c.json') AS key FROM events WHERE {ROUTED}")
+def str1_event_ingest(t):
+    path = fresh_path(t.spark, "ingest")
+    stream = streams.ingest(as_stream(t, t.messages, "messages", "message_id"), "p", "c1", "data/")
+    streams.run(stream, path, streams.ingest_sink(path)).awaitTermination()
+    return t.spark.read.parquet(f"{path}/changes").where("key IS NOT NULL").select("message_id", "kind", "key")
 
 
 @query(
     "messages",
-    """SELECT e.event_id AS message_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS kind, concat('u', user_id, '/a b+c.json') AS key
-       FROM events e WHERE event_id % 41 <> 0 AND event_id % 53 <> 0 AND event_type <> 'view' AND user_id % 3 = 1""",
+    """SELECT message_id, CASE WHEN message_id % 41 = 0 THEN 'neither JSON nor base64' WHEN message_id % 53 = 0 THEN 'event time'
+                               WHEN message_id % 43 = 0 THEN 'no event type' ELSE 'delivered too often' END AS reason, message AS text
+       FROM messages WHERE message_id % 41 = 0 OR message_id % 43 = 0 OR message_id % 53 = 0 OR delivery_count > 5""",
 )
-def str1_event_ingest(t):
+def str4_dead_letters(t):
+    """What the ingest puts aside, over all micro-batches."""
     path = fresh_path(t.spark, "ingest")
-    stream = streams.ingest(as_stream(t, t.messages, "messages"), "p", "c1", "data/")
+    stream = streams.ingest(as_stream(t, t.messages, "messages", "message_id"), "p", "c1", "data/")
     streams.run(stream, path, streams.ingest_sink(path)).awaitTermination()
-    return t.spark.read.parquet(f"{path}/changes").where("key IS NOT NULL").select("message_id", "kind", "key")
+    return t.spark.read.parquet(f"{path}/dead").select("message_id", "reason", "text")
 
 
-@query("messages", "SELECT e.event_id AS message_id FROM events e WHERE event_id % 41 <> 0 AND event_id % 53 <> 0 AND event_type <> 'view' AND user_id % 3 = 1")
+@query("messages", f"SELECT event_id AS message_id FROM events WHERE {ROUTED}")
 def str2_at_least_once(t):
-    """The batch is delivered twice; its rows are there once."""
+    """Every batch is delivered twice; its rows are there once."""
     path = fresh_path(t.spark, "replayed")
     sink = streams.ingest_sink(path)
-    stream = streams.ingest(as_stream(t, t.messages, "messages"), "p", "c1", "data/")
-
-    def twice(batch, batch_id):
-        sink(batch, batch_id)
-        sink(batch, batch_id)
-
-    streams.run(stream, path, twice).awaitTermination()
+    stream = streams.ingest(as_stream(t, t.messages, "messages", "message_id"), "p", "c1", "data/")
+    streams.run(stream, path, streams.in_turn(sink, sink)).awaitTermination()
     return t.spark.read.parquet(f"{path}/changes").select("message_id")
 
 
@@ -51,57 +64,92 @@ def str5_stream_dedupe(t):
     return t.spark.read.parquet(path).select("pipeline_id", "key", "version", "window")
 
 
+#: Thirds of the operations by arrival, the later ones later.
+THIRDS = "CASE WHEN arrival < 30000 THEN 0 WHEN arrival < 90000 THEN 1 ELSE 2 END"
+
+
 @query("ops", duck_fold(EVERY))
 def str6_stateful_record(t):
     path = fresh_path(t.spark, "states")
-    streams.run(streams.stateful_record(as_stream(t, t.ops, "ops")), path).awaitTermination()
-    return streams.latest(t.spark.read.parquet(path))
+    streams.run(as_stream(t, t.ops, "ops", THIRDS), path, streams.record_sink(path)).awaitTermination()
+    return streams.states(t.spark, path)
 
 
-@query("ops", f"SELECT pipeline_id, key, status = 'copying' AND claimed_until <= TIMESTAMP '2024-02-01' AS lapsed FROM ({duck_fold(CLAIMS)})")
+@query("ops", f"SELECT pipeline_id, key, status, claimed_until FROM (SELECT pipeline_id, key, CASE WHEN status = 'copying' AND claimed_until <= TIMESTAMP '2024-02-01' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'copying' AND claimed_until > TIMESTAMP '2024-02-01' THEN claimed_until END AS claimed_until FROM ({duck_fold(CLAIMS)}))")
 def str7_lease_expiry(t):
-    """Leases that have lapsed by the clock; a stream's timer sets the same keys free."""
+    """Claims in two micro-batches; in a third the clock has gone on, and what has lapsed is free again."""
     path = fresh_path(t.spark, "leases")
-    streams.run(streams.stateful_record(as_stream(t, t.ops.where("op IN ('observe', 'claim')"), "ops")), path).awaitTermination()
-    states = streams.latest(t.spark.read.parquet(path))
-    return states.select("pipeline_id", "key", F.coalesce((F.col("status") == "copying") & (F.col("claimed_until") <= now()), F.lit(False)).alias("lapsed"))
+    claims = t.ops.where("op IN ('observe', 'claim')")
+    last = claims.limit(1).withColumns({"pipeline_id": F.lit("none"), "arrival": F.lit(1 << 60)})
+    stream = as_stream(t, claims.unionByName(last), "ops", "CASE WHEN arrival < 30000 THEN 0 WHEN pipeline_id <> 'none' THEN 1 ELSE 2 END")
+    clocks = iter([F.expr("TIMESTAMP_NTZ '1970-01-01'"), now(), now()])
+    streams.run(stream, path, streams.record_sink(path, lambda: next(clocks))).awaitTermination()
+    return streams.states(t.spark, path).where("pipeline_id <> 'none'").select("pipeline_id", "key", "status", "claimed_until")
+
+
+def reconciled(tick: int) -> str:
+    seen = f"SELECT * FROM listing WHERE arrival % 3 <= {tick}"
+    text = DIFF.replace("SELECT * FROM listing WHERE", f"SELECT * FROM ({seen}) WHERE")
+    gone = f"SELECT d.* FROM ({text}) d WHERE action = 'delete_candidate' AND (pipeline_id, key) NOT IN (SELECT (pipeline_id, key) FROM listing)"
+    live = f"SELECT pipeline_id, count(*) FILTER (known AND status <> 'deleted') AS live FROM ({text}) GROUP BY 1"
+    counted = f"SELECT pipeline_id, count(*) AS gone FROM ({gone}) GROUP BY 1"
+    return f"""SELECT {tick} AS batch, pipeline_id, key, 'upsert' AS kind FROM ({text}) WHERE action = 'upsert' UNION ALL SELECT {tick}, g.pipeline_id, g.key, 'delete' FROM ({gone}) g
+        JOIN ({counted}) c USING (pipeline_id) JOIN ({live}) l USING (pipeline_id) WHERE NOT (c.gone > 100 AND c.gone * 4 > l.live)"""
 
 
-@query("listing record", f"SELECT pipeline_id, key, 'upsert' AS kind FROM ({DIFF}) WHERE action = 'upsert' UNION ALL SELECT pipeline_id, key, 'delete' FROM ({DIFF}) WHERE action = 'delete_candidate'")
+@query("listing record", " UNION ALL ".join(map(reconciled, range(PARTS))))
 def str9_periodic_reconcile(t):
+    """Three ticks; the first two listings miss objects that the second look finds."""
     path = fresh_path(t.spark, "reconciled")
-    t.listing, t.record  # noqa: B018
-    streams.periodic_reconcile(t.spark, path, lambda: t.listing, lambda: t.record, now(), trigger={"availableNow": True}, exclude=["**/tmp/**"]).awaitTermination()
-    return t.spark.read.parquet(f"{path}/batch=0").select("pipeline_id", "key", "kind")
+    ticks = as_stream(t, t.spark.range(PARTS), "ticks", "id")
+    partial = lambda tick: t.listing.where(f"arrival % 3 <= {tick}")
+    streams.periodic_reconcile(ticks, path, partial, lambda tick: t.record, lambda tick: t.listing, now(), trigger={"availableNow": True}, exclude=["**/tmp/**"]).awaitTermination()
+    return t.spark.read.parquet(path).select("batch", "pipeline_id", "key", "kind")
 
 
-@query("ops", f"SELECT p.pipeline_id, coalesce(greatest(max((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(event_time)) / 1e6) FILTER (status IN ('pending', 'copying')), 0), 0) AS oldest_pending_seconds FROM (SELECT DISTINCT pipeline_id FROM ops) p LEFT JOIN ({duck_fold(EVERY)}) USING (pipeline_id) GROUP BY 1")
+def gauges(part: int) -> str:
+    seen = duck_fold(EVERY).replace("FROM ops", f"FROM (SELECT * FROM ops WHERE {THIRDS} <= {part})")
+    return f"SELECT {part} AS batch, p.pipeline_id, coalesce(greatest(max((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(event_time)) / 1e6) FILTER (status IN ('pending', 'copying')), 0), 0) AS oldest_pending_seconds FROM (SELECT DISTINCT pipeline_id FROM ops) p LEFT JOIN ({seen}) USING (pipeline_id) GROUP BY 2"
+
+
+@query("ops", " UNION ALL ".join(map(gauges, range(PARTS))))
 def str11_backlog_gauges(t):
-    path, gauges = fresh_path(t.spark, "states"), fresh_path(t.spark, "gauges")
+    path, out = fresh_path(t.spark, "states"), fresh_path(t.spark, "gauges")
     names = t.ops.select("pipeline_id").distinct()
-    streams.run(streams.stateful_record(as_stream(t, t.ops, "ops")), path, streams.backlog_gauges(gauges, names, now())).awaitTermination()
-    return t.spark.read.parquet(f"{gauges}/batch=0")
+    each = streams.in_turn(streams.record_sink(path), streams.backlog_gauges(out, path, names, now()))
+    streams.run(as_stream(t, t.ops, "ops", THIRDS), path, each).awaitTermination()
+    return t.spark.read.parquet(out)
 
 
 @query("attempts", f"SELECT * FROM (SELECT pipeline_id, le, count(*) FILTER (lag_seconds <= le AND lag_seconds > below) AS n FROM (SELECT * FROM attempts WHERE outcome = 'synced' AND lag_seconds > 0), (SELECT le, lag(le, 1, 0) OVER (ORDER BY le) AS below FROM (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le)) GROUP BY 1, 2) WHERE n > 0")
 def str12_lag_histogram_stream(t):
+    """The whole histogram after each of three micro-batches; the last one holds all rows."""
     path = fresh_path(t.spark, "histogram")
 
     def each(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    streams.run(streams.lag_histogram(as_stream(t, t.attempts, "attempts")), path, each, mode="complete").awaitTermination()
-    return t.spark.read.parquet(f"{path}/batch=0")
+    streams.run(streams.lag_histogram(as_stream(t, t.attempts, "attempts", "event_id")), path, each, mode="complete").awaitTermination()
+    done = t.spark.read.parquet(path)
+    return done.where(F.col("batch") == done.agg(F.max("batch")).first()[0]).drop("batch")
 
 
-@query("specs", "SELECT replace(name, '_', '-') AS name, CASE WHEN enabled THEN 'start' ELSE 'none' END AS action FROM specs WHERE n_nationkey % 5 <> 0 AND n_nationkey % 2 = 0")
+@query(
+    "accounts",
+    """SELECT o_orderkey AS arrival, CASE WHEN a.account IS NULL OR a.account % 6 = 0 THEN NULL ELSE CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN account % 5 <> 0 THEN 1 END
+              WHEN 1 THEN CASE WHEN account % 5 = 0 THEN 2 ELSE CASE WHEN account % 7 = 0 THEN 1 ELSE 2 END END ELSE 3 END END AS revision
+       FROM orders LEFT JOIN accounts a ON a.account = o_custkey""",
+)
 def str13_spec_hot_reload(t):
+    """Changes in three micro-batches; some specs are bad in the first, others in the second, none in the third."""
     path = fresh_path(t.spark, "reloaded")
-    full = F.concat(
-        F.lit('{"source":{"s3":{"bucket":"a","region":"r"}},"destination":{"s3":{"bucket":"b","region":"r"}},"part_size":"'), F.when(F.col("n_nationkey") % 5 == 0, "1MiB").otherwise("64MiB"), F.lit('"}')
-    )
-    given = t.specs.where("n_nationkey % 2 = 0").withColumn("spec", full).withColumn("name", F.replace("name", F.lit("_"), F.lit("-")))
-    ticks = as_stream(t, t.nation.select("n_nationkey").limit(1), "ticks")
-    streams.run(ticks, path, streams.hot_reload(path, lambda: given)).awaitTermination()
-    return t.spark.read.parquet(f"{path}/actions/batch=0")
+    good = '{"source":{"s3":{"bucket":"a","region":"r"}},"destination":{"s3":{"bucket":"b","region":"r"}},"part_size":"64MiB"}'
+
+    def read(batch):
+        spoiled = F.expr(f"{batch} = 0 AND account % 5 = 0 OR {batch} = 1 AND account % 7 = 0 AND account % 5 <> 0")
+        spec = F.when(spoiled, good.replace("64MiB", "1MiB")).otherwise(good)
+        return t.accounts.select(F.concat(F.lit("p-"), F.col("account").cast("string")).alias("name"), F.lit(batch + 1).alias("revision"), (F.col("account") % 6 != 0).alias("enabled"), spec.alias("spec"))
 
+    changes = t.orders.select(F.concat(F.lit("p-"), F.col("o_custkey").cast("string")).alias("pipeline_id"), F.col("o_orderkey").alias("arrival"))
+    streams.run(as_stream(t, changes, "changes", "arrival"), path, streams.with_current_specs(path, read)).awaitTermination()
+    return t.spark.read.parquet(f"{path}/changes").select("arrival", "revision")

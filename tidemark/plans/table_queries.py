@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.versions import moment
-from tidemark.operators import events, metrics, reconcile, record, specs, status, verify, work
+from tidemark.operators import events, metrics, ordering, reconcile, record, specs, status, verify, work
 from tidemark.plans.catalog import now, query
 from tidemark.plans.scalar_queries import duck_newer, duck_versions
 
@@ -18,7 +18,7 @@ DIFF = """SELECT coalesce(l.pipeline_id, r.pipeline_id) AS pipeline_id, coalesce
     FROM (SELECT * FROM listing WHERE key NOT LIKE '%/tmp/%') l FULL OUTER JOIN (SELECT * FROM record WHERE key NOT LIKE '%/tmp/%') r ON l.pipeline_id = r.pipeline_id AND l.key = r.key"""
 LAST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, ord DESC, sha256 DESC, size DESC) AS rn FROM manifest) WHERE rn = 1"
 TIES = ("ord", "sha256", "size")
-VERIFIED = f"""SELECT m.key, m.size, CASE WHEN d.key IS NULL THEN 'missing' WHEN m.size <> d.size THEN 'size_mismatch' WHEN lower(d.sha256) <> m.sha256 THEN 'sha256_mismatch' ELSE 'ok' END AS outcome,
+VERIFIED = f"""SELECT m.key, m.size, coalesce(d.sha256, '') AS d_sha, CASE WHEN d.key IS NULL THEN 'missing' WHEN m.size <> d.size THEN 'size_mismatch' WHEN lower(d.sha256) <> m.sha256 THEN 'sha256_mismatch' ELSE 'ok' END AS outcome,
     CASE WHEN m.size = d.size AND lower(d.sha256) = m.sha256 THEN epoch(d.mod_time) - epoch(m.written_at) END AS lag_seconds FROM ({LAST}) m LEFT JOIN destination d USING (key)"""
 
 
@@ -69,10 +69,15 @@ def jn5_manifest_verify_size_only(t):
     "messages targets",
     """SELECT e.event_id AS message_id, t.pipeline_id, substr(concat('data/u', e.user_id, '/a b+c.json'), length(t.prefix) + 1) AS key
        FROM events e JOIN targets t ON t.container = concat('c', e.user_id % 3) AND starts_with(concat('data/u', e.user_id, '/a b+c.json'), t.prefix)
-       WHERE e.event_type <> 'view' AND e.event_id % 41 <> 0 AND e.event_id % 53 <> 0""",
+       WHERE e.event_type <> 'view' AND e.event_id % 41 <> 0 AND e.event_id % 53 <> 0 AND t.account % 5 <> 0
+         AND NOT (t.account % 7 = 0 AND substr(concat('data/u', e.user_id, '/a b+c.json'), length(t.prefix) + 1) NOT LIKE '%/%')
+         AND (t.account <> 4 OR regexp_full_match(concat('u', e.user_id), 'u1[0-9]*|u2[0-9]'))""",
 )
 def jn6_event_routing(t):
-    return events.route(events.parse_messages(t.messages), t.targets).where("nth = 0").select("message_id", "pipeline_id", "key")
+    exclude = F.when(F.col("account") % 5 == 0, F.array(F.lit("**/a b+*"), F.lit("u7*/**"))).when(F.col("account") % 7 == 0, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
+    include = F.when(F.col("account") == 4, F.array(F.lit("u1*/*"), F.lit("u2?/**"))).otherwise(F.array().cast("array<string>"))
+    targets = events.with_globs(t.targets.withColumns({"include": include, "exclude": exclude}))
+    return events.route(events.parse_messages(t.messages), targets).select("message_id", "pipeline_id", "key")
 
 
 CLAIM = f"""SELECT arrival, CASE WHEN d = 'copy' AND row_number() OVER (PARTITION BY pipeline_id, key, d ORDER BY arrival) > 1 THEN 'busy' ELSE d END AS decision,
@@ -88,7 +93,7 @@ def jn7_claim_join(t):
     return record.claim(t.candidates, t.full_record, now()).select("arrival", "decision", "attempts")
 
 
-RUNNING = "SELECT concat(CASE WHEN n_nationkey % 7 = 0 THEN 'x' ELSE '' END, name) AS name, CASE WHEN n_nationkey % 5 = 0 THEN revision + 1 ELSE revision END AS revision FROM specs WHERE n_nationkey % 4 <> 1"
+RUNNING = "SELECT concat(CASE WHEN account % 7 = 0 THEN 'x' ELSE '' END, name) AS name, CASE WHEN account % 5 = 0 THEN revision + 1 ELSE revision END AS revision FROM specs WHERE account % 4 <> 1"
 
 
 @query(
@@ -135,11 +140,12 @@ def jn11_resume_part_match(t):
     return work.resume(plan, up)
 
 
-PHASES = "SELECT * FROM (VALUES ('steady', {0} '2024-01-01', {0} '2024-01-01 05:00:00'), ('burst', {0} '2024-01-01 05:00:00', {0} '2024-01-01 08:00:00')) AS p(name, start, stop)"
+PHASES = "SELECT concat('phase-', event_id % 1500) AS name, {0} '2024-01-01' + (event_id % 1500) * INTERVAL '20' MINUTE AS start, {0} '2024-01-01' + (event_id % 1500 + 1) * INTERVAL '20' MINUTE - (event_id % 1500 % 4) * INTERVAL '5' MINUTE AS stop FROM events GROUP BY event_id % 1500"
 
 
 @query("record", f"SELECT r.key, p.name AS phase FROM record r JOIN ({PHASES.format('TIMESTAMP')}) p ON synced_at >= start AND synced_at < stop")
 def jn13_phase_attribution(t):
+    t.events  # noqa: B018
     return metrics.phase_attribution(t.record.select("key", "synced_at"), t.spark.sql(PHASES.format("TIMESTAMP_NTZ"))).select("key", "phase")
 
 
@@ -204,7 +210,7 @@ def ag8_load_summary(t):
     return verify.load_summary(t.manifest)
 
 
-@query("manifest destination", f"SELECT count(*) AS files, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (outcome = 'size_mismatch') AS size_mismatch, count(*) FILTER (outcome = 'sha256_mismatch') AS sha256_mismatch, CAST(sum(size) FILTER (outcome = 'ok') AS BIGINT) AS bytes, false AS passed, 100.0 * count(*) FILTER (outcome = 'ok') / count(*) AS ok_pct FROM ({VERIFIED})")
+@query("manifest destination", f"SELECT count(*) AS files, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (outcome = 'size_mismatch') AS size_mismatch, count(*) FILTER (outcome = 'sha256_mismatch') AS sha256_mismatch, CAST(sum(size) FILTER (outcome = 'ok') AS BIGINT) AS bytes, count(*) FILTER (outcome = 'error') AS errors, CAST(sum(CASE WHEN outcome IN ('ok', 'sha256_mismatch') AND d_sha <> '' THEN size ELSE 0 END) AS BIGINT) AS bytes_hashed, false AS passed, 100.0 * count(*) FILTER (outcome = 'ok') / count(*) AS ok_pct FROM ({VERIFIED})")
 def ag9_verify_summary(t):
     return verify.summary(verified(t))
 
@@ -220,7 +226,7 @@ def samples(t):
     return metric_samples(t.metrics_text.select("line_no", "scraped_at", "line"))
 
 
-LINES = "SELECT line_no, regexp_extract(line, '^([^{ ]+)', 1) AS name, regexp_extract(line, 'outcome=\"(\\w+)', 1) AS outcome, regexp_extract(line, 'pipeline=\"([^\"]*)\"', 1) AS pipeline, regexp_extract(line, 'le=\"([^\"]*)\"', 1) AS le, TRY_CAST(regexp_extract(replace(line, ' 1700000000', ''), '([^ ]+)$', 1) AS DOUBLE) AS value FROM metrics_text WHERE line <> '' AND line NOT LIKE '#%'"
+LINES = "SELECT line_no, regexp_extract(line, '^([^{ ]+)', 1) AS name, regexp_extract(line, 'outcome=\"(\\w+)', 1) AS outcome, regexp_extract(line, 'pipeline=\"([^\"]*)\"', 1) AS pipeline, regexp_extract(line, 'le=\"([^\"]*)\"', 1) AS le, regexp_extract(line, 'source=\"([^\"]*)\"', 1) AS source, regexp_extract(line, 'reason=\"([^\"]*)\"', 1) AS reason, TRY_CAST(regexp_extract(replace(line, ' 1700000000', ''), '([^ ]+)$', 1) AS DOUBLE) AS value FROM metrics_text WHERE line <> '' AND line NOT LIKE '#%'"
 
 
 @query("metrics_text", f"SELECT sum(value) AS total FROM ({LINES}) WHERE name = 'sync_files_total' AND pipeline = 'p1'")
@@ -242,6 +248,25 @@ def ag13_histogram_build(t):
     return metrics.observe(t.attempts.where("outcome = 'synced' AND lag_seconds > 0"), "lag_seconds", metrics.LAG_BOUNDS, "pipeline_id")
 
 
+def ag13(bounds) -> str:
+    return f"SELECT pipeline_id, le, CAST(count(*) FILTER (lag_seconds <= le) AS DOUBLE) AS count FROM (SELECT * FROM attempts WHERE outcome = 'synced'), (VALUES {bounds_sql(bounds)}) b(le) GROUP BY 1, 2"
+
+
+@query("attempts", ag13(metrics.DURATION_BOUNDS))
+def ag13_duration_buckets(t):
+    return metrics.observe(t.attempts.where("outcome = 'synced'"), "lag_seconds", metrics.DURATION_BOUNDS, "pipeline_id")
+
+
+@query("attempts", ag13(metrics.RECONCILE_BOUNDS))
+def ag13_reconcile_buckets(t):
+    return metrics.observe(t.attempts.where("outcome = 'synced'"), "lag_seconds", metrics.RECONCILE_BOUNDS, "pipeline_id")
+
+
+@query("attempts", "SELECT pipeline_id, sum(lag_seconds) AS sum, count(*) AS count FROM attempts WHERE outcome = 'synced' AND lag_seconds > 0 GROUP BY 1")
+def ag13_histogram_sums(t):
+    return metrics.histogram_sums(t.attempts.where("outcome = 'synced' AND lag_seconds > 0"), "lag_seconds", "pipeline_id")
+
+
 HIST = f"SELECT pipeline, CASE le WHEN '+Inf' THEN CAST('Infinity' AS DOUBLE) ELSE TRY_CAST(le AS DOUBLE) END AS le, sum(value) AS count FROM ({LINES}) WHERE name = 'sync_lag_seconds_bucket' AND le <> 'x' GROUP BY 1, 2"
 
 
@@ -264,24 +289,47 @@ LAG_HIST = f"SELECT pipeline_id, le, CAST(count(*) FILTER (lag_seconds <= le) AS
 @query("attempts", " UNION ALL ".join(quantile_sql(LAG_HIST, "pipeline_id", q) for q in (0.5, 0.95, 0.99)))
 def ag15_histogram_quantile(t):
     h = metrics.observe(t.attempts, "lag_seconds", metrics.LAG_BOUNDS, "pipeline_id")
-    out = metrics.quantile(h, 0.5, "pipeline_id")
-    for q in (0.95, 0.99):
-        out = out.union(metrics.quantile(h, q, "pipeline_id"))
-    return out
+    return metrics.quantiles(h, (0.5, 0.95, 0.99), "pipeline_id")
 
 
 @query(
     "metrics_text",
-    f"""SELECT pipeline, count, mean, p50 FROM (SELECT pipeline, coalesce(sum(value) FILTER (name = 'sync_lag_seconds_count'), 0) AS count, CASE WHEN sum(value) FILTER (name = 'sync_lag_seconds_count') > 0 THEN sum(value) FILTER (name = 'sync_lag_seconds_sum') / sum(value) FILTER (name = 'sync_lag_seconds_count') END AS mean
-        FROM ({LINES}) WHERE name IN ('sync_lag_seconds_count', 'sync_lag_seconds_sum') GROUP BY 1) LEFT JOIN (SELECT pipeline, CASE WHEN isfinite(value) THEN value END AS p50 FROM ({quantile_sql(HIST, "pipeline", 0.5)})) USING (pipeline)""",
+    f"""SELECT pipeline, count, mean, p50, p95, p99 FROM (SELECT pipeline, coalesce(sum(value) FILTER (name = 'sync_lag_seconds_count'), 0) AS count, CASE WHEN sum(value) FILTER (name = 'sync_lag_seconds_count') > 0 THEN sum(value) FILTER (name = 'sync_lag_seconds_sum') / sum(value) FILTER (name = 'sync_lag_seconds_count') END AS mean
+        FROM ({LINES}) WHERE name IN ('sync_lag_seconds_count', 'sync_lag_seconds_sum') GROUP BY 1) LEFT JOIN (SELECT pipeline, CASE WHEN isfinite(value) THEN value END AS p50 FROM ({quantile_sql(HIST, "pipeline", 0.5)})) USING (pipeline)
+        LEFT JOIN (SELECT pipeline, CASE WHEN isfinite(value) THEN value END AS p95 FROM ({quantile_sql(HIST, "pipeline", 0.95)})) USING (pipeline)
+        LEFT JOIN (SELECT pipeline, CASE WHEN isfinite(value) THEN value END AS p99 FROM ({quantile_sql(HIST, "pipeline", 0.99)})) USING (pipeline)""",
 )
 def ag16_histogram_summary(t):
-    return metrics.summary(samples(t), "sync_lag_seconds", "pipeline").select("pipeline", "count", "mean", "p50")
+    return metrics.summary(samples(t), "sync_lag_seconds", "pipeline")
+
+
+@query("metrics_text", f"SELECT sum(value) FILTER (name = 'sync_lag_seconds_count') AS count, p50 FROM ({LINES}), (SELECT CASE WHEN isfinite(value) THEN value END AS p50 FROM ({quantile_sql('SELECT 0 AS one, le, sum(count) AS count FROM (' + HIST + ') GROUP BY 1, 2', 'one', 0.5)})) GROUP BY p50")
+def ag16_histogram_summary_of_all(t):
+    return metrics.summary(samples(t), "sync_lag_seconds").select("count", "p50")
+
+
+FIGURES = {"sync_files_total": "outcome", "sync_events_total": "source", "sync_retries_total": "reason"}
+SUMS_SQL = f"""SELECT pipeline, CASE name {' '.join(f"WHEN '{s}' THEN '{said}'" for said, (s, _) in metrics.SUMS.items())} END AS figure,
+    CASE name WHEN 'sync_files_total' THEN outcome || chr(10) || '"x' WHEN 'sync_events_total' THEN source WHEN 'sync_retries_total' THEN reason ELSE '' END AS part, sum(value) AS value
+    FROM ({LINES}) WHERE name IN ({', '.join(f"'{s}'" for s, _ in metrics.SUMS.values())}) GROUP BY 1, 2, 3"""
+LAGS_SQL = f"""SELECT pipeline, 'lag_seconds' AS figure, part, value FROM (SELECT pipeline, 'count' AS part, sum(value) AS value FROM ({LINES}) WHERE name = 'sync_lag_seconds_count' GROUP BY 1
+    UNION ALL SELECT pipeline, 'mean', sum(value) FILTER (name = 'sync_lag_seconds_sum') / sum(value) FILTER (name = 'sync_lag_seconds_count') FROM ({LINES}) WHERE name LIKE 'sync_lag_seconds_%' GROUP BY 1
+    UNION ALL SELECT pipeline, CASE q WHEN 0.5 THEN 'p50' WHEN 0.95 THEN 'p95' ELSE 'p99' END, value FROM ({' UNION ALL '.join(quantile_sql(HIST, "pipeline", q) for q in (0.5, 0.95, 0.99))}) WHERE isfinite(value)) WHERE value IS NOT NULL"""
+COPIES_SQL = f"""SELECT pipeline, 'copy_seconds' AS figure, part, value FROM (SELECT pipeline, 'count' AS part, coalesce(sum(value) FILTER (name LIKE '%_count'), 0) AS value FROM ({LINES}) WHERE name LIKE 'sync_copy_duration%' GROUP BY 1
+    UNION ALL SELECT pipeline, 'mean', sum(value) FILTER (name LIKE '%_sum') / sum(value) FILTER (name LIKE '%_count') FROM ({LINES}) WHERE name LIKE 'sync_copy_duration%' GROUP BY 1) WHERE value IS NOT NULL"""
+UPTIME = "(epoch(TIMESTAMP '2024-02-01') - 1700000000)"
 
 
-@query("metrics_text", f"SELECT pipeline, coalesce(sum(value) FILTER (name = 'sync_files_total'), 0) AS files, coalesce(sum(value) FILTER (name = 'sync_lag_seconds_sum'), 0) AS lag_sum FROM ({LINES}) WHERE name IN ('sync_files_total', 'sync_lag_seconds_sum') GROUP BY 1")
+@query(
+    "metrics_text",
+    f"""{SUMS_SQL} UNION ALL {LAGS_SQL} UNION ALL {COPIES_SQL} UNION ALL SELECT '', 'uptime_seconds', '', CAST({UPTIME} AS DOUBLE)
+        UNION ALL SELECT pipeline, 'bytes_per_second', '', sum(value) / {UPTIME} FROM ({LINES}) WHERE name = 'sync_bytes_copied_total' GROUP BY 1""",
+)
 def ag17_metrics_report(t):
-    return metrics.report(samples(t), {"files": "sync_files_total", "lag_sum": "sync_lag_seconds_sum"})
+    started = t.metrics_text.limit(0).select("line_no", "scraped_at", "line").unionByName(t.spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), now().alias("scraped_at"), F.lit("process_start_time_seconds 1700000000").alias("line")))
+    from tidemark.sources.readers import metric_samples
+
+    return metrics.report(samples(t).unionByName(metric_samples(started)), now())
 
 
 @query("attempts", "SELECT pipeline_id, outcome, count(*) AS files, CAST(coalesce(sum(bytes) FILTER (outcome = 'synced'), 0) AS BIGINT) AS bytes_copied FROM attempts GROUP BY 1, 2")
@@ -289,6 +337,18 @@ def ag18_outcome_counters(t):
     return metrics.outcome_counters(t.attempts)
 
 
+@query("attempts", "SELECT pipeline_id, 'copy' AS op, CASE WHEN code = '' THEN 'other' ELSE code END AS reason, count(*) AS retries FROM attempts WHERE outcome = 'retry' GROUP BY 1, 2, 3")
+def ag18_retry_counters(t):
+    reason = F.when(F.col("code") == "", "other").otherwise(F.col("code"))
+    return metrics.retry_counters(t.attempts.where("outcome = 'retry'").select("pipeline_id", F.lit("copy").alias("op"), reason.alias("reason")))
+
+
+@query("changes listing", "SELECT pipeline_id, origin AS source, kind, count(*) AS events FROM (SELECT pipeline_id, origin, kind FROM changes UNION ALL SELECT pipeline_id, 'reconcile', 'upsert' FROM listing) GROUP BY 1, 2, 3")
+def ag18_event_counters(t):
+    found = t.listing.select("pipeline_id", F.lit("reconcile").alias("origin"), F.lit("upsert").alias("kind"))
+    return metrics.event_counters(t.changes.select("pipeline_id", "origin", "kind").unionByName(found))
+
+
 RUNS = "SELECT concat('p', o_custkey % 5) AS pipeline_id, CASE WHEN o_orderkey % 9 = 0 THEN 'error' ELSE 'ok' END AS result, o_orderkey % 1000 AS listed, o_orderkey % 100 AS emitted, o_orderkey % 10 AS deletes, CAST(o_orderkey % 300 AS DOUBLE) AS seconds FROM orders"
 
 
@@ -375,12 +435,9 @@ def wn8_part_offsets(t):
     return work.part_offsets(work.part_plan(objects(t)).select("key", "number", "length")).select("key", "number", "at")
 
 
-@query("listing", "SELECT key, row_number() OVER (ORDER BY key) AS place FROM (SELECT key FROM listing ORDER BY key LIMIT 200)")
+@query("listing", "SELECT key, row_number() OVER (ORDER BY key) AS place FROM listing")
 def st1_byte_order_sort(t):
-    from pyspark.sql import Window
-
-    first = t.listing.select("key").orderBy("key").limit(200)
-    return first.select("key", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))  # 200 rows
+    return ordering.places(t.listing.select("key"), "key")
 
 
 @query("manifest destination", f"SELECT key, outcome FROM ({VERIFIED}) WHERE outcome <> 'ok' ORDER BY key LIMIT 20")
@@ -533,7 +590,15 @@ def tr10_delete_apply(t):
     return work.apply_deletes(gone, t.changes.where("key LIKE '%/2.json'").select("pipeline_id", "key").distinct(), names)
 
 
-NEW_SPECS = "SELECT CASE WHEN n_nationkey % 8 = 0 THEN concat(name, '_new') ELSE name END AS name, CASE WHEN n_nationkey % 3 = 0 THEN replace(spec, '64MiB', '32MiB') ELSE spec END AS spec FROM specs WHERE n_nationkey % 2 = 0"
+@query("ops changes", f"SELECT pipeline_id, key, status, source_version, attempts FROM ({duck_fold(OBSERVE)})")
+def tr7_observe(t):
+    """The record as it is when the jobs of the changes are made."""
+    changes = t.changes.withColumns({"size": F.col("arrival") % 1000, "mtime": F.col("event_time")})
+    observed, _ = work.observe_and_emit(changes)
+    return observed.select("pipeline_id", "key", "status", "source_version", "attempts")
+
+
+NEW_SPECS = "SELECT CASE WHEN account % 8 = 0 THEN concat(name, '_new') ELSE name END AS name, CASE WHEN account % 3 = 0 THEN replace(spec, '64MiB', '32MiB') ELSE spec END AS spec FROM specs WHERE account % 2 = 0"
 
 
 @query("specs", f"SELECT coalesce(o.name, n.name) AS name, coalesce(o.enabled, true) AS enabled, CASE WHEN o.name IS NULL THEN 1 WHEN n.spec <> o.spec THEN o.revision + 1 ELSE o.revision END AS revision, o.name IS NULL OR coalesce(n.spec <> o.spec, false) AS changed FROM specs o FULL OUTER JOIN ({NEW_SPECS}) n ON o.name = n.name")
@@ -542,16 +607,16 @@ def tr11_spec_upsert(t):
     return specs.upsert(t.specs, t.spark.sql(NEW_SPECS)).select("name", "enabled", "revision", "changed")
 
 
-@query("specs", "SELECT name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 4 = 0 ELSE enabled END AS enabled, revision + CASE WHEN n_nationkey % 2 = 0 AND (n_nationkey % 4 = 0) <> enabled THEN 1 ELSE 0 END AS revision FROM specs WHERE n_nationkey <> 3")
+@query("specs", "SELECT name, CASE WHEN account % 2 = 0 THEN account % 4 = 0 ELSE enabled END AS enabled, revision + CASE WHEN account % 2 = 0 AND (account % 4 = 0) <> enabled THEN 1 ELSE 0 END AS revision FROM specs WHERE account <> 3")
 def tr11_spec_enable_delete(t):
-    want = t.specs.where("n_nationkey % 2 = 0").select("name", F.expr("n_nationkey % 4 = 0").alias("want"))
-    return specs.delete(specs.set_enabled(t.specs, want), t.specs.where("n_nationkey = 3")).select("name", "enabled", "revision")
+    want = t.specs.where("account % 2 = 0").select("name", F.expr("account % 4 = 0").alias("want"))
+    return specs.delete(specs.set_enabled(t.specs, want), t.specs.where("account = 3")).select("name", "enabled", "revision")
 
 
 @query(
     "specs",
-    """SELECT name, concat_ws('; ', CASE WHEN NOT regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') THEN 'name: must be 2-40 chars of lowercase letters, digits and single hyphens' END, 'source.azure.account_url: required', 'destination: set exactly one of azure or s3',
-              'events: azure_queue needs queue_name, and queue_account_url unless the source uses connection_string auth', CASE WHEN n_nationkey % 5 = 0 THEN 'part_size: must be at least 5MiB' END) AS problems FROM specs""",
+    """SELECT name, concat_ws('; ', CASE WHEN NOT regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') THEN 'name: not a pipeline name' END, 'source.azure.account_url: missing', 'destination: not one store',
+              'events.queue_name: the queue is not fully named', CASE WHEN account % 5 = 0 THEN 'part_size: too small' END) AS problems FROM specs""",
 )
 def tr12_spec_validate(t):
     return specs.validate(t.specs).select("name", F.array_join("problems", "; ").alias("problems"))

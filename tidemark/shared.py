@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir of the session; in local mode only, a temporary folder where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.scratch", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("tidemark.scratch", named)
     return named.rstrip("/")
 

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark import schemas
 from tidemark.functions.text import col, folder_marker, trimmed
+from tidemark.shared import cut
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """value, file_index (place in paths), line_no (from 0 in its file, blank lines included).
 
-    A line's number needs all lines before it in its file; each file is numbered within one partition by its byte order,
-    so the files are the unit of parallelism here. Manifests and scrapes are many and small.
+    Files are read in splits of any number. A split's rows are numbered where they are read; the lines before it are the
+    sum over its file's earlier splits, of which there are few. The numbered rows are written once, since the numbers of
+    a split must be those of one reading.
     """
     parts = None
     for k, path in enumerate(paths):
-        one = spark.read.text(path, wholetext=True).select(F.lit(k).alias("file_index"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+        at = [F.lit(k).alias("file_index"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        one = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("id"))
         parts = one if parts is None else parts.unionByName(one)
-    return parts
+    split = ["file_index", "file", "block"]
+    rows = cut(parts, "lines")
+    before = Window.partitionBy("file_index", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*split).agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.join(starts.drop("n"), split).select("value", "file_index", (F.col("ahead") + F.col("id") - F.col("first")).alias("line_no"))
 
 
 def manifest_rows(text: DataFrame) -> DataFrame:
@@ -48,8 +58,34 @@ def manifest_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     return strict(manifest_rows(lines(spark, paths)))
 
 
+def inventory_scan(spark: SparkSession, path: str) -> DataFrame:
+    """key, size, mod_time of every object that a store's inventory (CSV files with a header) names, folder markers left out."""
+    rows = spark.read.schema("key string, size bigint, mod_time timestamp_ntz").option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    return rows.where(~folder_marker("key"))
+
+
+def write_inventory(listing: DataFrame, path: str) -> None:
+    listing.select("key", "size", "mod_time").write.option("header", True).option("escape", '"').csv(path)
+
+
+MESSAGE = "message_id bigint, delivery_count bigint, message string"
+
+
+def message_scan(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Queue messages from files of JSON lines, as a batch or, with new files as they come, a stream."""
+    return (spark.readStream if stream else spark.read).schema(MESSAGE).json(path)
+
+
+def webhook_scan(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Request bodies, one a line, as messages that were delivered once; a body's SHA-256 is its message_id."""
+    raw = (spark.readStream if stream else spark.read).text(path).where(trimmed("value") != "")
+    return raw.select(F.sha2("value", 256).alias("message_id"), F.lit(1).cast("bigint").alias("delivery_count"), F.col("value").alias("message"))
+
+
 def listing_scan(spark: SparkSession, root: str) -> DataFrame:
-    """key, size, mod_time of every object below root, over any file system that Spark reads; contents are not read."""
+    """key, size, mod_time of every object below root, over any file system that Spark reads; contents are not read.
+
+    Spark lists the files on the driver: for roots of up to some millions of objects. Take inventory_scan beyond."""
     bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")  # noqa: E731  without scheme and authority
     key = F.substr(bare(F.col("path")), F.length(bare(F.lit(root.rstrip("/") + "/"))) + 1)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
@@ -96,13 +132,18 @@ def soak_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SOAK_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-#: Formats of change events by name: functions from raw rows to rows of changes. register() adds one.
-FORMATS: dict = {}
+def changes(raw: DataFrame, parse: Callable[[DataFrame], DataFrame], origin: str = "event") -> DataFrame:
+    """Changes in a format of one's own: parse makes of raw rows what it can of the columns of a change.
 
-
-def register(name: str, parse) -> None:
-    FORMATS[name] = parse
-
-
-def changes(name: str, raw: DataFrame) -> DataFrame:
-    return FORMATS[name](raw)
+    Columns come out in their order and types, those that parse does not give as '' or null, those that are no column
+    of a change not at all; a format that gives no pipeline, kind or key is refused.
+    """
+    given = parse(raw)
+    lacking = [c for c in ("pipeline_id", "kind", "key") if c not in given.columns]
+    if lacking:
+        raise ValueError(f"the format gives no {', '.join(lacking)}")
+    out = []
+    for field in StructType.fromDDL(schemas.CHANGES).fields:
+        default = F.lit(origin) if field.name == "origin" else F.lit("" if field.dataType.typeName() == "string" else None)
+        out.append((F.col(field.name) if field.name in given.columns else default).cast(field.dataType).alias(field.name))
+    return given.select(*out)

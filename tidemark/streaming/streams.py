@@ -5,21 +5,16 @@ Sinks are idempotent by batch id, so that a batch run again after a failure chan
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.text import window_at
 from tidemark.operators import events, metrics, record, reconcile, specs, status
 from tidemark.sources import sinks
 
-LEASE_SECONDS = 120
-
 
 def run(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
     """Start a stream into Parquet below path, or into each(batch, batch_id); its checkpoint lies beside the data."""
@@ -32,14 +27,24 @@ def ingest(messages: DataFrame, pipeline: str, container: str, prefix: str, incl
     return events.map_events(events.parse_messages(messages), pipeline, container, prefix, include, exclude)
 
 
+CHANGED = ["pipeline_id", "kind", "key", "version", "sequencer", "event_time", "message_id"]
+
+
 def ingest_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Each batch's changes and dead letters under its number: a batch that is run again replaces itself."""
+    """Each batch's changes and dead letters under its number: a batch that is run again replaces itself.
+
+    A message that is bad in part, or was delivered too often, is one dead letter with the first reason found in it; of
+    a message that was delivered too often no change goes on.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        sinks.write_changes(batch.where("disposition = 'ok'").select("pipeline_id", "kind", "key", "version", "sequencer", "event_time", "message_id"), f"{path}/changes", batch_id)
-        dead = batch.where("malformed <> '' OR delivery_count > 5")
-        dead.select("message_id", "malformed", "message").write.mode("overwrite").parquet(f"{path}/dead/batch={batch_id}")
+        spent = F.col("delivery_count") > sinks.MAX_DELIVERIES
+        sinks.write_changes(batch.where((F.col("disposition") == "ok") & ~spent).select(*CHANGED), f"{path}/changes", batch_id)
+        bad = batch.where(spent | (F.col("malformed") != ""))
+        reason = F.min_by("malformed", F.struct(F.col("malformed") == "", F.coalesce("nth", F.lit(0))))
+        messages = bad.groupBy("message_id").agg(F.max("delivery_count").alias("delivery_count"), F.first("message").alias("message"), reason.alias("malformed"))
+        sinks.dead_letters(messages).write.mode("overwrite").parquet(f"{path}/dead/batch={batch_id}")
         batch.unpersist()
 
     return each
@@ -50,117 +55,114 @@ def dedupe(changes: DataFrame, late: str = "10 minutes", seconds: int = 300) ->
     return changes.withColumn("window", window_at("event_time", seconds)).withColumn("__t", F.col("event_time").cast("timestamp")).withWatermark("__t", late).dropDuplicatesWithinWatermark(["pipeline_id", "key", "version", "window"]).drop("__t")
 
 
-STATE_SCHEMA = ", ".join(f"{n} {t}" for n, (t, _) in record.FIELDS.items()).replace("timestamp_ntz", "timestamp")
-OUT_SCHEMA = f"pipeline_id string, key string, seq bigint, {STATE_SCHEMA}"
-BLANK = {n: (None if "timestamp" in t else 0 if t in ("int", "bigint") else "pending" if n == "status" else "") for n, (t, _) in record.FIELDS.items()}
-
-
-def older(a_seq: str, a_time, b_seq: str, b_time) -> bool:
-    if a_seq and b_seq:
-        width = max(len(a_seq), len(b_seq))
-        return a_seq.lower().rjust(width, "0") < b_seq.lower().rjust(width, "0")
-    floor = pd.Timestamp.min
-    return (floor if a_time is None else a_time) < (floor if b_time is None else b_time)
-
-
-def step(r: dict, o: dict) -> dict:
-    """record.step for one row: the state after an operation."""
-    r, op, version, at = dict(r), o["op"], o["version"], o["at"]
-    held = r["status"] == "copying" and r["claimed_until"] is not None and r["claimed_until"] > at
-    mine = held and r["source_version"] == version
-
-    def move() -> None:
-        r.update(source_version=version, source_size=o["size"], source_mtime=o["mtime"], source_sequencer=o["sequencer"])
-
-    if op == "observe" and r["status"] != "copying":
-        known = r["source_version"]
-        if version and not known or known and version != known and not older(o["sequencer"], o["mtime"], r["source_sequencer"], r["source_mtime"]):
-            if r["status"] not in ("pending", "failed") or r["event_time"] is None:
-                r["event_time"] = o["event_time"]
-            r["status"] = "synced" if r["status"] == "synced" and version == r["synced_version"] else "pending"
-            move()
-    elif op == "claim":
-        done = r["synced_version"]
-        stale = done and done != version and older(o["sequencer"], o["mtime"], r["synced_sequencer"], r["synced_mtime"])
-        if not (held or stale or r["status"] != "deleted" and done and done == version):
-            r["attempts"] = r["attempts"] + 1 if r["source_version"] == version else 1
-            keep = r["status"] not in ("synced", "deleted") and r["event_time"] is not None and (o["event_time"] is None or r["event_time"] < o["event_time"])
-            r["event_time"] = r["event_time"] if keep else o["event_time"]
-            r.update(status="copying", claimed_until=at + pd.Timedelta(seconds=LEASE_SECONDS))
-            move()
-    elif op == "extend" and mine:
-        r["claimed_until"] = at + pd.Timedelta(seconds=LEASE_SECONDS)
-    elif op == "set_upload" and mine:
-        r.update(upload_id=o["detail"], upload_version=version)
-    elif op == "complete" and mine:
-        r.update(status="synced", synced_version=r["source_version"], synced_mtime=r["source_mtime"], synced_sequencer=r["source_sequencer"], sha256=o["detail"], dest_version=version, synced_at=at, claimed_until=None, upload_id="", upload_version="", last_error="")
-    elif op == "fail" and mine:
-        r.update(status="pending" if o["retryable"] else "failed", last_error=o["detail"], claimed_until=None)
-    elif op == "delete" and (o["event_time"] is None or r["source_mtime"] is None or o["event_time"] >= r["source_mtime"]):
-        r.update(status="deleted", claimed_until=None, event_time=o["event_time"])
-    return r
-
-
-def plain(v):
-    return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
-
-
-def stateful_record(ops: DataFrame, timers: bool = False) -> DataFrame:
-    """The state of each (pipeline_id, key) after each batch of ops; within a batch ops count in order of arrival.
-
-    With timers a claimed lease sets a processing-time timer: when no operation has renewed it by then, the key goes back
-    to pending and may be claimed by another. A stream with timers has no end, so it is for continuous triggers only;
-    without them a lapsed lease is seen by the clock of the next operation, as in the batch fold.
+#: Batches after which the states of all keys are written as one snapshot.
+COMPACT = 16
+KEYS = ["pipeline_id", "key"]
+
+
+def states(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
+    """The record after batch last of record_sink(path), or after all there are: a snapshot and the batches since."""
+    if last is None:
+        last = spark.read.parquet(f"{path}/states").agg(F.max("batch")).first()[0]
+    base = last // COMPACT * COMPACT
+    schema = ", ".join(["pipeline_id string", "key string", *[f"{n} {t}" for n, (t, _) in record.FIELDS.items()]])
+    rows = spark.read.schema(f"{schema}, batch int").parquet(f"{path}/states").where(F.col("batch").between(base, last))
+    if base:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}/snapshots/before-{base}").withColumn("batch", F.lit(-1)))
+    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*record.FIELDS), "batch").alias("r")).select(*KEYS, "r.*")
+
+
+def record_sink(path: str, clock: Callable[[], Column] | None = None) -> Callable[[DataFrame, int], None]:
+    """Folds each batch of operations, in order of arrival, into the record as the batches before have left it.
+
+    A batch writes the rows of the keys that it touches under its number, so that one that is run again replaces
+    itself; every COMPACT batches a snapshot of all keys spares readers the older ones. With a clock a key whose lease
+    has lapsed goes back to pending in the next batch, and another may claim it there.
     """
 
-    def update(key, pdfs, state: GroupState):
-        warnings.simplefilter("ignore", FutureWarning)  # of putting together rows whose times are all null
-        names = list(BLANK)
-        r = dict(zip(names, map(plain, state.get), strict=True)) if state.exists else dict(BLANK)
-        seq = 0
-        if state.hasTimedOut:
-            if r["status"] == "copying":
-                r.update(status="pending", claimed_until=None)
-        else:
-            rows = pd.concat(list(pdfs)).sort_values("arrival", kind="stable")
-            for o in rows.to_dict("records"):
-                r = step(r, {k: plain(v) for k, v in o.items()})
-                seq = max(seq, int(o["arrival"]))
-        state.update(tuple(r[n].to_pydatetime() if isinstance(r[n], pd.Timestamp) else r[n] for n in names))
-        if timers and r["status"] == "copying":
-            state.setTimeoutDuration(LEASE_SECONDS * 1000)
-        row = pd.DataFrame([[*key, seq, *(r[n] for n in names)]], columns=["pipeline_id", "key", "seq", *names])
-        yield row.astype({n: "datetime64[ns]" for n in names if BLANK[n] is None})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout
-    return ops.groupBy("pipeline_id", "key").applyInPandasWithState(update, OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
-
-
-def latest(states: DataFrame) -> DataFrame:
-    """Of a stream's state rows the last of each key."""
-    return states.groupBy("pipeline_id", "key").agg(F.max_by(F.struct(*BLANK), F.col("seq")).alias("r")).select("pipeline_id", "key", *[F.col("r")[n].cast(t).alias(n) for n, (t, _) in record.FIELDS.items()])
-
-
-def periodic_reconcile(spark: SparkSession, path: str, listing: Callable[[], DataFrame], records: Callable[[], DataFrame], now: Column, trigger: dict | None = None, **filters) -> StreamingQuery:
-    """The batch diff at every tick, the first at once: both sides are read anew, the guards come before the deletes."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, before = batch.sparkSession, None
+        batch = batch.persist()
+        if batch_id:
+            before = states(spark, path, batch_id - 1)
+            if batch_id % COMPACT == 0:
+                before.write.mode("overwrite").parquet(f"{path}/snapshots/before-{batch_id}")
+                before = spark.read.schema(before.schema).parquet(f"{path}/snapshots/before-{batch_id}")
+            if clock:
+                freed = record.free_lapsed(before, clock())
+                before = before.join(freed.select(*KEYS), KEYS, "left_anti").withColumn("freed", F.lit(False)).unionByName(freed.withColumn("freed", F.lit(True)))
+        touched = batch.select(*KEYS).distinct()
+        new = record.fold(batch, before.join(touched, KEYS, "left_semi") if batch_id else None)
+        if batch_id and clock:
+            new = new.unionByName(before.where("freed").drop("freed").join(touched, KEYS, "left_anti"))
+        new.write.mode("overwrite").parquet(f"{path}/states/batch={batch_id}")
+        batch.unpersist()
+
+    return each
+
+
+def in_turn(*steps: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    def each(batch: DataFrame, batch_id: int) -> None:
+        for step in steps:
+            step(batch, batch_id)
+
+    return each
+
+
+def with_hooks(each: Callable[[DataFrame, int], None], started: Callable[[int], None] = lambda n: None, finished: Callable[[int, dict], None] = lambda n, seen: None, **figures: Column) -> Callable[[DataFrame, int], None]:
+    """each with callbacks on the driver: started(batch_id), and finished(batch_id, figures) with aggregates of the batch's rows.
+
+    The figures are taken while the rows pass by, so they cost no reading of their own; figures that take a row more
+    than once because each reads the batch more than once are those of the first reading.
+    """
+
+    def hooked(batch: DataFrame, batch_id: int) -> None:
+        started(batch_id)
+        seen = Observation(f"batch-{batch_id}")
+        each(batch.observe(seen, F.count("*").alias("rows"), *[c.alias(n) for n, c in figures.items()]), batch_id)
+        finished(batch_id, seen.get)
+
+    return hooked
+
+
+def periodic_reconcile(
+    ticks: DataFrame,
+    path: str,
+    listing: Callable[[int], DataFrame],
+    records: Callable[[int], DataFrame],
+    recheck: Callable[[int], DataFrame],
+    now: Column,
+    trigger: dict | None = None,
+    **filters,
+) -> StreamingQuery:
+    """The batch diff at every tick, the first at once, each side read anew as a function of the tick's number.
+
+    What seems to be gone is looked for again (recheck) before the guards count it and before it is deleted. ticks is any
+    stream; once_every() makes one.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        diffed = reconcile.diff(listing(), records(), now, **filters).persist()
-        gone = diffed.where("action = 'delete_candidate'")
+        diffed = reconcile.diff(listing(batch_id), records(batch_id), now, **filters).persist()
+        gone = reconcile.confirm(diffed.where("action = 'delete_candidate'"), recheck(batch_id)).persist()
         deletes = reconcile.allowed_deletes(gone, reconcile.empty_source_guard(diffed), reconcile.mass_delete_guard(gone, diffed))
         changes = diffed.where("action = 'upsert'").select("pipeline_id", "key", F.lit("upsert").alias("kind")).unionByName(deletes.select("pipeline_id", "key", F.lit("delete").alias("kind")))
         sinks.write_changes(changes, path, batch_id)
+        gone.unpersist()
         diffed.unpersist()
 
-    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     return run(ticks, path, each, trigger=trigger or {"processingTime": "15 minutes"})
 
 
-def backlog_gauges(path: str, pipelines: DataFrame, now: Column) -> Callable[[DataFrame, int], None]:
-    """Per batch of states the oldest waiting change of each pipeline."""
+def once_every(spark: SparkSession) -> DataFrame:
+    """A row per micro-batch, for streams that only need a trigger."""
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+
+def backlog_gauges(path: str, states_path: str, pipelines: DataFrame, now: Column) -> Callable[[DataFrame, int], None]:
+    """After each batch the oldest waiting change of each pipeline over the record of all keys, in the batch or not."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        status.oldest_pending(latest(batch), pipelines, now).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        status.oldest_pending(states(batch.sparkSession, states_path, batch_id), pipelines, now).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return each
 
@@ -173,22 +175,23 @@ def lag_histogram(attempts: DataFrame, bounds=metrics.LAG_BOUNDS) -> DataFrame:
     return attempts.where("outcome = 'synced' AND lag_seconds > 0").groupBy("pipeline_id", le.alias("le")).agg(F.count("*").alias("n"))
 
 
-def hot_reload(path: str, read_specs: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Per batch the actions that the specs, read anew, ask for; a spec with problems leaves the old revision running.
+def with_current_specs(path: str, read_specs: Callable[[int], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Each batch of changes with the revision of its pipeline's spec in force, specs being read anew for every batch.
 
-    Running pipelines are those of the batch before, read back from path.
+    A spec with problems leaves the revision in force that was before it. Changes of pipelines without a spec in force, or
+    with a disabled one, are held: revision is null. In force after batch n is what lies under path/specs/batch=n.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        wanted = read_specs()
+        spark, target = batch.sparkSession, f"{path}/specs/batch={batch_id}"
+        wanted = read_specs(batch_id)
         bad = specs.validate(wanted).where(F.size("problems") > 0).select("name")
-        running = spark.read.parquet(f"{path}/running/batch={batch_id - 1}") if batch_id else wanted.select("name", "revision").limit(0)
-        good = wanted.join(bad, "name", "left_anti")
-        kept = wanted.join(bad, "name", "left_semi").select("name", "enabled").join(running, "name")
-        known = good.select("name", "revision", "enabled").unionByName(kept.select("name", "revision", "enabled"))
-        specs.diff(known, running).write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
-        known.where("enabled").select("name", "revision").write.mode("overwrite").parquet(f"{path}/running/batch={batch_id}")
+        good = wanted.join(bad, "name", "left_anti").select("name", "revision", "enabled")
+        if batch_id:
+            before = spark.read.parquet(f"{path}/specs/batch={batch_id - 1}")
+            good = good.unionByName(before.join(bad, "name", "left_semi"))
+        good.write.mode("overwrite").parquet(target)
+        inforce = spark.read.schema(good.schema).parquet(target).where("enabled").select(F.col("name").alias("pipeline_id"), "revision")
+        batch.drop("revision").join(inforce, "pipeline_id", "left").write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
 
     return each
-
