@@ -334,6 +334,16 @@ def test_simhash(spark):
         assert got[i]["component_id"] == roots[i]
     assert sorted(r["doc_id"] for r in rows(simhash.dedup(docs(spark, [*enumerate(texts), (0, texts[0])])))) == sorted(set(roots))
     assert simhash.classify(docs(spark, [])).count() == 0
+    assert simhash.dedup(docs(spark, [])).count() == 0
+
+
+def test_simhash_dedup_keeps_every_component(spark):
+    """Rows that share a doc_id, or lack one, are told apart by their texts; one row of each component stays."""
+    a, b, c = "alpha beta gamma delta", "one two three four five", "six seven eight nine"
+    given = [(5, a), (5, b), (7, b), (5, a), (None, c), (None, c), (None, a), (None, "only null"), (8, None), (9, "")]
+    kept = rows(simhash.dedup(docs(spark, given)))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(False, 5, a), (False, 5, b), (True, 0, c), (True, 0, "only null"), (False, 8, "")])
+    assert kept[0].keys() == {"doc_id", "text", "kept", "n_chars", "same", "row"}
 
 
 @pytest.mark.parametrize("node", [4, 8192])

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -30,10 +31,11 @@ def brute(pairs):
     return sorted(min((i is None, i or 0) for i, _ in g) for g in groups.values())
 
 
-@pytest.mark.parametrize("part", [3, 512])
-def test_near_stage_is_whole(spark, sf, monkeypatch, part):
+@pytest.mark.parametrize(("part", "singly"), [(3, 16), (3, 1), (512, 2), (512, 16)])
+def test_near_stage_is_whole(spark, sf, monkeypatch, part, singly):
     """Near copies at 0.8 and just below, chains, case, nulls, rows that share a doc_id; small parts cut the buckets."""
     monkeypatch.setattr(near, "PART", part)
+    monkeypatch.setattr(near, "SINGLY", singly)
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     pairs = []
@@ -49,3 +51,28 @@ def test_near_stage_is_whole(spark, sf, monkeypatch, part):
     assert got.columns == ["doc_id", "text", "node"]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == brute(pairs)
     assert corpus_pipeline.near_stage(spark, got.limit(0), sf).count() == 0
+
+
+def test_forest_connects_what_links_connect():
+    rng = random.Random(11)
+    for round_ in range(60):
+        base = [rng.sample(range(400), 40) for _ in range(3)]
+        sets = []
+        for _ in range(rng.randint(2, 50)):
+            b = list(rng.choice(base))
+            for _ in range(rng.randint(0, 9)):
+                b[rng.randrange(40)] = rng.randrange(400, 900)
+            sets.append(np.unique(np.array(b, np.uint64)))
+        labels = [rng.randrange(12) for _ in sets] if round_ % 2 else list(range(len(sets)))
+
+        def merged(links, labels=labels, n=len(sets)):
+            root = list(range(n))
+            first = {}
+            for k, x in enumerate(labels):
+                root[k] = first.setdefault(x, k)
+            for a, b in links:
+                root = [root[a] if r == root[b] else r for r in root]
+            return [root.index(r) for r in root]
+
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        assert merged(near.forest(sets, labels)) == merged(every)

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.util import cut
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b), a <> b, no nulls: node, root for every node of an edge; root is the least node of its component.
 
     Each round hooks every node's root to the least root beside it and then jumps to the root's root, so that chains
-    halve; rounds end when nothing changes. Each round is written to the shared folder. A node of many edges is
+    halve; rounds end when nothing changes, and roots only fall, so that they do end. Each round is written to the shared folder. A node of many edges is
     combined before the shuffle.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
-    for _ in range(rounds):
+    while True:
         beside = both.join(labels, both["b"] == labels["node"]).select("a", "root").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = labels.join(beside, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # The old root, too, learns of the least root that one of its nodes has found.
@@ -31,4 +31,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "root")
         if not jumped.where("root <> old").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

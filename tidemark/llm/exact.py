@@ -13,10 +13,10 @@ parts, by salt, before its parts meet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import cut, lower_ascii
+from tidemark.llm.util import cut, keep_rows, lower_ascii, row_key
 
 #: A chunk ends, after 1,024 characters at least and 8,191 at most, before a word that starts with one of these pairs.
 CHUNKS = r"(?s).{1024,8191}?[\x20\n](?=[a-c][a-h])|.{1,8192}"
@@ -76,11 +76,8 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = classify(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__own", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
-    stay = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"]), "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0)))
-    return stay.withColumn("__nth", once).where("__nth = 1").drop("__nth", "__own")
+    kept = classify(docs).where("kept").select(row_key(F.col("doc_id"), F.unhex("text_sha256")).alias("__key"))
+    return keep_rows(docs, kept, F.unhex(F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)))
 
 
 def oracle(largest: str = "documents") -> str:

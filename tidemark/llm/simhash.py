@@ -3,7 +3,8 @@
 Distinct fingerprints are sorted by Gray rank, so that neighbours share long bit patterns. The upper nodes of the index
 are patterns under a mask: of four blocks of the bits not yet masked, two fingerprints at three or fewer differing bits
 share one, so every link lies below a common node, and Spark deals the nodes out. A node with more fingerprints than a
-task should hold gets children, whose masks take a further block; the last level takes what is left. Within a node,
+task should hold gets children, whose masks take a further block; what the last level cannot hold is dealt out as pairs
+of parts. Within a node,
 runs of the Gray order become leaves with the bits that all their members share; a pair of leaves that already differs
 in more bits than allowed under both masks is pruned as a whole, and a group's links go out as a spanning forest.
 
@@ -20,14 +21,14 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.util import cut, shuffle_width
+from tidemark.llm.util import cut, keep_rows, row_key, shuffle_width, text_digest
 
 WORDS, SEED, BITS, DISTANCE = 3, 42, 64, 3
-#: Fingerprints of a node that a task holds at once, unless no block is left to part them by.
+#: Fingerprints of a node that a task holds at once; of a node of the last level that has more, two parts of half as many.
 NODE = 8192
 LEAF = 32
 LEVELS = 3
@@ -38,23 +39,28 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     if not parts:
         return 0
     shingles = list(map(b" ".join, zip(*(parts[k:] for k in range(words))))) if len(parts) >= words else [b" ".join(parts)]  # noqa: B905
-    hashes = np.array(array("Q", map(xxhash.xxh64_intdigest, shingles, repeat(SEED))))
+    return majority(np.array(array("Q", map(xxhash.xxh64_intdigest, shingles, repeat(SEED)))))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << int(k) for k in np.flatnonzero(2 * counts > len(hashes)))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed 64-bit integer. Narrow: no shuffle."""
-    docs = docs.select("doc_id", "text")
+def fingerprints(docs: DataFrame, words: int = WORDS, keyed: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed 64-bit integer, and if keyed digest, the text's. Narrow: no shuffle."""
+    docs = docs.select("doc_id", "text", *[text_digest().alias("digest")] * keyed)
+    rest = ["digest"] * keyed
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp), *[batch[c] for c in rest]], ["doc_id", "fp", *rest])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint" + ", digest binary" * keyed)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -118,89 +124,99 @@ def forest(fp: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return out
 
 
-def search(nodes: DataFrame, last: bool) -> DataFrame:
-    """nodes(mask, pattern, fp), sorted by node within partitions: links (a, b), or rows (a, null) of nodes to be split."""
+def search(nodes: DataFrame, by: list[str], most: int) -> DataFrame:
+    """nodes(by, fp), sorted by node within partitions: links (a, b), or rows (a, null) of nodes of more than most fingerprints, with by."""
+    kinds = [pa.int32() if dict(nodes.dtypes)[c] == "int" else pa.int64() for c in by] + [pa.int64(), pa.int64()]
 
     def run(batches):
-        held_mask = held_pattern = None
-        held: list[np.ndarray] = []
-        size, passing = 0, False
+        key, held, size, passing = None, [], 0, False
+        out: list[tuple] = []
 
         def close():
-            nonlocal held, size, passing
-            fp = np.concatenate(held) if held else np.empty(0, np.int64)
-            mask, split = held_mask, passing
-            held, size, passing = [], 0, False
-            if split or len(fp) < 2:
+            if passing or size < 2:
                 return []
-            u = fp.view(np.uint64)
-            return [(mask, int(fp[a]), int(fp[b])) for a, b in forest(u)]
+            fp = np.concatenate(held)
+            return [(*key, int(fp[a]), int(fp[b])) for a, b in forest(fp.view(np.uint64))]
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*by, "a", "b"])
 
-        schema = [pa.int32(), pa.int64(), pa.int64()]
-        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], ["mask", "a", "b"])
-        out: list[tuple] = []
         for batch in batches:
-            mask, pattern, fp = (batch[c].to_numpy() for c in ("mask", "pattern", "fp"))
-            edges = np.flatnonzero((np.diff(mask) != 0) | (np.diff(pattern) != 0)) + 1
-            bounds = np.r_[0, edges, len(fp)]
+            cols = [batch[c].to_numpy() for c in by]
+            fp = batch["fp"].to_numpy()
+            fresh = np.any([np.diff(c) != 0 for c in cols], axis=0) if len(fp) > 1 else np.empty(0, bool)
+            bounds = np.r_[0, np.flatnonzero(fresh) + 1, len(fp)]
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if lo == hi:
                     continue
-                key = (int(mask[lo]), int(pattern[lo]))
-                if key != (held_mask, held_pattern):
+                if (own := tuple(int(c[lo]) for c in cols)) != key:
                     out += close()
-                    held_mask, held_pattern = key
-                if not passing:
-                    held.append(fp[lo:hi].copy())
-                    size += hi - lo
-                if passing or (size > NODE and not last):
-                    part = fp[lo:hi] if passing else np.concatenate(held)
+                    key, held, size, passing = own, [], 0, False
+                held.append(fp[lo:hi].copy())
+                size += hi - lo
+                if passing or size > most:
+                    out += [(*key, x, None) for part in held for x in part.tolist()]
                     held, passing = [], True
-                    out += [(key[0], x, None) for x in part.tolist()]
                 if len(out) > 50_000:
-                    yield made(out)
-                    out = []
+                    yield made()
+                    out.clear()
         out += close()
         if out:
-            yield made(out)
+            yield made()
 
-    return nodes.mapInArrow(run, "mask int, a bigint, b bigint")
+    return nodes.mapInArrow(run, ", ".join([*[f"{c} {dict(nodes.dtypes)[c]}" for c in by], "a bigint", "b bigint"]))
 
 
 def links(fps: DataFrame, levels: int = LEVELS) -> DataFrame:
     """fps(fp), distinct: pairs (a, b) at DISTANCE or fewer differing bits that connect what all such pairs connect."""
     spark = fps.sparkSession
-    level_masks = masks(levels)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     width = shuffle_width(spark)
     found = None
-    rows = fps.select(F.explode(F.array(*[F.lit(k) for k in range(DISTANCE + 1)])).alias("mask"), "fp")
-    for level, values in enumerate(level_masks):
-        bits = F.array(*[F.lit(signed(m)) for m in values])
-        nodes = rows.withColumn("pattern", F.col("fp").bitwiseAND(F.get(bits, F.col("mask")))).repartition(width, "mask", "pattern").sortWithinPartitions("mask", "pattern")
-        done = cut(search(nodes, level == levels - 1), "links")
+
+    def settle(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+        nonlocal found
+        done = cut(search(rows.repartition(width, *by).sortWithinPartitions(*by), by, most), "links")
         pairs = done.where("b IS NOT NULL").select("a", "b")
         found = pairs if found is None else found.union(pairs)
-        split = done.where("b IS NULL")
-        if level == levels - 1 or not split.limit(1).count():
-            break
-        rows = split.select(F.explode(F.transform(F.array(*[F.lit(k) for k in range(DISTANCE + 1)]), lambda k: F.col("mask") * (DISTANCE + 1) + k)).alias("mask"), F.col("a").alias("fp"))
+        return done.where("b IS NULL")
+
+    rows = fps.select(F.explode(F.array(*[F.lit(k) for k in range(DISTANCE + 1)])).alias("mask"), "fp")
+    for level, values in enumerate(masks(levels)):
+        bits = F.array(*[F.lit(signed(m)) for m in values])
+        split = settle(rows.withColumn("pattern", F.col("fp").bitwiseAND(F.get(bits, F.col("mask")))), ["mask", "pattern"], NODE)
+        if not split.limit(1).count():
+            return found
+        if level < levels - 1:
+            children = F.transform(F.array(*[F.lit(k) for k in range(DISTANCE + 1)]), lambda k: F.col("mask") * (DISTANCE + 1) + k)
+            rows = split.select(F.explode(children).alias("mask"), F.col("a").alias("fp"))
+    # No block is left to part these nodes by: every pair of their parts goes to a task of its own.
+    half = max(1, NODE // 4)
+    sizes = split.groupBy("mask", "pattern").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    dealt = split.join(sizes, ["mask", "pattern"]).select("mask", "pattern", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.col("a").alias("fp"))
+    settle(dealt.select("mask", "pattern", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp"), ["mask", "pattern", "i", "j"], 1 << 62)
     return found
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of docs."""
-    fps = cut(fingerprints(docs), "fingerprints")
+def components_of(fps: DataFrame) -> DataFrame:
+    """fp, root, component_id of the distinct fingerprints of fps(doc_id, fp)."""
     least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least.select("fp")))
     rooted = cut(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"), "named")
+
+
+def classify(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row of docs."""
+    fps = cut(fingerprints(docs), "fingerprints")
+    return fps.join(components_of(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component its document of least doc_id, once, with all columns."""
-    named = classify(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]), "left_semi")
-    own = F.when(F.col("doc_id").isNull(), F.col("text"))
-    return stay.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", own).orderBy("text"))).where("__nth = 1").drop("__nth")
+    """The rows of docs that stay, with all columns: of each component one row, of its least doc_id, and of rows that share that one the one of least text digest."""
+    fps = cut(fingerprints(docs, keyed=True), "fingerprints")
+    named = components_of(fps)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one")
+    stay = fps.join(named, "fp").groupBy("root").agg(first).select(row_key(F.col("one.doc_id"), F.col("one.digest")).alias("__key"))
+    return keep_rows(docs, stay)

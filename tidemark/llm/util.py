@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import cut, fresh_path, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,31 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.scratch", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("tidemark.scratch", named)
-    return named.rstrip("/")
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+def lower_ascii(text: Column) -> Column:
+    """Lower-case A-Z only. lower() does the same, and faster, where no other character has a lower case."""
+    other = text.rlike(r"[[\p{IsUppercase}\p{Lt}]&&[^\x00-\x7F]]")
+    return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def text_digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """One value, never null, for a doc_id, null or not, and a text's digest."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), digest))
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only. lower() does the same, and faster, where no other character has a lower case."""
-    other = text.rlike(r"[^\x00-\x7F&&[\p{IsUppercase}\p{Lt}]]")
-    return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+def keep_rows(docs: DataFrame, stay: DataFrame, digest: Column | None = None) -> DataFrame:
+    """The rows of docs whose row_key is in stay(__key), each key once. Rows move at most once: the join and the choice share a key."""
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), text_digest() if digest is None else digest))
+    once = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    return keyed.join(stay, "__key", "left_semi").withColumn("__nth", once).where("__nth = 1").drop("__nth", "__key")
