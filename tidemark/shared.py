@@ -23,8 +23,8 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
+def cut(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
