@@ -11,6 +11,7 @@ repeated rows are kept as they are.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -69,40 +70,52 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], NO_RANK)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word; none may be empty."""
+    def pair_ranks(self, at: np.ndarray, symbols: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs that begin at places."""
+        out = np.full(len(at), NO_RANK)
+        inside = at < len(symbols) - 1
+        inside[inside] = word[at[inside]] == word[at[inside] + 1]
+        first = at[inside]
+        out[inside] = self.rank(symbols[first] * self.size + symbols[first + 1])
+        return out
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and where each word begins (and the last one ends). None may be empty."""
         raw = [w.encode() for w in words]
-        lengths = np.array([len(w) for w in raw])
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
         word = np.repeat(np.arange(len(raw)), lengths)
         symbols = self.inner[flat]
         ends = np.cumsum(lengths) - 1
         symbols[ends] = self.last[flat[ends]]
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        ranks = self.pair_ranks(np.arange(len(symbols)), symbols, word)
+        done_words, done_symbols = [], []
         while len(symbols):
-            same = word[1:] == word[:-1]
-            ranks = np.full(len(symbols), NO_RANK)
-            ranks[:-1][same] = self.rank(symbols[:-1][same] * self.size + symbols[1:][same])
-            starts = np.flatnonzero(np.r_[True, ~same])
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lowest = np.minimum.reduceat(ranks, starts)
             counts = np.diff(np.r_[starts, len(symbols)])
             done = lowest == NO_RANK
             if done.any():  # finished words leave the array
-                for k in np.flatnonzero(done):
-                    out[word[starts[k]]] = symbols[starts[k] : starts[k] + counts[k]]
                 stay = np.repeat(~done, counts)
+                done_words.append(word[~stay])
+                done_symbols.append(symbols[~stay])
                 symbols, word, ranks = symbols[stay], word[stay], ranks[stay]
                 lowest, counts = lowest[~done], counts[~done]
                 if not len(symbols):
                     break
             best = np.repeat(lowest, counts)
-            hit = np.flatnonzero((ranks == best) & (best != NO_RANK))
-            hit = self.apart(hit, symbols, word, best)
+            hit = self.apart(np.flatnonzero(ranks == best), symbols, word, best)
             symbols[hit] = self.made[best[hit]]
-            keep = np.ones(len(symbols), bool)
+            keep, changed = np.ones(len(symbols), bool), np.zeros(len(symbols), bool)
             keep[hit + 1] = False
-            symbols, word = symbols[keep], word[keep]
-        return out
+            # Only pairs with a merged symbol have other ranks than before.
+            changed[hit] = changed[np.maximum(hit - 1, 0)] = True
+            symbols, word, ranks, changed = symbols[keep], word[keep], ranks[keep], np.flatnonzero(changed[keep])
+            ranks[changed] = self.pair_ranks(changed, symbols, word)
+        if not done_words:
+            return np.empty(0, np.int64), np.zeros(1, np.int64)
+        word, symbols = np.concatenate(done_words), np.concatenate(done_symbols)
+        return symbols[np.argsort(word, kind="stable")], np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))]
 
     def apart(self, hit: np.ndarray, symbols: np.ndarray, word: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Of overlapping places in a run such as aaaa every second one; of a merge to be done alone a word's first."""
@@ -114,18 +127,23 @@ class Encoder:
             hit = hit[~alone | np.r_[True, np.diff(word[hit]) != 0]]
         return hit
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str], decode: bool) -> None:
         """Encode the chunks not yet known. No word crosses white space, so a chunk between white space is a unit."""
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
             self.said.clear()
-        words = {c: self.words.findall(c) for c in chunks if c not in self.ids}
-        distinct = list({w for found in words.values() for w in found})
-        known = dict(zip(distinct, self.encode_words(distinct) if distinct else [], strict=True))
+        new = chunks - (self.said.keys() if decode else self.ids.keys())
+        # Letters only: one word.
+        words = {c: [c] if c.isalpha() else self.words.findall(c) for c in new}
+        place = {w: k for k, w in enumerate(dict.fromkeys(w for found in words.values() for w in found))}
+        flat, starts = self.encode_words(list(place))
+        raw, bounds = flat.astype("<u4").tobytes(), starts.tolist()
+        names = list(map(self.names.__getitem__, flat.tolist())) if decode else []
         for chunk, found in words.items():
-            ids = np.concatenate([known[w] for w in found])
-            self.ids[chunk] = ids.astype("<u4").tobytes()
-            self.said[chunk] = " ".join(map(self.names.__getitem__, ids.tolist()))
+            spans = [(bounds[k], bounds[k + 1]) for k in map(place.__getitem__, found)]
+            self.ids[chunk] = raw[4 * spans[0][0] : 4 * spans[0][1]] if len(spans) == 1 else b"".join([raw[4 * a : 4 * b] for a, b in spans])
+            if decode:
+                self.said[chunk] = " ".join(names[spans[0][0] : spans[0][1]] if len(spans) == 1 else [n for a, b in spans for n in names[a:b]])
 
     def pieces(self, text: str) -> list[tuple[list[str], int | None]]:
         """Runs of chunks, each followed by a special id or None."""
@@ -138,20 +156,30 @@ class Encoder:
             out.append(([c for c in chunks if c] if "" in chunks else chunks, self.special[parts[k + 1]] if k + 1 < len(parts) else None))
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Of each text the ids as little-endian 32-bit integers, and the decoded text."""
+    def encode(self, texts: list[str], decode: bool = True) -> list[tuple[bytes, str]]:
+        """Of each text the ids as little-endian 32-bit integers, and if decode the decoded text."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings are made here, and no cycles
+        try:
+            return self._encode(texts, decode)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str], decode: bool) -> list[tuple[bytes, str]]:
         pieces = [self.pieces(t) for t in texts]
-        self.learn({w for text in pieces for words, _ in text for w in words})
+        self.learn(set().union(*(words for text in pieces for words, _ in text)), decode)
         out = []
         for text in pieces:
             ids, said = [], []
             for words, special in text:
                 ids += map(self.ids.__getitem__, words)
-                said += map(self.said.__getitem__, words)
+                if decode:
+                    said += map(self.said.__getitem__, words)
                 if special is not None:
                     ids.append(special.to_bytes(4, "little"))
                     said.append(self.names[special])
-            out.append((b"".join(ids), " ".join(said)))
+            out.append((b"".join(ids), " ".join(said) if decode else ""))
         return out
 
 
@@ -162,37 +190,36 @@ def encoder(path: str) -> Encoder:
 
 def tokenize(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000) -> DataFrame:
     """doc_id, ids ARRAY<INT>, decoded STRING of every text. vocabulary: the tokenizer file's path on every executor."""
-    return _each(docs, vocabulary, batch_chars, "ids array<int>, decoded string", lambda ids, said: (np.frombuffer(ids, "<u4").astype(np.int32), said), [pa.list_(pa.int32()), pa.string()])
+    return _each(docs, ["doc_id"], vocabulary, batch_chars, "ids array<int>, decoded string", lambda ids, said: (np.frombuffer(ids, "<u4").astype(np.int32), said), [pa.list_(pa.int32()), pa.string()])
+
+
+def encode(docs: DataFrame, vocabulary: str, *keep: str, batch_chars: int = 2_000_000) -> DataFrame:
+    """The columns to keep and ids BINARY of every text, the ids as little-endian unsigned 32-bit integers. Nothing is decoded."""
+    return _each(docs, list(keep), vocabulary, batch_chars, "ids binary", lambda ids, said: (ids,), [pa.binary()], decode=False)
 
 
 def digest(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000) -> DataFrame:
     """The contract's row for each document."""
     sha = lambda data: hashlib.sha256(data).hexdigest()
-    return _each(docs, vocabulary, batch_chars, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda ids, said: (len(ids) // 4, sha(ids), sha(said.encode())), [pa.int64(), pa.string(), pa.string()])
+    return _each(docs, ["doc_id"], vocabulary, batch_chars, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda ids, said: (len(ids) // 4, sha(ids), sha(said.encode())), [pa.int64(), pa.string(), pa.string()])
 
 
-def _each(docs: DataFrame, vocabulary: str, batch_chars: int, columns: str, row, types) -> DataFrame:
-    docs = docs.select("doc_id", "text")
+def _each(docs: DataFrame, keep: list[str], vocabulary: str, batch_chars: int, columns: str, row, types, decode: bool = True) -> DataFrame:
+    docs = docs.select(*keep, "text")
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches):
         coder = encoder(vocabulary)
-
-        def emit(ids, texts):
-            cols = zip(*(row(*x) for x in coder.encode(texts)), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *names])
-
         for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            ids, texts, size = [], [], 0
-            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids.append(i)
+            start, size, texts = 0, 0, []
+            for k, text in enumerate(batch["text"], 1):
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
-                if size >= batch_chars:
-                    yield emit(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield emit(ids, texts)
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
+                if size >= batch_chars or k == batch.num_rows:
+                    cols = zip(*(row(*x) for x in coder.encode(texts, decode)), strict=True)
+                    kept = [batch[c].slice(start, k - start) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *names])
+                    start, size, texts = k, 0, []
+
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    return docs.mapInArrow(run, ", ".join([*(f"{c} {kind(c)}" for c in keep), columns]))
