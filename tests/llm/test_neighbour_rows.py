@@ -13,7 +13,7 @@ def test_repeated_query_rows(spark):
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 3 + [(20, x[21].tolist())]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3)
     got = collections.defaultdict(list)
-    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, share=1.0, shard=100, block=8).collect():
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, share=1.0, shard=100).collect():
         got[r["query_id"], r["rank"]].append(r["vec_id"])
     ids, y = np.array([i for i, _ in data]), np.array([v for _, v in data])
     for q in range(0, 300, 20):

@@ -1,50 +1,62 @@
-"""Approximate nearest neighbours by a hash-prefix forest, in blocks of queries against shards of vectors.
+"""Approximate nearest neighbours by a hash-prefix forest: sorted arrays of hash strings, read from long to short prefixes.
 
 A vector's hash string in a tree is the signs of its products with that tree's random directions, as bits from most to
 least significant. A shard keeps, per tree, its vectors sorted by hash string. A query descends each tree by binary
 search to the range that shares its longest prefix and then ascends all trees together, a bit at a time, until the
-ranges hold enough candidates between them; candidates are scored exactly. Every shard answers every block of queries,
-and the shards' answers are merged, so no vector and no shard is left out.
+ranges hold VOTES places for each vector of the shard on average. What a candidate shares with the query over all trees,
+each level of each tree being one vote, tells their angle, and with its length the product to expect; the SHARE of the
+shard with the largest expectation is scored exactly, ties with the last of it included.
 
-Shards and blocks have fixed sizes, so tasks hold bounded data at any input size. How many candidates a query wants is
-a share of the shard; recall against brute force is measured in the tests.
+Vectors are dealt into shards of bounded size by a hash of the row, and the queries go to every shard, so no vector is
+left out. A task reads a shard's vectors first, builds its forest once, and then answers the queries as they stream by.
+Work grows with queries times vectors, as the queries are a share of the table; a forest makes the constant smaller.
 
 Defined cases: null or empty vectors, and those that hold null or non-finite components or are zero, take no part, as
-query or candidate; so do vectors whose dimension is not the most frequent one. With fewer candidates than k all are
-returned. Ties go to the smaller vec_id. Repeated vec_ids are candidates each for itself; a query's own vec_id is none.
-Every row that meets the condition is a query of its own: rows that share a vec_id have k neighbours and ranks each.
+query or candidate; nor do rows without vec_id. Vectors of different dimensions are searched apart. With fewer
+candidates than k all are returned. Ties go to the smaller vec_id. Repeated vec_ids are candidates each for itself; a
+query's own vec_id is none. Every row that meets the condition is a query of its own: rows that share a vec_id have k
+neighbours and ranks each. Other columns are not read; an empty table has no neighbours.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, DEPTH, SHARE, SEED = 64, 16, 0.42, 11
-SHARD, BLOCK = 16_384, 4_096
+from tidemark.llm.util import shuffle_width
+
+TREES, DEPTH, VOTES, SHARE, SEED = 64, 20, 16, 0.33, 11
+#: How far above its expectation a product may lie, as a cosine: long vectors are looked at in spite of some doubt.
+DOUBT = 0.3
+SHARD, BLOCK = 16_384, 1_024
 
 
 class Forest:
-    """The sorted hash strings of a shard."""
+    """The sorted hash strings of a shard's vectors, which come in order of their ids."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> None:
         self.vectors, self.depth = vectors, depth
+        self.length = np.linalg.norm(vectors, axis=1)
         rng = np.random.default_rng(seed)
         self.directions = rng.standard_normal((trees, vectors.shape[1], depth))
         self.strings, self.order = [], []
         for t in range(trees):
             codes = self.codes(vectors, t)
-            order = np.argsort(codes, kind="stable")
+            order = np.argsort(codes, kind="stable").astype(np.int32)
             self.strings.append(codes[order])
             self.order.append(order)
+        # How many leading bits are zero.
+        self.zeros = np.full(1 << depth, depth, np.int8)
+        for bit in range(depth):
+            self.zeros[1 << bit : 2 << bit] = depth - 1 - bit
 
     def codes(self, vectors: np.ndarray, tree: int) -> np.ndarray:
         bits = vectors @ self.directions[tree] > 0
-        return bits @ (1 << np.arange(self.depth - 1, -1, -1))
+        return (bits @ (1 << np.arange(self.depth - 1, -1, -1))).astype(np.int32)
 
-    def ranges(self, queries: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    def ranges(self, queries: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray]:
         """Per query and tree the range of strings that share the first level bits."""
         shift = self.depth - level
         lo, hi = [], []
@@ -54,30 +66,35 @@ class Forest:
             hi.append(np.searchsorted(strings, prefix + (1 << shift)))
         return np.array(lo).T, np.array(hi).T
 
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """For each query the places of its candidates, wanted at least unless there are fewer."""
-        codes = [self.codes(queries, t) for t in range(len(self.strings))]
-        n = len(self.vectors)
+    def candidates(self, queries: np.ndarray, wanted: int, votes: int = VOTES):
+        """For each query its place and the places of its candidates, wanted at least unless there are fewer."""
+        trees, n = len(self.strings), len(self.vectors)
+        codes = [self.codes(queries, t) for t in range(trees)]
         pending = np.arange(len(queries))
-        mask = np.empty(n, bool)
         for level in range(self.depth, -1, -1):
             lo, hi = self.ranges([c[pending] for c in codes], level)
-            # Ranges of different trees overlap: with fewer places than wanted even apart, go up at once.
-            enough = (hi - lo).sum(axis=1) >= wanted
-            left = [] if level == 0 else pending[~enough].tolist()
-            for k in np.flatnonzero(enough) if level else range(len(pending)):
-                mask[:] = level == 0
-                for t in range(len(self.order) if level else 0):
-                    mask[self.order[t][lo[k, t] : hi[k, t]]] = True
-                found = np.flatnonzero(mask)
-                if len(found) >= wanted or level == 0:
-                    yield int(pending[k]), found
-                else:
-                    left.append(int(pending[k]))
-            pending = np.array(sorted(left), int)
+            enough = (hi - lo).sum(axis=1) >= votes * n if level else np.ones(len(pending), bool)
+            for k in np.flatnonzero(enough):
+                seen = np.zeros(n, np.int32)
+                for t in range(trees):
+                    a, b = lo[k, t], hi[k, t]
+                    seen[self.order[t][a:b]] += self.zeros[self.strings[t][a:b] ^ codes[t][pending[k]]] - (level - 1)
+                yield int(pending[k]), self.likely(seen / trees, level, wanted)
+            pending = pending[~enough]
             if not len(pending):
                 return
 
+    def likely(self, seen: np.ndarray, level: int, wanted: int) -> np.ndarray:
+        """The places of the largest products to expect, given the mean number of shared levels from level on."""
+        if wanted >= len(seen):
+            return np.arange(len(seen))
+        # Two vectors at an angle of pi * (1 - p) share a bit with chance p, and levels as a geometric sequence has it.
+        p = np.linspace(0.2, 0.9999, 512)
+        mean = (p**level - p ** (self.depth + 1)) / (1 - p)
+        expected = self.length * (np.cos(np.pi * (1 - np.interp(seen, mean, p))) + DOUBT)
+        least = np.partition(expected, len(seen) - wanted)[len(seen) - wanted]
+        return np.flatnonzero(expected >= least)
+
 
 def usable(embedding: Column) -> Column:
     squares = F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -85,37 +102,67 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & finite & (squares > 0)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, share: float = SHARE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+class Shard:
+    """A shard as it streams by: its vectors, then its queries."""
+
+    def __init__(self, k: int, share: float) -> None:
+        self.k, self.share = k, share
+        self.ids: list[np.ndarray] = []
+        self.parts: list[np.ndarray] = []
+        self.forest: Forest | None = None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.parts.append(vectors)
+
+    def answer(self, rows: np.ndarray, own: np.ndarray, queries: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """(row, query_id, vec_id, score) of the best k of each query."""
+        if not self.parts:
+            return []
+        if self.forest is None:
+            self.all_ids, self.forest = np.concatenate(self.ids), Forest(np.concatenate(self.parts))
+        ids, x, out = self.all_ids, self.forest.vectors, []
+        for at, found in self.forest.candidates(queries, max(self.k + 1, int(self.share * len(x)))):
+            found = found[ids[found] != own[at]]
+            score = x[found] @ queries[at]
+            if len(found) > self.k:  # the matrix product's last digits depend on a row's place: take near ties, too
+                least = np.partition(score, len(score) - self.k)[len(score) - self.k]
+                found = found[score >= least - 1e-9 * max(1.0, abs(least))]
+            score = (x[found] * queries[at]).sum(axis=1)
+            best = np.lexsort((ids[found], -score))[: self.k]
+            out.append((np.full(len(best), rows[at]), np.full(len(best), own[at]), ids[found[best]], score[best]))
+        return out
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, share: float = SHARE, shard: int = SHARD) -> DataFrame:
     """vectors(vec_id, embedding); queries: the condition on vec_id. query_id, rank, vec_id, score."""
-    good = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.sum(queries.cast("long")).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return good.select(F.col("vec_id").cast("long").alias("query_id"), F.lit(1).alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    d, n, q = sizes[0]
-    good = good.where(F.size("embedding") == d)
-    shards, blocks = -(-n // shard), max(1, -(-(q or 0) // block))
-    good = good.withColumn("row", F.monotonically_increasing_id())
-    part = lambda m: F.pmod(F.xxhash64("vec_id", "row"), F.lit(m)).cast("int")
-    points = good.select("vec_id", "embedding", part(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = good.where(queries).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def answer(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(points) and len(asked):
-            points = points.sort_values("vec_id", kind="stable")
-            ids, x = points["vec_id"].to_numpy(), np.stack(points["embedding"]).astype(np.float64)
-            rows, own, y = asked["query_row"].to_numpy(), asked["query_id"].to_numpy(), np.stack(asked["query"]).astype(np.float64)
-            for at, found in Forest(x).candidates(y, max(k + 1, int(share * len(x)))):
-                found = found[ids[found] != own[at]]
-                score = x[found] @ y[at]
-                if len(found) > k:  # the matrix product's last digits depend on a row's place: take near ties, too
-                    least = np.partition(score, len(score) - k)[len(score) - k]
-                    found = found[score >= least - 1e-9 * max(1.0, abs(least))]
-                score = (x[found] * y[at]).sum(axis=1)
-                best = np.lexsort((ids[found], -score))[:k]
-                out += zip(np.repeat(rows[at], len(best)).tolist(), np.repeat(own[at], len(best)).tolist(), ids[found[best]].tolist(), score[best].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    answers = points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "row bigint, query_id bigint, vec_id bigint, score double")
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), queries.alias("asked"), "embedding", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("row"))
+    good = good.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    shards = good.groupBy("d").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    dealt = good.join(shards, "d")
+    own = F.pmod(F.xxhash64("vec_id", "row"), F.col("shards")).cast("int")
+    points = dealt.select("d", own.alias("shard"), F.lit(0).alias("kind"), "row", "vec_id", "embedding")
+    asked = dealt.where("asked").select("d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "row", "vec_id", "embedding")
+    streamed = points.unionByName(asked).repartition(shuffle_width(vectors.sparkSession), "d", "shard").sortWithinPartitions("d", "shard", "kind", "vec_id")
+
+    def answer(batches):
+        key, held = None, Shard(k, share)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, number, kind, row, vec_id = (batch[c].to_numpy() for c in ("d", "shard", "kind", "row", "vec_id"))
+            flat, starts = batch["embedding"].values.to_numpy().astype(np.float64), batch["embedding"].offsets.to_numpy()
+            fresh = np.flatnonzero((np.diff(d) != 0) | (np.diff(number) != 0) | (np.diff(kind) != 0)) + 1
+            bounds = np.unique(np.r_[0, fresh, np.arange(0, len(d), BLOCK), len(d)])
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if (d[lo], number[lo]) != key:
+                    key, held = (d[lo], number[lo]), Shard(k, share)
+                part = flat[starts[lo] : starts[hi]].reshape(hi - lo, -1)
+                if kind[lo] == 0:
+                    held.add(vec_id[lo:hi].copy(), part.copy())
+                elif found := held.answer(row[lo:hi], vec_id[lo:hi], part):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["row", "query_id", "vec_id", "score"])
+
+    answers = streamed.mapInArrow(answer, "row bigint, query_id bigint, vec_id bigint, score double")
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
