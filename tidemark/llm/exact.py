@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import cut, keep_rows, lower_ascii, row_key
+from tidemark.llm.util import cut, keep_rows, lower_ascii, row_key, shuffle_width
 
 #: A chunk ends, after 1,024 characters at least and 8,191 at most, before a word that starts with one of these pairs.
 CHUNKS = r"(?s).{1024,8191}?[\x20\n](?=[a-c][a-h])|.{1,8192}"
+#: Parts of a group that are counted apart, at least.
 SALTS = 64
 
 
@@ -33,6 +34,7 @@ def chunk_id(chunk):
 
 def classify(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    salts = max(SALTS, shuffle_width(docs.sparkSession))
     texts = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("t"))
     recipes = cut(
         texts.select(
@@ -42,7 +44,7 @@ def classify(docs: DataFrame) -> DataFrame:
             F.transform(chunks(F.col("t")), chunk_id).alias("recipe"),
         ),
         "recipes",
-    ).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    ).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     unverified = (
         texts.select(F.explode(chunks(F.col("t"))).alias("chunk"))
         .groupBy(chunk_id(F.col("chunk")).alias("id"))
@@ -52,7 +54,7 @@ def classify(docs: DataFrame) -> DataFrame:
     )
     doubtful = (
         recipes.select("recipe", F.explode("recipe").alias("id")).join(unverified, "id").select("recipe").distinct()
-        .select("recipe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("doubt"))
+        .select("recipe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(True).alias("doubt"))
     )
     keyed = recipes.join(doubtful, ["recipe", "salt"], "left").withColumn("tag", F.when(F.col("doubt"), F.col("text_sha256")).otherwise("")).drop("doubt")
     last = F.max(F.struct("doc_id", "row")).alias("last")

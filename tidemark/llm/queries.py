@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact, html_text, neighbours, packing, quality, repeats, secrets, simhash, warc
 from tidemark.llm.util import table
-
-try:
-    import public_tokenizers
-
-    WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-except ImportError:  # the vocabulary is a parameter of the operator; only the query names a file
-    WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+from tidemark.llm.vocabulary import WORD_BPE
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +45,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), WORD_BPE)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,17 @@ def row_key(doc_id: Column, digest: Column) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), digest))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, stay: DataFrame, digest: Column | None = None) -> DataFrame:
     """The rows of docs whose row_key is in stay(__key), each key once. Rows move at most once: the join and the choice share a key."""
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), text_digest() if digest is None else digest))
-    once = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    return keyed.join(stay, "__key", "left_semi").withColumn("__nth", once).where("__nth = 1").drop("__nth", "__key")
+    key, nth = unused(docs, "__key"), unused(docs, "__nth")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), text_digest() if digest is None else digest))
+    once = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    return keyed.join(stay.withColumnRenamed("__key", key), key, "left_semi").withColumn(nth, once).where(F.col(nth) == 1).drop(key, nth)
