@@ -117,6 +117,21 @@ def test_repeats_in_segments(spark, monkeypatch):
     assert all(len(ranks) == 1 for ranks in by.values())
 
 
+def test_repeats_of_a_line_in_every_text(spark, monkeypatch):
+    """One line stands in all texts, with other words around it each time; null doc_id, long texts in several segments, small slices."""
+    for name, value in (("SLICE", 3000), ("ROWS", 150), ("SEGMENT", 1500)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(9)
+    letter = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    line, other = letter(320), letter(250)
+    texts = [letter(rng.randint(0, 120)) + line + letter(rng.randint(0, 120)) + (other if k % 4 == 0 else "") for k in range(70)]
+    texts += [letter(6000) + other + letter(5000) + line, texts[3], texts[3] + "x", None, "", line, other[:-1]]
+    pairs = [(None if i % 20 == 0 else i, t) for i, t in enumerate(texts)]
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(repeats.digest(docs(spark, pairs).repartition(3))))
+    assert got == sorted((i or -1, *w) for (i, _), w in zip(pairs, brute_repeats(texts, 200), strict=True))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_texts")]
+
+
 def test_neighbours(spark, sf):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16)).astype(np.float32)

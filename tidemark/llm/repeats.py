@@ -10,11 +10,15 @@ further on, up to the threshold. Between texts Spark reranks, and at each offset
    and the parts are reranked by the 184 bytes that all of a part's windows share.
 4. The windows of the parts left are reranked at the full threshold.
 
-So a row stands for many places, about one for 65 bytes instead of one a byte. Runs of equal content in one slice of a batch are
-combined before the shuffle. Ranks of the first step are 64-bit names,
+So a row stands for many places, about one for 65 bytes instead of one a byte. Ranks of the first step are 64-bit names,
 which only filter; those that decide are 128-bit digests of the bytes themselves.
 
-Texts are stored once per distinct text, bucketed, so that later steps join to them without moving them again.
+What a slice of a batch shows already is not asked of Spark: of equal content in it one row (r = 0) goes where the content
+is counted, and the others, which are repeated for certain, anywhere. The same holds of several contents under one
+rank. So a passage that a third of all texts share puts one row a slice, not one a text, into the task that counts it.
+
+Texts are stored once per distinct text, bucketed by a 128-bit key, so that later steps join to them without moving them
+again; the table that this needs is dropped when the result is written.
 
 Defined cases: null counts as empty. Texts shorter than the threshold lose nothing. Matches may overlap and may lie in
 one text; they never cross texts. Copies of a text of the threshold's length or more lose everything. Spans are cut on
@@ -110,19 +114,19 @@ def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, i
             base += len(part)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """k, c (a 96-bit key), text, copies: each distinct text once, in buckets of its key."""
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """k, c (a 128-bit key), text, copies: each distinct text once, in buckets of its key; and the name of its table."""
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(*key(F.col("text")), "text")
     once = texts.groupBy("k", "c").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"tidemark_texts_{uuid.uuid4().hex}"
     once.write.bucketBy(width, "k", "c").option("path", fresh_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def key(text: Column) -> tuple[Column, Column]:
     sha = F.sha2(text, 256)
-    return F.xxhash64(sha).alias("k"), F.hash(sha).alias("c")
+    return F.xxhash64(sha).alias("k"), F.xxhash64(F.lit(1), sha).alias("c")
 
 
 def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -144,12 +148,14 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def per_text(texts: DataFrame, places: DataFrame, find: Callable[[bytes, list[dict]], Iterator[tuple]]) -> DataFrame:
-    """k, c, at, n, own, u1, u2: what find yields, as (at, n, own, digest), of each text and its places."""
+    """k, c, at, n, own, u1, u2, times, r: what find yields, as (at, n, own, digest), of each text and its places."""
 
     def made(keys: list[tuple], got: list[tuple]) -> pa.RecordBatch:
         (k, c), (at, n, own, digest) = zip(*keys, strict=True), zip(*got, strict=True)
         u = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((k, c, at, n, own, u[:, 0].copy(), u[:, 1].copy()), TYPES, strict=True)], NAMES)
+        lead, times = equal_rows(u)
+        cols = [pa.array(x, t) for x, t in zip((k, c, at, n, own, u[:, 0].copy(), u[:, 1].copy()), TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(times), pa.array(anywhere(lead))], [*NAMES, "times", "r"])
 
     def run(batches):
         keys: list[tuple] = []
@@ -165,20 +171,39 @@ def per_text(texts: DataFrame, places: DataFrame, find: Callable[[bytes, list[di
         if got:
             yield made(keys, got)
 
-    return with_places(texts, places, "inner").mapInArrow(run, SCHEMA)
+    return with_places(texts, places, "inner").mapInArrow(run, f"{SCHEMA}, times int, r int")
+
+
+def equal_rows(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of u whether it is the first of its equals, and how many they are."""
+    order = np.lexsort((np.arange(len(u)), *u.T[::-1]))
+    fresh = np.r_[True, (np.diff(u[order], axis=0) != 0).any(axis=1)]
+    lead, times = np.zeros(len(u), bool), np.zeros(len(u), np.int32)
+    lead[order] = fresh
+    times[order] = np.diff(np.r_[np.flatnonzero(fresh), len(u)])[np.cumsum(fresh) - 1]
+    return lead, times
 
 
-SCHEMA = "k bigint, c int, at bigint, n int, own bigint, u1 bigint, u2 bigint"
-NAMES, TYPES = SCHEMA.replace(" bigint", "").replace(" int", "").split(", "), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+def anywhere(lead: np.ndarray) -> np.ndarray:
+    """0 for rows that must meet their equals, other numbers for those that need not."""
+    return np.where(lead, 0, np.arange(1, len(lead) + 1)).astype(np.int32)
+
+
+SCHEMA = "k bigint, c bigint, at bigint, n int, own bigint, u1 bigint, u2 bigint"
+NAMES, TYPES = SCHEMA.replace(" bigint", "").replace(" int", "").split(", "), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def again(df: DataFrame) -> DataFrame:
     """Rows whose content occurs more than once."""
-    return df.withColumn("same", F.count("*").over(Window.partitionBy("u1", "u2"))).where("same > 1").drop("same")
+    return df.withColumn("same", F.sum("times").over(Window.partitionBy("u1", "u2", "r"))).where("same > 1").drop("same", "times", "r")
 
 
 def ranked_runs(texts: DataFrame, length: int) -> DataFrame:
-    """The runs of all texts with rank h, times (how often this slice of a batch has the run) and lead: whether the row stands for it."""
+    """The runs of all texts with their rank h, and what their slice of a batch says of them.
+
+    times: how often the slice has the run, lead: whether the row stands for it. Of the leads of a rank the first has
+    r = 0 and weight, the number of the slice's runs under the rank; mixed: whether the slice has other content under it.
+    """
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):
@@ -187,32 +212,31 @@ def ranked_runs(texts: DataFrame, length: int) -> DataFrame:
             if not got:
                 continue
             k, at, n, own, rank, digest = zip(*got, strict=True)
-            k = np.array(k)
+            k, rank = np.array(k), np.array(rank, np.int64)
             u = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            order = np.lexsort((np.arange(len(u)), u[:, 1], u[:, 0]))
-            fresh = np.r_[True, (np.diff(u[order], axis=0) != 0).any(axis=1)]
-            lead, times = np.zeros(len(u), bool), np.zeros(len(u), np.int32)
-            lead[order] = fresh
-            times[order] = np.diff(np.r_[np.flatnonzero(fresh), len(u)])[np.cumsum(fresh) - 1]
+            lead, times = equal_rows(u)
+            first, weight = equal_rows(rank[:, None])
+            mixed = times < weight
             cols = [pa.array(x, t) for x, t in zip((keys[k], checks[k], at, n, own, u[:, 0].copy(), u[:, 1].copy()), TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rank, pa.int64()), pa.array(times), pa.array(lead)], [*NAMES, "h", "times", "lead"])
+            # The first row of a rank is the first of its content, too, and so a lead.
+            yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, (rank, times, lead, anywhere(first), weight, mixed))], [*NAMES, "h", "times", "lead", "r", "weight", "mixed"])
 
     binary = texts.select("k", "c", F.col("text").cast("binary").alias("text"))
-    return binary.mapInArrow(run, f"{SCHEMA}, h bigint, times int, lead boolean")
+    return binary.mapInArrow(run, f"{SCHEMA}, h bigint, times int, lead boolean, r int, weight int, mixed boolean")
 
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """k, c, at, n: runs of repeated windows of the texts."""
     every = cut(ranked_runs(texts, length), "runs")
-    rank, content = Window.partitionBy("h"), Window.partitionBy("h", "u1", "u2")
+    rank, content = Window.partitionBy("h", "r"), Window.partitionBy("h", "u1", "u2")
     left = cut(
         every.where("lead")
-        .withColumn("same_rank", F.sum("times").over(rank))
-        .where("same_rank > 1")
+        .withColumn("same_rank", F.sum("weight").over(rank))
+        .where("same_rank > 1 OR mixed")
         .withColumn("same", F.sum("times").over(content))
         .withColumn("nth", F.row_number().over(content.orderBy("k", "at")))
         # Another content under the same rank: some run is not a copy of all the others.
-        .select("k", "c", "at", "n", "own", (F.col("same") > 1).alias("whole"), ((F.col("same") < F.col("same_rank")) & (F.col("nth") == 1)).alias("open")),
+        .select("k", "c", "at", "n", "own", (F.col("same") > 1).alias("whole"), ((F.col("mixed") | (F.col("same") < F.col("same_rank"))) & (F.col("nth") == 1)).alias("open")),
         "left",
     )
 
@@ -237,7 +261,7 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def prune(docs: DataFrame, length: int = LENGTH, content: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if content, kept (the remaining bytes) of every row of docs."""
-    texts = distinct_texts(docs)
+    texts, name = distinct_texts(docs)
     schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * content
 
     def cover(batches):
@@ -258,9 +282,11 @@ def prune(docs: DataFrame, length: int = LENGTH, content: bool = True) -> DataFr
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch["k"], batch["c"], *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], ["k", "c", *schema.split()[::2]])
 
-    done = with_places(texts, repeated(texts, length), "left").mapInArrow(cover, f"k bigint, c int, {schema}")
+    done = with_places(texts, repeated(texts, length), "left").mapInArrow(cover, f"k bigint, c bigint, {schema}")
     rows = docs.select("doc_id", *key(F.coalesce("text", F.lit(""))))
-    return rows.join(done, ["k", "c"]).drop("k", "c")
+    result = cut(rows.join(done, ["k", "c"]).drop("k", "c"), "pruned")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return result
 
 
 def digest(docs: DataFrame) -> DataFrame:
