@@ -65,6 +65,7 @@ class Encoder:
         self.odd, self.space = re.compile("[\x1c-\x1f]"), re.compile(f"[{SPACE}]+")
         self.ids: dict[str, bytes] = {}
         self.said: dict[str, str] = {}
+        self.sizes: dict[str, int] = {}
 
     def rank(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -127,16 +128,25 @@ class Encoder:
             hit = hit[~alone | np.r_[True, np.diff(word[hit]) != 0]]
         return hit
 
-    def learn(self, chunks: set[str], decode: bool) -> None:
-        """Encode the chunks not yet known. No word crosses white space, so a chunk between white space is a unit."""
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-            self.said.clear()
-        new = chunks - (self.said.keys() if decode else self.ids.keys())
+    def learn(self, chunks: set[str], known: dict[str, str] | dict[str, bytes] | dict[str, int]) -> None:
+        """Encode the chunks not yet known. No word crosses white space, so a chunk between white space is a unit.
+
+        known says what is wanted of a chunk: its tokens' names (said) and ids, its ids alone, or how many they are (sizes).
+        """
+        decode = known is self.said
+        if len(known) > REMEMBERED:
+            known.clear()
+            if decode:
+                self.ids.clear()
+        new = chunks - known.keys()
         # Letters only: one word.
         words = {c: [c] if c.isalpha() else self.words.findall(c) for c in new}
         place = {w: k for k, w in enumerate(dict.fromkeys(w for found in words.values() for w in found))}
         flat, starts = self.encode_words(list(place))
+        if known is self.sizes:
+            size = np.diff(starts).tolist()
+            self.sizes.update((chunk, size[place[found[0]]] if len(found) == 1 else sum(size[place[w]] for w in found)) for chunk, found in words.items())
+            return
         raw, bounds = flat.astype("<u4").tobytes(), starts.tolist()
         names = list(map(self.names.__getitem__, flat.tolist())) if decode else []
         for chunk, found in words.items():
@@ -156,19 +166,25 @@ class Encoder:
             out.append(([c for c in chunks if c] if "" in chunks else chunks, self.special[parts[k + 1]] if k + 1 < len(parts) else None))
         return out
 
-    def encode(self, texts: list[str], decode: bool = True) -> list[tuple[bytes, str]]:
-        """Of each text the ids as little-endian 32-bit integers, and if decode the decoded text."""
+    def known_pieces(self, texts: list[str], known: dict) -> list[list[tuple[list[str], int | None]]]:
+        pieces = [self.pieces(t) for t in texts]
         collecting = gc.isenabled()
         gc.disable()  # millions of strings are made here, and no cycles
         try:
-            return self._encode(texts, decode)
+            self.learn(set().union(*(words for text in pieces for words, _ in text)), known)
         finally:
             if collecting:
                 gc.enable()
+        return pieces
 
-    def _encode(self, texts: list[str], decode: bool) -> list[tuple[bytes, str]]:
-        pieces = [self.pieces(t) for t in texts]
-        self.learn(set().union(*(words for text in pieces for words, _ in text)), decode)
+    def count(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        pieces = self.known_pieces(texts, self.sizes)
+        return [sum(sum(map(self.sizes.__getitem__, words)) + (special is not None) for words, special in text) for text in pieces]
+
+    def encode(self, texts: list[str], decode: bool = True) -> list[tuple[bytes, str]]:
+        """Of each text the ids as little-endian 32-bit integers, and if decode the decoded text."""
+        pieces = self.known_pieces(texts, self.said if decode else self.ids)
         out = []
         for text in pieces:
             ids, said = [], []
@@ -190,21 +206,29 @@ def encoder(path: str) -> Encoder:
 
 def tokenize(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000) -> DataFrame:
     """doc_id, ids ARRAY<INT>, decoded STRING of every text. vocabulary: the tokenizer file's path on every executor."""
-    return _each(docs, ["doc_id"], vocabulary, batch_chars, "ids array<int>, decoded string", lambda ids, said: (np.frombuffer(ids, "<u4").astype(np.int32), said), [pa.list_(pa.int32()), pa.string()])
+    whole = lambda coder, texts: [(np.frombuffer(ids, "<u4").astype(np.int32), said) for ids, said in coder.encode(texts)]
+    return _each(docs, ["doc_id"], vocabulary, batch_chars, "ids array<int>, decoded string", whole, [pa.list_(pa.int32()), pa.string()])
 
 
 def encode(docs: DataFrame, vocabulary: str, *keep: str, batch_chars: int = 2_000_000) -> DataFrame:
     """The columns to keep and ids BINARY of every text, the ids as little-endian unsigned 32-bit integers. Nothing is decoded."""
-    return _each(docs, list(keep), vocabulary, batch_chars, "ids binary", lambda ids, said: (ids,), [pa.binary()], decode=False)
+    ids = lambda coder, texts: [x[:1] for x in coder.encode(texts, decode=False)]
+    return _each(docs, list(keep), vocabulary, batch_chars, "ids binary", ids, [pa.binary()])
+
+
+def count(docs: DataFrame, vocabulary: str, *keep: str, batch_chars: int = 2_000_000) -> DataFrame:
+    """The columns to keep and total INT, the number of ids of every text."""
+    return _each(docs, list(keep), vocabulary, batch_chars, "total int", lambda coder, texts: [(n,) for n in coder.count(texts)], [pa.int32()])
 
 
 def digest(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000) -> DataFrame:
     """The contract's row for each document."""
     sha = lambda data: hashlib.sha256(data).hexdigest()
-    return _each(docs, ["doc_id"], vocabulary, batch_chars, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda ids, said: (len(ids) // 4, sha(ids), sha(said.encode())), [pa.int64(), pa.string(), pa.string()])
+    rows = lambda coder, texts: [(len(ids) // 4, sha(ids), sha(said.encode())) for ids, said in coder.encode(texts)]
+    return _each(docs, ["doc_id"], vocabulary, batch_chars, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows, [pa.int64(), pa.string(), pa.string()])
 
 
-def _each(docs: DataFrame, keep: list[str], vocabulary: str, batch_chars: int, columns: str, row, types, decode: bool = True) -> DataFrame:
+def _each(docs: DataFrame, keep: list[str], vocabulary: str, batch_chars: int, columns: str, rows, types) -> DataFrame:
     docs = docs.select(*keep, "text")
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -216,7 +240,7 @@ def _each(docs: DataFrame, keep: list[str], vocabulary: str, batch_chars: int, c
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
                 if size >= batch_chars or k == batch.num_rows:
-                    cols = zip(*(row(*x) for x in coder.encode(texts, decode)), strict=True)
+                    cols = zip(*rows(coder, texts), strict=True)
                     kept = [batch[c].slice(start, k - start) for c in keep]
                     yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *names])
                     start, size, texts = k, 0, []

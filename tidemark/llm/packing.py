@@ -35,10 +35,13 @@ OVERHEAD = 32
 PART, PLAN_ROWS = 50_000, 200_000
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key(F.col("doc_id"), text_digest()).alias("key"), "doc_id", "text")
+
+
 def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """key (of doc_id and text), doc_id, total, ids of every row of docs, written once."""
-    keyed = docs.select(row_key(F.col("doc_id"), text_digest()).alias("key"), "doc_id", "text")
-    encoded = bpe.encode(keyed, vocabulary, "key", "doc_id")
+    encoded = bpe.encode(with_key(docs), vocabulary, "key", "doc_id")
     return cut(encoded.select("key", "doc_id", (F.length("ids") / 4).cast("int").alias("total"), "ids"), "tokens", "zstd")
 
 
@@ -141,7 +144,7 @@ def place(items: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD) ->
 
 def pack(docs: DataFrame, vocabulary: str, capacities=CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
     """doc_id, piece, start, n_tokens, bin_id, bin_capacity, bin_offset: which of a document's ids lie where, a row per piece of every row of docs."""
-    return place(tokens(docs, vocabulary).select("key", "doc_id", "total"), capacities, overhead).drop("key")
+    return place(bpe.count(with_key(docs), vocabulary, "key", "doc_id"), capacities, overhead).drop("key")
 
 
 def sequences(docs: DataFrame, vocabulary: str, capacities=CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
