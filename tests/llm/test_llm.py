@@ -285,6 +285,43 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_a_foreign_archive(spark, tmp_path):
+    """Bare line feeds, other types, bytes that are no text, a gzip member per record, and a payload of megabytes."""
+    import gzip
+    import io
+
+    fields = {v: " ".join(f) for v, f in warc.ARC_FIELDS.items()}
+    opening = f"1 0 Other Crawler\n{fields[1]}\n\n".encode()
+    big = b"<p>\xff\x00big" + b"x" * 3_000_000
+    bodies = [b"HTTP/1.0 200 OK\nServer: x\n\n" + big, b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + big, b"1.2.3.4", b"HTTP/1.1 204 No Content\r\nX: y"]
+    urls = ["http://a/1", "http://b/2", "dns:a", "http://c/3"]
+    parts = [f"filedesc://old.arc 0.0.0.0 20010203040506 text/plain {len(opening)}\n".encode() + opening]
+    parts += [f"{u} 1.2.3.4 2001020304050{k} text/html {len(c)}\n".encode() + c + b"\n" for k, (u, c) in enumerate(zip(urls, bodies, strict=True))]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts))
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    got = [x for r in warc.files(spark, f"file://{tmp_path}/warc").collect() for x in warc.read_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(bytes(r["content"])))))]
+    heads = {h.get("warc-target-uri", h.get("warc-filename")): (h, block) for h, block in got}
+    assert {u: h["warc-type"] for u, (h, _) in heads.items()} == {"old.arc": "warcinfo", urls[0]: "response", urls[1]: "response", urls[2]: "resource", urls[3]: "resource"}
+    assert heads[urls[0]][1] == bodies[0] and heads[urls[2]][1] == bodies[2] and heads["old.arc"][1] == opening
+    assert heads[urls[0]][0]["warc-payload-digest"] == f"sha256:{hashlib.sha256(big).hexdigest()}" and heads[urls[0]][0]["warc-date"] == "2001-02-03T04:05:00Z"
+    assert sorted(r["payload_bytes"] for r in warc.index(spark, f"file://{tmp_path}/warc").collect()) == [len(big)] * 2
+
+
+def test_warc_revisits_name_their_response(spark, tmp_path):
+    import gzip
+    import io
+
+    df = spark.createDataFrame([(k, f"http://h/{k}", "same " * 50) for k in (5, 3, 9)], "page_id bigint, url string, html string")
+    warc.write_arc(df, f"{tmp_path}/arc", 2)
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    got = [h for r in warc.files(spark, f"{tmp_path}/warc").collect() for h, _ in warc.read_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(bytes(r["content"])))))]
+    first = next(h for h in got if h["warc-type"] == "response")
+    assert first["x-page-id"] == "3"
+    again = [h for h in got if h["warc-type"] == "revisit"]
+    assert len(again) == 2 and all(h["warc-refers-to"] == first["warc-record-id"] and h["warc-refers-to-target-uri"] == "http://h/3" and h["warc-refers-to-date"] == first["warc-date"] for h in again)
+
+
 CAPACITIES = (64, 128, 256, 4096)
 
 
