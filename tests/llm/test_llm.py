@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -259,6 +260,43 @@ def test_quality(spark, sf):
     assert got.score.between(0, 1).all()
 
 
+def least_squares_rising(y):
+    """The rising sequence nearest to y by the min-max formula over all intervals."""
+    n = len(y)
+    sums = np.r_[0, np.cumsum(y)]
+    mean = lambda a, b: (sums[b + 1] - sums[a]) / (b - a + 1)
+    return np.array([max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)])
+
+
+def test_quality_against_a_direct_solution(spark, sf):
+    """All training rows in one array: the same weights, and a curve as near as its bins allow to the exact isotonic fit."""
+    d, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    chosen = quality.sample(d, labels)
+    model = quality.train(quality.measure(d).join(chosen.labels, "doc_id").repartition(5), chosen)
+    rows_ = d.select("doc_id", "text").join(labels, "doc_id").where("quality IN (0, 1)").toPandas()
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 for i in rows_.doc_id])
+    x, y = np.array([quality.statistics(t) for t in rows_.text]), rows_.quality.to_numpy(float)
+    fit, calibrate = (fold != quality.HELD_OUT) & (fold != quality.CALIBRATE), fold == quality.CALIBRATE
+    mean, scale = x[fit].mean(axis=0), np.maximum(x[fit].std(axis=0), 1e-6)
+    z = quality.fourier((x - mean) / scale)
+    share = y[fold != quality.HELD_OUT].mean()
+    weight = np.where(y[fit] > 0.5, 0.5 / share, 0.5 / (1 - share))
+    a = z[fit].T @ (z[fit] * weight[:, None])
+    direct = np.linalg.solve(a + quality.RIDGE * np.trace(a) / len(a) * np.eye(len(a)), z[fit].T @ (weight * y[fit]))
+    assert np.allclose(direct, model.weights, atol=1e-6)
+    raw = z @ direct
+    order = np.argsort(raw[calibrate], kind="stable")
+    exact = least_squares_rising(y[calibrate][order])
+    assert (np.diff(model.curve) >= 0).all() and np.abs(model.score(x[calibrate][order]) - exact).mean() < 0.02
+    assert np.allclose(quality.isotonic(y[calibrate][order].tolist(), [1] * int(calibrate.sum())), exact)
+
+
+def test_quality_of_a_very_long_text(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int")
+    texts = docs(spark, [(1, "The good text of it. " * 200_000), (2, "!!! ### $$$"), (9, "x" * 3_000_000)])
+    assert all(0 <= r["score"] <= 1 for r in rows(quality.classify(texts, labels)))
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     texts = docs(spark, [(1, "The good text of it."), (2, "!!! ### $$$"), (5, None), (None, ""), (5, None)])

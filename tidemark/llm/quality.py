@@ -81,16 +81,17 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, stats of every text. Narrow: no shuffle."""
-    docs = docs.select("doc_id", "text")
+def measure(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, stats of every text. Narrow: no shuffle."""
+    keep = ("doc_id", *keep)
+    docs = docs.select(*keep, "text")
 
     def run(batches):
         for batch in batches:
             stats = [statistics(t.as_py()) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(stats, pa.list_(pa.float64()))], [*keep, "stats"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>")
+    return docs.mapInArrow(run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "stats array<double>"]))
 
 
 class Model(NamedTuple):
@@ -122,15 +123,35 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | float:
-    """stats(doc_id, stats), labels(doc_id, quality). A number instead of a model where one side has no label."""
-    rows = stats.join(labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").distinct(), "doc_id").withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
-    rows = cut(rows.select("doc_id", "stats", F.col("quality").cast("double").alias("y"), "fold"), "train")
-    n, ones = rows.agg(F.count("*"), F.sum("y")).first()
-    if not n or ones in (0, n):
-        return ones / n if n else 1.0
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / n))
-    rows = rows.where(share)
+class Sample(NamedTuple):
+    """The labelled rows that may train, and which of them do."""
+
+    labels: DataFrame
+    """doc_id, y, fold."""
+    n: int
+    ones: float
+    chosen: Column
+    """The condition on doc_id of a share of rows that comes to max_rows at most, about."""
+
+    def only(self) -> float | None:
+        """The score of every text where one side has no label."""
+        return None if 0 < self.ones < self.n else self.ones / self.n if self.n else 1.0
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Sample:
+    """Of docs only doc_id is read."""
+    valid = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y")).distinct().withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
+    n, ones = docs.select("doc_id").join(valid, "doc_id").agg(F.count("*"), F.sum("y")).first()
+    share = min(1.0, max_rows / n) if n else 1.0
+    return Sample(valid, n, ones or 0.0, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
+
+
+def train(rows: DataFrame, chosen: Sample) -> Model | float:
+    """rows(doc_id, stats, y, fold) of a sample. A number instead of a model where one side has no label."""
+    if (only := chosen.only()) is not None:
+        return only
+    rows = cut(rows.select("doc_id", "stats", "y", "fold"), "train")
+    n, ones = chosen.n, chosen.ones
     width = len(NAMES)
     moments = [f(F.col("stats")[k]) for k in range(width) for f in (F.avg, F.stddev_pop)]
     got = np.array(rows.where(F.col("fold") != CALIBRATE).agg(*moments).first(), dtype=float).reshape(width, 2)
@@ -198,8 +219,8 @@ def score(stats: DataFrame, model: Model | float) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    stats = cut(measure(docs), "stats")
-    return score(stats, train(stats, labels)).select(
+    stats, chosen = cut(measure(docs), "stats"), sample(docs, labels)
+    return score(stats, train(stats.where(chosen.chosen).join(chosen.labels, "doc_id"), chosen)).select(
         "doc_id",
         (F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) == HELD_OUT)).alias("held_out"),
         "score",
@@ -208,8 +229,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score at or above the threshold, with all columns. One narrow pass after training."""
-    model = train(cut(measure(docs), "stats"), labels)
+    """The rows of docs that score at or above the threshold, with all columns. Training measures its sample only, then each text is measured once."""
+    chosen = sample(docs, labels)
+    labelled = docs.select("doc_id", "text").where(chosen.chosen & (fold(F.col("doc_id")) != HELD_OUT)).join(chosen.labels, "doc_id")
+    model = train(measure(labelled, "y", "fold"), chosen)
     at = docs.columns.index("text")
 
     def run(batches):
