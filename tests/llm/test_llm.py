@@ -455,6 +455,41 @@ def test_secrets(spark):
     assert all(clean[i] == t for i, t in enumerate(texts) if not got[i]["spans"])
 
 
+def test_secrets_edges(spark):
+    """Empty table, repeated rows, null doc_id, a column of the operator's own name, long runs of half a match, other tokens."""
+    table = docs(spark, [(1, "x"), (1, "x"), (None, "token: abcdefghijklmnop"), (2, None)]).withColumnRenamed("same", "found")
+    got = secrets.scan(table)
+    assert got.columns == [*table.columns, "found_"] and secrets.scan(table.limit(0)).count() == 0 == secrets.digest(table.limit(0)).count()
+    assert collections.Counter((r["doc_id"], len(r["found_"]), r["found"]) for r in got.collect()) == {(1, 0, "y"): 2, (None, 1, "y"): 1, (2, 0, "y"): 1}
+    assert [(k, e) for _, k, e in secrets.find(("password" + " " * 300_000 + "=").encode() * 3)] == []
+    for text, kind in (("AIza" + "x" * 35, "google"), ("xoxb-" + "1a" * 12, "slack"), ("sk_live_" + "Z9" * 12, "stripe"), ("eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".c-_", "jwt")):
+        assert [(s, secrets.RULES[k].kind, e) for s, k, e in secrets.find(f"see {text} here".encode()) if k >= secrets.BASE] == [(4, kind, 4 + len(text))]
+
+
+def test_rules_parser():
+    """Automata of generated patterns, forwards and backwards, against the regex engine."""
+    rng = random.Random(13)
+
+    def pattern(depth):
+        atoms = ["a", "b", "[ab]", "[b-d]", r"\x61", r"\.", "[^"[:1] + "c-]"]
+        out = "".join((f"({pattern(depth - 1)}|{pattern(depth - 1)})" if depth and rng.random() < 0.4 else rng.choice(atoms)) + rng.choice(["", "", "?", "*", "+", "{2}", "{1,}", "{0,2}"]) for _ in range(rng.randint(1, 3)))
+        return out
+
+    def accepts(rows, data):
+        at = 0
+        for b in data:
+            at = rows[at][b]
+        return bool(rows[at][256])
+
+    for _ in range(50):
+        p = pattern(2)
+        ahead, back = secrets.compile_table([p], True, False), secrets.compile_table([p], True, True)
+        for _ in range(25):
+            text = "".join(rng.choices("abcd.-", k=rng.randint(0, 6)))
+            want = bool(re.fullmatch(p, text))
+            assert accepts(ahead, text.encode()) == want == accepts(back, text[::-1].encode()), (p, text)
+
+
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
     if not words:

@@ -5,7 +5,8 @@ whose states say which rules have a match ending there. One pass over the bytes
 every rule at once; each end's start comes from the rule's reversed automaton, which reads the match backwards only.
 
 Defined cases: null text counts as empty and has no spans. A rule's matches are leftmost, longest and do not overlap;
-matches of different rules may. A match that fails its length test is dropped but still consumes its text. Offsets
+matches of different rules may. Neighbouring ends are read as one match that goes on, so a rule's pattern must end in a
+repeated class, or in characters that end no other match beside it. A match that fails its length test is dropped but still consumes its text. Offsets
 are code points, the end exclusive. Null doc_id and repeated rows are kept as they are. A text of any length is
 scanned whole.
 """
@@ -14,14 +15,14 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from re import _constants as C
-from re import _parser
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.util import unused
+
 
 class Rule(NamedTuple):
     kind: str
@@ -41,10 +42,86 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r".{40,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", r".{39,}"),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", r".{24,}"),
+    Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", r".{24,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r".{40,}"),
 )
 BASE = 3
 
 
+class Parser:
+    """Rules' patterns as nested lists: ("in", bytes), ("any", branches), ("repeat", least, most or None, branches). A branch is a list of these.
+
+    Known are letters that stand for themselves, escapes, classes of ASCII characters and ranges, groups, branches and the
+    counts ?, *, +, {n}, {n,} and {n,m}.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.at = pattern, 0
+
+    def peek(self) -> str:
+        return self.pattern[self.at : self.at + 1]
+
+    def take(self) -> str:
+        self.at += 1
+        return self.pattern[self.at - 1]
+
+    def char(self) -> int:
+        c = self.take()
+        if c != "\\":
+            return ord(c)
+        c = self.take()
+        if c == "x":
+            self.at += 2
+            return int(self.pattern[self.at - 2 : self.at], 16)
+        if c.isalnum():
+            raise ValueError(f"not supported in a rule: \\{c}")
+        return ord(c)
+
+    def branches(self) -> list[list]:
+        out: list[list] = [[]]
+        while self.peek() not in ("", ")"):
+            if self.peek() == "|":
+                self.take()
+                out.append([])
+            else:
+                out[-1].append(self.counted(self.item()))
+        return out
+
+    def item(self) -> tuple:
+        if self.peek() == "(":
+            self.take()
+            inner = self.branches()
+            self.take()
+            return ("any", inner)
+        if self.peek() == "[":
+            self.take()
+            members: set[int] = set()
+            while self.peek() != "]":
+                low = self.char()
+                if self.peek() == "-" and self.pattern[self.at + 1 : self.at + 2] != "]":
+                    self.take()
+                    members |= set(range(low, self.char() + 1))
+                else:
+                    members.add(low)
+            self.take()
+            return ("in", frozenset(members))
+        if self.peek() in ".^$*+?{":
+            raise ValueError(f"not supported in a rule: {self.peek()}")
+        return ("in", frozenset([self.char()]))
+
+    def counted(self, item: tuple) -> tuple:
+        known = {"?": (0, 1), "*": (0, None), "+": (1, None)}
+        if self.peek() in known and self.peek():
+            return ("repeat", *known[self.take()], [[item]])
+        if self.peek() != "{":
+            return item
+        low, comma, high = self.pattern[self.at + 1 : self.pattern.index("}", self.at)].partition(",")
+        self.at = self.pattern.index("}", self.at) + 1
+        return ("repeat", int(low), int(high) if high else None if comma else int(low), [[item]])
+
+
 class Nfa:
     """Thompson's construction; edges[s] holds (bytes, target), free[s] the targets that take no byte."""
 
@@ -57,43 +134,39 @@ class Nfa:
         self.free.append([])
         return len(self.edges) - 1
 
-    def build(self, items, at: int, backwards: bool) -> int:
-        """Add a parsed sequence that begins in state at; returns the state in which it ends."""
-        for op, arg in reversed(items) if backwards else items:
-            if op is C.LITERAL:
-                at = self.step(at, frozenset([arg]))
-            elif op is C.IN:
-                at = self.step(at, members(arg))
-            elif op is C.SUBPATTERN:
-                at = self.build(list(arg[-1]), at, backwards)
-            elif op is C.BRANCH:
-                ends, out = [self.build(list(x), at, backwards) for x in arg[1]], self.state()
-                for end in ends:
-                    self.free[end].append(out)
-                at = out
-            elif op is C.MAX_REPEAT:
-                at = self.repeat(arg, at, backwards)
+    def build(self, items: list[tuple], at: int, backwards: bool) -> int:
+        """Add a branch that begins in state at; returns the state in which it ends."""
+        for kind, *arg in reversed(items) if backwards else items:
+            if kind == "in":
+                at = self.step(at, arg[0])
+            elif kind == "any":
+                at = self.choice(arg[0], at, backwards)
             else:
-                raise ValueError(f"not supported in a rule: {op}")
+                at = self.repeat(*arg, at, backwards)
         return at
 
+    def choice(self, branches: list[list], at: int, backwards: bool) -> int:
+        ends, out = [self.build(x, at, backwards) for x in branches], self.state()
+        for end in ends:
+            self.free[end].append(out)
+        return out
+
     def step(self, at: int, on: frozenset[int]) -> int:
         self.edges[at].append((on, to := self.state()))
         return to
 
-    def repeat(self, arg, at: int, backwards: bool) -> int:
-        least, most, body = arg[0], arg[1], list(arg[2])
+    def repeat(self, least: int, most: int | None, body: list[list], at: int, backwards: bool) -> int:
         for _ in range(least):
-            at = self.build(body, at, backwards)
-        if most is C.MAXREPEAT:
+            at = self.choice(body, at, backwards)
+        if most is None:
             loop = self.state()
             self.free[at].append(loop)
-            self.free[self.build(body, loop, backwards)].append(loop)
+            self.free[self.choice(body, loop, backwards)].append(loop)
             return loop
         out = self.state()
         for _ in range(most - least):
             self.free[at].append(out)
-            at = self.build(body, at, backwards)
+            at = self.choice(body, at, backwards)
         self.free[at].append(out)
         return out
 
@@ -107,13 +180,6 @@ class Nfa:
         return frozenset(seen)
 
 
-def members(parts) -> frozenset[int]:
-    out: set[int] = set()
-    for op, arg in parts:
-        out |= {arg} if op is C.LITERAL else set(range(arg[0], arg[1] + 1))
-    return frozenset(out)
-
-
 def compile_table(patterns, anchored: bool, backwards: bool) -> list[list[int]]:
     """Rows of a minimal automaton: 256 next states, then the bit set of the patterns that match up to here."""
     nfa = Nfa()
@@ -122,7 +188,7 @@ def compile_table(patterns, anchored: bool, backwards: bool) -> list[list[int]]:
     for i, pattern in enumerate(patterns):
         first = nfa.state()
         nfa.free[start].append(first)
-        ends[nfa.build(list(_parser.parse(pattern)), first, backwards)] = 1 << i
+        ends[nfa.choice(Parser(pattern).branches(), first, backwards)] = 1 << i
     begin = nfa.closure([start])
     ids, todo, rows = {begin: 0}, [begin], []
     for states in todo:
@@ -165,11 +231,14 @@ def minimise(rows: list[list[int]]) -> list[list[int]]:
 
 
 def linked(rows: list[list[int]]) -> list[list]:
-    """The same table with each next state given as its row, so that a step is one list access."""
+    """The same table with each next state given as its row, so that a step is one list access. A state that leads nowhere is empty."""
     made: list[list] = [[] for _ in rows]
     for row, new in zip(rows, made, strict=True):
         new.extend(made[t] for t in row[:256])
         new.append(row[256])
+    for k, row in enumerate(rows):
+        if not row[256] and set(row[:256]) == {k}:
+            made[k].clear()
     return made
 
 
@@ -198,6 +267,8 @@ def find(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, i
             row, start = back[k][0], -1
             for at in range(i, after - 1, -1):
                 row = row[data[at]]
+                if not row:
+                    break
                 if row[256]:
                     start = at
             if start >= 0:
@@ -208,7 +279,11 @@ def find(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, i
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of docs, and found: ARRAY<STRUCT<kind, start, stop>> in code points, by start, then rule. Narrow: no shuffle."""
+    """All columns of docs, and found: ARRAY<STRUCT<kind, start, stop>> in code points, by start, then rule. Narrow: no shuffle.
+
+    Where docs has a column of that name the new one has underscores after it.
+    """
+    name = unused(docs, "found")
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
@@ -217,9 +292,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             for text in batch.column(batch.schema.get_field_index("text")):
                 data = (text.as_py() or "").encode()
                 out.append([{"kind": rules[k].kind, "start": len(data[:s].decode()), "stop": len(data[:e].decode())} for s, k, e in find(data, rules)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, spans)], [*batch.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, spans)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn("found", F.expr("CAST(NULL AS ARRAY<STRUCT<kind: STRING, start: BIGINT, stop: BIGINT>>)")).schema)
+    return docs.mapInArrow(run, docs.withColumn(name, F.expr("CAST(NULL AS ARRAY<STRUCT<kind: STRING, start: BIGINT, stop: BIGINT>>)")).schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
