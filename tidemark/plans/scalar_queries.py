@@ -54,6 +54,19 @@ def src2_folder_scan(t):
     return found.select(F.regexp_replace("key", "^folder=(.*)/account=(.*)/part-.*$", "$1/$2.txt").alias("key"), "size")
 
 
+@query("", "SELECT concat(c_custkey, '/', n, '.bin') AS key, c_custkey * 10 + n AS size, concat('v', n) AS version FROM customer, range(3) r(n)")
+def src2_prefix_listing(t):
+    """A store that only a function knows, listed below a table of prefixes."""
+
+    def lister(prefix):
+        yield (prefix, 0, "", None)
+        for n in range(3):
+            yield (f"{prefix}{n}.bin", int(prefix[:-1]) * 10 + n, f"v{n}", None)
+
+    prefixes = t.customer.select(F.concat(F.col("c_custkey").cast("string"), F.lit("/")).alias("prefix"))
+    return readers.listing_by(prefixes, lister).select("key", "size", "version")
+
+
 @query("messages", "SELECT message_id, delivery_count, message FROM messages")
 def src3_event_message_scan(t):
     path = fresh_path(t.spark, "messages")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,6 +70,25 @@ def write_inventory(listing: DataFrame, path: str) -> None:
     listing.select("key", "size", "mod_time").write.option("header", True).option("escape", '"').csv(path)
 
 
+def listing_by(prefixes: DataFrame, lister: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """prefixes(prefix): key, size, version, mod_time of what a store of any kind lists below each, folder markers left out.
+
+    lister(prefix) yields rows of these four page by page and runs in tasks; prefixes that do not overlap are listed in
+    parallel, and a task holds a batch of rows at a time.
+    """
+    schema = "key string, size bigint, version string, mod_time timestamp_ntz"
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.timestamp("us")]
+
+    def run(batches):
+        for batch in batches:
+            for prefix in batch["prefix"].to_pylist():
+                rows = iter(lister(prefix))
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], ["key", "size", "version", "mod_time"])
+
+    return prefixes.select("prefix").mapInArrow(run, schema).where(~folder_marker("key"))
+
+
 MESSAGE = "message_id bigint, delivery_count bigint, message string"
 
 
