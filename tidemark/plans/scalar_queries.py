@@ -44,7 +44,10 @@ def src2_listing_scan(t):
     return readers.inventory_scan(t.spark, path)
 
 
-@query("accounts", "SELECT concat('r', area, '/', account, '.txt') AS key, octet_length(encode(title)) + 1 AS size FROM accounts WHERE account % 25 = 1")
+@query(
+    "accounts",
+    """SELECT concat('r', area, '/', account, '.txt') AS key, octet_length(encode(title)) + 1 AS size FROM accounts WHERE account % 25 = 1""",
+)
 def src2_folder_scan(t):
     """Objects as Spark finds them below a folder, for roots of few files."""
     path = fresh_path(t.spark, "objects")
@@ -74,7 +77,11 @@ def src3_event_message_scan(t):
     return readers.message_scan(t.spark, path)
 
 
-@query("messages", "SELECT CAST(message_id AS VARCHAR) AS event_id, count(*) AS n FROM messages WHERE message_id % 41 <> 0 AND message_id % 2 = 1 AND message_id % 43 <> 0 GROUP BY 1")
+@query(
+    "messages",
+    """SELECT CAST(message_id AS VARCHAR) AS event_id, count(*) AS n FROM messages WHERE message_id % 41 <> 0 AND message_id % 2 = 1
+       AND message_id % 43 <> 0 GROUP BY 1""",
+)
 def src3_webhook_scan(t):
     """Request bodies, one a line."""
     path = fresh_path(t.spark, "bodies")
@@ -101,7 +108,11 @@ def src5_record_scan(t):
     return readers.record_scan(t.record, "docs-en", "src3/").select("key", "status", "synced_at")
 
 
-@query("specs", "SELECT name, revision, enabled, json_extract_string(spec, '$.source.azure.container') AS container, json_extract_string(spec, '$.part_size') AS part_size FROM specs")
+@query(
+    "specs",
+    """SELECT name, revision, enabled, json_extract_string(spec, '$.source.azure.container') AS container, json_extract_string(spec,
+       '$.part_size') AS part_size FROM specs""",
+)
 def src6_spec_scan(t):
     got = readers.spec_scan(t.specs, "struct<source:struct<azure:struct<container:string>>,part_size:string>")
     return got.select("name", "revision", "enabled", F.col("parsed.source.azure.container").alias("container"), F.col("parsed.part_size").alias("part_size"))
@@ -168,7 +179,11 @@ def snk4_report_sink(t):
     return read.select(F.array_join(F.transform("r", lambda x: F.concat(x["outcome"], F.lit("="), x["n"].cast("string"))), ",").alias("line"))
 
 
-@query("", "SELECT concat('d/', doc_id) AS key, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256, 'synced' AS outcome FROM documents")
+@query(
+    "",
+    """SELECT concat('d/', doc_id) AS key, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256,
+       'synced' AS outcome FROM documents""",
+)
 def snk5_verified_copy(t):
     objects = t.documents.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     return sinks.verified_copy(objects, fresh_path(t.spark, "copied"))
@@ -177,7 +192,11 @@ def snk5_verified_copy(t):
 GLOBS = ["src*/doc-*[05].txt", "**/tmp/*", "src1/**", "gone?/x"]
 
 
-@query("listing", r"""SELECT key FROM listing WHERE regexp_full_match(key, '(?s)src[^/]*/doc-[^/]*[05]\.txt|(?:.*/)?tmp/[^/]*|src1/.*|gone[^/]/x') AND NOT regexp_full_match(key, '(?s)(?:.*/)?doc-[1][^/]*')""")
+@query(
+    "listing",
+    r"""SELECT key FROM listing WHERE regexp_full_match(key, '(?s)src[^/]*/doc-[^/]*[05]\.txt|(?:.*/)?tmp/[^/]*|src1/.*|gone[^/]/x')
+       AND NOT regexp_full_match(key, '(?s)(?:.*/)?doc-[1][^/]*')""",
+)
 def flt1_glob_filter(t):
     return t.listing.where(globs.matches("key", GLOBS, ["**/doc-[1]*"])).select("key")
 
@@ -187,7 +206,10 @@ def flt2_prefix_scope(t):
     return t.listing.where(text.in_prefix("key", F.lit("src1/"))).select(text.strip_prefix("key", F.lit("src1/")).alias("key"))
 
 
-@query("listing record", "SELECT l.key FROM listing l LEFT JOIN record r USING (pipeline_id, key) WHERE r.key IS NULL AND l.mod_time < TIMESTAMP '2024-01-01 06:00:00'")
+@query(
+    "listing record",
+    """SELECT l.key FROM listing l LEFT JOIN record r USING (pipeline_id, key) WHERE r.key IS NULL AND l.mod_time < TIMESTAMP '2024-01-01 06:00:00'""",
+)
 def flt3_ignore_before(t):
     from tidemark.operators import reconcile
 
@@ -211,20 +233,33 @@ def flt5_event_target_map(t):
     return got.select("message_id", "disposition")
 
 
-@query("record", "SELECT key, status <> 'synced' AS open, status <> 'deleted' AS live, status = 'failed' OR last_error <> '' AS has_error FROM record WHERE status <> 'synced'")
+@query(
+    "record",
+    """SELECT key, status <> 'synced' AS open, status <> 'deleted' AS live, status = 'failed' OR last_error <> '' AS has_error FROM record
+       WHERE status <> 'synced'""",
+)
 def flt6_state_predicates(t):
     return t.record.where("status <> 'synced'").select("key", F.expr("status <> 'synced'").alias("open"), F.expr("status <> 'deleted'").alias("live"), F.expr("status = 'failed' OR last_error <> ''").alias("has_error"))
 
 
-ETAG = """CASE doc_id % 5 WHEN 0 THEN concat(' W/"', doc_id, '" ') WHEN 1 THEN concat('"', doc_id, '"') WHEN 2 THEN concat('""', doc_id, '"') WHEN 3 THEN '"' ELSE CAST(doc_id AS STRING) END"""
+ETAG = """CASE doc_id % 5 WHEN 0 THEN concat(' W/"', doc_id, '" ') WHEN 1 THEN concat('"', doc_id, '"') WHEN 2 THEN concat('""', doc_id, '"') WHEN 3
+    THEN '"' ELSE CAST(doc_id AS STRING) END"""
 
 
-@query("", f"""SELECT doc_id, regexp_replace(regexp_replace(trim(e), '^W/', ''), '^"(.*)"$', '\\1', 's') AS normalised, trim(e, '"') AS compared FROM (SELECT doc_id, {ETAG.replace("STRING", "VARCHAR")} AS e FROM documents)""")
+@query(
+    "",
+    f"""SELECT doc_id, regexp_replace(regexp_replace(trim(e), '^W/', ''), '^"(.*)"$', '\\1', 's') AS normalised, trim(e, '"') AS compared
+       FROM (SELECT doc_id, {ETAG.replace("STRING", "VARCHAR")} AS e FROM documents)""",
+)
 def prj1_etag_normalise(t):
     return t.documents.select("doc_id", F.expr(ETAG).alias("e")).select("doc_id", text.etag_normalise("e").alias("normalised"), text.etag_compare("e").alias("compared"))
 
 
-@query("manifest", "SELECT key, CASE WHEN NOT starts_with(key, 'orders/1') OR length(key) = 8 THEN 'out_of_scope' WHEN regexp_full_match(substr(key, 9), '[^/]*5[.]bin') THEN 'excluded' ELSE 'target' END AS scope FROM manifest")
+@query(
+    "manifest",
+    """SELECT key, CASE WHEN NOT starts_with(key, 'orders/1') OR length(key) = 8 THEN 'out_of_scope'
+       WHEN regexp_full_match(substr(key, 9), '[^/]*5[.]bin') THEN 'excluded' ELSE 'target' END AS scope FROM manifest""",
+)
 def prj2_dest_key_map(t):
     return verify.destination_scope(t.manifest, "orders/1", exclude=["*5.bin"]).select("key", "scope")
 
@@ -236,12 +271,20 @@ def prj3_normalise_times(t):
     return t.events.select("event_id", F.nullif(text.micros(given).cast(NTZ), zero).alias("t"))
 
 
-@query("", "SELECT doc_id, coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'text/plain' END, ''), 'application/octet-stream') AS content_type FROM documents")
+@query(
+    "",
+    """SELECT doc_id, coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL
+       ELSE 'text/plain' END, ''), 'application/octet-stream') AS content_type FROM documents""",
+)
 def prj4_content_type_default(t):
     return t.documents.select("doc_id", text.content_type(F.expr("CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'text/plain' END")).alias("content_type"))
 
 
-@query("accounts", "SELECT title, CASE account % 3 WHEN 0 THEN concat('azure:c', area, '/', lower(title), '/') WHEN 1 THEN concat('s3:b', area, '/', lower(title), '/') ELSE '' END AS label FROM accounts")
+@query(
+    "accounts",
+    """SELECT title, CASE account % 3 WHEN 0 THEN concat('azure:c', area, '/', lower(title), '/') WHEN 1
+       THEN concat('s3:b', area, '/', lower(title), '/') ELSE '' END AS label FROM accounts""",
+)
 def prj5_endpoint_label(t):
     c = F.concat(F.lit("c"), F.col("area").cast("string"))
     b = F.concat(F.lit("b"), F.col("area").cast("string"))
@@ -276,7 +319,8 @@ def duck_newer(s: str, t: str, v: str, ks: str, kt: str, kv: str) -> str:
     return f"CASE WHEN {kv} = '' THEN {v} <> '' WHEN {v} = {kv} THEN false ELSE ({duck_versions(s, t, ks, kt)}) >= 0 END"
 
 
-PAIRS = "SELECT c.*, r.status, r.synced_version, r.synced_mtime, r.synced_sequencer, r.source_version, r.source_mtime, r.source_sequencer, r.claimed_until, r.key IS NOT NULL AS found FROM candidates c LEFT JOIN full_record r USING (pipeline_id, key)"
+PAIRS = """SELECT c.*, r.status, r.synced_version, r.synced_mtime, r.synced_sequencer, r.source_version, r.source_mtime, r.source_sequencer,
+    r.claimed_until, r.key IS NOT NULL AS found FROM candidates c LEFT JOIN full_record r USING (pipeline_id, key)"""
 
 
 def pairs(t):
@@ -290,12 +334,19 @@ def sc1_compare_sequencers(t):
     return pairs(t).where("found").select("arrival", versions.compare_sequencers("c_sequencer", "r_source_sequencer").alias("o"))
 
 
-@query("candidates full_record", f"SELECT arrival, {duck_versions('sequencer', 'mtime', 'synced_sequencer', 'synced_mtime')} AS o FROM ({PAIRS}) WHERE found")
+@query(
+    "candidates full_record",
+    f"""SELECT arrival, {duck_versions('sequencer', 'mtime', 'synced_sequencer', 'synced_mtime')} AS o FROM ({PAIRS}) WHERE found""",
+)
 def sc2_compare_versions(t):
     return pairs(t).where("found").select("arrival", versions.compare_versions("c_sequencer", "c_mtime", "r_synced_sequencer", "r_synced_mtime").alias("o"))
 
 
-@query("candidates full_record", f"SELECT arrival, {duck_newer('sequencer', 'mtime', 'version', 'source_sequencer', 'source_mtime', 'source_version')} AS newer FROM ({PAIRS}) WHERE found")
+@query(
+    "candidates full_record",
+    f"""SELECT arrival, {duck_newer('sequencer', 'mtime', 'version', 'source_sequencer', 'source_mtime', 'source_version')} AS newer FROM ({PAIRS})
+       WHERE found""",
+)
 def sc3_is_newer(t):
     return pairs(t).where("found").select("arrival", versions.is_newer("c_sequencer", "c_mtime", "c_version", "r_source_sequencer", "r_source_mtime", "r_source_version").alias("newer"))
 
@@ -317,7 +368,9 @@ def sc5_lease_held(t):
     return t.record.where("status = 'copying'").select("key", versions.lease_held("status", "claimed_until", now()).alias("held"))
 
 
-URLS = "CASE event_id % 5 WHEN 0 THEN concat('https://acct.blob.core.windows.net/c/d%20', event_id, '/a+b.txt?x=1#f') WHEN 1 THEN concat('http://127.0.0.1:10000/acct/c/k', event_id) WHEN 2 THEN concat('http://store:80/acct/c/', event_id) WHEN 3 THEN 'https://a.b/c' ELSE concat('https://a.b/c/', event_id, ' x') END"
+URLS = """CASE event_id % 5 WHEN 0 THEN concat('https://acct.blob.core.windows.net/c/d%20', event_id, '/a+b.txt?x=1#f') WHEN 1
+    THEN concat('http://127.0.0.1:10000/acct/c/k', event_id) WHEN 2 THEN concat('http://store:80/acct/c/', event_id) WHEN 3 THEN 'https://a.b/c'
+    ELSE concat('https://a.b/c/', event_id, ' x') END"""
 
 
 @query(
@@ -329,7 +382,11 @@ def sc6_blob_from_url(t):
     return t.events.select("event_id", events.blob_from_url(F.expr(URLS)).alias("b")).select("event_id", F.col("b.container").alias("container"), F.col("b.name").alias("name"))
 
 
-@query("messages", "SELECT message_id, CASE WHEN message LIKE '{%' OR message LIKE '[%' THEN message WHEN message LIKE '!%' THEN NULL ELSE decode(from_base64(message)) END AS body FROM messages")
+@query(
+    "messages",
+    """SELECT message_id, CASE
+       WHEN message LIKE '{%' OR message LIKE '[%' THEN message WHEN message LIKE '!%' THEN NULL ELSE decode(from_base64(message)) END AS body FROM messages""",
+)
 def sc7_decode_message(t):
     return t.messages.select("message_id", events.decode_message("message").alias("body"))
 
@@ -352,7 +409,8 @@ def sc9_validation_code(t):
     return t.events.select("event_id", events.validation_code(events.parse_envelope(body)[0]).alias("code"))
 
 
-SIZE_TEXT = "concat(p_partkey % 500, CASE p_partkey % 10 WHEN 0 THEN 'KiB' WHEN 1 THEN ' MiB' WHEN 2 THEN 'GB' WHEN 3 THEN 'B' WHEN 4 THEN '' WHEN 5 THEN ' x' WHEN 6 THEN 'kb' WHEN 7 THEN '.5KB' WHEN 8 THEN ' KB ' ELSE 'MB' END)"
+SIZE_TEXT = """concat(p_partkey % 500, CASE p_partkey % 10 WHEN 0 THEN 'KiB' WHEN 1 THEN ' MiB' WHEN 2 THEN 'GB' WHEN 3 THEN 'B' WHEN 4 THEN '' WHEN 5
+    THEN ' x' WHEN 6 THEN 'kb' WHEN 7 THEN '.5KB' WHEN 8 THEN ' KB ' ELSE 'MB' END)"""
 
 
 @query(
@@ -388,7 +446,11 @@ def duck_human(unit: int, names: list[str], places: int) -> str:
 HUMAN = "SELECT event_id, CAST(event_id * event_id * (event_id % 5) * 1021 + event_id % 1500 AS {0}) AS n FROM events"
 
 
-@query("", f"SELECT event_id, {duck_human(1024, ['KiB', 'MiB', 'GiB', 'TiB'], 1)} AS binary_units, {duck_human(1000, ['KB', 'MB', 'GB', 'TB'], 2)} AS decimal_units FROM ({HUMAN.format('HUGEINT')})")
+@query(
+    "",
+    f"""SELECT event_id, {duck_human(1024, ['KiB', 'MiB', 'GiB', 'TiB'], 1)} AS binary_units,
+       {duck_human(1000, ['KB', 'MB', 'GB', 'TB'], 2)} AS decimal_units FROM ({HUMAN.format('HUGEINT')})""",
+)
 def sc12_human_bytes(t):
     n = F.expr("event_id * event_id * (event_id % 5) * 1021 + event_id % 1500")
     return t.events.select("event_id", text.human_bytes(n).alias("binary_units"), text.human_decimal(n).alias("decimal_units"))
@@ -406,7 +468,11 @@ def sc13_short_duration(t):
     return t.events.select("event_id", text.short_duration(F.expr("power(event_id % 700, 2) * (event_id % 4) / 7D - 1")).alias("said"))
 
 
-@query("", r"SELECT doc_id, CASE WHEN length(s) > 160 THEN concat(substr(s, 1, 159), '…') ELSE s END AS line FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents)")
+@query(
+    "",
+    r"""SELECT doc_id, CASE WHEN length(s) > 160 THEN concat(substr(s, 1, 159), '…') ELSE s END AS line
+       FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents)""",
+)
 def sc14_one_line(t):
     return t.documents.select("doc_id", text.one_line(F.coalesce("text", F.lit(""))).alias("line"))
 
@@ -416,24 +482,41 @@ def sc15_window_at(t):
     return t.events.select("event_id", text.window_at("ts", 300).alias("w"))
 
 
-@query("", "SELECT event_id, greatest(1.0, d * 0.9) AS least, greatest(1.0, d * 1.1) AS most FROM (SELECT event_id, CASE WHEN n < 30 THEN least(power(2, n - 1), 300.0) ELSE 300.0 END AS d FROM (SELECT event_id, event_id % 40 + 1 AS n FROM events))")
+@query(
+    "",
+    """SELECT event_id, greatest(1.0, d * 0.9) AS least, greatest(1.0, d * 1.1) AS most FROM (SELECT event_id, CASE WHEN n < 30
+       THEN least(power(2, n - 1), 300.0) ELSE 300.0 END AS d FROM (SELECT event_id, event_id % 40 + 1 AS n FROM events))""",
+)
 def sc16_retry_backoff(t):
     lo, hi = text.retry_backoff(F.expr("event_id % 40 + 1"))
     return t.events.select("event_id", lo.alias("least"), hi.alias("most"))
 
 
-@query("", "SELECT event_id, d / 2 AS least, d AS most FROM (SELECT event_id, least(power(2, event_id % 9) * CASE WHEN event_id % 2 = 0 THEN 4.0 ELSE 1.0 END, 30.0) AS d FROM events)")
+@query(
+    "",
+    """SELECT event_id, d / 2 AS least, d AS most FROM (SELECT event_id, least(power(2, event_id % 9) * CASE WHEN event_id % 2 = 0 THEN 4.0
+       ELSE 1.0 END, 30.0) AS d FROM events)""",
+)
 def sc17_op_retry_delay(t):
     lo, hi = text.op_retry_delay(F.expr("event_id % 9 + 1"), F.expr("event_id % 2 = 0"))
     return t.events.select("event_id", lo.alias("least"), hi.alias("most"))
 
 
-@query("manifest", "SELECT key, ord, CASE WHEN size > 0 THEN 60 + (size * 100) // 262144 ELSE 60 END AS op_seconds, 120 + size / 1e6 AS verify_seconds FROM manifest")
+@query(
+    "manifest",
+    """SELECT key, ord, CASE WHEN size > 0 THEN 60 + (size * 100) // 262144 ELSE 60 END AS op_seconds, 120 + size / 1e6 AS verify_seconds
+       FROM manifest""",
+)
 def sc18_op_timeout(t):
     return t.manifest.select("key", "ord", text.op_timeout(F.expr("size * 100")).cast("long").alias("op_seconds"), text.verify_timeout("size").alias("verify_seconds"))
 
 
-@query("", "SELECT event_id, f NOT IN ('permission', 'auth', 'not_found', 'version_changed', 'canceled') AS retryable, f NOT IN ('permission', 'auth', 'not_found', 'canceled') AS copy_retryable FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'auth' WHEN 1 THEN 'version_changed' WHEN 2 THEN 'throttled' WHEN 3 THEN '' ELSE 'not_found' END AS f FROM events)")
+@query(
+    "",
+    """SELECT event_id, f NOT IN ('permission', 'auth', 'not_found', 'version_changed', 'canceled') AS retryable, f NOT IN ('permission', 'auth',
+       'not_found', 'canceled') AS copy_retryable FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'auth' WHEN 1 THEN 'version_changed' WHEN 2
+       THEN 'throttled' WHEN 3 THEN '' ELSE 'not_found' END AS f FROM events)""",
+)
 def sc19_is_retryable(t):
     f = F.expr("CASE event_id % 5 WHEN 0 THEN 'auth' WHEN 1 THEN 'version_changed' WHEN 2 THEN 'throttled' WHEN 3 THEN '' ELSE 'not_found' END")
     return t.events.select("event_id", text.is_retryable(f).alias("retryable"), text.is_copy_retryable(f).alias("copy_retryable"))
@@ -450,20 +533,28 @@ def sc20_part_layout(t):
     return t.orders.select("o_orderkey", text.part_layout(n, F.expr("(o_orderkey % 5) * 4194304")).alias("p")).where("p IS NOT NULL").select("o_orderkey", "p.part_size", "p.n_parts")
 
 
-@query("", "SELECT o_orderkey, CASE WHEN n <= 0 THEN 0 WHEN n <= 2097152 THEN 1 ELSE 3 END AS ranges, CASE WHEN n <= 2097152 THEN greatest(n, 0) ELSE 1179648 END AS bytes, true AS inside FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 30) AS n FROM orders)")
+@query(
+    "",
+    """SELECT o_orderkey, CASE WHEN n <= 0 THEN 0 WHEN n <= 2097152 THEN 1 ELSE 3 END AS ranges, CASE WHEN n <= 2097152 THEN greatest(n, 0)
+       ELSE 1179648 END AS bytes, true AS inside FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 30) AS n FROM orders)""",
+)
 def sc21_sample_ranges(t):
     n = F.expr("CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 30)")
     got = t.orders.select("o_orderkey", n.alias("n"), text.sample_ranges(n, F.col("o_orderkey").cast("string")).alias("r"))
     return got.select("o_orderkey", F.size("r").alias("ranges"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("bytes"), F.forall("r", lambda x: (x["at"] >= 0) & (x["at"] + x["length"] <= F.col("n"))).alias("inside"))
 
 
-@query("", "SELECT doc_id, sha256(coalesce(text, '')) AS whole, sha256(unhex(substr(hex(encode(coalesce(text, ''))), 21, 80))) AS part FROM documents")
+@query(
+    "",
+    """SELECT doc_id, sha256(coalesce(text, '')) AS whole, sha256(unhex(substr(hex(encode(coalesce(text, ''))), 21, 80))) AS part FROM documents""",
+)
 def sc22_content_sha256(t):
     bytes_ = F.coalesce("text", F.lit("")).cast("binary")
     return t.documents.select("doc_id", F.sha2(bytes_, 256).alias("whole"), text.range_sha256(bytes_, F.lit(10), F.lit(40)).alias("part"))
 
 
-RANGES = "SELECT concat(l_orderkey, '') AS key, l_linenumber * 10000000000 + l_partkey AS at, CAST(max(l_quantity) AS BIGINT) AS length, l_partkey AS part FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey"
+RANGES = """SELECT concat(l_orderkey, '') AS key, l_linenumber * 10000000000 + l_partkey AS at, CAST(max(l_quantity) AS BIGINT) AS length,
+    l_partkey AS part FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey"""
 
 
 @query("", f"SELECT key, bool_and(part % 50 <> 0) AS ok, count(*) AS ranges, CAST(sum(length) AS BIGINT) AS sampled_bytes FROM ({RANGES}) GROUP BY 1")
@@ -500,13 +591,22 @@ def sc26_lower_keys(t):
     return got.select("title", F.col("m")["keya"]["v"].alias("a"), F.col("m")["b"]["v"].alias("b"), F.size("m").alias("n"))
 
 
-@query("accounts", "SELECT title, CASE account % 4 WHEN 0 THEN '' WHEN 1 THEN concat(title, '/') WHEN 2 THEN concat('a/', title, '/') ELSE concat(title, '/') END AS prefix FROM accounts")
+@query(
+    "accounts",
+    """SELECT title, CASE account % 4 WHEN 0 THEN '' WHEN 1 THEN concat(title, '/') WHEN 2 THEN concat('a/', title, '/')
+       ELSE concat(title, '/') END AS prefix FROM accounts""",
+)
 def sc27_normalise_prefix(t):
     p = F.expr("CASE account % 4 WHEN 0 THEN '//' WHEN 1 THEN concat('/', title) WHEN 2 THEN concat('a/', title, '/') ELSE title END")
     return t.accounts.select("title", text.normalise_prefix(p).alias("prefix"))
 
 
-@query("accounts", "SELECT account, regexp_full_match(n, '[a-z0-9]+(-[a-z0-9]+)*') AND length(n) BETWEEN 2 AND 40 AS valid FROM (SELECT account, concat(replace(lower(title), ' ', CASE WHEN account % 2 = 0 THEN '-' ELSE '_' END), CASE WHEN account % 7 = 0 THEN '-' ELSE '' END) AS n FROM accounts)")
+@query(
+    "accounts",
+    """SELECT account, regexp_full_match(n, '[a-z0-9]+(-[a-z0-9]+)*') AND length(n) BETWEEN 2 AND 40 AS valid
+       FROM (SELECT account, concat(replace(lower(title), ' ', CASE WHEN account % 2 = 0 THEN '-' ELSE '_' END), CASE WHEN account % 7 = 0 THEN '-'
+       ELSE '' END) AS n FROM accounts)""",
+)
 def sc28_valid_name(t):
     n = F.expr("concat(replace(lower(title), ' ', CASE WHEN account % 2 = 0 THEN '-' ELSE '_' END), CASE WHEN account % 7 = 0 THEN '-' ELSE '' END)")
     return t.accounts.select("account", text.valid_name(n).alias("valid"))
@@ -518,7 +618,11 @@ def sc29_find_env_ref(t):
     return t.specs.select("name", text.has_env_ref(spec).alias("has_ref"))
 
 
-@query("", "SELECT event_id, CASE WHEN floor(abs(s) + 0.5) >= 900 THEN 'fail' WHEN floor(abs(s) + 0.5) > 60 THEN 'warn' ELSE 'ok' END AS skew FROM (SELECT event_id, (event_id % 2000 - 1000) * 1.1 AS s FROM events)")
+@query(
+    "",
+    """SELECT event_id, CASE WHEN floor(abs(s) + 0.5) >= 900 THEN 'fail' WHEN floor(abs(s) + 0.5) > 60 THEN 'warn' ELSE 'ok' END AS skew
+       FROM (SELECT event_id, (event_id % 2000 - 1000) * 1.1 AS s FROM events)""",
+)
 def sc30_skew_class(t):
     return t.events.select("event_id", text.skew_class(F.expr("(event_id % 2000 - 1000) * 1.1D")).alias("skew"))
 
@@ -533,12 +637,20 @@ def sc32_pct(t):
     return t.events.select("event_id", text.pct(F.col("event_id"), F.expr("event_id % 4")).cast("double").alias("p"))
 
 
-@query("attempts", "SELECT event_id, CASE code WHEN 'SlowDown' THEN 'throttled' WHEN 'AccessDenied' THEN 'permission' WHEN 'NoSuchKey' THEN 'not_found' WHEN 'NoSuchBucket' THEN '' WHEN 'InvalidAccessKeyId' THEN 'auth' ELSE CASE status WHEN 503 THEN 'throttled' WHEN 403 THEN 'permission' WHEN 404 THEN 'not_found' ELSE '' END END AS failure FROM attempts")
+@query(
+    "attempts",
+    """SELECT event_id, CASE code WHEN 'SlowDown' THEN 'throttled' WHEN 'AccessDenied' THEN 'permission' WHEN 'NoSuchKey' THEN 'not_found'
+       WHEN 'NoSuchBucket' THEN '' WHEN 'InvalidAccessKeyId' THEN 'auth' ELSE CASE status WHEN 503 THEN 'throttled' WHEN 403 THEN 'permission'
+       WHEN 404 THEN 'not_found' ELSE '' END END AS failure FROM attempts""",
+)
 def jn12_failure_classify(t):
     return work.classify_join(t.attempts.select("event_id", "code", "status")).select("event_id", "failure")
 
 
-@query("changes", "SELECT pipeline_id, kind, key, version, sequencer, event_time, 'event' AS origin FROM changes WHERE arrival < 1000000000 AND kind = 'upsert'")
+@query(
+    "changes",
+    """SELECT pipeline_id, kind, key, version, sequencer, event_time, 'event' AS origin FROM changes WHERE arrival < 1000000000 AND kind = 'upsert'""",
+)
 def ux2_registered_format(t):
     """Changes that another system writes as lines of its own, brought to the common columns by a format of one function."""
     path = fresh_path(t.spark, "lines")

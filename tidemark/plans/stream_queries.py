@@ -25,7 +25,11 @@ def as_stream(t, df, what: str, part: str = "0"):
 ROUTED = "event_id % 41 <> 0 AND event_id % 53 <> 0 AND event_type <> 'view' AND user_id % 3 = 1 AND event_id % 8 <= 5"
 
 
-@query("messages", f"SELECT event_id AS message_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS kind, concat('u', user_id, '/a b+c.json') AS key FROM events WHERE {ROUTED}")
+@query(
+    "messages",
+    f"""SELECT event_id AS message_id, CASE WHEN event_type = 'error' THEN 'delete'
+       ELSE 'upsert' END AS kind, concat('u', user_id, '/a b+c.json') AS key FROM events WHERE {ROUTED}""",
+)
 def str1_event_ingest(t):
     path = fresh_path(t.spark, "ingest")
     stream = streams.ingest(as_stream(t, t.messages, "messages", "message_id"), "p", "c1", "data/")
@@ -57,7 +61,10 @@ def str2_at_least_once(t):
     return t.spark.read.parquet(f"{path}/changes").select("message_id")
 
 
-@query("changes", """SELECT DISTINCT pipeline_id, key, version, CAST(floor(epoch(event_time)) AS BIGINT) // 300 AS "window" FROM changes WHERE kind = 'upsert'""")
+@query(
+    "changes",
+    """SELECT DISTINCT pipeline_id, key, version, CAST(floor(epoch(event_time)) AS BIGINT) // 300 AS "window" FROM changes WHERE kind = 'upsert'""",
+)
 def str5_stream_dedupe(t):
     path = fresh_path(t.spark, "deduped")
     streams.run(streams.dedupe(as_stream(t, t.changes.where("kind = 'upsert'"), "changes")), path).awaitTermination()
@@ -75,7 +82,12 @@ def str6_stateful_record(t):
     return streams.states(t.spark, path)
 
 
-@query("ops", f"SELECT pipeline_id, key, status, claimed_until FROM (SELECT pipeline_id, key, CASE WHEN status = 'copying' AND claimed_until <= TIMESTAMP '2024-02-01' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'copying' AND claimed_until > TIMESTAMP '2024-02-01' THEN claimed_until END AS claimed_until FROM ({duck_fold(CLAIMS)}))")
+@query(
+    "ops",
+    f"""SELECT pipeline_id, key, status, claimed_until FROM (SELECT pipeline_id, key, CASE WHEN status = 'copying'
+       AND claimed_until <= TIMESTAMP '2024-02-01' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'copying'
+       AND claimed_until > TIMESTAMP '2024-02-01' THEN claimed_until END AS claimed_until FROM ({duck_fold(CLAIMS)}))""",
+)
 def str7_lease_expiry(t):
     """Claims in two micro-batches; in a third the clock has gone on, and what has lapsed is free again."""
     path = fresh_path(t.spark, "leases")
@@ -121,7 +133,12 @@ def str11_backlog_gauges(t):
     return t.spark.read.parquet(out)
 
 
-@query("attempts", f"SELECT * FROM (SELECT pipeline_id, le, count(*) FILTER (lag_seconds <= le AND lag_seconds > below) AS n FROM (SELECT * FROM attempts WHERE outcome = 'synced' AND lag_seconds > 0), (SELECT le, lag(le, 1, 0) OVER (ORDER BY le) AS below FROM (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le)) GROUP BY 1, 2) WHERE n > 0")
+@query(
+    "attempts",
+    f"""SELECT * FROM (SELECT pipeline_id, le, count(*) FILTER (lag_seconds <= le AND lag_seconds > below) AS n FROM (SELECT * FROM attempts
+       WHERE outcome = 'synced' AND lag_seconds > 0), (SELECT le, lag(le, 1, 0) OVER (ORDER BY le) AS below
+       FROM (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le)) GROUP BY 1, 2) WHERE n > 0""",
+)
 def str12_lag_histogram_stream(t):
     """The whole histogram after each of three micro-batches; the last one holds all rows."""
     path = fresh_path(t.spark, "histogram")

@@ -16,7 +16,8 @@ DIFF = """SELECT coalesce(l.pipeline_id, r.pipeline_id) AS pipeline_id, coalesce
     CASE WHEN l.key IS NOT NULL AND r.key IS NOT NULL AND NOT (r.status <> 'deleted' AND r.synced_version <> '' AND r.synced_version = l.version)
          THEN coalesce(r.status = 'copying' AND r.claimed_until > TIMESTAMP '2024-02-01', false) ELSE false END AS in_flight
     FROM (SELECT * FROM listing WHERE key NOT LIKE '%/tmp/%') l FULL OUTER JOIN (SELECT * FROM record WHERE key NOT LIKE '%/tmp/%') r ON l.pipeline_id = r.pipeline_id AND l.key = r.key"""
-LAST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, ord DESC, sha256 DESC, size DESC) AS rn FROM manifest) WHERE rn = 1"
+LAST = """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, ord DESC, sha256 DESC, size DESC) AS rn
+    FROM manifest) WHERE rn = 1"""
 TIES = ("ord", "sha256", "size")
 VERIFIED = f"""SELECT m.key, m.size, coalesce(d.sha256, '') AS d_sha, CASE WHEN d.key IS NULL THEN 'missing' WHEN m.size <> d.size THEN 'size_mismatch' WHEN lower(d.sha256) <> m.sha256 THEN 'sha256_mismatch' ELSE 'ok' END AS outcome,
     CASE WHEN m.size = d.size AND lower(d.sha256) = m.sha256 THEN epoch(d.mod_time) - epoch(m.written_at) END AS lag_seconds FROM ({LAST}) m LEFT JOIN destination d USING (key)"""
@@ -93,7 +94,8 @@ def jn7_claim_join(t):
     return record.claim(t.candidates, t.full_record, now()).select("arrival", "decision", "attempts")
 
 
-RUNNING = "SELECT concat(CASE WHEN account % 7 = 0 THEN 'x' ELSE '' END, name) AS name, CASE WHEN account % 5 = 0 THEN revision + 1 ELSE revision END AS revision FROM specs WHERE account % 4 <> 1"
+RUNNING = """SELECT concat(CASE WHEN account % 7 = 0 THEN 'x' ELSE '' END, name) AS name, CASE WHEN account % 5 = 0 THEN revision + 1
+    ELSE revision END AS revision FROM specs WHERE account % 4 <> 1"""
 
 
 @query(
@@ -113,7 +115,11 @@ def jn9_snapshot_compare(t):
     return reconcile.snapshot_compare(t.record, after).select("pipeline_id", "key")
 
 
-@query("manifest destination", f"SELECT m.key, CASE WHEN d.key IS NULL THEN 'no_record' WHEN m.size <> d.size THEN 'size' WHEN m.sha256 <> lower(d.sha256) THEN 'sha256' ELSE 'ok' END AS agreement FROM ({LAST}) m LEFT JOIN destination d USING (key)")
+@query(
+    "manifest destination",
+    f"""SELECT m.key, CASE WHEN d.key IS NULL THEN 'no_record' WHEN m.size <> d.size THEN 'size' WHEN m.sha256 <> lower(d.sha256) THEN 'sha256'
+       ELSE 'ok' END AS agreement FROM ({LAST}) m LEFT JOIN destination d USING (key)""",
+)
 def jn10_manifest_record_agreement(t):
     return verify.record_agreement(last(t), t.destination.withColumnRenamed("size", "source_size"))
 
@@ -140,7 +146,9 @@ def jn11_resume_part_match(t):
     return work.resume(plan, up)
 
 
-PHASES = "SELECT concat('phase-', event_id % 1500) AS name, {0} '2024-01-01' + (event_id % 1500) * INTERVAL '20' MINUTE AS start, {0} '2024-01-01' + (event_id % 1500 + 1) * INTERVAL '20' MINUTE - (event_id % 1500 % 4) * INTERVAL '5' MINUTE AS stop FROM events GROUP BY event_id % 1500"
+PHASES = """SELECT concat('phase-', event_id % 1500) AS name, {0} '2024-01-01' + (event_id % 1500) * INTERVAL '20' MINUTE AS start,
+    {0} '2024-01-01' + (event_id % 1500 + 1) * INTERVAL '20' MINUTE - (event_id % 1500 % 4) * INTERVAL '5' MINUTE AS stop FROM events
+    GROUP BY event_id % 1500"""
 
 
 @query("record", f"SELECT r.key, p.name AS phase FROM record r JOIN ({PHASES.format('TIMESTAMP')}) p ON synced_at >= start AND synced_at < stop")
@@ -176,27 +184,48 @@ def ag2_status_report(t):
     return status.status_report(p.select("pipeline_id", F.lit(True).alias("enabled"), F.lit(3).alias("revision")), t.record, now())
 
 
-@query("record", f"SELECT p.pipeline_id, coalesce(max(epoch({T0}) - epoch(event_time)) FILTER (status IN ('pending', 'copying')), 0) AS oldest_pending_seconds FROM (SELECT DISTINCT pipeline_id FROM record UNION ALL SELECT 'docs-none') p LEFT JOIN record r USING (pipeline_id) GROUP BY 1")
+@query(
+    "record",
+    f"""SELECT p.pipeline_id, coalesce(max(epoch({T0}) - epoch(event_time)) FILTER (status IN ('pending', 'copying')), 0) AS oldest_pending_seconds
+       FROM (SELECT DISTINCT pipeline_id FROM record UNION ALL SELECT 'docs-none') p LEFT JOIN record r USING (pipeline_id) GROUP BY 1""",
+)
 def ag3_oldest_pending(t):
     return status.oldest_pending(t.record, t.record.select("pipeline_id").distinct().union(t.spark.sql("SELECT 'docs-none'")), now())
 
 
-@query("jobs", "SELECT p.pipeline_id, count(*) FILTER (state IN ('available', 'scheduled', 'retryable', 'running')) AS depth FROM (SELECT DISTINCT pipeline_id FROM jobs UNION ALL SELECT 'none') p LEFT JOIN jobs USING (pipeline_id) GROUP BY 1")
+@query(
+    "jobs",
+    """SELECT p.pipeline_id, count(*) FILTER (state IN ('available', 'scheduled', 'retryable', 'running')) AS depth
+       FROM (SELECT DISTINCT pipeline_id FROM jobs UNION ALL SELECT 'none') p LEFT JOIN jobs USING (pipeline_id) GROUP BY 1""",
+)
 def ag4_queue_depth(t):
     return status.queue_depth(t.jobs, t.jobs.select("pipeline_id").distinct().union(t.spark.sql("SELECT 'none'")))
 
 
-@query("listing record", f"SELECT pipeline_id, count(*) FILTER (listed) AS listed, count(*) FILTER (action = 'upsert') AS emitted, count(*) FILTER (action = 'delete_candidate') AS deleted, count(*) FILTER (action = 'already_synced') AS already_synced, count(*) FILTER (in_flight) AS in_flight, CAST(0 AS BIGINT) AS ignored FROM ({DIFF}) GROUP BY 1")
+@query(
+    "listing record",
+    f"""SELECT pipeline_id, count(*) FILTER (listed) AS listed, count(*) FILTER (action = 'upsert') AS emitted,
+       count(*) FILTER (action = 'delete_candidate') AS deleted, count(*) FILTER (action = 'already_synced') AS already_synced,
+       count(*) FILTER (in_flight) AS in_flight, CAST(0 AS BIGINT) AS ignored FROM ({DIFF}) GROUP BY 1""",
+)
 def ag5_reconcile_stats(t):
     return reconcile.stats(diffed(t), "pipeline_id")
 
 
-@query("listing record", f"SELECT pipeline_id, count(*) FILTER (listed AND pipeline_id <> 'docs-de') AS listed, count(*) FILTER (known AND status <> 'deleted') AS live, CASE WHEN pipeline_id = 'docs-de' AND count(*) FILTER (known AND status <> 'deleted') > 0 THEN 'refuse' ELSE 'ok' END AS verdict FROM ({DIFF}) WHERE known OR pipeline_id <> 'docs-de' GROUP BY 1")
+@query(
+    "listing record",
+    f"""SELECT pipeline_id, count(*) FILTER (listed AND pipeline_id <> 'docs-de') AS listed, count(*) FILTER (known
+       AND status <> 'deleted') AS live, CASE WHEN pipeline_id = 'docs-de' AND count(*) FILTER (known AND status <> 'deleted') > 0 THEN 'refuse'
+       ELSE 'ok' END AS verdict FROM ({DIFF}) WHERE known OR pipeline_id <> 'docs-de' GROUP BY 1""",
+)
 def ag6_empty_source_guard(t):
     return reconcile.empty_source_guard(reconcile.diff(t.listing.where("pipeline_id <> 'docs-de'"), t.record, now(), exclude=["**/tmp/**"]))
 
 
-GONE = "SELECT pipeline_id, count(*) FILTER (status <> 'deleted' AND (NOT listed OR length(key) % 2 = 0)) AS gone, count(*) FILTER (status <> 'deleted') AS live FROM (SELECT r.pipeline_id, r.key, r.status, l.key IS NOT NULL AS listed FROM record r LEFT JOIN listing l USING (pipeline_id, key)) GROUP BY 1"
+GONE = """SELECT pipeline_id, count(*) FILTER (status <> 'deleted' AND (NOT listed
+    OR length(key) % 2 = 0)) AS gone, count(*) FILTER (status <> 'deleted') AS live
+    FROM (SELECT r.pipeline_id, r.key, r.status, l.key IS NOT NULL AS listed FROM record r LEFT JOIN listing l USING (pipeline_id, key))
+    GROUP BY 1"""
 
 
 @query("listing record", f"SELECT *, CASE WHEN gone > 100 AND gone * 4 > live THEN 'refuse' ELSE 'ok' END AS verdict FROM ({GONE})")
@@ -205,17 +234,32 @@ def ag7_mass_delete_guard(t):
     return reconcile.mass_delete_guard(d.where("action = 'delete_candidate'"), d)
 
 
-@query("manifest", "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(written_at) AS first_write, max(written_at) AS last_write, max(size) AS max_size, sum(size) / (epoch(max(written_at)) - epoch(min(written_at))) AS bytes_per_second FROM manifest")
+@query(
+    "manifest",
+    """SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(written_at) AS first_write, max(written_at) AS last_write,
+       max(size) AS max_size, sum(size) / (epoch(max(written_at)) - epoch(min(written_at))) AS bytes_per_second FROM manifest""",
+)
 def ag8_load_summary(t):
     return verify.load_summary(t.manifest)
 
 
-@query("manifest destination", f"SELECT count(*) AS files, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (outcome = 'size_mismatch') AS size_mismatch, count(*) FILTER (outcome = 'sha256_mismatch') AS sha256_mismatch, CAST(sum(size) FILTER (outcome = 'ok') AS BIGINT) AS bytes, count(*) FILTER (outcome = 'error') AS errors, CAST(sum(CASE WHEN outcome IN ('ok', 'sha256_mismatch') AND d_sha <> '' THEN size ELSE 0 END) AS BIGINT) AS bytes_hashed, false AS passed, 100.0 * count(*) FILTER (outcome = 'ok') / count(*) AS ok_pct FROM ({VERIFIED})")
+@query(
+    "manifest destination",
+    f"""SELECT count(*) AS files, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'missing') AS missing,
+       count(*) FILTER (outcome = 'size_mismatch') AS size_mismatch, count(*) FILTER (outcome = 'sha256_mismatch') AS sha256_mismatch,
+       CAST(sum(size) FILTER (outcome = 'ok') AS BIGINT) AS bytes, count(*) FILTER (outcome = 'error') AS errors, CAST(sum(CASE
+       WHEN outcome IN ('ok', 'sha256_mismatch') AND d_sha <> '' THEN size ELSE 0 END) AS BIGINT) AS bytes_hashed, false AS passed,
+       100.0 * count(*) FILTER (outcome = 'ok') / count(*) AS ok_pct FROM ({VERIFIED})""",
+)
 def ag9_verify_summary(t):
     return verify.summary(verified(t))
 
 
-@query("manifest destination", f"SELECT quantile_disc(lag_seconds, 0.5) AS p50, quantile_disc(lag_seconds, 0.95) AS p95, quantile_disc(lag_seconds, 0.99) AS p99, max(lag_seconds) AS max FROM ({VERIFIED})")
+@query(
+    "manifest destination",
+    f"""SELECT quantile_disc(lag_seconds, 0.5) AS p50, quantile_disc(lag_seconds, 0.95) AS p95, quantile_disc(lag_seconds, 0.99) AS p99,
+       max(lag_seconds) AS max FROM ({VERIFIED})""",
+)
 def ag10_exact_quantiles(t):
     return verify.quantiles(verified(t), "lag_seconds")
 
@@ -226,7 +270,8 @@ def samples(t):
     return metric_samples(t.metrics_text.select("line_no", "scraped_at", "line"))
 
 
-LINES = "SELECT line_no, regexp_extract(line, '^([^{ ]+)', 1) AS name, regexp_extract(line, 'outcome=\"(\\w+)', 1) AS outcome, regexp_extract(line, 'pipeline=\"([^\"]*)\"', 1) AS pipeline, regexp_extract(line, 'le=\"([^\"]*)\"', 1) AS le, regexp_extract(line, 'source=\"([^\"]*)\"', 1) AS source, regexp_extract(line, 'reason=\"([^\"]*)\"', 1) AS reason, TRY_CAST(regexp_extract(replace(line, ' 1700000000', ''), '([^ ]+)$', 1) AS DOUBLE) AS value FROM metrics_text WHERE line <> '' AND line NOT LIKE '#%'"
+LINES = """SELECT line_no, regexp_extract(line,
+    '^([^{ ]+)', 1) AS name, regexp_extract(line, 'outcome="(\\w+)', 1) AS outcome, regexp_extract(line, 'pipeline="([^"]*)"', 1) AS pipeline, regexp_extract(line, 'le="([^"]*)"', 1) AS le, regexp_extract(line, 'source="([^"]*)"', 1) AS source, regexp_extract(line, 'reason="([^"]*)"', 1) AS reason, TRY_CAST(regexp_extract(replace(line, ' 1700000000', ''), '([^ ]+)$', 1) AS DOUBLE) AS value FROM metrics_text WHERE line <> '' AND line NOT LIKE '#%'"""
 
 
 @query("metrics_text", f"SELECT sum(value) AS total FROM ({LINES}) WHERE name = 'sync_files_total' AND pipeline = 'p1'")
@@ -243,7 +288,11 @@ def bounds_sql(bounds) -> str:
     return ", ".join(f"({b}::DOUBLE)" for b in bounds) + ", ('Infinity'::DOUBLE)"
 
 
-@query("attempts", f"SELECT pipeline_id, le, CAST(count(*) FILTER (lag_seconds <= le) AS DOUBLE) AS count FROM (SELECT * FROM attempts WHERE outcome = 'synced' AND lag_seconds > 0), (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le) GROUP BY 1, 2")
+@query(
+    "attempts",
+    f"""SELECT pipeline_id, le, CAST(count(*) FILTER (lag_seconds <= le) AS DOUBLE) AS count FROM (SELECT * FROM attempts WHERE outcome = 'synced'
+       AND lag_seconds > 0), (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le) GROUP BY 1, 2""",
+)
 def ag13_histogram_build(t):
     return metrics.observe(t.attempts.where("outcome = 'synced' AND lag_seconds > 0"), "lag_seconds", metrics.LAG_BOUNDS, "pipeline_id")
 
@@ -262,12 +311,16 @@ def ag13_reconcile_buckets(t):
     return metrics.observe(t.attempts.where("outcome = 'synced'"), "lag_seconds", metrics.RECONCILE_BOUNDS, "pipeline_id")
 
 
-@query("attempts", "SELECT pipeline_id, sum(lag_seconds) AS sum, count(*) AS count FROM attempts WHERE outcome = 'synced' AND lag_seconds > 0 GROUP BY 1")
+@query(
+    "attempts",
+    """SELECT pipeline_id, sum(lag_seconds) AS sum, count(*) AS count FROM attempts WHERE outcome = 'synced' AND lag_seconds > 0 GROUP BY 1""",
+)
 def ag13_histogram_sums(t):
     return metrics.histogram_sums(t.attempts.where("outcome = 'synced' AND lag_seconds > 0"), "lag_seconds", "pipeline_id")
 
 
-HIST = f"SELECT pipeline, CASE le WHEN '+Inf' THEN CAST('Infinity' AS DOUBLE) ELSE TRY_CAST(le AS DOUBLE) END AS le, sum(value) AS count FROM ({LINES}) WHERE name = 'sync_lag_seconds_bucket' AND le <> 'x' GROUP BY 1, 2"
+HIST = f"""SELECT pipeline, CASE le WHEN '+Inf' THEN CAST('Infinity' AS DOUBLE) ELSE TRY_CAST(le AS DOUBLE) END AS le, sum(value) AS count
+    FROM ({LINES}) WHERE name = 'sync_lag_seconds_bucket' AND le <> 'x' GROUP BY 1, 2"""
 
 
 @query("metrics_text", HIST)
@@ -283,7 +336,8 @@ def quantile_sql(hist: str, by: str, q: float) -> str:
         FROM (SELECT {by}, le, max(count) OVER (PARTITION BY {by} ORDER BY le) AS c FROM ({hist})))) GROUP BY {by}"""
 
 
-LAG_HIST = f"SELECT pipeline_id, le, CAST(count(*) FILTER (lag_seconds <= le) AS DOUBLE) AS count FROM attempts, (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le) GROUP BY 1, 2"
+LAG_HIST = f"""SELECT pipeline_id, le, CAST(count(*) FILTER (lag_seconds <= le) AS DOUBLE) AS count
+    FROM attempts, (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le) GROUP BY 1, 2"""
 
 
 @query("attempts", " UNION ALL ".join(quantile_sql(LAG_HIST, "pipeline_id", q) for q in (0.5, 0.95, 0.99)))
@@ -303,7 +357,12 @@ def ag16_histogram_summary(t):
     return metrics.summary(samples(t), "sync_lag_seconds", "pipeline")
 
 
-@query("metrics_text", f"SELECT sum(value) FILTER (name = 'sync_lag_seconds_count') AS count, p50 FROM ({LINES}), (SELECT CASE WHEN isfinite(value) THEN value END AS p50 FROM ({quantile_sql('SELECT 0 AS one, le, sum(count) AS count FROM (' + HIST + ') GROUP BY 1, 2', 'one', 0.5)})) GROUP BY p50")
+@query(
+    "metrics_text",
+    f"""SELECT sum(value) FILTER (name = 'sync_lag_seconds_count') AS count, p50 FROM ({LINES}), (SELECT CASE WHEN isfinite(value)
+       THEN value END AS p50 FROM ({quantile_sql('SELECT 0 AS one, le, sum(count) AS count FROM (' + HIST + ') GROUP BY 1, 2', 'one', 0.5)}))
+       GROUP BY p50""",
+)
 def ag16_histogram_summary_of_all(t):
     return metrics.summary(samples(t), "sync_lag_seconds").select("count", "p50")
 
@@ -332,33 +391,57 @@ def ag17_metrics_report(t):
     return metrics.report(samples(t).unionByName(metric_samples(started)), now())
 
 
-@query("attempts", "SELECT pipeline_id, outcome, count(*) AS files, CAST(coalesce(sum(bytes) FILTER (outcome = 'synced'), 0) AS BIGINT) AS bytes_copied FROM attempts GROUP BY 1, 2")
+@query(
+    "attempts",
+    """SELECT pipeline_id, outcome, count(*) AS files, CAST(coalesce(sum(bytes) FILTER (outcome = 'synced'), 0) AS BIGINT) AS bytes_copied
+       FROM attempts GROUP BY 1, 2""",
+)
 def ag18_outcome_counters(t):
     return metrics.outcome_counters(t.attempts)
 
 
-@query("attempts", "SELECT pipeline_id, 'copy' AS op, CASE WHEN code = '' THEN 'other' ELSE code END AS reason, count(*) AS retries FROM attempts WHERE outcome = 'retry' GROUP BY 1, 2, 3")
+@query(
+    "attempts",
+    """SELECT pipeline_id, 'copy' AS op, CASE WHEN code = '' THEN 'other' ELSE code END AS reason, count(*) AS retries FROM attempts
+       WHERE outcome = 'retry' GROUP BY 1, 2, 3""",
+)
 def ag18_retry_counters(t):
     reason = F.when(F.col("code") == "", "other").otherwise(F.col("code"))
     return metrics.retry_counters(t.attempts.where("outcome = 'retry'").select("pipeline_id", F.lit("copy").alias("op"), reason.alias("reason")))
 
 
-@query("changes listing", "SELECT pipeline_id, origin AS source, kind, count(*) AS events FROM (SELECT pipeline_id, origin, kind FROM changes UNION ALL SELECT pipeline_id, 'reconcile', 'upsert' FROM listing) GROUP BY 1, 2, 3")
+@query(
+    "changes listing",
+    """SELECT pipeline_id, origin AS source, kind, count(*) AS events FROM (SELECT pipeline_id, origin, kind FROM changes
+       UNION ALL SELECT pipeline_id, 'reconcile', 'upsert' FROM listing) GROUP BY 1, 2, 3""",
+)
 def ag18_event_counters(t):
     found = t.listing.select("pipeline_id", F.lit("reconcile").alias("origin"), F.lit("upsert").alias("kind"))
     return metrics.event_counters(t.changes.select("pipeline_id", "origin", "kind").unionByName(found))
 
 
-RUNS = "SELECT concat('p', o_custkey % 5) AS pipeline_id, CASE WHEN o_orderkey % 9 = 0 THEN 'error' ELSE 'ok' END AS result, o_orderkey % 1000 AS listed, o_orderkey % 100 AS emitted, o_orderkey % 10 AS deletes, CAST(o_orderkey % 300 AS DOUBLE) AS seconds FROM orders"
+RUNS = """SELECT concat('p', o_custkey % 5) AS pipeline_id, CASE WHEN o_orderkey % 9 = 0 THEN 'error'
+    ELSE 'ok' END AS result, o_orderkey % 1000 AS listed, o_orderkey % 100 AS emitted, o_orderkey % 10 AS deletes,
+    CAST(o_orderkey % 300 AS DOUBLE) AS seconds FROM orders"""
 
 
-@query("", f"SELECT pipeline_id, result, count(*) AS runs, CAST(sum(listed) AS BIGINT) AS listed, CAST(sum(emitted) AS BIGINT) AS emitted, CAST(sum(deletes) AS BIGINT) AS deletes, sum(seconds) / count(*) AS avg_seconds FROM ({RUNS}) GROUP BY 1, 2")
+@query(
+    "",
+    f"""SELECT pipeline_id, result, count(*) AS runs, CAST(sum(listed) AS BIGINT) AS listed, CAST(sum(emitted) AS BIGINT) AS emitted,
+       CAST(sum(deletes) AS BIGINT) AS deletes, sum(seconds) / count(*) AS avg_seconds FROM ({RUNS}) GROUP BY 1, 2""",
+)
 def ag19_reconcile_run_counters(t):
     t.orders  # noqa: B018
     return metrics.reconcile_counters(t.spark.sql(RUNS))
 
 
-@query("jobs", "SELECT pipeline_id, count(*) AS jobs, count(*) FILTER (state = 'available') AS available, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'retryable') AS retryable, count(*) FILTER (state = 'scheduled') AS scheduled, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'discarded') AS discarded, count(*) FILTER (state = 'cancelled') AS cancelled FROM jobs GROUP BY 1")
+@query(
+    "jobs",
+    """SELECT pipeline_id, count(*) AS jobs, count(*) FILTER (state = 'available') AS available, count(*) FILTER (state = 'running') AS running,
+       count(*) FILTER (state = 'retryable') AS retryable, count(*) FILTER (state = 'scheduled') AS scheduled,
+       count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'discarded') AS discarded,
+       count(*) FILTER (state = 'cancelled') AS cancelled FROM jobs GROUP BY 1""",
+)
 def ag20_job_state_counts(t):
     return status.job_states(t.jobs)
 
@@ -368,7 +451,11 @@ def ag20_growth(t):
     return status.growth(t.events, "ts", "event_id").select(F.round("event_id_per_hour", 4).alias("event_id_per_hour"))
 
 
-@query("messages", "SELECT count(*) AS sampled, count(*) FILTER (message_id % 41 = 0 OR message_id % 53 = 0 OR message_id % 43 = 0) AS unparsable, 'warn' AS verdict FROM messages")
+@query(
+    "messages",
+    """SELECT count(*) AS sampled, count(*) FILTER (message_id % 41 = 0 OR message_id % 53 = 0
+       OR message_id % 43 = 0) AS unparsable, 'warn' AS verdict FROM messages""",
+)
 def ag21_message_health(t):
     return events.message_health(events.parse_messages(t.messages))
 
@@ -388,17 +475,30 @@ def wn1_last_write_ranked(t):
     return verify.last_writes_ranked(t.manifest, *TIES).select("key", "sha256")
 
 
-@query("record", "SELECT * FROM (SELECT pipeline_id, row_number() OVER (PARTITION BY pipeline_id ORDER BY updated_at DESC, key) AS nth, key, status, last_error, updated_at FROM record WHERE status = 'failed' OR last_error <> '') WHERE nth <= 5")
+@query(
+    "record",
+    """SELECT * FROM (SELECT pipeline_id, row_number() OVER (PARTITION BY pipeline_id
+       ORDER BY updated_at DESC, key) AS nth, key, status, last_error, updated_at FROM record WHERE status = 'failed' OR last_error <> '')
+       WHERE nth <= 5""",
+)
 def wn2_recent_errors(t):
     return status.recent_errors(t.record)
 
 
-@query("listing", "SELECT pipeline_id, arg_min(key, arrival) AS key, arg_min(previous, arrival) AS previous, count(*) AS misordered FROM (SELECT *, lag(key) OVER (PARTITION BY pipeline_id ORDER BY arrival) AS previous FROM listing) WHERE key <= previous GROUP BY 1")
+@query(
+    "listing",
+    """SELECT pipeline_id, arg_min(key, arrival) AS key, arg_min(previous, arrival) AS previous, count(*) AS misordered
+       FROM (SELECT *, lag(key) OVER (PARTITION BY pipeline_id ORDER BY arrival) AS previous FROM listing) WHERE key <= previous GROUP BY 1""",
+)
 def wn3_listing_order_check(t):
     return reconcile.order_check(t.listing)
 
 
-@query("", "SELECT concat('p', user_id % 3) AS pipeline, (coalesce(sum(event_id) FILTER (event_id % 2 = 1), 0) - coalesce(sum(event_id) FILTER (event_id % 2 = 0), 0)) / 60 AS per_second FROM events GROUP BY 1")
+@query(
+    "",
+    """SELECT concat('p', user_id % 3) AS pipeline, (coalesce(sum(event_id) FILTER (event_id % 2 = 1),
+       0) - coalesce(sum(event_id) FILTER (event_id % 2 = 0), 0)) / 60 AS per_second FROM events GROUP BY 1""",
+)
 def wn4_two_scrape_rate(t):
     first, second = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:01:00'")
     s = t.events.select(F.lit("bytes").alias("name"), F.create_map(F.lit("pipeline"), F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string"))).alias("labels"), F.col("event_id").cast("double").alias("value"), F.when(F.col("event_id") % 2 == 0, first).otherwise(second).alias("scraped_at"))
@@ -445,12 +545,19 @@ def st3_top_failures(t):
     return verify.top_failures(verified(t), 20).select("key", "outcome")
 
 
-@query("attempts", "SELECT pipeline_id, string_agg(outcome || '=' || n, ' ' ORDER BY outcome) AS line FROM (SELECT pipeline_id, outcome, count(*) AS n FROM attempts GROUP BY 1, 2) GROUP BY 1")
+@query(
+    "attempts",
+    """SELECT pipeline_id, string_agg(outcome || '=' || n, ' ' ORDER BY outcome) AS line FROM (SELECT pipeline_id, outcome, count(*) AS n
+       FROM attempts GROUP BY 1, 2) GROUP BY 1""",
+)
 def st4_fixed_report_order(t):
     return status.counters_line(t.attempts.groupBy("pipeline_id", "outcome").agg(F.count("*").alias("n")), "pipeline_id", "outcome", "n")
 
 
-@query("changes listing", "SELECT pipeline_id, key, version, 'event' AS origin FROM changes UNION ALL SELECT pipeline_id, key, version, 'reconcile' FROM listing")
+@query(
+    "changes listing",
+    """SELECT pipeline_id, key, version, 'event' AS origin FROM changes UNION ALL SELECT pipeline_id, key, version, 'reconcile' FROM listing""",
+)
 def so1_union_changes(t):
     cols = ["pipeline_id", "key", "version"]
     return status.union_changes(t.changes.select(*cols), t.listing.select(*cols))
@@ -462,16 +569,26 @@ def so2_union_manifests(t):
     return m.where("ord < 3").withColumn("file_index", F.lit(0)).unionByName(m.where("ord >= 3").withColumn("file_index", F.lit(1)))
 
 
-@query("specs", f"SELECT name, 'start' AS side FROM specs WHERE enabled AND name NOT IN (SELECT name FROM ({RUNNING})) UNION ALL SELECT name, 'stop' FROM ({RUNNING}) WHERE name NOT IN (SELECT name FROM specs WHERE enabled)")
+@query(
+    "specs",
+    f"""SELECT name, 'start' AS side FROM specs WHERE enabled AND name NOT IN (SELECT name FROM ({RUNNING})) UNION ALL SELECT name, 'stop'
+       FROM ({RUNNING}) WHERE name NOT IN (SELECT name FROM specs WHERE enabled)""",
+)
 def so3_wanted_minus_running(t):
     wanted, running = t.specs.where("enabled").select("name"), t.spark.sql(RUNNING).select("name")
     return status.set_difference(wanted, running, "name").withColumn("side", F.lit("start")).union(status.set_difference(running, wanted, "name").withColumn("side", F.lit("stop")))
 
 
-JOBS = "SELECT pipeline_id, key, CASE WHEN kind = 'upsert' THEN 'copy' ELSE 'delete' END AS job, version, CASE WHEN kind = 'upsert' THEN CAST(floor(epoch(event_time)) AS BIGINT) // 300 ELSE 0 END AS w, arrival FROM changes"
+JOBS = """SELECT pipeline_id, key, CASE WHEN kind = 'upsert' THEN 'copy' ELSE 'delete' END AS job, version, CASE WHEN kind = 'upsert'
+    THEN CAST(floor(epoch(event_time)) AS BIGINT) // 300 ELSE 0 END AS w, arrival FROM changes"""
 
 
-@query("changes jobs", f"""SELECT pipeline_id, key, version, w AS "window", min(arrival) AS arrival FROM ({JOBS}) j WHERE NOT EXISTS (SELECT 1 FROM ({JOBS}) o WHERE o.arrival % 3 = 0 AND o.arrival < 1000000000 AND o.pipeline_id = j.pipeline_id AND o.key = j.key AND o.version = j.version AND o.w = j.w) GROUP BY 1, 2, 3, 4""")
+@query(
+    "changes jobs",
+    f"""SELECT pipeline_id, key, version, w AS "window", min(arrival) AS arrival FROM ({JOBS}) j WHERE NOT EXISTS (SELECT 1 FROM ({JOBS}) o
+       WHERE o.arrival % 3 = 0 AND o.arrival < 1000000000 AND o.pipeline_id = j.pipeline_id AND o.key = j.key AND o.version = j.version
+       AND o.w = j.w) GROUP BY 1, 2, 3, 4""",
+)
 def so4_work_dedupe(t):
     none = t.changes.select("pipeline_id", "key").distinct().withColumn("attempts", F.lit(0))
     jobs = work.emit(t.changes, none)
@@ -479,7 +596,10 @@ def so4_work_dedupe(t):
     return work.dedupe(jobs, held).select("pipeline_id", "key", "version", "window", "arrival")
 
 
-@query("", """SELECT DISTINCT concat('p', user_id % 3) AS pipeline_id, 1 AS revision, CAST(floor(epoch(ts)) AS BIGINT) // 1800 AS "window" FROM events""")
+@query(
+    "",
+    """SELECT DISTINCT concat('p', user_id % 3) AS pipeline_id, 1 AS revision, CAST(floor(epoch(ts)) AS BIGINT) // 1800 AS "window" FROM events""",
+)
 def so5_reconcile_dedupe(t):
     ticks = t.events.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("pipeline_id"), F.lit(1).alias("revision"), F.col("ts").alias("at"))
     return work.reconcile_jobs(ticks, 900)
@@ -564,26 +684,43 @@ def tr6_mark_deleted(t):
     return folded(t, EVERY)
 
 
-@query("changes full_record", "SELECT c.pipeline_id, c.key, c.arrival, CASE WHEN kind = 'upsert' THEN 'copy' ELSE 'delete' END AS job, CASE WHEN kind = 'upsert' THEN 1 ELSE 0 END AS generation, CASE WHEN kind = 'upsert' THEN CAST(floor(epoch(event_time)) AS BIGINT) // 300 ELSE 0 END AS \"window\" FROM changes c")
+@query(
+    "changes full_record",
+    """SELECT c.pipeline_id, c.key, c.arrival, CASE WHEN kind = 'upsert' THEN 'copy' ELSE 'delete' END AS job, CASE WHEN kind = 'upsert' THEN 1
+       ELSE 0 END AS generation, CASE WHEN kind = 'upsert' THEN CAST(floor(epoch(event_time)) AS BIGINT) // 300 ELSE 0 END AS "window"
+       FROM changes c""",
+)
 def tr7_emit(t):
     known = t.changes.select("pipeline_id", "key").distinct().withColumn("attempts", F.lit(1))
     return work.emit(t.changes, known).select("pipeline_id", "key", "arrival", "job", "generation", "window")
 
 
-@query("candidates listing", "SELECT c.arrival, CASE WHEN l.key IS NULL THEN 'stale' ELSE '' END AS outcome, l.version, CASE WHEN c.version = l.version THEN c.sequencer ELSE '' END AS sequencer FROM candidates c LEFT JOIN (SELECT * FROM listing WHERE arrival % 6 <> 0) l USING (pipeline_id, key)")
+@query(
+    "candidates listing",
+    """SELECT c.arrival, CASE WHEN l.key IS NULL THEN 'stale' ELSE '' END AS outcome, l.version, CASE WHEN c.version = l.version THEN c.sequencer
+       ELSE '' END AS sequencer FROM candidates c LEFT JOIN (SELECT * FROM listing WHERE arrival % 6 <> 0) l USING (pipeline_id, key)""",
+)
 def tr8_candidate_from_stat(t):
     return work.candidates(t.candidates, t.listing.where("arrival % 6 <> 0")).select("arrival", "outcome", "version", "sequencer")
 
 
-FAILURES = "CASE event_id % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'lease_lost' WHEN 2 THEN 'interrupted' WHEN 3 THEN 'version_changed' WHEN 4 THEN 'permission' WHEN 5 THEN 'throttled' WHEN 6 THEN 'auth' ELSE 'other' END"
+FAILURES = """CASE event_id % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'lease_lost' WHEN 2 THEN 'interrupted' WHEN 3 THEN 'version_changed' WHEN 4
+    THEN 'permission' WHEN 5 THEN 'throttled' WHEN 6 THEN 'auth' ELSE 'other' END"""
 
 
-@query("", "SELECT event_id, ['synced', '', '', '', 'failed', 'retry', 'failed', 'retry'][event_id % 8 + 1] AS outcome, ['done', 'abandon', 'release', 'retry_now', 'cancel', 'retry_backoff', 'cancel', 'retry_backoff'][event_id % 8 + 1] AS next_step FROM events")
+@query(
+    "",
+    """SELECT event_id, ['synced', '', '', '', 'failed', 'retry', 'failed', 'retry'][event_id % 8 + 1] AS outcome, ['done', 'abandon', 'release',
+       'retry_now', 'cancel', 'retry_backoff', 'cancel', 'retry_backoff'][event_id % 8 + 1] AS next_step FROM events""",
+)
 def tr9_copy_outcome(t):
     return t.events.select("event_id", work.copy_outcome(F.expr(FAILURES)).alias("o")).select("event_id", "o.*")
 
 
-@query("changes", "SELECT pipeline_id, key, arrival, pipeline_id = 'users-1' AS remove FROM changes WHERE kind = 'delete' AND key NOT LIKE '%/2.json'")
+@query(
+    "changes",
+    """SELECT pipeline_id, key, arrival, pipeline_id = 'users-1' AS remove FROM changes WHERE kind = 'delete' AND key NOT LIKE '%/2.json'""",
+)
 def tr10_delete_apply(t):
     gone = t.changes.where("kind = 'delete'").select("pipeline_id", "key", "arrival")
     names = t.changes.select("pipeline_id").distinct().withColumn("deletes", F.col("pipeline_id") == "users-1").where("pipeline_id <> 'users-2'")
@@ -598,16 +735,26 @@ def tr7_observe(t):
     return observed.select("pipeline_id", "key", "status", "source_version", "attempts")
 
 
-NEW_SPECS = "SELECT CASE WHEN account % 8 = 0 THEN concat(name, '_new') ELSE name END AS name, CASE WHEN account % 3 = 0 THEN replace(spec, '64MiB', '32MiB') ELSE spec END AS spec FROM specs WHERE account % 2 = 0"
+NEW_SPECS = """SELECT CASE WHEN account % 8 = 0 THEN concat(name, '_new') ELSE name END AS name, CASE WHEN account % 3 = 0
+    THEN replace(spec, '64MiB', '32MiB') ELSE spec END AS spec FROM specs WHERE account % 2 = 0"""
 
 
-@query("specs", f"SELECT coalesce(o.name, n.name) AS name, coalesce(o.enabled, true) AS enabled, CASE WHEN o.name IS NULL THEN 1 WHEN n.spec <> o.spec THEN o.revision + 1 ELSE o.revision END AS revision, o.name IS NULL OR coalesce(n.spec <> o.spec, false) AS changed FROM specs o FULL OUTER JOIN ({NEW_SPECS}) n ON o.name = n.name")
+@query(
+    "specs",
+    f"""SELECT coalesce(o.name, n.name) AS name, coalesce(o.enabled, true) AS enabled, CASE WHEN o.name IS NULL THEN 1 WHEN n.spec <> o.spec
+       THEN o.revision + 1 ELSE o.revision END AS revision, o.name IS NULL OR coalesce(n.spec <> o.spec, false) AS changed FROM specs o FULL OUTER
+       JOIN ({NEW_SPECS}) n ON o.name = n.name""",
+)
 def tr11_spec_upsert(t):
     t.specs  # noqa: B018
     return specs.upsert(t.specs, t.spark.sql(NEW_SPECS)).select("name", "enabled", "revision", "changed")
 
 
-@query("specs", "SELECT name, CASE WHEN account % 2 = 0 THEN account % 4 = 0 ELSE enabled END AS enabled, revision + CASE WHEN account % 2 = 0 AND (account % 4 = 0) <> enabled THEN 1 ELSE 0 END AS revision FROM specs WHERE account <> 3")
+@query(
+    "specs",
+    """SELECT name, CASE WHEN account % 2 = 0 THEN account % 4 = 0 ELSE enabled END AS enabled, revision + CASE WHEN account % 2 = 0
+       AND (account % 4 = 0) <> enabled THEN 1 ELSE 0 END AS revision FROM specs WHERE account <> 3""",
+)
 def tr11_spec_enable_delete(t):
     want = t.specs.where("account % 2 = 0").select("name", F.expr("account % 4 = 0").alias("want"))
     return specs.delete(specs.set_enabled(t.specs, want), t.specs.where("account = 3")).select("name", "enabled", "revision")
@@ -622,14 +769,24 @@ def tr12_spec_validate(t):
     return specs.validate(t.specs).select("name", F.array_join("problems", "; ").alias("problems"))
 
 
-@query("", "SELECT concat('p', o_custkey) AS pipeline_id, CASE WHEN o_custkey % 3 = 0 THEN TIMESTAMP '1990-01-01' ELSE min(o_orderdate) END AS started_at FROM orders GROUP BY o_custkey")
+@query(
+    "",
+    """SELECT concat('p', o_custkey) AS pipeline_id, CASE WHEN o_custkey % 3 = 0 THEN TIMESTAMP '1990-01-01'
+       ELSE min(o_orderdate) END AS started_at FROM orders GROUP BY o_custkey""",
+)
 def tr13_first_seen(t):
     starts = t.orders.select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("pipeline_id"), F.col("o_orderdate").alias("started_at"), "o_custkey")
     known = starts.where("o_custkey % 3 = 0").select("pipeline_id", F.expr("TIMESTAMP_NTZ '1990-01-01'").alias("started_at")).distinct()
     return record.first_seen(starts, known)
 
 
-@query("messages", "SELECT message_id, count(*) AS events, count(*) FILTER (message_id % 43 <> 0 AND message_id % 53 <> 0 AND message_id % 41 <> 0) AS kept_by_message, count(*) FILTER (NOT (message_id % 41 = 0 OR message_id % 53 = 0 AND n = 0 OR n = 1)) AS kept_by_event FROM (SELECT message_id, unnest(range(CASE WHEN message_id % 43 = 0 AND message_id % 41 <> 0 THEN 2 ELSE 1 END)) AS n FROM messages) GROUP BY 1")
+@query(
+    "messages",
+    """SELECT message_id, count(*) AS events, count(*) FILTER (message_id % 43 <> 0 AND message_id % 53 <> 0
+       AND message_id % 41 <> 0) AS kept_by_message, count(*) FILTER (NOT (message_id % 41 = 0 OR message_id % 53 = 0 AND n = 0
+       OR n = 1)) AS kept_by_event FROM (SELECT message_id, unnest(range(CASE WHEN message_id % 43 = 0 AND message_id % 41 <> 0 THEN 2
+       ELSE 1 END)) AS n FROM messages) GROUP BY 1""",
+)
 def str3_malformed_policy(t):
     parsed = events.parse_messages(t.messages)
     by_message = events.apply_policy(parsed, True).groupBy("message_id").agg(F.count("*").alias("events"), F.count_if("keep").alias("kept_by_message"))
@@ -652,12 +809,20 @@ def str8_late_data_fold(t):
     return record.fold(every.where(~cut), record.fold(every.where(cut))).select("pipeline_id", "key", "status", "source_version")
 
 
-@query("attempts", "SELECT pipeline_id, outcome, date_trunc('minute', finished_at) AS start, count(*) / 60 AS files_per_second, sum(bytes) / 60 AS bytes_per_second FROM attempts GROUP BY 1, 2, 3")
+@query(
+    "attempts",
+    """SELECT pipeline_id, outcome, date_trunc('minute', finished_at) AS start, count(*) / 60 AS files_per_second,
+       sum(bytes) / 60 AS bytes_per_second FROM attempts GROUP BY 1, 2, 3""",
+)
 def str10_rate_windows(t):
     return metrics.rate_windows(t.attempts.withColumnRenamed("finished_at", "at"), 60)
 
 
-@query("manifest destination", f"SELECT key, CASE WHEN outcome = 'missing' AND CAST(regexp_extract(key, '(\\d+)', 1) AS BIGINT) % 40 = 0 THEN 'ok' ELSE outcome END AS outcome FROM ({VERIFIED})")
+@query(
+    "manifest destination",
+    f"""SELECT key, CASE WHEN outcome = 'missing' AND CAST(regexp_extract(key, '(\\d+)', 1) AS BIGINT) % 40 = 0 THEN 'ok'
+       ELSE outcome END AS outcome FROM ({VERIFIED})""",
+)
 def str14_retry_missing(t):
     m = last(t).select("key", "size", "sha256", "written_at", "l_orderkey")
     late = t.destination.select("key", "size", "sha256", "mod_time").unionByName(m.where("l_orderkey % 40 = 0").select("key", "size", "sha256", F.col("written_at").alias("mod_time")))
