@@ -226,6 +226,24 @@ def test_bpe(spark):
         assert full[i]["ids"] == ids and full[i]["decoded"] == said
 
 
+def test_bpe_edges(spark):
+    """Empty table, repeated rows, null doc_id and text, a very long word, more words than are remembered."""
+    given = [(1, "some words"), (1, "some words"), (None, None), (2, ""), (3, "ab" * 40_000), (4, " ".join(f"w{k}x" for k in range(3000)))]
+    table = docs(spark, given)
+    got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in bpe.digest(table, queries.WORD_BPE).collect())
+    want = collections.Counter((r["doc_id"], len(r["ids"])) for r in bpe.tokenize(table, queries.WORD_BPE, batch_chars=10).collect())
+    assert got == want == collections.Counter((r["doc_id"], r["total"]) for r in bpe.count(table, queries.WORD_BPE, "doc_id").collect())
+    assert got[None, 0] == got[2, 0] == 1 and sum(got.values()) == 6
+    assert bpe.digest(table.limit(0), queries.WORD_BPE).count() == 0
+    coder = bpe.Encoder(queries.WORD_BPE)
+    bpe.REMEMBERED, before = 100, bpe.REMEMBERED
+    try:
+        again = [coder.encode([f"w{k}x w{k}y"]) for k in range(80) for _ in range(2)]
+    finally:
+        bpe.REMEMBERED = before
+    assert again == [bpe.encoder(queries.WORD_BPE).encode([f"w{k}x w{k}y"]) for k in range(80) for _ in range(2)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">a</a></li></ul></nav><!-- ad --><div class="ad">The ad of the day is in the box for all of you and it was here.</div>
 <article><h1>Title&amp;more</h1><p><b>The first of the   paragraphs is long enough to be decided by its words and it is in the article.<br><p>Short one.</p>
