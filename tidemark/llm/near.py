@@ -110,6 +110,27 @@ def buckets(rows: DataFrame) -> DataFrame:
     return rows.join(groups, ["band", "key", "salt"]).select("band", "key", "n", "node")
 
 
+def stars(found: list[tuple[int, int]], nodes: list[bytes], pivots: list[bool]) -> list[tuple[int, int]]:
+    """The same components with all links from one centre: the least of the pivots that it holds, or of all of its texts."""
+    root: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in found:
+        root[top(b)] = top(a)
+    groups: dict[int, list[int]] = {}
+    for k in list(root):
+        groups.setdefault(top(k), []).append(k)
+    out = []
+    for members in groups.values():
+        centre = min(members, key=lambda k: (not pivots[k], nodes[k]))
+        out += [(centre, k) for k in members if k != centre]
+    return out
+
+
 class Links:
     """Which of a part's texts are in one component, as far as is known, and the links found."""
 
@@ -171,17 +192,17 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def compare(dealt: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """dealt(band, key, i, j, node, label), the texts of each group to compare: links (a, b) found between different labels."""
+    """dealt(band, key, i, j, node, label, pivot), the texts of each group to compare: links (a, b) found between different labels, a being a centre."""
     group = ["band", "key", "i", "j"]
-    given = dealt.join(sets.select("node", "set"), "node").select(*group, "node", "label", "set").repartition(width, *group).sortWithinPartitions(*group)
+    given = dealt.join(sets.select("node", "set"), "node").select(*group, "node", "label", "pivot", "set").repartition(width, *group).sortWithinPartitions(*group)
 
     def run(batches):
-        held_key, nodes, labels, held = None, [], [], []
+        held_key, nodes, labels, pivots, held = None, [], [], [], []
 
         def close():
             if len(held) < 2 or len(set(labels)) < 2:
                 return []
-            return [(nodes[a], nodes[b]) for a, b in forest(held, labels)]
+            return [(nodes[a], nodes[b]) for a, b in stars(forest(held, labels), nodes, pivots)]
 
         def made(out):
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
@@ -189,12 +210,13 @@ def compare(dealt: DataFrame, sets: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             out = []
             keys = zip(*(batch[c].to_pylist() for c in group), strict=True)
-            for at, (key, n, label) in enumerate(zip(keys, batch["node"].to_pylist(), batch["label"].to_pylist(), strict=True)):
+            for at, (key, n, label, pivot) in enumerate(zip(keys, *(batch[c].to_pylist() for c in ("node", "label", "pivot")), strict=True)):
                 if key != held_key:
                     out += close()
-                    held_key, nodes, labels, held = key, [], [], []
+                    held_key, nodes, labels, pivots, held = key, [], [], [], []
                 nodes.append(n)
                 labels.append(label)
+                pivots.append(pivot)
                 held.append(batch["set"][at].values.to_numpy().view(np.uint64).copy())
             yield made(out)
         yield made(close())
@@ -220,7 +242,7 @@ def in_parts(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
     pivot = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("n")) < PIVOTS
     i = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
-    return members.select("band", "key", i.alias("i"), F.lit(0).alias("j"), "node", "label")
+    return members.select("band", "key", i.alias("i"), F.lit(0).alias("j"), "node", "label", pivot.alias("pivot"))
 
 
 def crosswise(members: DataFrame) -> DataFrame:
@@ -234,7 +256,7 @@ def crosswise(members: DataFrame) -> DataFrame:
     cols = ["band", "key", "node", "label"]
     asked = both.where(outside).select(*cols, block.alias("i"), F.explode(every("parts")).alias("j"))
     met = both.select(*cols, F.explode(every("blocks")).alias("i"), part.alias("j"))
-    return asked.unionByName(met).distinct().select("band", "key", "i", "j", "node", "label")
+    return asked.unionByName(met).distinct().select("band", "key", "i", "j", "node", "label", F.lit(False).alias("pivot"))
 
 
 def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -251,14 +273,19 @@ def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "set"])
 
     sets = cut(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(hashed, "node binary, size bigint, set array<bigint>"), "sets")
+    # A text is in one group only, so that its centre there says enough of its component to go on with.
     found = compare(in_parts(mixed(grouped, None, sets)), sets, width)
-    roots = components(found)
-    found = found.union(compare(in_parts(mixed(banded, roots, sets)), sets, width))
+    centres = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    centres = cut(centres.unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root")), "centres")
+    open_ = cut(mixed(banded, centres, sets), "mixed")
+    found = found.union(compare(in_parts(open_), sets, width))
     roots = components(found)
     # Small buckets have been compared whole; of the large ones those are left whose texts are not yet one component.
-    left = cut(mixed(grouped.union(banded), roots, sets).where("parts > 1"), "left")
-    if left.limit(1).count():
-        roots = components(found.union(compare(crosswise(left), sets, width)))
+    large = cut(mixed(grouped, None, sets).where("parts > 1").unionByName(open_.where("parts > 1")).select("band", "key", "n", "node"), "large")
+    if large.limit(1).count():
+        left = cut(mixed(large, roots, sets), "left")
+        if left.limit(1).count():
+            roots = components(found.union(compare(crosswise(left), sets, width)))
     return roots
 
 
