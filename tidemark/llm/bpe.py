@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 NO_RANK = np.iinfo(np.int64).max
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Unicode's White_Space characters.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -45,6 +45,8 @@ class Encoder:
         vocab, self.size = model["vocab"], 1 << 17
         self.names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: Bytes that hold any id.
+        self.width = 2 if max(self.names) < 1 << 16 else 4
         self.end = model["end_of_word_suffix"]
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
@@ -210,9 +212,10 @@ def tokenize(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000) ->
     return _each(docs, ["doc_id"], vocabulary, batch_chars, "ids array<int>, decoded string", whole, [pa.list_(pa.int32()), pa.string()])
 
 
-def encode(docs: DataFrame, vocabulary: str, *keep: str, batch_chars: int = 2_000_000) -> DataFrame:
-    """The columns to keep and ids BINARY of every text, the ids as little-endian unsigned 32-bit integers. Nothing is decoded."""
-    ids = lambda coder, texts: [x[:1] for x in coder.encode(texts, decode=False)]
+def encode(docs: DataFrame, vocabulary: str, *keep: str, width: int = 4, batch_chars: int = 2_000_000) -> DataFrame:
+    """The columns to keep and ids BINARY of every text, the ids as little-endian unsigned integers of width bytes. Nothing is decoded."""
+    said = f"<u{width}"
+    ids = lambda coder, texts: [(np.frombuffer(x, "<u4").astype(said).tobytes(),) for x, _ in coder.encode(texts, decode=False)]
     return _each(docs, list(keep), vocabulary, batch_chars, "ids binary", ids, [pa.binary()])
 
 

@@ -40,7 +40,7 @@ WORDS, SEED = 5, 42
 LEAST = (4, 5)
 BANDS, ROWS = 32, 4
 #: Texts, and shingles, of a bucket that a task compares at once, about; the pivots that a bucket's parts share.
-PART, WEIGHT, PIVOTS = 512, 2_000_000, 8
+PART, WEIGHT, PIVOTS = 512, 500_000, 8
 SALTS = 64
 #: Texts that a part compares with all others one by one before it compares all pairs at once.
 SINGLY = 16

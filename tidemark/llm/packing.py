@@ -39,10 +39,10 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(row_key(F.col("doc_id"), text_digest()).alias("key"), "doc_id", "text")
 
 
-def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """key (of doc_id and text), doc_id, total, ids of every row of docs, written once."""
-    encoded = bpe.encode(with_key(docs), vocabulary, "key", "doc_id")
-    return cut(encoded.select("key", "doc_id", (F.length("ids") / 4).cast("int").alias("total"), "ids"), "tokens", "zstd")
+def tokens(docs: DataFrame, vocabulary: str, width: int) -> DataFrame:
+    """key (of doc_id and text), doc_id, total, ids (of width bytes each) of every row of docs, written once."""
+    encoded = bpe.encode(with_key(docs), vocabulary, "key", "doc_id", width=width)
+    return cut(encoded.select("key", "doc_id", (F.length("ids") / width).cast("int").alias("total"), "ids"), "tokens", "zstd")
 
 
 def plan(counts: dict[int, int], capacities=CAPACITIES, overhead: int = OVERHEAD) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -152,11 +152,12 @@ def sequences(docs: DataFrame, vocabulary: str, capacities=CAPACITIES, overhead:
 
     pieces tell, in the order of ids, the document, the piece and how many tokens it has.
     """
-    encoded = tokens(docs, vocabulary)
+    width = bpe.encoder(vocabulary).width
+    encoded = tokens(docs, vocabulary, width)
     placed = place(encoded.select("key", "doc_id", "total"), capacities, overhead).where("bin_id IS NOT NULL")
     # Repeated rows share a key and their ids; each has its own place.
     once = encoded.where("total > 0").select("key", "ids", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))).alias("nth")).where("nth = 1").drop("nth")
-    run = F.substring(F.col("ids"), F.col("start") * 4 + 1, F.col("n_tokens") * 4)
+    run = F.substring(F.col("ids"), F.col("start") * width + 1, F.col("n_tokens") * width)
     parts = placed.join(once, "key").select("bin_id", "bin_capacity", F.struct("bin_offset", "doc_id", "piece", "start", "n_tokens", run.alias("ids")).alias("part"))
     bins = parts.groupBy("bin_id", "bin_capacity").agg(F.array_sort(F.collect_list("part")).alias("parts"))
 
@@ -165,8 +166,8 @@ def sequences(docs: DataFrame, vocabulary: str, capacities=CAPACITIES, overhead:
             lists = batch["parts"]
             flat = lists.flatten()
             raw = flat.field("ids").to_pylist()
-            ends = np.cumsum([sum(map(len, raw[a:b])) // 4 for a, b in zip(lists.offsets.to_pylist()[:-1], lists.offsets.to_pylist()[1:], strict=True)]) if len(lists) else []
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+            ends = np.cumsum([sum(map(len, raw[a:b])) // width for a, b in zip(lists.offsets.to_pylist()[:-1], lists.offsets.to_pylist()[1:], strict=True)]) if len(lists) else []
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(raw), f"<u{width}").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch["bin_id"], batch["bin_capacity"], batch["pieces"], batch["doc_ids"], ids], ["bin_id", "bin_capacity", "pieces", "doc_ids", "ids"])
 
     pieces = F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["start"].alias("start"), p["n_tokens"].alias("n_tokens")))
