@@ -53,9 +53,12 @@ def jn3_misordered_lookup(t):
     return reconcile.diff(backwards, t.record, now(), exclude=["**/tmp/**"]).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("manifest destination", VERIFIED)
+@query(
+    "manifest destination",
+    f"SELECT key, size, outcome, CASE WHEN outcome IN ('ok', 'sha256_mismatch') AND d_sha <> '' THEN size ELSE 0 END AS bytes_hashed, lag_seconds FROM ({VERIFIED})",
+)
 def jn4_manifest_verify(t):
-    return verified(t).select("key", "size", "outcome", "lag_seconds")
+    return verified(t).select("key", "size", "outcome", "bytes_hashed", "lag_seconds")
 
 
 @query(
