@@ -114,22 +114,27 @@ def fold_lists(listed: DataFrame, resume: DataFrame | None, from_old: bool = Fal
 def fold(ops: DataFrame, resume: DataFrame | None = None, size: int = SLICE) -> DataFrame:
     """The record of each (pipeline_id, key) after all its ops in order of arrival, from the rows of resume if given.
 
-    A key's operations are listed size at a time. Where a key has more, they are numbered in sorted order, and slice by
-    slice goes on from the record that the one before has left; only keys that have a slice take part in its round.
+    A key's operations are listed size at a time. Those of keys with more are numbered in sorted order, and slice by slice
+    goes on from the record that the one before has left; the other keys are folded once and take no part in these rounds.
     """
     keys = ["pipeline_id", "key"]
     gathered = F.array_sort(F.collect_list(F.struct(*OPS))).alias("ops")
-    longest = ops.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    counts = ops.groupBy(*keys).agg(F.count("*").alias("n"))
+    longest = counts.agg(F.max("n")).first()[0] or 0
     if longest <= size:
         return fold_lists(ops.groupBy(*keys).agg(gathered), resume)
+    heavy = cut(counts.where(F.col("n") > size).select(*keys), "heavy")
+    of = lambda df, how: None if df is None else df.join(heavy, keys, how)
+    light = fold_lists(of(ops, "left_anti").groupBy(*keys).agg(gathered), of(resume, "left_anti"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*OPS))
-    sliced = cut(ops.select(*keys, *OPS).withColumn("__slice", F.floor((nth - 1) / size)).groupBy(*keys, "__slice").agg(gathered), "slices")
+    numbered = of(ops, "left_semi").select(*keys, *OPS).withColumn("__slice", F.floor((nth - 1) / size))
+    sliced = cut(numbered.groupBy(*keys, "__slice").agg(gathered), "slices")
     part = lambda k: sliced.where(F.col("__slice") == k).drop("__slice")
-    state = cut(fold_lists(part(0), resume), "state")
+    state = cut(fold_lists(part(0), of(resume, "left_semi")), "state")
     for k in range(1, -(-longest // size)):
         now = fold_lists(part(k).join(state.select(*keys, F.struct(*FIELDS).alias("old")), keys), None, from_old=True)
         state = cut(state.join(now.select(*keys), keys, "left_anti").unionByName(now), "state")
-    return state
+    return light.unionByName(state)
 
 
 def newest(changes: DataFrame) -> DataFrame:
