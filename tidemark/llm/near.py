@@ -231,10 +231,13 @@ def mixed(members: DataFrame, roots: DataFrame | None, sets: DataFrame) -> DataF
         lab = lab.withColumn("label", F.col("node"))
     else:
         lab = lab.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    by_label = lab.groupBy("band", "key", "label").agg(F.count("*").alias("k"), F.sum("size").alias("w"))
+    by_label = lab.groupBy("band", "key", "label").agg(F.count("*").alias("k"), F.sum("size").alias("w"), F.max("n").alias("n"))
     parts = F.ceil(F.greatest(F.sum("k") / PART, F.sum("w") / WEIGHT)).cast("int").alias("parts")
-    open_ = by_label.groupBy("band", "key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"), parts).where("labels > 1").drop("labels")
-    return lab.join(open_, ["band", "key"])
+    open_ = by_label.groupBy("band", "key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"), parts, F.max("n").alias("n")).where("labels > 1")
+    # A large bucket's texts meet what is known of it in salted parts.
+    salts = F.ceil(F.col("n") / PART).cast("int")
+    salted = open_.select("band", "key", "main", "parts", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return lab.withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "node"), salts).cast("int")).join(salted, ["band", "key", "salt"]).drop("salt")
 
 
 def in_parts(members: DataFrame) -> DataFrame:
@@ -248,14 +251,15 @@ def in_parts(members: DataFrame) -> DataFrame:
 def crosswise(members: DataFrame) -> DataFrame:
     """Parts of the texts outside a bucket's main component, each with every part of the bucket."""
     outside = F.col("label") != F.col("main")
-    strangers = members.where(outside).groupBy("band", "key").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / WEIGHT)).cast("int").alias("blocks"))
-    both = members.join(strangers, ["band", "key"])
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    blocks = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / WEIGHT)).cast("int").alias("blocks")
+    strangers = members.where(outside).groupBy("band", "key").agg(blocks, F.first("parts").alias("parts")).select("band", "key", "blocks", F.explode(every("parts")).alias("part"))
     part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
+    both = members.withColumn("part", part).join(strangers, ["band", "key", "part"])
     block = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")
     cols = ["band", "key", "node", "label"]
     asked = both.where(outside).select(*cols, block.alias("i"), F.explode(every("parts")).alias("j"))
-    met = both.select(*cols, F.explode(every("blocks")).alias("i"), part.alias("j"))
+    met = both.select(*cols, F.explode(every("blocks")).alias("i"), F.col("part").alias("j"))
     return asked.unionByName(met).distinct().select("band", "key", "i", "j", "node", "label", F.lit(False).alias("pivot"))
 
 
