@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 
 NO_RANK = np.iinfo(np.int64).max
-#: Words that a task remembers before it starts anew.
-REMEMBERED = 250_000
+#: Chunks and words that a task remembers before it starts anew, with their ids or with their sizes alone.
+REMEMBERED, REMEMBERED_SIZES = 400_000, 1_000_000
 #: Unicode's White_Space characters.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -136,26 +136,27 @@ class Encoder:
         known says what is wanted of a chunk: its tokens' names (said) and ids, its ids alone, or how many they are (sizes).
         """
         decode = known is self.said
-        if len(known) > REMEMBERED:
+        if len(known) > (REMEMBERED_SIZES if known is self.sizes else REMEMBERED):
             known.clear()
             if decode:
                 self.ids.clear()
-        new = chunks - known.keys()
         # Letters only: one word.
-        words = {c: [c] if c.isalpha() else self.words.findall(c) for c in new}
-        place = {w: k for k, w in enumerate(dict.fromkeys(w for found in words.values() for w in found))}
-        flat, starts = self.encode_words(list(place))
+        words = {c: [c] if c.isalpha() else self.words.findall(c) for c in chunks - known.keys()}
+        # A word that has been a chunk of its own is known as well.
+        fresh = list(dict.fromkeys(w for found in words.values() for w in found if w not in known))
+        flat, starts = self.encode_words(fresh)
         if known is self.sizes:
-            size = np.diff(starts).tolist()
-            self.sizes.update((chunk, size[place[found[0]]] if len(found) == 1 else sum(size[place[w]] for w in found)) for chunk, found in words.items())
+            known.update(zip(fresh, np.diff(starts).tolist(), strict=True))
+            known.update((chunk, sum([known[w] for w in found])) for chunk, found in words.items() if len(found) > 1)
             return
         raw, bounds = flat.astype("<u4").tobytes(), starts.tolist()
-        names = list(map(self.names.__getitem__, flat.tolist())) if decode else []
-        for chunk, found in words.items():
-            spans = [(bounds[k], bounds[k + 1]) for k in map(place.__getitem__, found)]
-            self.ids[chunk] = raw[4 * spans[0][0] : 4 * spans[0][1]] if len(spans) == 1 else b"".join([raw[4 * a : 4 * b] for a, b in spans])
-            if decode:
-                self.said[chunk] = " ".join(names[spans[0][0] : spans[0][1]] if len(spans) == 1 else [n for a, b in spans for n in names[a:b]])
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        self.ids.update((w, raw[4 * a : 4 * b]) for w, (a, b) in zip(fresh, spans, strict=True))
+        self.ids.update((chunk, b"".join([self.ids[w] for w in found])) for chunk, found in words.items() if len(found) > 1)
+        if decode:
+            names = list(map(self.names.__getitem__, flat.tolist()))
+            known.update((w, " ".join(names[a:b])) for w, (a, b) in zip(fresh, spans, strict=True))
+            known.update((chunk, " ".join([known[w] for w in found])) for chunk, found in words.items() if len(found) > 1)
 
     def pieces(self, text: str) -> list[tuple[list[str], int | None]]:
         """Runs of chunks, each followed by a special id or None."""
