@@ -120,7 +120,7 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(*key(F.col("text")), "text")
     once = texts.groupBy("k", "c").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"tidemark_texts_{uuid.uuid4().hex}"
-    once.write.bucketBy(width, "k", "c").option("path", fresh_path(spark, "texts")).saveAsTable(name)
+    once.write.option("compression", "zstd").bucketBy(width, "k", "c").option("path", fresh_path(spark, "texts")).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -227,7 +227,7 @@ def ranked_runs(texts: DataFrame, length: int) -> DataFrame:
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """k, c, at, n: runs of repeated windows of the texts."""
-    every = cut(ranked_runs(texts, length), "runs")
+    every = cut(ranked_runs(texts, length), "runs", "zstd")
     rank, content = Window.partitionBy("h", "r"), Window.partitionBy("h", "u1", "u2")
     left = cut(
         every.where("lead")
