@@ -221,7 +221,7 @@ def compare(dealt: DataFrame, sets: DataFrame, width: int) -> DataFrame:
             yield made(out)
         yield made(close())
 
-    return cut(given.mapInArrow(run, "a binary, b binary"), "links")
+    return cut(given.mapInArrow(run, "a binary, b binary"), "links", "zstd")
 
 
 def mixed(members: DataFrame, roots: DataFrame | None, sets: DataFrame) -> DataFrame:
@@ -266,8 +266,8 @@ def crosswise(members: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """node, root of every text that a link touches."""
     width = shuffle_width(docs.sparkSession)
-    grouped = cut(buckets(simhash_groups(signed)), "groups")
-    banded = cut(buckets(signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()), "buckets")
+    grouped = cut(buckets(simhash_groups(signed)), "groups", "zstd")
+    banded = cut(buckets(signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()), "buckets", "zstd")
     asked = grouped.select("node").union(banded.select("node")).distinct()
     texts = docs.select(text_digest().alias("node"), "text").join(asked, "node", "left_semi")
 
@@ -276,12 +276,12 @@ def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()).view(np.int64) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "set"])
 
-    sets = cut(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(hashed, "node binary, size bigint, set array<bigint>"), "sets")
+    sets = cut(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(hashed, "node binary, size bigint, set array<bigint>"), "sets", "zstd")
     # A text is in one group only, so that its centre there says enough of its component to go on with.
     found = compare(in_parts(mixed(grouped, None, sets)), sets, width)
     centres = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     centres = cut(centres.unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root")), "centres")
-    open_ = cut(mixed(banded, centres, sets), "mixed")
+    open_ = cut(mixed(banded, centres, sets), "mixed", "zstd")
     found = found.union(compare(in_parts(open_), sets, width))
     roots = components(found)
     # Small buckets have been compared whole; of the large ones those are left whose texts are not yet one component.
@@ -295,7 +295,7 @@ def linked(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component one, with all columns."""
-    signed = cut(signatures(docs), "signatures")
+    signed = cut(signatures(docs), "signatures", "zstd")
     roots = linked(docs, signed).withColumnRenamed("node", "__node")
     least = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("one")
