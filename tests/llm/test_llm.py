@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from test_near import brute
-from tidemark.llm import bpe, components, exact, html_text, neighbours, packing, quality, queries, repeats, secrets, simhash, warc
+from tidemark.llm import bpe, components, exact, html_text, neighbours, packing, quality, queries, repeats, secrets, simhash, util, warc
 
 SCHEMA = "doc_id bigint, text string, kept string, n_chars bigint, same string, row int"
 
@@ -59,6 +60,14 @@ def test_exact(spark):
     check_exact(spark, [*sample_texts(), (7, "x"), (7, "x"), (None, None), (None, "alone")])
 
 
+def test_exact_lowers_ascii_only(spark):
+    """Every character that has a lower case stands against it: only A-Z is the same text."""
+    pairs = [(i, c) for i, c in enumerate(c for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000 for c in {chr(k), chr(k).lower()} if chr(k).lower() != chr(k))]
+    got = spark.createDataFrame(pairs, "doc_id bigint, text string").select("doc_id", util.lower_ascii(F.col("text")).alias("low")).collect()
+    assert {r["doc_id"]: r["low"] for r in got} == {i: lower(c) for i, c in pairs}
+    check_exact(spark, list(enumerate("\U00010570 \U00010597 \u2c2f \u2c5f A a".split())))
+
+
 def test_exact_hot_and_empty(spark):
     check_exact(spark, [(i, "Same Text" if i % 3 else f"own {i}") for i in range(300)])
     assert exact.classify(docs(spark, [])).count() == 0 == exact.dedup(docs(spark, [])).count()
@@ -484,6 +493,20 @@ def test_secrets_edges(spark):
         assert [(s, secrets.RULES[k].kind, e) for s, k, e in secrets.find(f"see {text} here".encode()) if k >= secrets.BASE] == [(4, kind, 4 + len(text))]
 
 
+def test_secrets_of_many_spans():
+    """Offsets of many spans in a long text, with characters of several bytes, in time linear in it."""
+    rng = random.Random(5)
+    words = ["é", "deadbeefdeadbeef ", "ghp_" + "a1B2" * 9 + " ", "日本", "AKIA" + "A1" * 9 + "é"]
+    text = "".join(rng.choices(words, k=120_000))
+    start = time.monotonic()
+    data = text.encode()
+    found = secrets.find(data)
+    place = secrets.code_points(data, found)
+    assert time.monotonic() - start < 15 and len(found) > 70_000
+    assert [(place[s], place[e]) for s, k, e in found if k == 2] == [m.span() for m in re.finditer(r"[0-9a-f]{16,}", text)]
+    assert [(place[s], place[e]) for s, k, e in found if k == 3] == [m.span() for m in re.finditer(r"gh[pousr]_[A-Za-z0-9]{36,}", text)]
+
+
 def test_rules_parser():
     """Automata of generated patterns, forwards and backwards, against the regex engine."""
     rng = random.Random(13)

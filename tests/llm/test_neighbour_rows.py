@@ -23,3 +23,13 @@ def test_repeated_query_rows(spark):
             want.append(ids[found[np.lexsort((ids[found], -(y[found] * v).sum(axis=1)))[:20]]].tolist())
         for rank in range(1, 21):
             assert sorted(got[q, rank]) == sorted(w[rank - 1] for w in want)
+
+
+def test_tiny_and_huge_vectors_take_part(spark):
+    """Squares of components vanish or overflow in double precision; the vectors are still no zero vectors."""
+    data = [(20, [1e-170, 2e-170]), (1, [3.0, 4.0]), (2, [1e-300, -1e-300]), (3, [0.0, 0.0]), (4, [1e200, 1e200]), (40, [-1e200, 1e200])]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[20] == [4, 40, 1, 2] and set(got[40]) == {1, 2, 4, 20}

@@ -3,7 +3,8 @@
 A page is cut into blocks at its block-level tags. The first pass decides each block alone, by its length, its share of
 link text and its density of stop words: many links make it bad, enough length with enough stop words good, and a long
 block without stop words bad; a short block stays open, and so does one between the bounds. Markup that names itself
-as boilerplate (menus, forms, notices, comments) makes its blocks bad. The second pass gives each open block the label
+as boilerplate (menus, forms, notices, comments) makes its blocks bad; ids of headings and sections, which come from a
+heading's words, name nothing. The second pass gives each open block the label
 of its nearest decided neighbours: the same on both sides, the nearer one, and at a tie the good one.
 
 An article element is a feature beside these: within it, links and foreign words decide nothing, and neighbours count
@@ -26,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,11 +42,15 @@ OF_HEAD = frozenset("base basefont bgsound link meta noscript script style templ
 BAD = frozenset("nav footer aside form menu button select option fieldset label legend dialog header search".split())
 ARTICLE, MAIN = frozenset(["article"]), frozenset(["main"])
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id and role that name boilerplate, and those that do so outside an article only.
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|bottom-?bar|breadcrumbs?|byline-share|captcha|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|overlay|pager|pagination|popup|promo|promoted|promotion|recommended|related|reply|replies|respond|search|share|sharing|sidebar|signup|site-?header|page-?header|skip-?link|social|sponsor|sponsored|subscribe|taboola|teaser|toolbar|topbar|widget)(?:$|[\s_-])",
-    re.I,
+# Words that name boilerplate where a class, id or role is made of them, alone or with words for its place and shape.
+BAD_WORDS = frozenset(
+    "ad ads adsense advert adverts advertisement advertisements banner bottombar breadcrumb breadcrumbs captcha comment commentlist comments complementary consent contentinfo cookie cookies copyright disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe taboola teaser toolbar topbar widget".split()
 )
+SHAPE_WORDS = frozenset(
+    "area articles bar block blocks bottom box btn button buttons center col column container content form global group head header icon icons inner item items js label left line link links list main media message news outer page panel pane policy post posts primary right row secondary section site slot small sticky stories sub text top unit wide wrap wrapper zone".split()
+)
+PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+BAD_COMPOUND = re.compile(r"(?:.*\s)?(?:bottom-?bar|byline-share|site-?header|page-?header|skip-?link)(?:\s.*)?", re.I)
 BAD_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:alert|warning)(?:$|[\s_-])|^(?:.*\s)?(?:header|top)(?:\s.*)?$", re.I)
 # Names that tell a wrapper's state or screen size, not what it holds.
 STATE = re.compile(r"(?:has|with|without|no|not|is|js|show|hide)[_-].*|.*[_-](?:open|opened|closed|active|enabled|disabled|visible|collapsed|xs|sm|md|lg|xl|print)", re.I)
@@ -163,7 +169,14 @@ class Block(NamedTuple):
     heading: bool
 
 
-def marked(attributes: list[tuple[str, str]], inside: bool) -> int:
+@lru_cache(65_536)
+def names_boilerplate(token: str) -> bool:
+    """Whether a class or id is a word for boilerplate or made of such and words for its place: share-buttons, not share-price."""
+    parts = [w.lower() for w in PARTS.split(token.strip("_-")) if not w.isdigit()]
+    return any(w in BAD_WORDS for w in parts) and all(w in BAD_WORDS or w in SHAPE_WORDS for w in parts)
+
+
+def marked(attributes: list[tuple[str, str]], inside: bool, titled: bool = False) -> int:
     """Whether attributes name what an element holds as no part of the main text (SOFT), or hide it (HARD)."""
     by_name = 0
     for name, value in attributes:
@@ -171,9 +184,11 @@ def marked(attributes: list[tuple[str, str]], inside: bool) -> int:
             return HARD
         if name == "style" and UNSHOWN.search(value):
             return HARD
-        if name in ("class", "id", "role", "aria-label"):
-            says = " ".join(w for w in html.unescape(value).split() if not STATE.fullmatch(w))
-            if BAD_NAME.search(says) or not inside and name != "aria-label" and BAD_OUTSIDE.search(says):
+        if name in ("class", "id", "role", "aria-label") and not (titled and name in ("id", "aria-label")):
+            tokens = [w for w in html.unescape(value).split() if not STATE.fullmatch(w)]
+            says = " ".join(tokens)
+            named = any(map(names_boilerplate, tokens)) if name != "aria-label" or len(tokens) == 1 else False
+            if named or BAD_COMPOUND.fullmatch(says) or not inside and name != "aria-label" and BAD_OUTSIDE.search(says):
                 by_name = SOFT
     return by_name
 
@@ -272,7 +287,7 @@ class Blocks:
             flag = self.flag(flag, 0)
         inside = self.kinds[within] in ARTICLE
         own = tag in BAD and not (tag == "header" and within)
-        named = 0 if tag in ("html", "body") or tag in ARTICLE or tag in MAIN else marked(attributes, inside)
+        named = 0 if tag in ("html", "body") or tag in ARTICLE or tag in MAIN else marked(attributes, inside, tag in HEADING or tag == "section")
         flagged = HARD if tag in ("head", "noscript") and self.open.get("head") or tag == "head" or tag in UNSEEN or own and tag != "form" else max(SOFT * own, named)
         if flagged:
             flag = self.flag(flag, flagged)

@@ -33,17 +33,24 @@ DOUBT = 0.3
 SHARD, BLOCK = 16_384, 1_024
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled to a largest component of one, and what they were scaled by: squares neither vanish nor overflow."""
+    size = np.abs(vectors).max(axis=1)
+    return vectors / size[:, None], size
+
+
 class Forest:
     """The sorted hash strings of a shard's vectors, which come in order of their ids."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> None:
         self.vectors, self.depth = vectors, depth
-        self.length = np.linalg.norm(vectors, axis=1)
+        unit, size = scaled(vectors)
+        self.length = size * np.linalg.norm(unit, axis=1)
         rng = np.random.default_rng(seed)
         self.directions = rng.standard_normal((trees, vectors.shape[1], depth))
         self.strings, self.order = [], []
         for t in range(trees):
-            codes = self.codes(vectors, t)
+            codes = self.codes(unit, t)
             order = np.argsort(codes, kind="stable").astype(np.int32)
             self.strings.append(codes[order])
             self.order.append(order)
@@ -69,6 +76,7 @@ class Forest:
     def candidates(self, queries: np.ndarray, wanted: int, votes: int = VOTES):
         """For each query its place and the places of its candidates, wanted at least unless there are fewer."""
         trees, n = len(self.strings), len(self.vectors)
+        queries = scaled(queries)[0]
         codes = [self.codes(queries, t) for t in range(trees)]
         pending = np.arange(len(queries))
         for level in range(self.depth, -1, -1):
@@ -97,9 +105,8 @@ class Forest:
 
 
 def usable(embedding: Column) -> Column:
-    squares = F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return embedding.isNotNull() & (F.size(embedding) > 0) & finite & (squares > 0)
+    return embedding.isNotNull() & (F.size(embedding) > 0) & finite & F.exists(embedding, lambda x: x != 0)
 
 
 class Shard:
@@ -127,7 +134,8 @@ class Shard:
             score = x[found] @ queries[at]
             if len(found) > self.k:  # the matrix product's last digits depend on a row's place: take near ties, too
                 least = np.partition(score, len(score) - self.k)[len(score) - self.k]
-                found = found[score >= least - 1e-9 * max(1.0, abs(least))]
+                if np.isfinite(least):
+                    found = found[score >= least - 1e-9 * max(1.0, abs(least))]
             score = (x[found] * queries[at]).sum(axis=1)
             best = np.lexsort((ids[found], -score))[: self.k]
             out.append((np.full(len(best), rows[at]), np.full(len(best), own[at]), ids[found[best]], score[best]))

@@ -6,8 +6,10 @@ every rule at once; each end's start comes from the rule's reversed automaton, w
 
 Defined cases: null text counts as empty and has no spans. A rule's matches are leftmost, longest and do not overlap;
 matches of different rules may. Neighbouring ends are read as one match that goes on, so a rule's pattern must end in a
-repeated class, or in characters that end no other match beside it. A match that fails its length test is dropped but still consumes its text. Offsets
-are code points, the end exclusive. Null doc_id and repeated rows are kept as they are. A text of any length is
+repeated class, or in characters that end no other match beside it. An added rule's last run is its tail: the automaton
+finds where it begins, and the match goes on through the tail's class, so that open runs of many rules do not multiply
+the states. A match that fails its length test is dropped but still consumes its text. Offsets are code points, the end
+exclusive. Null doc_id and repeated rows are kept as they are. A text of any length is
 scanned whole.
 """
 
@@ -17,6 +19,7 @@ import re
 from functools import cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ class Rule(NamedTuple):
     pattern: str
     keep: str | None = None
     """A found match is dropped unless this pattern matches the whole of it."""
+    tail: str = ""
+    """A class of ASCII characters through which a match goes on after the pattern's end."""
 
 
 # The rules to match; the first three are the base ones.
@@ -40,12 +45,12 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", r"[A-Z0-9]{18,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r".{40,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]", r".{40,}", "[A-Za-z0-9]"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", r".{39,}"),
-    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", r".{24,}"),
-    Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", r".{24,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r".{40,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]", r".{39,}", "[A-Za-z0-9_-]"),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]", r".{24,}", "[A-Za-z0-9-]"),
+    Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]", r".{24,}", "[A-Za-z0-9]"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]", r".{40,}", "[A-Za-z0-9_-]"),
 )
 BASE = 3
 
@@ -243,15 +248,26 @@ def linked(rows: list[list[int]]) -> list[list]:
 
 
 @cache
-def automata(rules: tuple[Rule, ...]):
-    ahead = linked(compile_table([r.pattern for r in rules], False, False))
-    back = [linked(compile_table([r.pattern], True, True)) for r in rules]
-    return ahead, back, [re.compile(r.keep.encode()) if r.keep else None for r in rules]
+def tables(rules: tuple[Rule, ...]) -> list[np.ndarray]:
+    """The transition array of all rules together, then each rule's own one for reading backwards: made once, on the driver."""
+    rows = [compile_table([r.pattern for r in rules], False, False), *(compile_table([r.pattern], True, True) for r in rules)]
+    return [np.array(table, np.uint16) for table in rows]
+
+
+READY: dict[tuple[Rule, ...], tuple] = {}
+
+
+def ready(rules: tuple[Rule, ...], shipped: list[np.ndarray] | None = None) -> tuple:
+    """What find needs of the rules, linked once in a process, from the arrays that came with the task if any did."""
+    if rules not in READY:
+        ahead, *back = [linked(table.tolist()) for table in shipped or tables(rules)]
+        READY[rules] = ahead, back, [re.compile(r.keep.encode()) if r.keep else None for r in rules], [re.compile(r.tail.encode() + b"*") if r.tail else None for r in rules]
+    return READY[rules]
 
 
 def find(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, rule, end) in bytes, ordered."""
-    ahead, back, keep = automata(rules)
+    ahead, back, keep, tail = ready(rules)
     row, ends = ahead[0], []
     for i, b in enumerate(data):
         row = row[b]
@@ -272,12 +288,22 @@ def find(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, i
                 if row[256]:
                     start = at
             if start >= 0:
-                after = i + 1
+                after = tail[k].match(data, i + 1).end() if tail[k] else i + 1
                 if not keep[k] or keep[k].fullmatch(data, start, after):
                     found.append((start, k, after))
     return sorted(found)
 
 
+def code_points(data: bytes, found: list[tuple[int, int, int]]) -> dict[int, int]:
+    """How many code points lie before each bound of found, in one walk over data."""
+    out, at, n = {}, 0, 0
+    for place in sorted({p for start, _, end in found for p in (start, end)}):
+        n += len(data[at:place].decode())
+        out[place] = n
+        at = place
+    return out
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns of docs, and found: ARRAY<STRUCT<kind, start, stop>> in code points, by start, then rule. Narrow: no shuffle.
 
@@ -286,12 +312,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     name = unused(docs, "found")
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
+    shipped = tables(rules)
+
     def run(batches):
+        ready(rules, shipped)
         for batch in batches:
             out = []
             for text in batch.column(batch.schema.get_field_index("text")):
-                data = (text.as_py() or "").encode()
-                out.append([{"kind": rules[k].kind, "start": len(data[:s].decode()), "stop": len(data[:e].decode())} for s, k, e in find(data, rules)])
+                found = find(data := (text.as_py() or "").encode(), rules)
+                place = code_points(data, found)
+                out.append([{"kind": rules[k].kind, "start": place[s], "stop": place[e]} for s, k, e in found])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, spans)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, docs.withColumn(name, F.expr("CAST(NULL AS ARRAY<STRUCT<kind: STRING, start: BIGINT, stop: BIGINT>>)")).schema)
@@ -315,8 +345,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Texts without a secret, null ones too, are kept as they are.
     """
+    shipped = tables(RULES)
 
     def run(batches):
+        ready(RULES, shipped)
         for batch in batches:
             texts = []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():

@@ -20,8 +20,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only. lower() does the same, and faster, where no other character has a lower case."""
-    other = text.rlike(r"[[\p{IsUppercase}\p{Lt}]&&[^\x00-\x7F]]")
+    """Lower-case A-Z only. lower() does the same, and faster, in texts of ASCII characters alone."""
+    other = text.rlike(r"[^\x00-\x7F]")
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
