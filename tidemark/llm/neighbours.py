@@ -7,8 +7,7 @@ ranges hold VOTES places for each vector of the shard on average. What a candida
 each level of each tree being one vote, tells their angle, and with its length the product to expect; the SHARE of the
 shard with the largest expectation is scored exactly, ties with the last of it included.
 
-Vectors are dealt into shards of bounded size by a hash of the row, and the queries go to every shard, so no vector is
-left out. A task reads a shard's vectors first, builds its forest once, and then answers the queries as they stream by.
+Shards and their streams are those of the sharded module: a task builds a shard's forest once and then answers the queries.
 Work grows with queries times vectors, as the queries are a share of the table; a forest makes the constant smaller.
 
 Defined cases: null or empty vectors, and those that hold null or non-finite components or are zero, take no part, as
@@ -21,16 +20,14 @@ neighbours and ranks each. Other columns are not read; an empty table has no nei
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import shuffle_width
+from tidemark.llm import sharded
 
 TREES, DEPTH, VOTES, SHARE, SEED = 64, 20, 16, 0.33, 11
 #: How far above its expectation a product may lie, as a cosine: long vectors are looked at in spite of some doubt.
 DOUBT = 0.3
-SHARD, BLOCK = 16_384, 1_024
 
 
 def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +102,7 @@ class Forest:
 
 
 def usable(embedding: Column) -> Column:
-    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return embedding.isNotNull() & (F.size(embedding) > 0) & finite & F.exists(embedding, lambda x: x != 0)
+    return sharded.finite(embedding) & F.exists(embedding, lambda x: x != 0)
 
 
 class Shard:
@@ -142,35 +138,6 @@ class Shard:
         return out
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, share: float = SHARE, shard: int = SHARD) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, share: float = SHARE, shard: int = sharded.SHARD) -> DataFrame:
     """vectors(vec_id, embedding); queries: the condition on vec_id. query_id, rank, vec_id, score."""
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), queries.alias("asked"), "embedding", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("row"))
-    good = good.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    shards = good.groupBy("d").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = good.join(shards, "d")
-    own = F.pmod(F.xxhash64("vec_id", "row"), F.col("shards")).cast("int")
-    points = dealt.select("d", own.alias("shard"), F.lit(0).alias("kind"), "row", "vec_id", "embedding")
-    asked = dealt.where("asked").select("d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "row", "vec_id", "embedding")
-    streamed = points.unionByName(asked).repartition(shuffle_width(vectors.sparkSession), "d", "shard").sortWithinPartitions("d", "shard", "kind", "vec_id")
-
-    def answer(batches):
-        key, held = None, Shard(k, share)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d, number, kind, row, vec_id = (batch[c].to_numpy() for c in ("d", "shard", "kind", "row", "vec_id"))
-            flat, starts = batch["embedding"].values.to_numpy().astype(np.float64), batch["embedding"].offsets.to_numpy()
-            fresh = np.flatnonzero((np.diff(d) != 0) | (np.diff(number) != 0) | (np.diff(kind) != 0)) + 1
-            bounds = np.unique(np.r_[0, fresh, np.arange(0, len(d), BLOCK), len(d)])
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if (d[lo], number[lo]) != key:
-                    key, held = (d[lo], number[lo]), Shard(k, share)
-                part = flat[starts[lo] : starts[hi]].reshape(hi - lo, -1)
-                if kind[lo] == 0:
-                    held.add(vec_id[lo:hi].copy(), part.copy())
-                elif found := held.answer(row[lo:hi], vec_id[lo:hi], part):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["row", "query_id", "vec_id", "score"])
-
-    answers = streamed.mapInArrow(answer, "row bigint, query_id bigint, vec_id bigint, score double")
-    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return sharded.search(vectors, queries, usable(F.col("embedding")), k, shard, lambda: Shard(k, share), "double")

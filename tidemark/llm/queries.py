@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, html_text, neighbours, packing, quality, repeats, secrets, simhash, warc
+from tidemark.llm import bpe, exact, html_text, neighbours, packing, quality, repeats, secrets, simhash, topk, warc
 from tidemark.llm.util import table
 from tidemark.llm.vocabulary import WORD_BPE
 
@@ -56,9 +56,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classify(documents(spark, sf_dir))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_repeats, op3_neighbours, op4_bpe, op5_html, op6_quality, op7_warc, op8_packing, op9_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_repeats, op3_neighbours, op4_bpe, op5_html, op6_quality, op7_warc, op8_packing, op9_secrets, op10_simhash, op13_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact.oracle(), "op7_warc": warc.ORACLE}
+    return {"op1_exact_dedup": exact.oracle(), "op7_warc": warc.ORACLE, "op13_topk": topk.ORACLE}
