@@ -4,8 +4,8 @@ A vector's hash string in a tree is the signs of its products with that tree's r
 least significant. A shard keeps, per tree, its vectors sorted by hash string. A query descends each tree by binary
 search to the range that shares its longest prefix and then ascends all trees together, a bit at a time, until the
 ranges hold VOTES places for each vector of the shard on average. What a candidate shares with the query over all trees,
-each level of each tree being one vote, tells their angle, and with its length the product to expect; the SHARE of the
-shard with the largest expectation is scored exactly, ties with the last of it included.
+each tree at that level and at each of the DEEPER ones below it being one vote, tells their angle, and with its length the product to expect; the SHARE of the
+shard with the largest expectation, LEAST vectors at least, is scored exactly, ties with the last of it included.
 
 Shards and their streams are those of the sharded module: a task builds a shard's forest once and then answers the queries.
 Work grows with queries times vectors, as the queries are a share of the table; a forest makes the constant smaller.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sharded
 
-TREES, DEPTH, VOTES, SHARE, SEED = 64, 20, 16, 0.33, 11
+TREES, DEPTH, VOTES, SHARE, SEED = 64, 20, 8, 0.25, 11
+#: Levels below the common one whose shared bits count as votes, too, and the least number of candidates.
+DEEPER, LEAST = 2, 1_024
 #: How far above its expectation a product may lie, as a cosine: long vectors are looked at in spite of some doubt.
 DOUBT = 0.3
 
@@ -51,10 +53,6 @@ class Forest:
             order = np.argsort(codes, kind="stable").astype(np.int32)
             self.strings.append(codes[order])
             self.order.append(order)
-        # How many leading bits are zero.
-        self.zeros = np.full(1 << depth, depth, np.int8)
-        for bit in range(depth):
-            self.zeros[1 << bit : 2 << bit] = depth - 1 - bit
 
     def codes(self, vectors: np.ndarray, tree: int) -> np.ndarray:
         bits = vectors @ self.directions[tree] > 0
@@ -79,24 +77,24 @@ class Forest:
         for level in range(self.depth, -1, -1):
             lo, hi = self.ranges([c[pending] for c in codes], level)
             enough = (hi - lo).sum(axis=1) >= votes * n if level else np.ones(len(pending), bool)
-            for k in np.flatnonzero(enough):
-                seen = np.zeros(n, np.int32)
-                for t in range(trees):
-                    a, b = lo[k, t], hi[k, t]
-                    seen[self.order[t][a:b]] += self.zeros[self.strings[t][a:b] ^ codes[t][pending[k]]] - (level - 1)
-                yield int(pending[k]), self.likely(seen / trees, level, wanted)
+            if enough.any():
+                nested = [(lo, hi), *(self.ranges([c[pending] for c in codes], below) for below in range(level + 1, min(level + DEEPER, self.depth) + 1))]
+                for k in np.flatnonzero(enough):
+                    places = np.concatenate([self.order[t][a[k, t] : b[k, t]] for a, b in nested for t in range(trees)])
+                    yield int(pending[k]), self.likely(np.bincount(places, minlength=n), level, wanted)
             pending = pending[~enough]
             if not len(pending):
                 return
 
     def likely(self, seen: np.ndarray, level: int, wanted: int) -> np.ndarray:
-        """The places of the largest products to expect, given the mean number of shared levels from level on."""
+        """The places of the largest products to expect, given the votes from level on."""
         if wanted >= len(seen):
             return np.arange(len(seen))
         # Two vectors at an angle of pi * (1 - p) share a bit with chance p, and levels as a geometric sequence has it.
         p = np.linspace(0.2, 0.9999, 512)
-        mean = (p**level - p ** (self.depth + 1)) / (1 - p)
-        expected = self.length * (np.cos(np.pi * (1 - np.interp(seen, mean, p))) + DOUBT)
+        mean = (p**level - p ** (min(level + DEEPER, self.depth) + 1)) / (1 - p)
+        votes = np.arange(seen.max() + 1) / len(self.strings)
+        expected = self.length * (np.cos(np.pi * (1 - np.interp(votes, mean, p))) + DOUBT)[seen]
         least = np.partition(expected, len(seen) - wanted)[len(seen) - wanted]
         return np.flatnonzero(expected >= least)
 
@@ -125,7 +123,7 @@ class Shard:
         if self.forest is None:
             self.all_ids, self.forest = np.concatenate(self.ids), Forest(np.concatenate(self.parts))
         ids, x, out = self.all_ids, self.forest.vectors, []
-        for at, found in self.forest.candidates(queries, max(self.k + 1, int(self.share * len(x)))):
+        for at, found in self.forest.candidates(queries, max(self.k + 1, LEAST, int(self.share * len(x)))):
             found = found[ids[found] != own[at]]
             score = x[found] @ queries[at]
             if len(found) > self.k:  # the matrix product's last digits depend on a row's place: take near ties, too
