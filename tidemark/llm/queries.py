@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, html_text, neighbours, packing, quality, repeats, secrets, simhash, spelling, topk, warc
+from tidemark.llm import bpe, conversations, exact, html_text, neighbours, packing, quality, repeats, secrets, simhash, spelling, topk, warc
 from tidemark.llm.util import table
 from tidemark.llm.vocabulary import WORD_BPE
 
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classify(documents(spark, sf_dir))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).drop("edits")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(documents(spark, sf_dir))
 
@@ -65,7 +69,7 @@ def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_repeats, op3_neighbours, op4_bpe, op5_html, op6_quality, op7_warc, op8_packing, op9_secrets, op10_simhash, op12_spelling, op13_topk)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_repeats, op3_neighbours, op4_bpe, op5_html, op6_quality, op7_warc, op8_packing, op9_secrets, op10_simhash, op11_conversations, op12_spelling, op13_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
