@@ -382,3 +382,20 @@ def test_verification_errors(spark):
     dest = spark.createDataFrame([("a", 5, "AA", ""), ("b", 5, "xx", ""), ("c", 0, "", "timeout")], "key string, size long, sha256 string, error string").withColumn("mod_time", F.expr("TIMESTAMP_NTZ '2026-01-01'"))
     row = verify.summary(verify.verify(manifest, dest)).first()
     assert (row["ok"], row["missing"], row["sha256_mismatch"], row["errors"], row["bytes"], row["bytes_hashed"], row["passed"]) == (1, 1, 1, 1, 5, 10, False)
+
+
+def test_route_by_prefixes(spark):
+    """Against every pair: prefixes that end at a slash, within a name, at a whole name, and empty ones; broadcast or not."""
+    rng = random.Random(8)
+    piece = lambda: "".join(rng.choices("abé", k=rng.randint(0, 2)))
+    names = ["/".join(piece() for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    prefixes = sorted({n[: rng.randint(0, len(n))] for n in names} | {"", "a/", "é/a/", *names[:20]})
+    schema = "message_id int, malformed string, event_type string, url string"
+    got = spark.createDataFrame([(k, "", events.CREATED, f"https://x.y.z/box{k % 2}/{n}") for k, n in enumerate(names)], schema)
+    targets = spark.createDataFrame([(f"{c}:{p}", f"box{c}", p) for p in prefixes for c in (0, 1)], "pipeline_id string, container string, prefix string")
+    want = sorted((k, f"{k % 2}:{p}", n[len(p) :]) for k, n in enumerate(names) for p in prefixes if n.startswith(p) and len(n) > len(p))
+    for known in (None, events.reach(targets)._replace(small=False)):
+        assert sorted((r["message_id"], r["pipeline_id"], r["key"]) for r in events.route(got, targets, known).collect()) == want
+    assert events.route(got, targets.limit(0)).count() == 0 and len(want) > 400
+    ends = targets.where("prefix LIKE '%/' OR prefix = ''")
+    assert events.reach(ends).lengths == [] and events.route(got, ends).count() == sum(p in ("",) or p.endswith("/") for _, q, _ in want for p in [q[2:]])

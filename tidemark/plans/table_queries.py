@@ -81,7 +81,8 @@ def jn6_event_routing(t):
     exclude = F.when(F.col("account") % 5 == 0, F.array(F.lit("**/a b+*"), F.lit("u7*/**"))).when(F.col("account") % 7 == 0, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
     include = F.when(F.col("account") == 4, F.array(F.lit("u1*/*"), F.lit("u2?/**"))).otherwise(F.array().cast("array<string>"))
     targets = events.with_globs(t.targets.withColumns({"include": include, "exclude": exclude}))
-    return events.route(events.parse_messages(t.messages), targets).select("message_id", "pipeline_id", "key")
+    spread = t.messages.repartition(t.spark.sparkContext.defaultParallelism)  # the table is one file, and parsing is the work
+    return events.route(events.parse_messages(spread), targets).select("message_id", "pipeline_id", "key")
 
 
 CLAIM = f"""SELECT arrival, CASE WHEN d = 'copy' AND row_number() OVER (PARTITION BY pipeline_id, key, d ORDER BY arrival) > 1 THEN 'busy' ELSE d END AS decision,
