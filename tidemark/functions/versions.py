@@ -1,6 +1,7 @@
 """Version order and the copy decision, as column expressions.
 
-Strings are '' and never null where nothing is known; a null time is older than any other.
+Strings are '' and never null where nothing is known; a null time is older than any other. f is where a rule's functions
+come from: those of columns, or of one row's plain values (functions.plain).
 """
 
 from __future__ import annotations
@@ -11,41 +12,41 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import col
 
 
-def moment(ts) -> Column:
+def moment(ts, f=F) -> Column:
     """ts for comparison: null as the zero time."""
-    return F.coalesce(col(ts), F.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'"))
+    return f.coalesce(col(ts), f.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'"))
 
 
-def order_of(a: Column, b: Column) -> Column:
-    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+def order_of(a: Column, b: Column, f=F) -> Column:
+    return f.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
-def compare_sequencers(a, b) -> Column:
+def compare_sequencers(a, b, f=F) -> Column:
     """-1, 0 or 1: hexadecimal strings of any length, in either case, the shorter one padded with zeros."""
     a, b = col(a), col(b)
-    width = F.greatest(F.length(a), F.length(b))
-    pad = lambda x: F.lpad(F.lower(x), width, F.lit("0"))
-    return order_of(pad(a), pad(b))
+    width = f.greatest(f.length(a), f.length(b))
+    pad = lambda x: f.lpad(f.lower(x), width, f.lit("0"))
+    return order_of(pad(a), pad(b), f)
 
 
-def compare_versions(a_seq, a_time, b_seq, b_time) -> Column:
+def compare_versions(a_seq, a_time, b_seq, b_time, f=F) -> Column:
     """-1, 0 or 1: by sequencers if both sides have one, else by times."""
     both = (col(a_seq) != "") & (col(b_seq) != "")
-    return F.when(both, compare_sequencers(a_seq, b_seq)).otherwise(order_of(moment(a_time), moment(b_time)))
+    return f.when(both, compare_sequencers(a_seq, b_seq, f)).otherwise(order_of(moment(a_time, f), moment(b_time, f), f))
 
 
-def is_newer(seq, time, version, known_seq, known_time, known_version) -> Column:
+def is_newer(seq, time, version, known_seq, known_time, known_version, f=F) -> Column:
     """Whether a version replaces the known one: newer, or as old with another name."""
     return (
-        F.when(col(known_version) == "", col(version) != "")
+        f.when(col(known_version) == "", col(version) != "")
         .when(col(version) == col(known_version), False)
-        .otherwise(compare_versions(seq, time, known_seq, known_time) >= 0)
+        .otherwise(compare_versions(seq, time, known_seq, known_time, f) >= 0)
     )
 
 
-def lease_held(status, claimed_until, now) -> Column:
+def lease_held(status, claimed_until, now, f=F) -> Column:
     """A lease that ends right now is over."""
-    return F.coalesce((col(status) == "copying") & (moment(claimed_until) > col(now)), F.lit(False))
+    return f.coalesce((col(status) == "copying") & (moment(claimed_until, f) > col(now)), f.lit(False))
 
 
 def decide(exists, r: str, c: str, now) -> Column:

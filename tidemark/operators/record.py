@@ -34,66 +34,68 @@ FIELDS = {
     "event_time": ("timestamp_ntz", NONE),
     "synced_at": ("timestamp_ntz", NONE),
 }
+#: What the end of a lease makes of a row: another may claim it.
+FREED = {"status": "pending", "claimed_until": None}
 #: Columns of an operation besides pipeline_id and key.
 OPS = "arrival op version size mtime sequencer event_time at retryable detail".split()
 
 
-def new_row() -> Column:
-    return F.struct(*[F.expr(v).cast(t).alias(n) for n, (t, v) in FIELDS.items()])
+def new_row(f=F) -> Column:
+    return f.struct(*[f.expr(v).cast(t).alias(n) for n, (t, v) in FIELDS.items()])
 
 
-def decision(r: Column, c: Column) -> Column:
+def decision(r: Column, c: Column, f=F) -> Column:
     """decide() for a row that exists, on structs."""
     synced = r["synced_version"]
-    held = lease_held(r["status"], r["claimed_until"], c["at"])
+    held = lease_held(r["status"], r["claimed_until"], c["at"], f)
     return (
-        F.when((r["status"] != "deleted") & (synced != "") & (synced == c["version"]), "already_synced")
-        .when((synced != "") & (synced != c["version"]) & (compare_versions(c["sequencer"], c["mtime"], r["synced_sequencer"], r["synced_mtime"]) < 0), "stale")
-        .when(held & (r["source_version"] != c["version"]) & (compare_versions(c["sequencer"], c["mtime"], r["source_sequencer"], r["source_mtime"]) < 0), "stale")
+        f.when((r["status"] != "deleted") & (synced != "") & (synced == c["version"]), "already_synced")
+        .when((synced != "") & (synced != c["version"]) & (compare_versions(c["sequencer"], c["mtime"], r["synced_sequencer"], r["synced_mtime"], f) < 0), "stale")
+        .when(held & (r["source_version"] != c["version"]) & (compare_versions(c["sequencer"], c["mtime"], r["source_sequencer"], r["source_mtime"], f) < 0), "stale")
         .when(held, "busy")
         .otherwise("copy")
     )
 
 
-def step(r: Column, o: Column) -> Column:
-    """The row after an operation."""
+def step(r: Column, o: Column, f=F) -> Column:
+    """The row after an operation, as columns or, with f = functions.plain.PLAIN, as plain values."""
     is_ = lambda *names: o["op"].isin(*names)
-    newer = is_newer(o["sequencer"], o["mtime"], o["version"], r["source_sequencer"], r["source_mtime"], r["source_version"])
+    newer = is_newer(o["sequencer"], o["mtime"], o["version"], r["source_sequencer"], r["source_mtime"], r["source_version"], f)
     observed = is_("observe") & (r["status"] != "copying") & newer
-    claimed = is_("claim") & (decision(r, o) == "copy")
-    held = lease_held(r["status"], r["claimed_until"], o["at"]) & (r["source_version"] == o["version"])
+    claimed = is_("claim") & (decision(r, o, f) == "copy")
+    held = lease_held(r["status"], r["claimed_until"], o["at"], f) & (r["source_version"] == o["version"])
     extended, uploading, completed, failed = (is_(x) & held for x in ("extend", "set_upload", "complete", "fail"))
-    deleted = is_("delete") & (o["event_time"].isNull() | (moment(o["event_time"]) >= moment(r["source_mtime"])))
+    deleted = is_("delete") & (o["event_time"].isNull() | (moment(o["event_time"], f) >= moment(r["source_mtime"], f)))
     moved = observed | claimed
-    lease = o["at"] + F.expr(LEASE)
+    lease = o["at"] + f.expr(LEASE)
     kept = r["status"].isin("pending", "failed") & r["event_time"].isNotNull()
     older = ~r["status"].isin("synced", "deleted") & r["event_time"].isNotNull() & (o["event_time"].isNull() | (r["event_time"] < o["event_time"]))
     new = {
-        "source_version": F.when(moved, o["version"]),
-        "source_size": F.when(moved, o["size"]),
-        "source_mtime": F.when(moved, o["mtime"]),
-        "source_sequencer": F.when(moved, o["sequencer"]),
-        "synced_version": F.when(completed, r["source_version"]),
-        "synced_mtime": F.when(completed, r["source_mtime"]),
-        "synced_sequencer": F.when(completed, r["source_sequencer"]),
-        "sha256": F.when(completed, o["detail"]),
-        "dest_version": F.when(completed, o["version"]),
-        "status": F.when(observed, F.when((r["status"] == "synced") & (o["version"] == r["synced_version"]), "synced").otherwise("pending"))
+        "source_version": f.when(moved, o["version"]),
+        "source_size": f.when(moved, o["size"]),
+        "source_mtime": f.when(moved, o["mtime"]),
+        "source_sequencer": f.when(moved, o["sequencer"]),
+        "synced_version": f.when(completed, r["source_version"]),
+        "synced_mtime": f.when(completed, r["source_mtime"]),
+        "synced_sequencer": f.when(completed, r["source_sequencer"]),
+        "sha256": f.when(completed, o["detail"]),
+        "dest_version": f.when(completed, o["version"]),
+        "status": f.when(observed, f.when((r["status"] == "synced") & (o["version"] == r["synced_version"]), "synced").otherwise("pending"))
         .when(claimed, "copying")
         .when(completed, "synced")
-        .when(failed, F.when(o["retryable"], "pending").otherwise("failed"))
+        .when(failed, f.when(o["retryable"], "pending").otherwise("failed"))
         .when(deleted, "deleted"),
-        "attempts": F.when(claimed, F.when(r["source_version"] == o["version"], r["attempts"] + 1).otherwise(1)),
-        "last_error": F.when(completed, "").when(failed, o["detail"]),
-        "upload_id": F.when(completed, "").when(uploading, o["detail"]),
-        "upload_version": F.when(completed, "").when(uploading, o["version"]),
-        "claimed_until": F.when(claimed | extended, lease).when(completed | failed | deleted, F.expr(NONE)),
-        "event_time": F.when(observed, F.when(kept, r["event_time"]).otherwise(o["event_time"])).when(claimed, F.when(older, r["event_time"]).otherwise(o["event_time"])).when(deleted, o["event_time"]),
-        "synced_at": F.when(completed, o["at"]),
+        "attempts": f.when(claimed, f.when(r["source_version"] == o["version"], r["attempts"] + 1).otherwise(1)),
+        "last_error": f.when(completed, "").when(failed, o["detail"]),
+        "upload_id": f.when(completed, "").when(uploading, o["detail"]),
+        "upload_version": f.when(completed, "").when(uploading, o["version"]),
+        "claimed_until": f.when(claimed | extended, lease).when(completed | failed | deleted, f.expr(NONE)),
+        "event_time": f.when(observed, f.when(kept, r["event_time"]).otherwise(o["event_time"])).when(claimed, f.when(older, r["event_time"]).otherwise(o["event_time"])).when(deleted, o["event_time"]),
+        "synced_at": f.when(completed, o["at"]),
     }
     touched = {"claimed_until": claimed | extended | completed | failed | deleted, "event_time": moved | deleted, "source_mtime": moved, "synced_mtime": completed}
-    value = lambda n: F.when(touched[n], new[n]).otherwise(r[n]) if n in touched else F.coalesce(new[n], r[n])
-    return F.struct(*[value(n).cast(t).alias(n) for n, (t, _) in FIELDS.items()])
+    value = lambda n: f.when(touched[n], new[n]).otherwise(r[n]) if n in touched else f.coalesce(new[n], r[n])
+    return f.struct(*[value(n).cast(t).alias(n) for n, (t, _) in FIELDS.items()])
 
 
 #: Operations of a key that are folded at once.
@@ -107,7 +109,7 @@ def fold_lists(listed: DataFrame, resume: DataFrame | None, from_old: bool = Fal
     if resume is not None:
         listed = listed.join(resume.select(*keys, F.struct(*FIELDS).alias("old")), keys, "full_outer").withColumn("ops", F.coalesce("ops", F.array().cast(listed.schema["ops"].dataType)))
         start = F.coalesce("old", start)
-    folded = listed.withColumn("r", F.aggregate("ops", start, step))
+    folded = listed.withColumn("r", F.aggregate("ops", start, lambda r, o: step(r, o)))
     return folded.select(*keys, *[F.col("r")[n].alias(n) for n in FIELDS])
 
 

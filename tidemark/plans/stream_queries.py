@@ -8,7 +8,7 @@ from tidemark.operators import metrics
 from tidemark.plans.catalog import now, query
 from tidemark.plans.table_queries import CLAIMS, DIFF, EVERY, bounds_sql, duck_fold
 from tidemark.shared import fresh_path
-from tidemark.streaming import streams
+from tidemark.streaming import keyed, streams
 
 
 PARTS = 3
@@ -75,20 +75,50 @@ def str5_stream_dedupe(t):
 THIRDS = "CASE WHEN arrival < 30000 THEN 0 WHEN arrival < 90000 THEN 1 ELSE 2 END"
 
 
+def changed_rows(path: str):
+    """A sink for the rows that a batch has changed, under its number."""
+
+    def each(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return each
+
+
 @query("ops", duck_fold(EVERY))
 def str6_stateful_record(t):
+    """The state store's record after three micro-batches."""
+    path = fresh_path(t.spark, "states")
+    keyed_ops = keyed.keyed_record(as_stream(t, t.ops, "ops", THIRDS), timers=False)
+    streams.run(keyed_ops, path, changed_rows(path), mode="update").awaitTermination()
+    return keyed.keyed_states(t.spark, f"{path}-checkpoint")
+
+
+@query("ops", duck_fold(EVERY))
+def str6_record_snapshots(t):
+    """The same as tables: rows of the keys that a batch touches, and snapshots."""
     path = fresh_path(t.spark, "states")
     streams.run(as_stream(t, t.ops, "ops", THIRDS), path, streams.record_sink(path)).awaitTermination()
     return streams.states(t.spark, path)
 
 
-@query(
-    "ops",
-    f"""SELECT pipeline_id, key, status, claimed_until FROM (SELECT pipeline_id, key, CASE WHEN status = 'copying'
-       AND claimed_until <= TIMESTAMP '2024-02-01' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'copying'
-       AND claimed_until > TIMESTAMP '2024-02-01' THEN claimed_until END AS claimed_until FROM ({duck_fold(CLAIMS)}))""",
-)
+LAPSED = f"""SELECT pipeline_id, key, status, claimed_until FROM (SELECT pipeline_id, key, CASE WHEN status = 'copying'
+    AND claimed_until <= TIMESTAMP '2024-02-01' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'copying'
+    AND claimed_until > TIMESTAMP '2024-02-01' THEN claimed_until END AS claimed_until FROM ({duck_fold(CLAIMS)}))"""
+
+
+@query("ops", LAPSED)
 def str7_lease_expiry(t):
+    """Claims come in long before their leases end; then one row of another key moves the clock, and the timers of the others fire."""
+    path = fresh_path(t.spark, "leases")
+    claims = t.ops.where("op IN ('observe', 'claim')").withColumn("clock", F.expr("TIMESTAMP '2000-01-01 00:00:00'"))
+    last = claims.limit(1).withColumns({"pipeline_id": F.lit("none"), "arrival": F.lit(1 << 60), "clock": F.expr("TIMESTAMP '2024-02-01 00:00:01'")})
+    stream = as_stream(t, claims.unionByName(last), "ops", "CASE WHEN arrival < 30000 THEN 0 WHEN pipeline_id <> 'none' THEN 1 ELSE 2 END")
+    streams.run(keyed.keyed_record(stream, "clock"), path, changed_rows(path), mode="update").awaitTermination()
+    return keyed.keyed_states(t.spark, f"{path}-checkpoint").where("pipeline_id <> 'none'").select("pipeline_id", "key", "status", "claimed_until")
+
+
+@query("ops", LAPSED)
+def str7_leases_by_batch(t):
     """Claims in two micro-batches; in a third the clock has gone on, and what has lapsed is free again."""
     path = fresh_path(t.spark, "leases")
     claims = t.ops.where("op IN ('observe', 'claim')")
