@@ -289,6 +289,21 @@ def test_fold_in_slices(spark):
     assert states(record.fold(ops_frame(spark, rows[90:]), record.fold(ops_frame(spark, rows[:90]), size=11), size=13)) == want
 
 
+def test_fold_of_a_hot_key(spark):
+    """One key's long history in hundreds of slices takes a few rounds; a difference that lives on takes more, and is found."""
+    gathered = F.array_sort(F.collect_list(F.struct(*record.OPS))).alias("ops")
+    for size, step, most in ((100, 10, 7), (100, 40, 12), (800, 10**9, 6)):  # operations per minute of the versions' times: with the last one times do not move on
+        df = ops_frame(spark, [("p", "k", *r[2:6], r[6] + r[2] // step, *r[7:]) for r in random_ops(8, 4_000)])
+        want = states(record.fold(df))
+        slices = df.withColumn("__part", F.floor(F.col("arrival") / size).cast("int")).groupBy("pipeline_id", "key", "__part").agg(gathered)
+        rounds = []
+        assert states(record.fold_slices(slices.persist(), None, rounds)) == want and len(rounds) <= most and rounds[-1] == 0
+    quiet = [("p", "k", 0, "observe", "v", 1, 1, "", False, ""), *[("p", "k", n, "none", "", 0, 0, "", False, "") for n in range(1, 60)]]
+    slices = ops_frame(spark, quiet).withColumn("__part", F.floor(F.col("arrival") / 10).cast("int")).groupBy("pipeline_id", "key", "__part").agg(gathered)
+    rounds = []
+    assert states(record.fold_slices(slices.persist(), None, rounds)) == states(record.fold(ops_frame(spark, quiet))) and len(rounds) == 6
+
+
 def test_fold_resumes(spark):
     rows = random_ops(5)
     first = record.fold(ops_frame(spark, rows[:70]))

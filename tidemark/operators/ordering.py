@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.shared import cut
 
 
-def ranged(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """df written in ranges of (by, order) with __part, the number of each row's range."""
-    return cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+def ranged(df: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """df written in ranges of (by, order), so many if parts says so, with __part, the number of each row's range."""
+    return cut(df.repartitionByRange(*([parts] if parts else []), *by, *order).withColumn("__part", F.spark_partition_id()), "ranged")
 
 
 def ahead(parts: DataFrame, by: list[str], weight: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.versions import compare_versions, is_newer, lease_held, moment
+from tidemark.operators.ordering import ranged
 from tidemark.shared import cut
 
 LEASE = "INTERVAL '2' MINUTE"
@@ -102,10 +103,10 @@ def step(r: Column, o: Column, f=F) -> Column:
 SLICE = 20_000
 
 
-def fold_lists(listed: DataFrame, resume: DataFrame | None, from_old: bool = False) -> DataFrame:
-    """listed(pipeline_id, key, ops) folded, from a new row, from resume, or from the column old."""
+def fold_lists(listed: DataFrame, resume: DataFrame | None) -> DataFrame:
+    """listed(pipeline_id, key, ops) folded, from a new row or from resume."""
     keys = ["pipeline_id", "key"]
-    start = F.col("old") if from_old else new_row()
+    start = new_row()
     if resume is not None:
         listed = listed.join(resume.select(*keys, F.struct(*FIELDS).alias("old")), keys, "full_outer").withColumn("ops", F.coalesce("ops", F.array().cast(listed.schema["ops"].dataType)))
         start = F.coalesce("old", start)
@@ -116,27 +117,57 @@ def fold_lists(listed: DataFrame, resume: DataFrame | None, from_old: bool = Fal
 def fold(ops: DataFrame, resume: DataFrame | None = None, size: int = SLICE) -> DataFrame:
     """The record of each (pipeline_id, key) after all its ops in order of arrival, from the rows of resume if given.
 
-    A key's operations are listed size at a time. Those of keys with more are numbered in sorted order, and slice by slice
-    goes on from the record that the one before has left; the other keys are folded once and take no part in these rounds.
+    A key's operations are listed size at a time; keys with more are cut into slices, see fold_slices.
     """
     keys = ["pipeline_id", "key"]
     gathered = F.array_sort(F.collect_list(F.struct(*OPS))).alias("ops")
     counts = ops.groupBy(*keys).agg(F.count("*").alias("n"))
-    longest = counts.agg(F.max("n")).first()[0] or 0
-    if longest <= size:
+    longest, long_ones = counts.agg(F.max("n"), F.coalesce(F.sum(F.when(F.col("n") > size, F.col("n"))), F.lit(0))).first()
+    if (longest or 0) <= size:
         return fold_lists(ops.groupBy(*keys).agg(gathered), resume)
     heavy = cut(counts.where(F.col("n") > size).select(*keys), "heavy")
     of = lambda df, how: None if df is None else df.join(heavy, keys, how)
     light = fold_lists(of(ops, "left_anti").groupBy(*keys).agg(gathered), of(resume, "left_anti"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*OPS))
-    numbered = of(ops, "left_semi").select(*keys, *OPS).withColumn("__slice", F.floor((nth - 1) / size))
-    sliced = cut(numbered.groupBy(*keys, "__slice").agg(gathered), "slices")
-    part = lambda k: sliced.where(F.col("__slice") == k).drop("__slice")
-    state = cut(fold_lists(part(0), of(resume, "left_semi")), "state")
-    for k in range(1, -(-longest // size)):
-        now = fold_lists(part(k).join(state.select(*keys, F.struct(*FIELDS).alias("old")), keys), None, from_old=True)
-        state = cut(state.join(now.select(*keys), keys, "left_anti").unionByName(now), "state")
-    return light.unionByName(state)
+    parts = ranged(of(ops, "left_semi").select(*keys, *OPS), keys, ["arrival"], -(-long_ones // size))
+    return light.unionByName(fold_slices(cut(parts.groupBy(*keys, "__part").agg(gathered), "slices"), of(resume, "left_semi")))
+
+
+def fold_slices(slices: DataFrame, resume: DataFrame | None, rounds: list[int] | None = None) -> DataFrame:
+    """slices(pipeline_id, key, __part, ops), in order of __part, folded all at once and then where they were wrong.
+
+    In the first round every slice goes on from a new row, as if nothing had been before it. As versions become newer with
+    time, a slice in which a newer version was copied leaves the same record whatever it began with. Each further round folds
+    those slices anew that did not begin with what the slice before has left by now, all at the same time; when there is none
+    the fold is that of one operation after another. That takes a few rounds for histories that move on, more where an early
+    version outlives whole slices, and never more rounds than there are slices. rounds, if given, gets the
+    number of slices of each round.
+    """
+    keys = ["pipeline_id", "key"]
+    nothing = new_row()
+    order = slices.select(*keys, "__part", F.lag("__part").over(Window.partitionBy(*keys).orderBy("__part")).alias("before"))
+    if resume is not None:
+        order = order.join(resume.select(*keys, F.struct(*FIELDS).alias("old")), keys, "left")
+    first = F.coalesce(F.col("old"), nothing) if resume is not None else nothing
+    order = cut(order.select(*keys, "__part", "before", F.when(F.col("before").isNull(), first).otherwise(nothing).alias("began")), "order")
+
+    def folded(begun: DataFrame) -> DataFrame:
+        """begun(keys, __part, began) with left, what the slice makes of it."""
+        return begun.join(slices, [*keys, "__part"]).select(*keys, "__part", "began", F.aggregate("ops", F.col("began"), lambda r, o: step(r, o)).alias("left"))
+
+    before = order.select(*keys, "__part", "before")
+    now = cut(folded(order.select(*keys, "__part", "began")), "folded")
+    while True:
+        left = now.select(*keys, F.col("__part").alias("before"), F.col("left").alias("begins"))
+        wrong = now.join(before, [*keys, "__part"]).join(left, [*keys, "before"]).where(~F.col("began").eqNullSafe(F.col("begins")))
+        wrong = cut(wrong.select(*keys, "__part", F.col("begins").alias("began")), "wrong")
+        n = wrong.count()
+        if rounds is not None:
+            rounds.append(n)
+        if not n:
+            break
+        now = cut(now.join(wrong.select(*keys, "__part"), [*keys, "__part"], "left_anti").unionByName(folded(wrong)), "folded")
+    last = now.groupBy(*keys).agg(F.max_by("left", "__part").alias("r"))
+    return last.select(*keys, *[F.col("r")[n].alias(n) for n in FIELDS])
 
 
 def newest(changes: DataFrame) -> DataFrame:
