@@ -8,7 +8,7 @@ from tidemark.functions import globs, text, versions
 from tidemark.operators import events, status, verify, work
 from tidemark.plans.catalog import now, query
 from tidemark.shared import fresh_path
-from tidemark.sources import readers, sinks
+from tidemark.sources import readers, sinks, store
 
 NTZ = "timestamp_ntz"
 MANIFEST_JSON = "to_json(struct(key, size, sha256, written_at), map('timestampNTZFormat', \"yyyy-MM-dd'T'HH:mm:ss\"))"
@@ -44,17 +44,14 @@ def src2_listing_scan(t):
     return readers.inventory_scan(t.spark, path)
 
 
-@query(
-    "accounts",
-    """SELECT concat('r', area, '/', account, '.txt') AS key, octet_length(encode(title)) + 1 AS size FROM accounts WHERE account % 25 = 1""",
-)
+@query("accounts", "SELECT concat('r', area, '.txt') AS key, CAST(sum(octet_length(encode(title)) + 1) AS BIGINT) AS size FROM accounts GROUP BY area")
 def src2_folder_scan(t):
-    """Objects as Spark finds them below a folder, for roots of few files."""
+    """Objects as Spark finds them below a folder: one for each area, with a line for each of its accounts."""
     path = fresh_path(t.spark, "objects")
-    objects = t.accounts.where("account % 25 = 1").select(F.concat(F.lit("r"), F.col("area").cast("string")).alias("folder"), "account", F.col("title").alias("value"))
-    objects.repartition(4, "folder", "account").write.partitionBy("folder", "account").text(path)
+    objects = t.accounts.select(F.concat(F.lit("r"), F.col("area").cast("string")).alias("folder"), F.col("title").alias("value"))
+    objects.repartition("folder").write.partitionBy("folder").text(path)
     found = readers.listing_scan(t.spark, path).where(F.col("key").endswith(".txt"))
-    return found.select(F.regexp_replace("key", "^folder=(.*)/account=(.*)/part-.*$", "$1/$2.txt").alias("key"), "size")
+    return found.select(F.regexp_replace("key", "^folder=(.*)/part-.*$", "$1.txt").alias("key"), "size")
 
 
 @query("", "SELECT concat(c_custkey, '/', n, '.bin') AS key, c_custkey * 10 + n AS size, concat('v', n) AS version FROM customer, range(3) r(n)")
@@ -70,6 +67,35 @@ def src2_prefix_listing(t):
     return readers.listing_by(prefixes, lister).select("key", "size", "version")
 
 
+OBJECT_KEY = "concat(source, '/', lang, '/', doc_id % 7, '/doc-', doc_id, '.txt')"
+
+
+def written_store(t, what: str) -> str:
+    """The documents' texts as objects of a store."""
+    path = fresh_path(t.spark, what)
+    store.register(t.spark)
+    objects = t.documents.select(F.expr(OBJECT_KEY).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    objects.write.format(store.NAME).mode("append").save(path)
+    return path
+
+
+@query("", f"SELECT {OBJECT_KEY} AS key, octet_length(encode(coalesce(text, ''))) AS size FROM documents")
+def ux1_store_listing(t):
+    """A store written and listed through the data source, in key ranges."""
+    path = written_store(t, "store")
+    return t.spark.read.format(store.NAME).option("parts", 16).load(path).select("key", "size")
+
+
+@query("", f"SELECT {OBJECT_KEY} AS key, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, ''))) AS size FROM documents WHERE lang = 'en'")
+def ux1_store_copy(t):
+    """The objects below the English folders of each source copied from one store to another, and hashed as they lie there."""
+    path, target = written_store(t, "store"), fresh_path(t.spark, "copied")
+    there = t.spark.read.format(store.NAME).options(content="true", parts="16").load(path)
+    there.where("key LIKE '%/en/%'").select("key", "content").write.format(store.NAME).mode("append").save(target)
+    copied = t.spark.read.format(store.NAME).options(content="true", parts="4").load(target)
+    return copied.select("key", F.sha2("content", 256).alias("sha256"), "size")
+
+
 @query("messages", "SELECT message_id, delivery_count, message FROM messages")
 def src3_event_message_scan(t):
     path = fresh_path(t.spark, "messages")
