@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import ranged
 from tidemark.functions import globs
 from tidemark.functions.text import etag_compare
 from tidemark.functions.versions import lease_held
@@ -72,9 +73,15 @@ def allowed_deletes(gone: DataFrame, *guards: DataFrame) -> DataFrame:
 
 def order_check(listing: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Per pipeline the first key that does not follow its predecessor, by arrival. Spark's join needs no order; this reports it."""
-    w = Window.partitionBy("pipeline_id").orderBy(arrival)
-    wrong = listing.withColumn("previous", F.lag("key").over(w)).where("key <= previous")
-    return wrong.groupBy("pipeline_id").agg(F.min_by(F.struct("key", "previous"), F.col(arrival)).alias("x"), F.count("*").alias("misordered")).select("pipeline_id", F.col("x.key").alias("key"), F.col("x.previous").alias("previous"), "misordered")
+    # Order is checked within ranges of arrivals; a range's first key is then compared with the last one of the range before.
+    rows = ranged(listing.select("pipeline_id", "key", F.col(arrival).alias("arrival")), ["pipeline_id"], ["arrival"])
+    previous = F.lag("key").over(Window.partitionBy("pipeline_id", "__part").orderBy("arrival"))
+    within = rows.withColumn("previous", previous).select("pipeline_id", "key", "arrival", "previous")
+    ends = rows.groupBy("pipeline_id", "__part").agg(F.min_by(F.struct("key", "arrival"), "arrival").alias("first"), F.max_by("key", "arrival").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("pipeline_id").orderBy("__part"))
+    between = ends.withColumn("previous", before).select("pipeline_id", "first.*", "previous")
+    wrong = within.unionByName(between).where("key <= previous")
+    return wrong.groupBy("pipeline_id").agg(F.min_by(F.struct("key", "previous"), F.col("arrival")).alias("x"), F.count("*").alias("misordered")).select("pipeline_id", F.col("x.key").alias("key"), F.col("x.previous").alias("previous"), "misordered")
 
 
 def snapshot_compare(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics
+from tidemark.operators import events, metrics
 from tidemark.plans.catalog import now, query
-from tidemark.plans.table_queries import CLAIMS, DIFF, EVERY, bounds_sql, duck_fold
+from tidemark.plans.table_queries import CLAIMS, DIFF, EVERY, VERIFIED, bounds_sql, duck_fold, last
 from tidemark.shared import fresh_path
+from tidemark.sources import queue
 from tidemark.streaming import keyed, streams
 
 
 PARTS = 3
 
 
-def as_stream(t, df, what: str, part: str = "0"):
-    """df as a stream of PARTS micro-batches: rows whose part (an SQL expression modulo PARTS) is k are batch k."""
+def as_stream(t, df, what: str, part: str = "0", parts: int = PARTS):
+    """df as a stream of so many micro-batches: rows whose part (an SQL expression modulo parts) is k are batch k."""
     path = fresh_path(t.spark, what)
-    for k in range(PARTS):
-        df.where(F.expr(f"pmod({part}, {PARTS}) = {k}")).coalesce(1).write.mode("append").parquet(path)
+    for k in range(parts):
+        df.where(F.expr(f"pmod({part}, {parts}) = {k}")).coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -37,6 +38,30 @@ def str1_event_ingest(t):
     return t.spark.read.parquet(f"{path}/changes").where("key IS NOT NULL").select("message_id", "kind", "key")
 
 
+#: Messages of batch k go to the pipelines whose account is at most k modulo 3; those delivered too often go nowhere.
+TO_MANY = """FROM events e JOIN targets t ON t.container = concat('c', e.user_id % 3) AND starts_with(concat('data/u', e.user_id, '/a b+c.json'), t.prefix) AND t.account % 3 <= e.event_id % 3
+    WHERE e.event_type <> 'view' AND e.event_id % 41 <> 0 AND e.event_id % 43 <> 0 AND e.event_id % 53 <> 0 AND e.event_id % 8 <= 5 AND t.account % 5 <> 0"""
+
+
+@query(
+    "messages targets",
+    f"""SELECT e.event_id AS message_id, t.pipeline_id, CASE WHEN e.event_type = 'error' THEN 'delete' ELSE 'upsert' END AS kind,
+       substr(concat('data/u', e.user_id, '/a b+c.json'), length(t.prefix) + 1) AS key, e.event_id % 3 AS batch {TO_MANY}""",
+)
+def str1_event_routing(t):
+    """A queue in three segments, read as they come, to many pipelines; the targets are other ones in each batch."""
+    root, path = fresh_path(t.spark, "queue"), fresh_path(t.spark, "routed")
+    queue.register(t.spark)
+    exclude = F.when(F.col("account") % 5 == 0, F.array(F.lit("**/a b+*"))).otherwise(F.array().cast("array<string>"))
+    targets = events.with_globs(t.targets.withColumns({"include": F.array().cast("array<string>"), "exclude": exclude})).persist()
+    sink = streams.routed_sink(path, lambda batch_id: targets.where(f"account % 3 <= {batch_id}"))
+    for k in range(PARTS):
+        queue.append(t.messages.where(f"message_id % {PARTS} = {k}"), root, k)
+        streams.run(t.spark.readStream.format(queue.NAME).load(root), path, sink).awaitTermination()
+    targets.unpersist()
+    return t.spark.read.parquet(f"{path}/changes").select("message_id", "pipeline_id", "kind", "key", "batch")
+
+
 @query(
     "messages",
     """SELECT message_id, CASE WHEN message_id % 41 = 0 THEN 'neither JSON nor base64' WHEN message_id % 53 = 0 THEN 'event time'
@@ -170,15 +195,36 @@ def str11_backlog_gauges(t):
        FROM (VALUES {bounds_sql(metrics.LAG_BOUNDS)}) b(le)) GROUP BY 1, 2) WHERE n > 0""",
 )
 def str12_lag_histogram_stream(t):
-    """The whole histogram after each of three micro-batches; the last one holds all rows."""
+    """Update mode: a batch writes the counts that it has changed, and no other."""
     path = fresh_path(t.spark, "histogram")
+    streams.run(streams.lag_histogram(as_stream(t, t.attempts, "attempts", "event_id")), path, streams.lag_counts_sink(path), mode="update").awaitTermination()
+    return streams.lag_counts(t.spark, path)
 
-    def each(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    streams.run(streams.lag_histogram(as_stream(t, t.attempts, "attempts", "event_id")), path, each, mode="complete").awaitTermination()
-    done = t.spark.read.parquet(path)
-    return done.where(F.col("batch") == done.agg(F.max("batch")).first()[0]).drop("batch")
+RETRIED = """SELECT key, outcome, CASE WHEN outcome IN ('missing', 'size_mismatch') THEN CAST(regexp_extract(key, '([0-9]+)', 1) AS BIGINT) END AS n"""
+
+
+@query(
+    "manifest destination",
+    f"""SELECT key, CASE WHEN n % 40 = 0 OR n % 60 = 0 THEN 'ok' ELSE outcome END AS outcome, CASE WHEN n IS NULL THEN 1 WHEN n % 40 = 0 THEN 2 ELSE 3 END AS looks,
+       CASE WHEN n IS NULL THEN 0 WHEN n % 40 = 0 THEN 1 ELSE 3 END AS batch FROM ({RETRIED} FROM ({VERIFIED}))""",
+)
+def str14_retry_until_deadline(t):
+    """Looks at 0 s, 60 s and 240 s (that at 120 s comes before the entries are due), with arrivals before the second and the third."""
+    path = fresh_path(t.spark, "retried")
+    m = last(t).select("key", "size", "sha256", "written_at")
+    number = F.regexp_extract("key", "([0-9]+)", 1).cast("bigint")
+    there = t.destination.select("key", "size", "sha256", "mod_time")
+
+    def destination(tick):
+        arrived = (number % 40 == 0) & F.lit(tick >= 1) | (number % 60 == 0) & F.lit(tick >= 2)
+        late = m.where(arrived).select("key", "size", "sha256", F.col("written_at").alias("mod_time"))
+        return there.join(late, "key", "left_anti").unionByName(late)
+
+    at = lambda seconds: F.expr(f"TIMESTAMP_NTZ '2024-02-01' + INTERVAL '{seconds}' SECOND")
+    ticks = as_stream(t, t.spark.range(4), "ticks", "id", 4)
+    streams.retry_until(ticks, path, m, destination, lambda k: at([0, 60, 120, 240][k]), at(200), lambda looks: F.lit(60.0) * F.pow(F.lit(2.0), looks - 1)).awaitTermination()
+    return t.spark.read.parquet(f"{path}/settled").select("key", "outcome", "looks", "batch")
 
 
 @query(

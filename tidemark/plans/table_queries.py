@@ -689,14 +689,14 @@ def tr6_mark_deleted(t):
 
 
 @query(
-    "changes full_record",
-    """SELECT c.pipeline_id, c.key, c.arrival, CASE WHEN kind = 'upsert' THEN 'copy' ELSE 'delete' END AS job, CASE WHEN kind = 'upsert' THEN 1
-       ELSE 0 END AS generation, CASE WHEN kind = 'upsert' THEN CAST(floor(epoch(event_time)) AS BIGINT) // 300 ELSE 0 END AS "window"
-       FROM changes c""",
+    "ops changes",
+    f"""SELECT c.pipeline_id, c.key, c.arrival, CASE WHEN kind = 'upsert' THEN 'copy' ELSE 'delete' END AS job, CASE WHEN kind = 'upsert'
+       THEN coalesce(r.attempts, 0) ELSE 0 END AS generation, CASE WHEN kind = 'upsert' THEN CAST(floor(epoch(event_time)) AS BIGINT) // 300 ELSE 0 END AS "window"
+       FROM changes c LEFT JOIN (SELECT pipeline_id, key, attempts FROM ({duck_fold(CLAIMS)})) r USING (pipeline_id, key)""",
 )
 def tr7_emit(t):
-    known = t.changes.select("pipeline_id", "key").distinct().withColumn("attempts", F.lit(1))
-    return work.emit(t.changes, known).select("pipeline_id", "key", "arrival", "job", "generation", "window")
+    """Jobs of changes against a record in which keys have been claimed none, one or several times."""
+    return work.emit(t.changes, folded(t, CLAIMS)).select("pipeline_id", "key", "arrival", "job", "generation", "window")
 
 
 @query(
@@ -731,12 +731,22 @@ def tr10_delete_apply(t):
     return work.apply_deletes(gone, t.changes.where("key LIKE '%/2.json'").select("pipeline_id", "key").distinct(), names)
 
 
-@query("ops changes", f"SELECT pipeline_id, key, status, source_version, attempts FROM ({duck_fold(OBSERVE)})")
+#: The operations that claimed, and after them the observations of all changes.
+THEN_OBSERVED = duck_fold(CLAIMS).replace(
+    "FROM ops", f"FROM (SELECT * FROM ops WHERE op IN ({CLAIMS}) UNION ALL SELECT * REPLACE (arrival + 1000000000000 AS arrival) FROM ops WHERE op = 'observe')"
+)
+
+
+@query(
+    "ops changes",
+    f"""SELECT c.pipeline_id, c.key, c.arrival, r.status, r.source_version, CASE WHEN kind = 'upsert' THEN r.attempts ELSE 0 END AS generation
+       FROM changes c JOIN ({THEN_OBSERVED}) r USING (pipeline_id, key)""",
+)
 def tr7_observe(t):
-    """The record as it is when the jobs of the changes are made."""
+    """Each change's job with the record as it is when the jobs are made: all observed, on top of what claims have left."""
     changes = t.changes.withColumns({"size": F.col("arrival") % 1000, "mtime": F.col("event_time")})
-    observed, _ = work.observe_and_emit(changes)
-    return observed.select("pipeline_id", "key", "status", "source_version", "attempts")
+    observed, jobs = work.observe_and_emit(changes, folded(t, CLAIMS))
+    return jobs.join(observed.select("pipeline_id", "key", "status", "source_version"), ["pipeline_id", "key"]).select("pipeline_id", "key", "arrival", "status", "source_version", "generation")
 
 
 NEW_SPECS = """SELECT CASE WHEN account % 8 = 0 THEN concat(name, '_new') ELSE name END AS name, CASE WHEN account % 3 = 0

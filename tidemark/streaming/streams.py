@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.text import window_at
-from tidemark.operators import events, metrics, record, reconcile, specs, status
+from tidemark.operators import events, metrics, record, reconcile, specs, status, verify
 from tidemark.sources import sinks
 
 
@@ -50,6 +50,30 @@ def ingest_sink(path: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
+def routed_sink(path: str, targets: Callable[[int], DataFrame], whole_message: bool = True) -> Callable[[DataFrame, int], None]:
+    """Each batch of messages as changes of every pipeline that wants them, and dead letters, under its number.
+
+    targets(batch_id) are read anew for each batch: pipeline_id, container, prefix and, from with_globs, include and exclude.
+    A message with a bad event is a dead letter as a whole, or loses that event only; one that was delivered too often is
+    always a dead letter, and no change comes of it.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        relevant = F.col("event_type").isin(events.CREATED, events.DELETED)
+        unusable = F.when(relevant & ~F.col("has_data"), "no data").when(relevant & events.blob_from_url("url").isNull(), "url").otherwise("")
+        parsed = events.parse_messages(batch).withColumn("malformed", F.when(F.col("malformed") == "", unusable).otherwise(F.col("malformed"))).persist()
+        spent = F.col("delivery_count") > sinks.MAX_DELIVERIES
+        good = events.apply_policy(parsed, whole_message).where(F.col("keep") & ~spent).drop("keep")
+        sinks.write_changes(events.change_columns(events.route(good, targets(batch_id))).select(*CHANGED), f"{path}/changes", batch_id)
+        dead = parsed.where(spent | (F.col("malformed") != "")) if whole_message else parsed.where(spent | F.col("nth").isNull() | (F.col("malformed") != ""))
+        reason = F.min_by("malformed", F.struct(F.col("malformed") == "", F.coalesce("nth", F.lit(0))))
+        letters = dead.groupBy("message_id").agg(F.max("delivery_count").alias("delivery_count"), F.first("message").alias("message"), reason.alias("malformed"))
+        sinks.dead_letters(letters).write.mode("overwrite").parquet(f"{path}/dead/batch={batch_id}")
+        parsed.unpersist()
+
+    return each
+
+
 def dedupe(changes: DataFrame, late: str = "10 minutes", seconds: int = 300) -> DataFrame:
     """One change per pipeline, key, version and window of its time, while the watermark keeps it in mind."""
     return changes.withColumn("window", window_at("event_time", seconds)).withColumn("__t", F.col("event_time").cast("timestamp")).withWatermark("__t", late).dropDuplicatesWithinWatermark(["pipeline_id", "key", "version", "window"]).drop("__t")
@@ -175,6 +199,58 @@ def lag_histogram(attempts: DataFrame, bounds=metrics.LAG_BOUNDS) -> DataFrame:
     return attempts.where("outcome = 'synced' AND lag_seconds > 0").groupBy("pipeline_id", le.alias("le")).agg(F.count("*").alias("n"))
 
 
+def retry_until(
+    ticks: DataFrame,
+    path: str,
+    manifest: DataFrame,
+    destination: Callable[[int], DataFrame],
+    clock: Callable[[int], Column],
+    deadline: Column,
+    backoff: Callable[[Column], Column],
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Verify a manifest tick by tick until its entries are settled: path/settled has each with its outcome, looks and batch.
+
+    An entry that is missing or of the wrong size is looked at again after backoff(looks) seconds, at the next tick from
+    then on, until it is settled or a look fails at or after the deadline. What is pending lies under path/pending by batch
+    and shrinks; a tick reads the last of these and looks only for the entries that are due.
+    """
+    columns = ["key", "size", "sha256", "written_at"]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, time = batch.sparkSession, clock(batch_id)
+        if batch_id:
+            pending = spark.read.schema(pending_schema).parquet(f"{path}/pending/batch={batch_id - 1}")
+        else:
+            pending = manifest.select(*columns, F.lit(0).alias("looks"), time.alias("next_look"))
+        due = pending.where(F.col("next_look") <= time).withColumn("looks", F.col("looks") + 1).persist()
+        seen = verify.verify(due.select(*columns), destination(batch_id)).select("key", "outcome")
+        looked = due.join(seen, "key").persist()
+        again = F.col("outcome").isin("missing", "size_mismatch") & (time < deadline)
+        looked.where(~again).select("key", "outcome", "looks").write.mode("overwrite").parquet(f"{path}/settled/batch={batch_id}")
+        waiting = looked.where(again).withColumn("next_look", time + F.make_interval(secs=backoff(F.col("looks")))).select(*pending.columns)
+        pending.where(F.col("next_look") > time).unionByName(waiting).write.mode("overwrite").parquet(f"{path}/pending/batch={batch_id}")
+        looked.unpersist()
+        due.unpersist()
+
+    pending_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in manifest.select(*columns).schema) + ", looks int, next_look timestamp_ntz"
+    return run(ticks, path, each, trigger=trigger)
+
+
+def lag_counts_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for lag_histogram in update mode: each batch's changed counts under its number."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return each
+
+
+def lag_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The histogram as the last batches have left it: the newest count of each pipeline and bucket."""
+    return spark.read.parquet(path).groupBy("pipeline_id", "le").agg(F.max_by("n", "batch").alias("n"))
+
+
 def with_current_specs(path: str, read_specs: Callable[[int], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Each batch of changes with the revision of its pipeline's spec in force, specs being read anew for every batch.
 
