@@ -8,7 +8,7 @@ from tidemark.functions import globs, text, versions
 from tidemark.operators import events, status, verify, work
 from tidemark.plans.catalog import now, query
 from tidemark.shared import fresh_path
-from tidemark.sources import readers, sinks, store
+from tidemark.sources import readers, sinks, snapshots, store
 
 NTZ = "timestamp_ntz"
 MANIFEST_JSON = "to_json(struct(key, size, sha256, written_at), map('timestampNTZFormat', \"yyyy-MM-dd'T'HH:mm:ss\"))"
@@ -178,6 +178,21 @@ def snk2_record_snapshot_merge(t):
     return sinks.read_snapshot(t.spark, path)
 
 
+@query(
+    "listing record",
+    """SELECT pipeline_id, key, coalesce(n.version, r.source_version) AS source_version, coalesce(CASE WHEN n.key IS NOT NULL THEN 'pending' END, r.status) AS status
+       FROM (SELECT * FROM listing WHERE arrival % 9 < 2) n FULL OUTER JOIN record r USING (pipeline_id, key)""",
+)
+def snk2_bucketed_merge(t):
+    """Two merges into a snapshot in buckets, each of which rewrites the buckets of its rows only."""
+    path = fresh_path(t.spark, "buckets")
+    snapshots.write_buckets(t.record.select("pipeline_id", "key", "source_version", "status"), path, 16)
+    for part in range(2):
+        new = t.listing.where(f"arrival % 9 = {part}").select("pipeline_id", "key", F.col("version").alias("source_version"), F.lit("pending").alias("status"))
+        snapshots.merge_buckets(new, path)
+    return snapshots.read_buckets(t.spark, path)
+
+
 @query(
     "messages",
     """SELECT message_id, CASE WHEN message_id % 41 = 0 THEN 'neither JSON nor base64' WHEN message_id % 53 = 0 AND message_id % 43 <> 0 THEN 'event time'
@@ -695,3 +710,22 @@ def ux2_registered_format(t):
 @query("listing", "SELECT key FROM listing WHERE key > 'src2/' AND starts_with(key, 'src') ORDER BY key LIMIT 50")
 def st2_keyset_page(t):
     return status.keyset_page(t.listing, "src2/", 50, "src").select("key")
+
+
+@query(
+    "listing",
+    """SELECT page, key, size FROM (SELECT row_number() OVER (ORDER BY key) AS nth, key, size FROM listing WHERE starts_with(key, 'src')),
+       (SELECT unnest([0, 1, 2]) AS page) WHERE nth > page * 60 AND nth <= page * 60 + 40""",
+)
+def st2_pages_of_files(t):
+    """Three pages of a listing in key order, each from the files that it meets, at cursors that pages before would have left."""
+    path = fresh_path(t.spark, "pages")
+    snapshots.write_pages(t.listing.select("key", "size"), path, 16)
+    after, out = "", None
+    for page in range(3):
+        rows = snapshots.read_page(t.spark, path, after, 40, "src")
+        rows = rows.withColumn("page", F.lit(page))
+        out = rows if out is None else out.unionByName(rows)
+        skipped = snapshots.read_page(t.spark, path, after, 60, "src").agg(F.max("key")).first()[0]
+        after = skipped or after
+    return out

@@ -8,6 +8,8 @@ from tidemark.functions.versions import moment
 from tidemark.operators import events, metrics, ordering, reconcile, record, specs, status, verify, work
 from tidemark.plans.catalog import now, query
 from tidemark.plans.scalar_queries import duck_newer, duck_versions
+from tidemark.shared import fresh_path
+from tidemark.sources import snapshots
 
 T0 = "TIMESTAMP '2024-02-01'"
 DIFF = """SELECT coalesce(l.pipeline_id, r.pipeline_id) AS pipeline_id, coalesce(l.key, r.key) AS key, l.key IS NOT NULL AS listed, r.key IS NOT NULL AS known, r.status,
@@ -40,6 +42,16 @@ def jn1_reconcile_diff(t):
     return diffed(t).select("pipeline_id", "key", "action", "in_flight")
 
 
+@query("listing record", f"SELECT pipeline_id, key, action, in_flight FROM ({DIFF})")
+def jn1_bucketed_diff(t):
+    """Listing and record in the same buckets: the join moves no row."""
+    left, right = fresh_path(t.spark, "listed"), fresh_path(t.spark, "recorded")
+    snapshots.write_buckets(t.listing.select("pipeline_id", "key", "version", "mod_time"), left, 16)
+    snapshots.write_buckets(t.record.select("pipeline_id", "key", "synced_version", "status", "claimed_until"), right, 16)
+    rows = reconcile.diff(snapshots.read_buckets(t.spark, left), snapshots.read_buckets(t.spark, right), now(), exclude=["**/tmp/**"])
+    return rows.select("pipeline_id", "key", "action", "in_flight")
+
+
 @query("listing record", f"SELECT pipeline_id, key FROM ({DIFF}) WHERE action = 'delete_candidate' AND key NOT LIKE '%00.txt'")
 def jn2_confirm_deletes(t):
     gone = diffed(t).where("action = 'delete_candidate'")
