@@ -7,10 +7,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, queries
+from tidemark.llm import conversations, oracles, queries
 
 TYPE = "conv_id bigint, turn bigint, role string, text string"
 NEXT = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
@@ -148,3 +149,11 @@ def test_empty_dropped_and_whole_table(spark, sf):
     assert found(conversations.repair(named)) == brute([("é", 1, "user", "Hi."), ("é", 2, "assistant", "Yes.")])
     table = [tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()]
     assert found(queries.op11_conversations(spark, sf)) == brute(table)
+
+
+def test_sql_of_the_contract(sf):
+    folder = sf.replace("0.001", "0.01")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    got = {r[0]: tuple(r[1:]) for r in duck.sql(oracles.CONVERSATIONS).fetchall()}
+    assert got == brute(duck.sql("SELECT conv_id, turn, role, text FROM conversations").fetchall())

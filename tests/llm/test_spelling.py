@@ -5,10 +5,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import queries, spelling
+from tidemark.llm import oracles, queries, spelling
 
 
 def brute_words(docs):
@@ -105,3 +106,11 @@ def test_empty_and_whole_table(spark, sf):
     assert spelling.group(docs.limit(0)).count() == 0
     want = brute([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     assert found(queries.op12_spelling(spark, sf)) == want
+
+
+def test_sql_of_the_contract(sf):
+    folder = sf.replace("0.001", "0.01")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = {r[0]: tuple(r[1:]) for r in duck.sql(oracles.SPELLING).fetchall()}
+    assert got == brute(duck.sql("SELECT doc_id, text FROM documents").fetchall())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversations, exact, html_text, neighbours, packing, quality, repeats, secrets, simhash, spelling, topk, warc
+from tidemark.llm import bpe, conversations, exact, html_text, neighbours, oracles, packing, quality, repeats, secrets, simhash, spelling, topk, warc
 from tidemark.llm.util import table
 from tidemark.llm.vocabulary import WORD_BPE
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact.oracle(), "op7_warc": warc.ORACLE, "op13_topk": topk.ORACLE}
+    return {"op1_exact_dedup": exact.oracle(), "op7_warc": warc.ORACLE, "op11_conversations": oracles.CONVERSATIONS, "op12_spelling": oracles.SPELLING, "op13_topk": topk.ORACLE}
