@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, metrics
+from tidemark.functions.text import window_at
+from tidemark.operators import events, metrics, work
 from tidemark.plans.catalog import now, query
 from tidemark.plans.table_queries import CLAIMS, DIFF, EVERY, VERIFIED, bounds_sql, duck_fold, last
 from tidemark.shared import fresh_path
@@ -96,6 +97,26 @@ def str5_stream_dedupe(t):
     return t.spark.read.parquet(path).select("pipeline_id", "key", "version", "window")
 
 
+#: Jobs come three times; those of the first round end before the second if their arrival is even, and none ends after it.
+@query(
+    "changes",
+    """SELECT DISTINCT pipeline_id, key, version, 0 AS generation, CAST(floor(epoch(event_time)) AS BIGINT) // 300 AS "window", round
+       FROM (SELECT *, min(arrival) OVER (PARTITION BY pipeline_id, key, version, CAST(floor(epoch(event_time)) AS BIGINT) // 300) AS first FROM changes WHERE kind = 'upsert'), (VALUES (0), (1)) r(round) WHERE round = 0 OR first % 2 = 0""",
+)
+def str5_jobs_until_they_end(t):
+    """Open jobs block their key in the stream, ended ones do not."""
+    path, more = fresh_path(t.spark, "jobs"), 1 << 40
+    jobs = t.changes.where("kind = 'upsert'").select("pipeline_id", "key", "version", F.lit(0).alias("generation"), window_at("event_time", 300).alias("window"), "arrival")
+    first = jobs.groupBy(*work.UNIQUE).agg(F.min("arrival").alias("arrival"))
+    ended = first.select(*work.UNIQUE, (F.col("arrival") + more).alias("arrival"), F.when(F.col("arrival") % 2 == 0, "completed").otherwise("running").alias("state"))
+    rounds = F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))).alias("k")
+    wanted = jobs.select(*work.UNIQUE, "arrival", rounds).select(*work.UNIQUE, (F.col("arrival") + F.col("k") * more).alias("arrival"))
+    spread = f"floor((arrival + {more >> 1}) / {2 * more})"
+    stream = keyed.open_jobs(as_stream(t, wanted, "wanted", spread), as_stream(t, ended, "ended", "1"))
+    streams.run(stream, path, changed_rows(path)).awaitTermination()
+    return t.spark.read.parquet(path).select(*work.UNIQUE, F.floor(F.col("arrival") / (2 * more)).cast("int").alias("round"))
+
+
 #: Thirds of the operations by arrival, the later ones later.
 THIRDS = "CASE WHEN arrival < 30000 THEN 0 WHEN arrival < 90000 THEN 1 ELSE 2 END"
 
@@ -181,6 +202,16 @@ def gauges(part: int) -> str:
 
 @query("ops", " UNION ALL ".join(map(gauges, range(PARTS))))
 def str11_backlog_gauges(t):
+    """From counts of what waits, which each batch's changed keys move."""
+    path, out = fresh_path(t.spark, "states"), fresh_path(t.spark, "gauges")
+    keyed_ops = keyed.keyed_record(as_stream(t, t.ops, "ops", THIRDS), timers=False)
+    sink = keyed.backlog_sink(out, t.ops.select("pipeline_id").distinct(), now())
+    streams.run(keyed_ops, path, sink, mode="update").awaitTermination()
+    return t.spark.read.parquet(f"{out}/gauges")
+
+
+@query("ops", " UNION ALL ".join(map(gauges, range(PARTS))))
+def str11_gauges_of_snapshots(t):
     path, out = fresh_path(t.spark, "states"), fresh_path(t.spark, "gauges")
     names = t.ops.select("pipeline_id").distinct()
     each = streams.in_turn(streams.record_sink(path), streams.backlog_gauges(out, path, names, now()))

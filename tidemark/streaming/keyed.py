@@ -7,14 +7,14 @@ lapses by its timer, without another operation of its key. The rules are those o
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.plain import PLAIN, Plain
-from tidemark.operators import record
+from tidemark.operators import record, work
 
 KEYS = ["pipeline_id", "key"]
 STATE = ", ".join(f"{n} {t}" for n, (t, _) in record.FIELDS.items())
@@ -50,7 +50,7 @@ class KeyedRecord(StatefulProcessor):
         until = new["claimed_until"]
         if self.timers and until and (not old or old["claimed_until"] != until):
             self.handle.registerTimer(milliseconds(until))
-        yield Row(pipeline_id=key[0], key=key[1], **new)
+        yield Row(pipeline_id=key[0], key=key[1], **new, was_status=old["status"] if old else None, was_event_time=old["event_time"] if old else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = self.known()
@@ -74,7 +74,8 @@ class KeyedRecord(StatefulProcessor):
 
 
 def keyed_record(ops: DataFrame, clock: str | None = None, timers: bool = True, initial: DataFrame | None = None) -> DataFrame:
-    """A stream of operations to a stream of the records that they, or the end of a lease, have changed (update mode).
+    """A stream of operations to a stream of the records that they, or the end of a lease, have changed (update mode), each with
+    the status and event time that it had before, null for a new one.
 
     A lease ends by the machine's clock, or by the column clock, which must be the time at which operations come in and so
     never fall behind; without timers it is only seen by the next operation. initial is a record to begin with.
@@ -85,10 +86,76 @@ def keyed_record(ops: DataFrame, clock: str | None = None, timers: bool = True,
         ops = ops.withWatermark(clock, "1 second")
     mode = "None" if not timers else "EventTime" if clock else "ProcessingTime"
     start = initial.select(*KEYS, *record.FIELDS).groupBy(*KEYS) if initial is not None else None
-    return ops.groupBy(*KEYS).transformWithState(KeyedRecord(timers), f"pipeline_id string, key string, {STATE}", "Update", mode, initialState=start)
+    return ops.groupBy(*KEYS).transformWithState(KeyedRecord(timers), f"pipeline_id string, key string, {STATE}, was_status string, was_event_time timestamp_ntz", "Update", mode, initialState=start)
 
 
 def keyed_states(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The record of all keys as the last committed batch has left it, from the state store below a stream's checkpoint."""
     rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "record").load()
     return rows.select(*[F.col("key")[k].alias(k) for k in KEYS], *[F.col("value")[n].alias(n) for n in record.FIELDS])
+
+
+def backlog_sink(path: str, pipelines: DataFrame, now: Column) -> Callable[[DataFrame, int], None]:
+    """After each batch of keyed_record's rows the oldest waiting change of each pipeline: path/gauges, by batch.
+
+    What waits is kept as counts by pipeline and event time (path/waiting), to which a batch adds what it has changed; the
+    work follows the batch and the backlog, not the record.
+    """
+    schema = "pipeline_id string, event_time timestamp_ntz, n bigint"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, waits = batch.sparkSession, lambda status: F.col(status).isin("pending", "copying")
+        new = batch.where(waits("status") & F.col("event_time").isNotNull()).select("pipeline_id", "event_time", F.lit(1).cast("bigint").alias("n"))
+        old = batch.where(waits("was_status") & F.col("was_event_time").isNotNull()).select("pipeline_id", F.col("was_event_time").alias("event_time"), F.lit(-1).cast("bigint").alias("n"))
+        counts = new.unionByName(old)
+        if batch_id:
+            counts = counts.unionByName(spark.read.schema(schema).parquet(f"{path}/waiting/batch={batch_id - 1}"))
+        counts.groupBy("pipeline_id", "event_time").agg(F.sum("n").alias("n")).where("n <> 0").write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
+        waiting = spark.read.schema(schema).parquet(f"{path}/waiting/batch={batch_id}")
+        oldest = waiting.groupBy("pipeline_id").agg(F.min("event_time").alias("oldest"))
+        seconds = F.greatest((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("oldest").cast("timestamp"))) / 1e6, F.lit(0.0))
+        gauges = pipelines.join(oldest, "pipeline_id", "left").select("pipeline_id", F.coalesce(seconds, F.lit(0.0)).alias("oldest_pending_seconds"))
+        gauges.write.mode("overwrite").parquet(f"{path}/gauges/batch={batch_id}")
+
+    return each
+
+
+class OpenJobs(StatefulProcessor):
+    """Lets a job through unless one of its unique key is open. A key is open until its job has ended, and only while it is
+    open does the state hold it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "since bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        is_open = before = self.open.exists()
+        since = None
+        for r in sorted(rows, key=lambda r: r["arrival"]):
+            ends = r["state"] is not None and r["state"] not in work.OPEN_STATES
+            if not ends and not is_open and r["state"] is None:
+                is_open, since = True, r["arrival"]
+                yield Row(**{n: r[n] for n in JOB})
+            elif r["state"] is not None:
+                is_open, since = not ends, r["arrival"]
+        if is_open and (since is not None or not before):
+            self.open.update((since or 0,))
+        elif before and not is_open:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+JOB = [*work.UNIQUE, "arrival"]
+
+
+def open_jobs(wanted: DataFrame, states: DataFrame) -> DataFrame:
+    """Streams of wanted jobs (work's unique columns, arrival) and of job states (the same, state) to the jobs to be started.
+
+    As work.dedupe has it: a job of an available, scheduled, retryable or running one's unique key is dropped, and once that one has
+    ended the next is let through. arrival orders both streams; rows are taken in this order within a batch.
+    """
+    wanted.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    both = wanted.select(*JOB, F.lit(None).cast("string").alias("state")).unionByName(states.select(*JOB, "state"))
+    kinds = ", ".join(f"{n} {both.schema[n].dataType.simpleString()}" for n in JOB)
+    return both.groupBy(*work.UNIQUE).transformWithState(OpenJobs(), kinds, "Append", "None")
