@@ -84,3 +84,23 @@ def test_state_begins_with_a_record(spark, tmp_path):
     ops = stream(spark, tmp_path / "ops", ops_frame(spark, rows[:1]))
     streams.run(keyed.keyed_record(ops, timers=False, initial=before), out, sink, mode="update").awaitTermination()
     assert states(keyed.keyed_states(spark, f"{out}-checkpoint")) == states(record.fold(ops_frame(spark, rows)))
+
+
+def test_open_jobs_block_until_they_end(spark, tmp_path):
+    """Against a plain loop: jobs and job states in random order, over several batches and restarts."""
+    rng, kinds = random.Random(11), "pipeline_id string, key string, version string, generation int, window bigint, arrival bigint"
+    events = [("p", f"k{rng.randrange(3)}", "v", rng.randrange(2), 0, n, rng.choice([None, None, "running", "available", "completed", "discarded"])) for n in range(150)]
+    want, still_open = [], set()
+    for *key, arrival, state in events:
+        if state is None and tuple(key) not in still_open:
+            want.append(arrival)
+            still_open.add(tuple(key))
+        elif state is not None:
+            (still_open.discard if state in ("completed", "discarded") else still_open.add)(tuple(key))
+    out = str(tmp_path / "out")
+    for k, part in enumerate((events[:40], events[40:41], events[41:])):
+        for what, schema, rows in (("wanted", kinds, [e[:6] for e in part if e[6] is None]), ("states", f"{kinds}, state string", [e for e in part if e[6] is not None])):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / what / f"part={k}"))
+        streams_of = [spark.readStream.schema(s).parquet(str(tmp_path / w / "part=*")) for w, s in (("wanted", kinds), ("states", f"{kinds}, state string"))]
+        streams.run(keyed.open_jobs(*streams_of), out).awaitTermination()
+    assert sorted(r["arrival"] for r in spark.read.parquet(out).collect()) == want and len(want) > 10
