@@ -264,7 +264,8 @@ def lower_keys(m) -> Column:
     entries = F.array_sort(F.map_entries(col(m)))
     return F.map_from_entries(
         F.filter(
-            F.transform(entries, lambda e, i: F.struct(F.lower(e["key"]).alias("key"), F.when(F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: F.lower(x["key"]) == F.lower(e["key"])), None).otherwise(F.struct(e["value"].alias("v"))).alias("value"))),
+            F.transform(entries, lambda e, i: F.struct(F.lower(e["key"]).alias("key"),
+                F.when(F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: F.lower(x["key"]) == F.lower(e["key"])), None).otherwise(F.struct(e["value"].alias("v"))).alias("value"))),
             lambda e: e["value"].isNotNull(),
         )
     )

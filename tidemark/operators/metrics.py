@@ -190,7 +190,8 @@ def reconcile_counters(runs: DataFrame) -> DataFrame:
 def rate_windows(attempts: DataFrame, seconds: int) -> DataFrame:
     """attempts(pipeline_id, outcome, bytes, at) in tumbling windows, as a batch or a stream."""
     w = F.window("at", f"{seconds} seconds")
-    return attempts.groupBy("pipeline_id", "outcome", w).agg((F.count("*") / seconds).alias("files_per_second"), (F.sum("bytes") / seconds).alias("bytes_per_second")).select("pipeline_id", "outcome", F.col("window.start").cast("timestamp_ntz").alias("start"), "files_per_second", "bytes_per_second")
+    return attempts.groupBy("pipeline_id", "outcome", w).agg((F.count("*") / seconds).alias("files_per_second"),
+        (F.sum("bytes") / seconds).alias("bytes_per_second")).select("pipeline_id", "outcome", F.col("window.start").cast("timestamp_ntz").alias("start"), "files_per_second", "bytes_per_second")
 
 
 def phase_attribution(files: DataFrame, phases: DataFrame, seconds: int = 3600) -> DataFrame:

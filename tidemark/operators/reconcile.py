@@ -46,7 +46,8 @@ def confirm(candidates: DataFrame, recheck: DataFrame) -> DataFrame:
 
 def stats(diffed: DataFrame, *by: str) -> DataFrame:
     is_ = lambda a: F.count_if(F.col("action") == a)
-    return diffed.groupBy(*by).agg(F.count_if("listed").alias("listed"), is_("upsert").alias("emitted"), is_("delete_candidate").alias("deleted"), is_("already_synced").alias("already_synced"), F.count_if("in_flight").alias("in_flight"), is_("ignored").alias("ignored"))
+    return diffed.groupBy(*by).agg(F.count_if("listed").alias("listed"), is_("upsert").alias("emitted"), is_("delete_candidate").alias("deleted"),
+        is_("already_synced").alias("already_synced"), F.count_if("in_flight").alias("in_flight"), is_("ignored").alias("ignored"))
 
 
 def empty_source_guard(diffed: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ def order_check(listing: DataFrame, arrival: str = "arrival") -> DataFrame:
     before = F.lag("last").over(Window.partitionBy("pipeline_id").orderBy("__part"))
     between = ends.withColumn("previous", before).select("pipeline_id", "first.*", "previous")
     wrong = within.unionByName(between).where("key <= previous")
-    return wrong.groupBy("pipeline_id").agg(F.min_by(F.struct("key", "previous"), F.col("arrival")).alias("x"), F.count("*").alias("misordered")).select("pipeline_id", F.col("x.key").alias("key"), F.col("x.previous").alias("previous"), "misordered")
+    return wrong.groupBy("pipeline_id").agg(F.min_by(F.struct("key", "previous"), F.col("arrival")).alias("x"),
+        F.count("*").alias("misordered")).select("pipeline_id", F.col("x.key").alias("key"), F.col("x.previous").alias("previous"), "misordered")
 
 
 def snapshot_compare(before: DataFrame, after: DataFrame) -> DataFrame:

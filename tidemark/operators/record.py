@@ -91,7 +91,8 @@ def step(r: Column, o: Column, f=F) -> Column:
         "upload_id": f.when(completed, "").when(uploading, o["detail"]),
         "upload_version": f.when(completed, "").when(uploading, o["version"]),
         "claimed_until": f.when(claimed | extended, lease).when(completed | failed | deleted, f.expr(NONE)),
-        "event_time": f.when(observed, f.when(kept, r["event_time"]).otherwise(o["event_time"])).when(claimed, f.when(older, r["event_time"]).otherwise(o["event_time"])).when(deleted, o["event_time"]),
+        "event_time": f.when(observed, f.when(kept, r["event_time"]).otherwise(o["event_time"])).when(claimed,
+            f.when(older, r["event_time"]).otherwise(o["event_time"])).when(deleted, o["event_time"]),
         "synced_at": f.when(completed, o["at"]),
     }
     touched = {"claimed_until": claimed | extended | completed | failed | deleted, "event_time": moved | deleted, "source_mtime": moved, "synced_mtime": completed}

@@ -36,10 +36,12 @@ def lag_seconds(now, oldest):
 
 def status_report(specs: DataFrame, record: DataFrame, now, order: str = "updated_at") -> DataFrame:
     """specs(pipeline_id, enabled, revision) with stats, lag and errors as 'key: error' in order; without records all zero."""
-    errors = recent_errors(record, order).groupBy("pipeline_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "key", "last_error"))), lambda e: F.concat(e["key"], F.lit(": "), e["last_error"])), "; ").alias("errors"))
+    errors = recent_errors(record, order).groupBy("pipeline_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "key",
+        "last_error"))), lambda e: F.concat(e["key"], F.lit(": "), e["last_error"])), "; ").alias("errors"))
     out = specs.join(pipeline_stats(record), "pipeline_id", "left").join(errors, "pipeline_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("pipeline_id", "enabled", "revision", *[zero(c) for c in ("synced", "pending", "copying", "failed", "bytes_synced")], "last_synced_at", lag_seconds(now, "oldest_event").alias("current_lag_seconds"), F.coalesce("errors", F.lit("")).alias("errors"))
+    return out.select("pipeline_id", "enabled", "revision", *[zero(c) for c in ("synced", "pending", "copying", "failed", "bytes_synced")],
+        "last_synced_at", lag_seconds(now, "oldest_event").alias("current_lag_seconds"), F.coalesce("errors", F.lit("")).alias("errors"))
 
 
 def oldest_pending(record: DataFrame, pipelines: DataFrame, now) -> DataFrame:

@@ -63,7 +63,8 @@ def verify(manifest: DataFrame, dest: DataFrame, size_only: bool = False) -> Dat
 
 def load_summary(manifest: DataFrame) -> DataFrame:
     span = seconds_between("last_write", "first_write")
-    out = manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.min("written_at").alias("first_write"), F.max("written_at").alias("last_write"), F.coalesce(F.max("size"), F.lit(0)).alias("max_size"))
+    out = manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.min("written_at").alias("first_write"),
+        F.max("written_at").alias("last_write"), F.coalesce(F.max("size"), F.lit(0)).alias("max_size"))
     return out.withColumn("bytes_per_second", F.when(span > 0, F.col("bytes") / span).otherwise(0.0))
 
 
@@ -109,4 +110,5 @@ def record_agreement(manifest: DataFrame, record: DataFrame) -> DataFrame:
 def sampled_compare(source: DataFrame, dest: DataFrame) -> DataFrame:
     """source and dest(key, at, length, sha256): per key ok, ranges and sampled bytes."""
     d = dest.select("key", "at", "length", F.col("sha256").alias("d_sha"))
-    return source.join(d, ["key", "at", "length"], "left").groupBy("key").agg(F.bool_and(F.coalesce(F.col("sha256") == F.col("d_sha"), F.lit(False))).alias("ok"), F.count("*").alias("ranges"), F.sum("length").alias("sampled_bytes"))
+    return source.join(d, ["key", "at", "length"], "left").groupBy("key").agg(F.bool_and(F.coalesce(F.col("sha256") == F.col("d_sha"),
+        F.lit(False))).alias("ok"), F.count("*").alias("ranges"), F.sum("length").alias("sampled_bytes"))

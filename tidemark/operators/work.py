@@ -55,7 +55,8 @@ def copy_outcome(failure) -> Column:
     """struct(outcome, next_step) of a failed or finished copy."""
     f = col(failure)
     outcome = F.when(f == "none", "synced").when(f == "lease_lost", "").when(f == "interrupted", "").when(f == "version_changed", "").when(~is_copy_retryable(f), "failed").otherwise("retry")
-    step = F.when(f == "none", "done").when(f == "lease_lost", "abandon").when(f == "interrupted", "release").when(f == "version_changed", "retry_now").when(~is_copy_retryable(f), "cancel").otherwise("retry_backoff")
+    step = F.when(f == "none", "done").when(f == "lease_lost", "abandon").when(f == "interrupted", "release").when(f == "version_changed",
+        "retry_now").when(~is_copy_retryable(f), "cancel").otherwise("retry_backoff")
     return F.struct(outcome.alias("outcome"), step.alias("next_step"))
 
 
@@ -101,7 +102,9 @@ def candidates(work: DataFrame, listing: DataFrame) -> DataFrame:
     """work against the source as it is now: always its current version; gone keys are stale."""
     now = listing.select("pipeline_id", "key", F.col("version").alias("current"), F.col("size").alias("current_size"), F.col("mod_time").alias("current_mtime"))
     out = work.join(now, ["pipeline_id", "key"], "left")
-    return out.select("pipeline_id", "key", F.when(F.col("current").isNull(), "stale").otherwise("").alias("outcome"), F.col("current").alias("version"), F.col("current_size").alias("size"), F.col("current_mtime").alias("mtime"), F.when(F.col("version") == F.col("current"), F.col("sequencer")).otherwise("").alias("sequencer"), "event_time", "arrival")
+    return out.select("pipeline_id", "key", F.when(F.col("current").isNull(), "stale").otherwise("").alias("outcome"),
+        F.col("current").alias("version"), F.col("current_size").alias("size"), F.col("current_mtime").alias("mtime"),
+            F.when(F.col("version") == F.col("current"), F.col("sequencer")).otherwise("").alias("sequencer"), "event_time", "arrival")
 
 
 def apply_deletes(deletes: DataFrame, listing: DataFrame, specs: DataFrame) -> DataFrame:

@@ -136,7 +136,8 @@ SQL = {
 }
 NEEDS = {
     "listing": ["documents"], "record": ["documents"], "full_record": ["record"], "candidates": ["listing"], "changes": ["events"], "ops": ["changes"], "messages": ["events"],
-    "manifest": ["lineitem"], "destination": ["manifest"], "accounts": ["customer"], "specs": ["accounts"], "targets": ["accounts"], "metrics_text": ["events"], "attempts": ["events"], "jobs": ["events"],
+    "manifest": ["lineitem"], "destination": ["manifest"], "accounts": ["customer"], "specs": ["accounts"], "targets": ["accounts"],
+        "metrics_text": ["events"], "attempts": ["events"], "jobs": ["events"],
 }
 
 

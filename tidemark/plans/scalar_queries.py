@@ -28,7 +28,8 @@ def src1_manifest_scan(t):
 )
 def src1_manifest_problems(t):
     m = t.manifest.withColumn("k", F.col("l_orderkey") % 5)
-    spoiled = m.withColumn("key", F.when(F.col("k") == 0, "").otherwise(F.col("key"))).withColumn("size", F.when(F.col("k") == 1, -1).otherwise(F.col("size"))).withColumn("sha256", F.when(F.col("k") == 2, "ab").otherwise(F.col("sha256")))
+    spoiled = m.withColumn("key", F.when(F.col("k") == 0, "").otherwise(F.col("key"))).withColumn("size",
+        F.when(F.col("k") == 1, -1).otherwise(F.col("size"))).withColumn("sha256", F.when(F.col("k") == 2, "ab").otherwise(F.col("sha256")))
     value = F.expr(MANIFEST_JSON)
     lines = spoiled.select(F.when(F.col("k") == 3, F.substring(value, 1, 20)).otherwise(value).alias("value"), F.lit(0).alias("file_index"), F.col("ord").alias("line_no"))
     return readers.manifest_rows(lines).groupBy("problem").agg(F.count("*").alias("n"))
@@ -150,7 +151,8 @@ def src7_soak_sample_scan(t):
 
     path = fresh_path(t.spark, "soak")
     given = {"ts": F.col("ts").cast("timestamp"), "pid": F.col("event_id"), "file_record_rows": F.col("user_id")}
-    t.events.select(*[given.get(c, F.lit(None).cast("bigint")).alias(c) for c in schemas.SOAK.split()]).write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+    t.events.select(*[given.get(c, F.lit(None).cast("bigint")).alias(c) for c in schemas.SOAK.split()]).write.option("header",
+        True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
     return readers.soak_scan(t.spark, path).select("pid", F.col("ts").cast(NTZ).alias("ts"), "file_record_rows")
 
 
@@ -280,7 +282,8 @@ def flt5_event_target_map(t):
        WHERE status <> 'synced'""",
 )
 def flt6_state_predicates(t):
-    return t.record.where("status <> 'synced'").select("key", F.expr("status <> 'synced'").alias("open"), F.expr("status <> 'deleted'").alias("live"), F.expr("status = 'failed' OR last_error <> ''").alias("has_error"))
+    return t.record.where("status <> 'synced'").select("key", F.expr("status <> 'synced'").alias("open"), F.expr("status <> 'deleted'").alias("live"),
+        F.expr("status = 'failed' OR last_error <> ''").alias("has_error"))
 
 
 ETAG = """CASE doc_id % 5 WHEN 0 THEN concat(' W/"', doc_id, '" ') WHEN 1 THEN concat('"', doc_id, '"') WHEN 2 THEN concat('""', doc_id, '"') WHEN 3
@@ -582,7 +585,8 @@ def sc20_part_layout(t):
 def sc21_sample_ranges(t):
     n = F.expr("CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 30)")
     got = t.orders.select("o_orderkey", n.alias("n"), text.sample_ranges(n, F.col("o_orderkey").cast("string")).alias("r"))
-    return got.select("o_orderkey", F.size("r").alias("ranges"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("bytes"), F.forall("r", lambda x: (x["at"] >= 0) & (x["at"] + x["length"] <= F.col("n"))).alias("inside"))
+    return got.select("o_orderkey", F.size("r").alias("ranges"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("bytes"),
+        F.forall("r", lambda x: (x["at"] >= 0) & (x["at"] + x["length"] <= F.col("n"))).alias("inside"))
 
 
 @query(

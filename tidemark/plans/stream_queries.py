@@ -272,7 +272,8 @@ def str13_spec_hot_reload(t):
     def read(batch):
         spoiled = F.expr(f"{batch} = 0 AND account % 5 = 0 OR {batch} = 1 AND account % 7 = 0 AND account % 5 <> 0")
         spec = F.when(spoiled, good.replace("64MiB", "1MiB")).otherwise(good)
-        return t.accounts.select(F.concat(F.lit("p-"), F.col("account").cast("string")).alias("name"), F.lit(batch + 1).alias("revision"), (F.col("account") % 6 != 0).alias("enabled"), spec.alias("spec"))
+        return t.accounts.select(F.concat(F.lit("p-"), F.col("account").cast("string")).alias("name"), F.lit(batch + 1).alias("revision"),
+            (F.col("account") % 6 != 0).alias("enabled"), spec.alias("spec"))
 
     changes = t.orders.select(F.concat(F.lit("p-"), F.col("o_custkey").cast("string")).alias("pipeline_id"), F.col("o_orderkey").alias("arrival"))
     streams.run(as_stream(t, changes, "changes", "arrival"), path, streams.with_current_specs(path, read)).awaitTermination()

@@ -401,7 +401,8 @@ UPTIME = "(epoch(TIMESTAMP '2024-02-01') - 1700000000)"
         UNION ALL SELECT pipeline, 'bytes_per_second', '', sum(value) / {UPTIME} FROM ({LINES}) WHERE name = 'sync_bytes_copied_total' GROUP BY 1""",
 )
 def ag17_metrics_report(t):
-    started = t.metrics_text.limit(0).select("line_no", "scraped_at", "line").unionByName(t.spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), now().alias("scraped_at"), F.lit("process_start_time_seconds 1700000000").alias("line")))
+    started = t.metrics_text.limit(0).select("line_no", "scraped_at",
+        "line").unionByName(t.spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), now().alias("scraped_at"), F.lit("process_start_time_seconds 1700000000").alias("line")))
     from tidemark.sources.readers import metric_samples
 
     return metrics.report(samples(t).unionByName(metric_samples(started)), now())
@@ -517,7 +518,9 @@ def wn3_listing_order_check(t):
 )
 def wn4_two_scrape_rate(t):
     first, second = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:01:00'")
-    s = t.events.select(F.lit("bytes").alias("name"), F.create_map(F.lit("pipeline"), F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string"))).alias("labels"), F.col("event_id").cast("double").alias("value"), F.when(F.col("event_id") % 2 == 0, first).otherwise(second).alias("scraped_at"))
+    s = t.events.select(F.lit("bytes").alias("name"), F.create_map(F.lit("pipeline"),
+        F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string"))).alias("labels"), F.col("event_id").cast("double").alias("value"),
+            F.when(F.col("event_id") % 2 == 0, first).otherwise(second).alias("scraped_at"))
     return metrics.two_scrape_rate(s, "bytes", first, second)
 
 
@@ -642,7 +645,8 @@ def duck_fold(kinds: str) -> str:
         "source_version": case((moved, x("version"))), "source_size": case((moved, x("size"))), "source_mtime": case((moved, x("mtime"))), "source_sequencer": case((moved, x("sequencer"))),
         "synced_version": case((done, a("source_version"))), "synced_mtime": case((done, a("source_mtime"))), "synced_sequencer": case((done, a("source_sequencer"))),
         "sha256": case((done, x("detail"))), "dest_version": case((done, x("version"))),
-        "status": case((observed, "CASE WHEN a.status = 'synced' AND x.o_version = a.synced_version THEN 'synced' ELSE 'pending' END"), (claimed, "'copying'"), (done, "'synced'"), (failed, "CASE WHEN x.o_retryable THEN 'pending' ELSE 'failed' END"), (deleted, "'deleted'")),
+        "status": case((observed, "CASE WHEN a.status = 'synced' AND x.o_version = a.synced_version THEN 'synced' ELSE 'pending' END"),
+            (claimed, "'copying'"), (done, "'synced'"), (failed, "CASE WHEN x.o_retryable THEN 'pending' ELSE 'failed' END"), (deleted, "'deleted'")),
         "attempts": case((claimed, "CASE WHEN a.source_version = x.o_version THEN a.attempts + 1 ELSE 1 END")), "last_error": case((done, "''"), (failed, x("detail"))),
         "upload_id": case((done, "''"), (up, x("detail"))), "upload_version": case((done, "''"), (up, x("version"))),
         "claimed_until": case((f"({claimed} OR {ext})", "x.o_at + INTERVAL 2 MINUTE"), (f"({done} OR {failed} OR {deleted})", "NULL")),
@@ -650,7 +654,8 @@ def duck_fold(kinds: str) -> str:
         "synced_at": case((done, x("at"))),
     }
     types = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
-    ops = {"arrival": "BIGINT", "op": "VARCHAR", "version": "VARCHAR", "size": "BIGINT", "mtime": "TIMESTAMP", "sequencer": "VARCHAR", "event_time": "TIMESTAMP", "at": "TIMESTAMP", "retryable": "BOOLEAN", "detail": "VARCHAR"}
+    ops = {"arrival": "BIGINT", "op": "VARCHAR", "version": "VARCHAR", "size": "BIGINT", "mtime": "TIMESTAMP", "sequencer": "VARCHAR",
+        "event_time": "TIMESTAMP", "at": "TIMESTAMP", "retryable": "BOOLEAN", "detail": "VARCHAR"}
     blank = {n: f"CAST({'NULL' if 'NULL' in v else v.replace(' AS BIGINT', '').replace('CAST(', '').replace(')', '') if 'CAST' in v else v} AS {types[ty]})" for n, (ty, v) in record.FIELDS.items()}
     row = lambda state, o: "struct_pack(" + ", ".join([f"{n} := {state(n)}" for n in STATE] + [f"o_{n} := {o(n)}" for n in ops]) + ")"
     start = row(lambda n: blank[n], lambda n: f"CAST(NULL AS {ops[n]})")

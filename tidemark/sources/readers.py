@@ -47,7 +47,8 @@ def manifest_rows(text: DataFrame) -> DataFrame:
         .when(m["written_at"].isNotNull() & written.isNull(), "bad time")
         .otherwise("")
     )
-    return text.where(trimmed("value") != "").withColumn("m", s).select(m["key"].alias("key"), m["size"].alias("size"), m["sha256"].alias("sha256"), written.alias("written_at"), "file_index", "line_no", problem.alias("problem"))
+    return text.where(trimmed("value") != "").withColumn("m", s).select(m["key"].alias("key"), m["size"].alias("size"), m["sha256"].alias("sha256"),
+        written.alias("written_at"), "file_index", "line_no", problem.alias("problem"))
 
 
 def strict(rows: DataFrame) -> DataFrame:
@@ -109,7 +110,8 @@ def listing_scan(spark: SparkSession, root: str) -> DataFrame:
     Spark lists the files on the driver: for roots of up to some millions of objects. Take inventory_scan beyond."""
     bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")  # noqa: E731  without scheme and authority
     key = F.substr(bare(F.col("path")), F.length(bare(F.lit(root.rstrip("/") + "/"))) + 1)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(key.alias("key"), F.col("length").alias("size"),
+        F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
     return found.where(~folder_marker("key"))
 
 
@@ -136,7 +138,8 @@ def metric_samples(text: DataFrame) -> DataFrame:
     names = F.regexp_extract_all(labels, F.lit(LABEL), F.lit(1))
     values = F.transform(F.regexp_extract_all(labels, F.lit(LABEL), F.lit(2)), unescape)
     rest = [c for c in text.columns if c != "line"]
-    return text.where((line != "") & ~line.startswith("#")).select(*rest, F.regexp_extract(line, shape, 1).alias("name"), F.map_from_arrays(names, values).alias("labels"), parse_number(F.regexp_extract(line, shape, 3)).alias("value"))
+    return text.where((line != "") & ~line.startswith("#")).select(*rest, F.regexp_extract(line, shape, 1).alias("name"),
+        F.map_from_arrays(names, values).alias("labels"), parse_number(F.regexp_extract(line, shape, 3)).alias("value"))
 
 
 def record_scan(records: DataFrame, pipeline: str, after: str = "") -> DataFrame:

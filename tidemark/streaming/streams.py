@@ -76,7 +76,8 @@ def routed_sink(path: str, targets: Callable[[int], DataFrame], whole_message: b
 
 def dedupe(changes: DataFrame, late: str = "10 minutes", seconds: int = 300) -> DataFrame:
     """One change per pipeline, key, version and window of its time, while the watermark keeps it in mind."""
-    return changes.withColumn("window", window_at("event_time", seconds)).withColumn("__t", F.col("event_time").cast("timestamp")).withWatermark("__t", late).dropDuplicatesWithinWatermark(["pipeline_id", "key", "version", "window"]).drop("__t")
+    return changes.withColumn("window", window_at("event_time", seconds)).withColumn("__t",
+        F.col("event_time").cast("timestamp")).withWatermark("__t", late).dropDuplicatesWithinWatermark(["pipeline_id", "key", "version", "window"]).drop("__t")
 
 
 #: Batches after which the states of all keys are written as one snapshot.
@@ -133,7 +134,8 @@ def in_turn(*steps: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return each
 
 
-def with_hooks(each: Callable[[DataFrame, int], None], started: Callable[[int], None] = lambda n: None, finished: Callable[[int, dict], None] = lambda n, seen: None, **figures: Column) -> Callable[[DataFrame, int], None]:
+def with_hooks(each: Callable[[DataFrame, int], None], started: Callable[[int], None] = lambda n: None,
+    finished: Callable[[int, dict], None] = lambda n, seen: None, **figures: Column) -> Callable[[DataFrame, int], None]:
     """each with callbacks on the driver: started(batch_id), and finished(batch_id, figures) with aggregates of the batch's rows.
 
     The figures are taken while the rows pass by, so they cost no reading of their own; figures that take a row more
