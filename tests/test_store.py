@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources import store
+import __spark_entry__ as entry
+from tidemark.sources import readers, store
 
 
 class Counting(store.Folders):
@@ -77,3 +78,34 @@ def test_a_failed_write_shows_no_object_of_its_task(spark, tmp_path):
         df.write.format(store.NAME).option("store", "test_store:Counting").mode("append").save(root)
     assert [n for n in os.listdir(root) if not n.startswith(store.STAGING)] == []
     assert spark.read.format(store.NAME).load(root).count() == 0
+
+
+def test_folder_scan_lists_an_object_for_every_account(spark, sf, tmp_path):
+    """As many objects as rows, whatever the table has."""
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey")
+    n = customers.count()
+    more = customers.withColumn("c_custkey", F.col("c_custkey") + 1_000_000).withColumn("c_nationkey", F.expr("nullif(c_nationkey, 3)"))  # concat of the SQL leaves nulls out
+    customers.union(more).write.parquet(str(tmp_path / "customer.parquet"))
+    for folder, size in ((sf, n), (str(tmp_path), 2 * n)):
+        rows = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+        wanted = {f"r{'' if a is None else a}/{c}.txt": len(f"ACME{' ' if c % 4 == 0 else ''}{c}\n") for c, a in rows}
+        got = entry.queries()["src2_folder_scan"](spark, folder).collect()
+        assert len(got) == len(wanted) == size and {r["key"]: r["size"] for r in got} == wanted
+
+
+def test_listing_scan_by_tasks_and_by_the_driver(spark, tmp_path):
+    keys = {"top", "a b/c", "a b/100%25", "é/x/y", "_named/z", ".named", "x/.y"}
+    root = tmp_path / "a root"
+    fill(root, keys)
+    by_tasks, by_driver = readers.listing_scan(spark, f"file://{root}"), readers.listing_scan(spark, str(root))
+    assert by_tasks.dtypes == by_driver.dtypes
+    seen = {r["key"]: (r["size"], r["mod_time"].timestamp() // 1) for r in by_tasks.collect()}
+    assert {k: v[0] for k, v in seen.items()} == {k: len(k.encode()) for k in keys}
+    assert {r["key"]: (r["size"], r["mod_time"].timestamp() // 1) for r in by_driver.collect()} == {k: v for k, v in seen.items() if k in {"top", "a b/c", "a b/100%25", "é/x/y"}}
+    with pytest.raises(FileNotFoundError, match="nowhere"):  # not an empty listing, after which all is to be deleted
+        readers.listing_scan(spark, f"file://{tmp_path}/nowhere")
+
+
+def test_roots_that_tasks_list():
+    for root, at in {"file:/a": "/a", "file:///a b%20": "/a b%20", "file://host/a": None, "/a": None, "a/b": None, "viewfs://store/in": None, "s3a://b/x": None}.items():
+        assert store.located(root) == at
