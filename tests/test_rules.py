@@ -132,6 +132,9 @@ def test_text(spark):
     assert got(text.parse_rate, "", "0", "172800B/day", "3KiB/s", "8", "2B/month") == [0.0, 0.0, 2.0, 3072.0, None, None]
     assert got(text.human_bytes, 5, 1000, 2560, 3 << 20, 1331) == ["5 B", "1000 B", "2.5 KiB", "3.0 MiB", "1.3 KiB"]
     assert got(text.human_decimal, 12, 2500, 7 * 10**9) == ["12 B", "2.50 KB", "7.00 GB"]
+    big = 12_345 * 10**12
+    assert got(text.human_decimal, big) + got(lambda n: text.human_decimal(n, "KMGT"), big) == ["12.34 PB", "12345.00 TB"]
+    assert got(text.human_bytes, 3 << 50) + got(lambda n: text.human_bytes(n, "KMGT"), 3 << 50) == ["3.0 PiB", "3072.0 TiB"]
     assert got(text.short_duration, -3.0, 0.25, 7.0, 605.0, 7260.0, 187200.0, 119.8) == ["0s", "250ms", "7s", "10m05s", "2h01m", "2d4h", "2m00s"]
     assert got(text.redact, "postgres://me:pw@db/x?sslmode=off&token=abc", "host=db password='p w' user=me") == ["postgres://me:xxxxx@db/x?sslmode=off&token=xxxxx", "host=db password=xxxxx user=me"]
     layout = lambda size: one.select(text.part_layout(L(size), L(0))).first()[0]

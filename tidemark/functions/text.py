@@ -129,21 +129,21 @@ def even_ratio(n: Column, d: Column, places: int) -> Column:
     return F.concat(whole, F.lit("."), F.lpad(F.pmod(q, F.lit(scale)).cast("string"), places, "0"))
 
 
-def human_bytes(c) -> Column:
-    """1.5 KiB: binary units, one decimal place."""
+def human_bytes(c, units: str = "KMGTPE") -> Column:
+    """1.5 KiB: binary units, one decimal place. What is beyond the last of units is counted in that one."""
     n = col(c).cast("long")
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate("KMGTPE", 1):
+    for k, unit in enumerate(units, 1):
         out = F.when(n >= 1 << 10 * k, F.concat(even_ratio(n.cast("decimal(38,0)"), F.lit(1 << 10 * k).cast("decimal(38,0)"), 1), F.lit(f" {unit}iB"))).otherwise(out)
     return out
 
 
-def human_decimal(c) -> Column:
-    """1.50 KB: decimal units, two places."""
+def human_decimal(c, units: str = "KMGTP") -> Column:
+    """1.50 KB: decimal units, two places. What is beyond the last of units is counted in that one."""
     n = col(c).cast("long")
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(n >= 10 ** (3 * k), F.concat(even_ratio(n.cast("decimal(38,0)"), F.lit(10 ** (3 * k)).cast("decimal(38,0)"), 2), F.lit(f" {unit}"))).otherwise(out)
+    for k, unit in enumerate(units, 1):
+        out = F.when(n >= 10 ** (3 * k), F.concat(even_ratio(n.cast("decimal(38,0)"), F.lit(10 ** (3 * k)).cast("decimal(38,0)"), 2), F.lit(f" {unit}B"))).otherwise(out)
     return out
 
 
