@@ -4,9 +4,11 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampType
 
 from test_rules import ops_frame, random_ops, states
+from tidemark.functions import compiled
 from tidemark.functions.plain import PLAIN, Plain
 from tidemark.operators import record
 from tidemark.streaming import keyed, streams
@@ -40,6 +42,47 @@ def test_plain_values_follow_the_columns(spark):
     assert sorted((*k, *r.v.values()) for k, r in held.items()) == sorted(map(tuple, record.fold(df).select("pipeline_id", "key", *record.FIELDS).collect()))
 
 
+def test_compiled_rules_follow_the_columns(spark):
+    """The same with the rule as Python functions, one for each operation, with times as they are or as numbers."""
+    df = ops_frame(spark, random_ops(4, 400))
+    step_of = {op: compiled.function(record.step, list(record.FIELDS), record.OPS, {"op": op}, {}) for op in (*keyed.OPERATIONS, "none")}
+    held = {}
+    for o in sorted(df.collect(), key=lambda o: o["arrival"]):
+        k = o["pipeline_id"], o["key"]
+        held[k] = step_of[o["op"]](held.get(k, tuple(record.new_row(PLAIN).v.values())), tuple(o[n] for n in record.OPS))
+    assert sorted((*k, *r) for k, r in held.items()) == sorted(map(tuple, record.fold(df).select("pipeline_id", "key", *record.FIELDS).collect()))
+
+
+def test_keys_share_states_and_rows_reach_them_packed(spark, tmp_path):
+    """Keys over few buckets, in chunks of few rows: as many states as buckets, and the record of the fold."""
+    rows = random_ops(8, 300)
+    like = ops_frame(spark, rows)
+    write(like, tmp_path / "ops", 0)
+    out = str(tmp_path / "out")
+    streams.run(keyed.keyed_record(stream(spark, tmp_path / "ops", like), timers=False, buckets=2), out, sink, mode="update").awaitTermination()
+    assert states(keyed.keyed_states(spark, f"{out}-checkpoint")) == states(record.fold(like))
+    held = spark.read.format("statestore").option("path", f"{out}-checkpoint").option("stateVarName", "record").load()
+    assert held.count() <= 2 < keyed.keyed_states(spark, f"{out}-checkpoint").count()
+
+
+def test_backlog_reads_a_batch_once(spark, tmp_path):
+    """Reading a batch twice would fold it twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kinds = "pipeline_id string, status string, event_time timestamp_ntz, was_status string, was_event_time timestamp_ntz"
+    at = datetime.datetime(2024, 1, 1)
+    batch = spark.createDataFrame([("p", "pending", at, None, None), ("p", "synced", at, "copying", at), ("q", "copying", at, None, None)], kinds).mapInArrow(count, kinds)
+    pipelines = spark.createDataFrame([("p",), ("q",)], "pipeline_id string")
+    keyed.backlog_sink(str(tmp_path), pipelines, F.expr("TIMESTAMP_NTZ '2024-01-01 00:01:00'"))(batch, 0)
+    assert seen.value == 3
+    assert sorted((r[0], r[1]) for r in spark.read.parquet(f"{tmp_path}/gauges/batch=0").collect()) == [("p", 0.0), ("q", 60.0)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_state_store_equals_fold(spark, tmp_path, seed):
     """Batches of random sizes, with a restart from the checkpoint between them."""
