@@ -8,7 +8,7 @@ from tidemark.functions.text import window_at
 from tidemark.operators import events, metrics, work
 from tidemark.plans.catalog import now, query
 from tidemark.plans.table_queries import CLAIMS, DIFF, EVERY, VERIFIED, bounds_sql, duck_fold, last
-from tidemark.shared import fresh_path
+from tidemark.shared import cut, fresh_path
 from tidemark.sources import queue
 from tidemark.streaming import keyed, streams
 
@@ -213,9 +213,8 @@ def gauges(part: int) -> str:
 def str11_backlog_gauges(t):
     """From counts of what waits, which each batch's changed keys move."""
     path, out = fresh_path(t.spark, "states"), fresh_path(t.spark, "gauges")
-    keyed_ops = keyed.keyed_record(as_stream(t, t.ops, "ops", THIRDS), timers=False)
-    sink = keyed.backlog_sink(out, t.ops.select("pipeline_id").distinct(), now())
-    streams.run(keyed_ops, path, sink, mode="update").awaitTermination()
+    sink = keyed.backlog_sink(out, cut(t.ops.select("pipeline_id").distinct(), "pipelines"), now())
+    in_parts(t, lambda ops: streams.run(keyed.keyed_record(ops, timers=False), path, sink, mode="update"), (t.ops, "ops", THIRDS))
     return t.spark.read.parquet(f"{out}/gauges")
 
 
