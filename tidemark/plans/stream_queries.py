@@ -122,8 +122,7 @@ def str5_jobs_until_they_end(t):
     rounds = F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))).alias("k")
     wanted = jobs.select(*work.UNIQUE, "arrival", rounds).select(*work.UNIQUE, (F.col("arrival") + F.col("k") * more).alias("arrival"))
     spread = f"floor((arrival + {more >> 1}) / {2 * more})"
-    stream = keyed.open_jobs(as_stream(t, wanted, "wanted", spread), as_stream(t, ended, "ended", "1"))
-    streams.run(stream, path, changed_rows(path)).awaitTermination()
+    in_parts(t, lambda *both: streams.run(keyed.open_jobs(*both), path, changed_rows(path)), (wanted, "wanted", spread), (ended, "ended", "1"))
     return t.spark.read.parquet(path).select(*work.UNIQUE, F.floor(F.col("arrival") / (2 * more)).cast("int").alias("round"))
 
 
