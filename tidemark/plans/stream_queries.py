@@ -92,8 +92,7 @@ def str2_at_least_once(t):
     """Every batch is delivered twice; its rows are there once."""
     path = fresh_path(t.spark, "replayed")
     sink = streams.ingest_sink(path)
-    stream = streams.ingest(as_stream(t, t.messages, "messages", "message_id"), "p", "c1", "data/")
-    streams.run(stream, path, streams.in_turn(sink, sink)).awaitTermination()
+    in_parts(t, lambda messages: streams.run(streams.ingest(messages, "p", "c1", "data/"), path, streams.in_turn(sink, sink)), (t.messages, "messages", "message_id"))
     return t.spark.read.parquet(f"{path}/changes").select("message_id")
 
 
