@@ -165,8 +165,8 @@ def str7_lease_expiry(t):
     path = fresh_path(t.spark, "leases")
     claims = t.ops.where("op IN ('observe', 'claim')").withColumn("clock", F.expr("TIMESTAMP '2000-01-01 00:00:00'"))
     last = claims.limit(1).withColumns({"pipeline_id": F.lit("none"), "arrival": F.lit(1 << 60), "clock": F.expr("TIMESTAMP '2024-02-01 00:00:01'")})
-    stream = as_stream(t, claims.unionByName(last), "ops", "CASE WHEN arrival < 30000 THEN 0 WHEN pipeline_id <> 'none' THEN 1 ELSE 2 END")
-    streams.run(keyed.keyed_record(stream, "clock"), path, changed_rows(path), mode="update").awaitTermination()
+    turn = "CASE WHEN arrival < 30000 THEN 0 WHEN pipeline_id <> 'none' THEN 1 ELSE 2 END"
+    in_parts(t, lambda ops: streams.run(keyed.keyed_record(ops, "clock"), path, changed_rows(path), mode="update"), (claims.unionByName(last), "ops", turn))
     return keyed.keyed_states(t.spark, f"{path}-checkpoint").where("pipeline_id <> 'none'").select("pipeline_id", "key", "status", "claimed_until")
 
 
