@@ -117,6 +117,26 @@ def test_globs(spark):
             globs.key_regex(bad)
 
 
+def test_resume_of_layouts_equals_that_of_parts(spark):
+    """Uploads of any kind, wrong, stray and missing ones, against the join of parts; no part of the plan is made."""
+    rng = random.Random(5)
+    sizes = [(f"k{k}", rng.choice([0, 1, 7, 8, 9, 16, 20, 33])) for k in range(120)]
+    objects = spark.createDataFrame([(k, n, (8, -(-n // 8))) for k, n in sizes], "key string, size bigint, layout struct<part_size:bigint,n_parts:bigint>")
+    up = []
+    for k, n in sizes:
+        parts = [(k, x + 1, min(8, n - 8 * x)) for x in range(-(-n // 8)) if rng.random() < 0.8]
+        if parts and rng.random() < 0.4:
+            k, x, length = parts.pop(rng.randrange(len(parts)))
+            parts.append((k, rng.choice([x, x, x, 0, 6]), rng.choice([length - 1, length + 1, 8, 0, None])))
+        up += parts
+    up += [("stray", 1, 8), ("unknown", 1, None)]
+    uploaded = spark.createDataFrame(up, "key string, number bigint, length bigint")
+    rows = lambda df: sorted(map(tuple, df.select("key", "usable", "parts", "uploaded", "missing").collect()))
+    got = work.resume_layout(objects, uploaded)
+    assert rows(got) == rows(work.resume(work.part_plan(objects), uploaded)) and {r[1] for r in rows(got)} == {True, False}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_text(spark):
     one = spark.range(1)
     L = F.lit

@@ -159,7 +159,7 @@ def jn11_resume_part_match(t):
     plan = work.part_plan(objects(t))
     bad = F.expr("number % 5 = 0 AND CAST(key AS BIGINT) % 3 = 0")
     up = plan.where("number % 2 = 1 OR number % 5 = 0").withColumn("length", F.when(bad, F.col("length") + 1).otherwise(F.col("length")))
-    return work.resume(plan, up)
+    return work.resume_layout(objects(t), up)
 
 
 PHASES = """SELECT concat('phase-', event_id % 1500) AS name, {0} '2024-01-01' + (event_id % 1500) * INTERVAL '20' MINUTE AS start,
