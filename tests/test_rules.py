@@ -383,6 +383,18 @@ def test_lines_of_files_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", with_size)
 
 
+def test_lines_are_not_shuffled_to_be_numbered(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = readers.lines(spark, [str(tmp_path / "a.txt")])
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["line_no"], r["value"]) for r in got.collect()) == [(0, "x"), (1, "y")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_ranks_and_places(spark):
     rng = random.Random(8)
     rows = [(rng.randrange(3), None if rng.random() < 0.1 else float(rng.randrange(40))) for _ in range(500)] + [(5, None), (6, 2.0)]

@@ -21,7 +21,8 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Files are read in splits of any number. A split's rows are numbered where they are read; the lines before it are the
     sum over its file's earlier splits, of which there are few. The numbered rows are written once, since the numbers of
-    a split must be those of one reading.
+    a split must be those of one reading. There is a row of starts for each split, which are broadcast: else all lines
+    would be shuffled to meet them.
     """
     parts = None
     for k, path in enumerate(paths):
@@ -29,10 +30,10 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         one = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("id"))
         parts = one if parts is None else parts.unionByName(one)
     split = ["file_index", "file", "block"]
-    rows = cut(parts, "lines")
+    rows = cut(parts, "lines", compression="zstd")
     before = Window.partitionBy("file_index", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*split).agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return rows.join(starts.drop("n"), split).select("value", "file_index", (F.col("ahead") + F.col("id") - F.col("first")).alias("line_no"))
+    return rows.join(F.broadcast(starts.drop("n")), split).select("value", "file_index", (F.col("ahead") + F.col("id") - F.col("first")).alias("line_no"))
 
 
 def manifest_rows(text: DataFrame) -> DataFrame:
