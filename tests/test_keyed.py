@@ -11,6 +11,8 @@ from test_rules import ops_frame, random_ops, states
 from tidemark.functions import compiled
 from tidemark.functions.plain import PLAIN, Plain
 from tidemark.operators import record
+from tidemark.plans import stream_queries
+from tidemark.plans.fixtures import Inputs
 from tidemark.streaming import keyed, streams
 
 
@@ -129,6 +131,20 @@ def test_state_begins_with_a_record(spark, tmp_path):
     assert states(keyed.keyed_states(spark, f"{out}-checkpoint")) == states(record.fold(ops_frame(spark, rows)))
 
 
+def test_looks_do_not_make_their_inputs_again(spark, sf, monkeypatch):
+    """The retries of a manifest get its last writes and the destination as they lie written, not as sorts of all writes."""
+    given = {}
+
+    def caught(ticks, path, manifest, destination, *rest):
+        given.update(manifest=manifest, destination=destination(1))
+        raise StopIteration
+
+    monkeypatch.setattr(streams, "retry_until", caught)
+    with pytest.raises(StopIteration):
+        stream_queries.str14_retry_until_deadline(Inputs(spark, sf))
+    assert [f for df in given.values() for f in df.inputFiles() if "lineitem" in f] == []
+
+
 def test_open_jobs_block_until_they_end(spark, tmp_path):
     """Against a plain loop: jobs and job states in random order, over several batches and restarts."""
     rng, kinds = random.Random(11), "pipeline_id string, key string, version string, generation int, window bigint, arrival bigint"

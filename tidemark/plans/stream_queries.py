@@ -249,9 +249,9 @@ RETRIED = """SELECT key, outcome, CASE WHEN outcome IN ('missing', 'size_mismatc
 def str14_retry_until_deadline(t):
     """Looks at 0 s, 60 s and 240 s (that at 120 s comes before the entries are due), with arrivals before the second and the third."""
     path = fresh_path(t.spark, "retried")
-    m = last(t).select("key", "size", "sha256", "written_at")
+    m = cut(last(t).select("key", "size", "sha256", "written_at"), "entries", compression="zstd")
     number = F.regexp_extract("key", "([0-9]+)", 1).cast("bigint")
-    there = t.destination.select("key", "size", "sha256", "mod_time")
+    there = cut(t.destination.select("key", "size", "sha256", "mod_time"), "there", compression="zstd")  # each made once, not by every look
 
     def destination(tick):
         arrived = (number % 40 == 0) & F.lit(tick >= 1) | (number % 60 == 0) & F.lit(tick >= 2)
